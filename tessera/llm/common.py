@@ -8,6 +8,8 @@ text is bounded, so that a run of very long documents can't fill a worker.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -66,9 +68,16 @@ def words(text: str | None) -> list[bytes]:
 
 
 def partitions_for(df: DataFrame) -> int:
-    """How many buckets to deal documents into: as many as the session shuffles to, and no fewer than the scan has
-    splits, so that a bucket stays near the size of a split however large the input."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    """How many buckets to deal documents into: twice as many as the session shuffles to or the scan has splits, so that a
+    bucket holds about half a split's text however large the input: a Python worker has all of it at once."""
+    return 2 * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on, and what a large group took would stay with it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def in_buckets(df: DataFrame, n: int) -> DataFrame:
