@@ -13,12 +13,14 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: the bytes that separate words in every contract here.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 SLICE_CHARS = 4_000_000
+#: Buckets of documents for each part.
+BUCKETS = 2
 
 
 def two_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,9 +70,10 @@ def words(text: str | None) -> list[bytes]:
 
 
 def partitions_for(df: DataFrame) -> int:
-    """How many buckets to deal documents into: twice as many as the session shuffles to or the scan has splits, so that a
-    bucket holds about half a split's text however large the input: a Python worker has all of it at once."""
-    return 2 * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    """How many parts to deal what buckets of documents send each other into: as many as the session shuffles to, and no fewer
+    than the scan has splits, however large the input. Documents themselves go to BUCKETS times as many buckets, so that a
+    bucket holds about half a split's text: a Python worker has all of it at once."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
 def give_back() -> None:
@@ -97,3 +100,25 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read from it from now on."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda a plain expression would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(lengths: Column) -> Column:
+    """Sums of the elements up to and with each, of an array of longs. Built in runs of 256: appending to one array would cost the square."""
+
+    def within(run: Column) -> Column:
+        return F.aggregate(run, F.array(F.lit(0).cast("long")), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+
+    def runs(x: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 256).cast("int")), lambda k: within(F.slice(x, k * 256 + 1, 256)))
+        return F.when(F.size(x) > 0, some).otherwise(F.array().cast("array<array<long>>"))
+
+    def joined(parts: Column) -> Column:
+        before = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda sums, p: F.concat(sums, F.array(F.element_at(sums, -1) + F.element_at(p, -1))))
+        return let(before, lambda b: F.flatten(F.transform(parts, lambda p, k: F.transform(F.slice(p, 2, 256), lambda x: x + b[k]))))
+
+    return let(lengths, lambda x: let(runs(x), joined))

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, quality, suffix, tokencount
+from . import bpe, chat, decontaminate, jaccard, langid, pii, ppm, quality, suffix, tokencount
 from .common import documents
 
 
@@ -43,6 +43,29 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, trained).select("doc_id", F.coalesce(langid.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.find_spans(docs, pii.train(docs))
+
+    def count(rank: int):
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    n = [count(r).alias(f"n_{k}") for r, k in enumerate(pii.BASE)]
+    return found.select("doc_id", *n, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir), langid.remainder("doc_id", 5) == 1)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
@@ -80,7 +103,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_suffix_dedup, op5_language, op10_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_suffix_dedup, op5_language, op6_jaccard, op7_decontaminate, op8_pii, op9_ppm, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
