@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, give_back, in_buckets, partitions_for, slices, two_columns
+from .common import BUCKETS, ddl, give_back, in_buckets, partitions_for, slices, two_columns
 
 ORDER = 4
 SLICE = 1 << 20
@@ -154,7 +154,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n = partitions or partitions_for(two_columns(docs))
     pairs = docs.sparkSession.sparkContext.broadcast(low_orders(docs))
-    dealt = in_buckets(docs, n).groupBy("bucket")
+    dealt = in_buckets(docs, BUCKETS * n).groupBy("bucket")
 
     def distinct(table: pa.Table):
         """Distinct grams and words of a bucket with their training counts, in an order that is the same each time."""
@@ -251,5 +251,5 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     answers = dealt.applyInArrow(send, ddl(SENT)).groupBy("part").applyInArrow(answer, ddl(ANSWER))
     totals = answers.where("bucket < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     # The two totals go to every bucket as one more answer.
-    totals = totals.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"), F.lit(-1).alias("part"), F.lit(b"").alias("grams"), F.lit(b"").alias("words"), "n", "v")
+    totals = totals.select(F.explode(F.sequence(F.lit(0), F.lit(BUCKETS * n - 1))).alias("bucket"), F.lit(-1).alias("part"), F.lit(b"").alias("grams"), F.lit(b"").alias("words"), "n", "v")
     return dealt.cogroup(answers.where("bucket >= 0").unionByName(totals).groupBy("bucket")).applyInArrow(finish, ddl(OUT))
