@@ -28,7 +28,7 @@ from .common import map_texts, two_columns
 #: White space of the Unicode standard, as the vocabulary file's pattern counts it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Distinct words whose ids a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 _loaded: dict[str, BytePairs] = {}
 
@@ -69,33 +69,42 @@ class BytePairs:
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """Symbols after all merges, lowest rank first, leftmost first within a rank."""
-        n, ranks = len(symbols), self.ranks
+        """Symbols after all merges, lowest rank first, leftmost first within a rank.
+
+        A queue entry is rank * n + place. It's stale if the pair that stands there now has another rank or none.
+        """
+        n, get = len(symbols), self.ranks.get
         if n < 2:
             return symbols
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(r[0], i, symbols[i], symbols[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1])))]
+        queue = [r[0] * n + i for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := get(pair))]
+        if not queue:
+            return symbols
         heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        symbols = [*symbols, -1]
         while queue:
-            _, i, a, b, joined = heappop(queue)
+            rank, i = divmod(heappop(queue), n)
             j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:  # stale
+            r = get((symbols[i], symbols[j])) if j <= n else None
+            if r is None or r[0] != rank:
                 continue
-            symbols[i], symbols[j] = joined, -1
+            joined = symbols[i] = r[1]
+            symbols[j] = -1
             k = after[i] = after[j]
+            after[j] = n + 1
             if k < n:
                 before[k] = i
-                if r := ranks.get((joined, symbols[k])):
-                    heappush(queue, (r[0], i, joined, symbols[k], r[1]))
-            if (h := before[i]) >= 0 and (r := ranks.get((symbols[h], joined))):
-                heappush(queue, (r[0], h, symbols[h], joined, r[1]))
+                if r := get((joined, symbols[k])):
+                    heappush(queue, r[0] * n + i)
+            if (h := before[i]) >= 0 and (r := get((symbols[h], joined))):
+                heappush(queue, r[0] * n + h)
         return [s for s in symbols if s >= 0]
 
     def encode_word(self, word: str) -> list[int]:
         # Lower case by character: a final sigma is lowered as any sigma.
-        word = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+        word = word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
         ids: list[int] = []
-        for piece in self.pieces.findall(word):
+        for piece in [word] if word.isalpha() and word.isascii() else self.pieces.findall(word):
             data = piece.encode("utf-8", "surrogatepass")
             symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
             ids += self.merge([s for s in symbols if s >= 0])
