@@ -7,8 +7,7 @@ is verified: some window of WINDOW tokens (all of a shorter item's) agrees in at
 Tokens are runs of letters, digits and underscores, lowered. The benchmark goes to the tasks in slices under SLICE_BYTES of text, a size
 that is checked; a larger benchmark is more slices, each met with all documents. Documents aren't shuffled.
 
-Cases: null texts and items have no tokens and match nothing; items under SHORTEST tokens match nothing, and those shorter than a
-mask are looked up whole; repeated items or documents are each answered; ties between windows go to the earliest; empty
+Cases: null texts and items have no tokens and match nothing; items under SHORTEST tokens match nothing; repeated items or documents are each answered; ties between windows go to the earliest; empty
 tables give empty results; other columns are kept by clean() and ignored by leaks().
 """
 
@@ -23,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import ddl, slices, two_columns
 
-#: Fixed masks: 1 is compared, 0 ignored.
-MASKS = ("111111", "11101111", "110110111", "1101101011", "11110111101", "101010101011")
+#: Fixed masks: 1 is compared, 0 ignored. The first find every window of WINDOW tokens that agrees in AGREE of its places,
+#: wherever the others are; the second do the same for shorter items.
+MASKS = ("1111011", "1110111", "1110100011")
+SHORT_MASKS = ("11111", "111011", "111101", "110111", "101111", "1101011", "1110011", "11010011")
 WINDOW, AGREE, SHORTEST = 20, 0.8, 6
 SLICE_BYTES = 16_000_000
 
@@ -65,18 +66,17 @@ class Seeds:
         kept = [(i, t) for i, text in items if len(t := tokens(text)) >= SHORTEST]
         self.ids = [i for i, _ in kept]
         self.rows = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in t], np.uint64) for _, t in kept]
-        masks = {tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS}
-        longest = max(len(m) for m in MASKS)
-        masks |= {tuple(range(len(r))) for r in self.rows if len(r) < longest}
         self.tables = []
-        for offsets in sorted(masks):
-            found = [(h, i, p) for i, r in enumerate(self.rows) for p, h in enumerate(seed_hashes(r, list(offsets)).tolist()) if h]
+        for mask, short in [*((m, False) for m in MASKS), *((m, True) for m in SHORT_MASKS)]:
+            offsets = [k for k, c in enumerate(mask) if c == "1"]
+            rows = [(i, r) for i, r in enumerate(self.rows) if (len(r) < WINDOW) == short]
+            found = [(h, i, p) for i, r in rows for p, h in enumerate(seed_hashes(r, offsets).tolist()) if h]
             if found:
                 found.sort()
                 h = np.array([f[0] for f in found], np.uint64)
                 gate = np.zeros(1 << 16, bool)
                 gate[h >> np.uint64(48)] = True
-                self.tables.append((list(offsets), h, np.array([f[1] for f in found]), np.array([f[2] for f in found]), gate))
+                self.tables.append((offsets, h, np.array([f[1] for f in found]), np.array([f[2] for f in found]), gate))
 
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, int]]]:
         """For each text, (item number, start in text, start in item, window, equal tokens) of the best window of each item that it leaks."""
