@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard, langid, pii
-from tessera.llm.common import ensure_checkpoint_dir
+from tessera.llm.common import documents, ensure_checkpoint_dir
 from tessera.llm.queries import vocabulary_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents; what a stage keeps is written to the shared folder, and read again by the next."""
     ensure_checkpoint_dir(spark)
     shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 #: ASCII white space: the bytes that separate words in every contract here.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 SLICE_CHARS = 4_000_000
@@ -28,7 +31,7 @@ def two_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def slices(batches: Iterator[pa.RecordBatch], names: list[str], text: str = "text") -> Iterator[list[list]]:
@@ -102,6 +105,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder: compressed, and read column by column."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: inside a lambda a plain expression would be computed for each element."""
     return F.transform(F.array(value), body)[0]
