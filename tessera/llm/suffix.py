@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, in_buckets, partitions_for, two_columns
+from .common import BUCKETS, ddl, give_back, in_buckets, partitions_for, two_columns
 
 WINDOW, GRAM = 100, 32
 PLACES = WINDOW - GRAM + 1
@@ -308,7 +308,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts the kept bytes."""
     docs = two_columns(df, id_col, text_col)
     n = partitions or partitions_for(docs)
-    docs = in_buckets(docs, n)
+    docs = in_buckets(docs, BUCKETS * n)
 
     def send_grams(table: pa.Table) -> pa.Table:
         b = Bucket(table, n)
@@ -341,6 +341,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             places = np.array([(*b.order[d], low) for d, low in zip(b.blocks.doc[blocks].tolist(), b.blocks.low[blocks].tolist(), strict=True)], np.int64)
             rows.append((part, bucket, *front_code(keys), places.tobytes()))
             at = end
+        del b, first, ordered
+        give_back()
         return table_of(rows, B_SCHEMA)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -386,6 +388,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for e, bits in zip(owners, found, strict=True):
                 if bits:
                     verdict[e], masks[e] = 2, bits.ljust(WINDOW // 8, b"\0")
+        del places, position, groups, members
+        give_back()
         rows = []
         for k, (bucket, part) in enumerate(zip(columns["bucket"], columns["part"], strict=True)):
             own = verdict[base[k] : base[k + 1]]
@@ -435,6 +439,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if n_gone else text
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n_gone else 0
             rows.append((b.ids[k], len(text), n_gone, spans, hashlib.sha256(kept).hexdigest(), *([kept] * texts)))
+        del b, said, change, covered
+        give_back()
         return table_of(rows, out_schema)
 
     grams = docs.groupBy("bucket").applyInArrow(send_grams, ddl(A_SCHEMA))
