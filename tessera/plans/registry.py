@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import search_queries
+from tessera.plans import search_queries, store_queries
 
 
 def cases() -> dict[str, tuple]:
-    return dict(search_queries.CASES)
+    return search_queries.CASES | store_queries.CASES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
