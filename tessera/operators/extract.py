@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.meta import conflicts
 from tessera.functions.vector import cosine, norm
@@ -35,7 +36,7 @@ def parse_answer(raw: str | None) -> list[dict]:
     return [v for v in value if isinstance(v, dict)]
 
 
-FACTS = "array<struct<content:string,subject:string,category:string>>"
+FACTS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("content", "subject", "category")]))
 
 
 @F.pandas_udf(FACTS)
