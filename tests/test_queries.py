@@ -21,8 +21,10 @@ def con():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if not getattr(v, "ndim", 0) and not isinstance(v, (list, dict)) and pd.isna(v):
             return "NULL"
+        if isinstance(v, float) and v == int(v) and abs(v) < 1e15:  # a column of integers with nulls
+            return str(int(v))
         return f"{v:.6f}" if isinstance(v, float) else str(list(v) if getattr(v, "ndim", 0) else v)
 
     df = df[sorted(df.columns)]
