@@ -17,10 +17,14 @@ conversation; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import let, running_sums
+
 OPEN, BETWEEN, CLOSE = "### ", ": ", " </turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -81,17 +85,31 @@ def canonical_turns(df: DataFrame, id_col: str = "id", record_col: str = "record
     return rows.select("id", "fingerprint", turns.alias("turns"))
 
 
+def fingerprint(paths) -> str:
+    """Hash of the sorted field paths of a table."""
+    return hashlib.blake2b("\n".join(sorted(paths)).encode(), digest_size=8).hexdigest()
+
+
+def row_layout(paths: list[str]) -> tuple[str, str, str, str]:
+    """The registered mapping of a table's fingerprint; failing that, of its fields that some layout names; failing that, of the first layout all of whose fields it has.
+
+    A table's rows share its schema, so it is fingerprinted once.
+    """
+    known = {fingerprint(k): m for k, m in ROW_LAYOUTS.items()}
+    named = {f for k in ROW_LAYOUTS for f in k}
+    for some in (set(paths), set(paths) & named, *(set(paths) & set(k) for k in ROW_LAYOUTS)):
+        if found := known.get(fingerprint(some)):
+            return found
+    raise ValueError(f"no layout of turn rows has the fingerprint of {sorted(paths)}")
+
+
 def turns_of_rows(df: DataFrame) -> DataFrame:
     """id and turns of a table of turn rows whose column names a registered layout has, whatever other columns there are.
 
     Turns of one conversation are one value by contract, so they meet in one row; partial lists are
     built before the shuffle, and conversations are dealt by their key.
     """
-    have = {p for p in schema_paths(df.schema)}
-    match = [m for paths, m in ROW_LAYOUTS.items() if set(paths) <= have]
-    if not match:
-        raise ValueError(f"no layout of turn rows has these fields: {sorted(have)}")
-    key, order, role, text = match[0]
+    key, order, role, text = row_layout(schema_paths(df.schema))
     turn = F.struct(F.col(order).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     gathered = df.groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return gathered.select("id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
@@ -129,11 +147,13 @@ def format_chats(df: DataFrame, trained_role: str = "assistant") -> DataFrame:
         ),
     )
     rows = df.select("id", F.transform(parts, lambda p: p.withField("head_n", F.length(p["head"]).cast("long")).withField("body_n", F.length(p["body"]).cast("long"))).alias("parts"))
-    # Running ends of the parts: one pass that appends to an array.
     size = F.transform("parts", lambda p: p["head_n"] + p["body_n"] + F.lit(len(CLOSE)).cast("long"))
-    rows = rows.withColumn("ends", F.aggregate(size, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))))
-    spans = F.transform("parts", lambda p, i: F.struct(p["trained"].alias("trained"), (F.col("ends")[i] + p["head_n"]).alias("start"), (F.col("ends")[i] + p["head_n"] + p["body_n"]).alias("end")))
-    spans = F.transform(F.filter(spans, lambda s: s["trained"]), lambda s: s.dropFields("trained"))
+
+    def spans_of(parts: Column, ends: Column) -> Column:
+        own = F.transform(parts, lambda p, i: F.struct(p["trained"].alias("trained"), (ends[i] - len(CLOSE) - p["body_n"]).alias("start"), (ends[i] - len(CLOSE)).alias("end")))
+        return F.transform(F.filter(own, lambda s: s["trained"]), lambda s: s.dropFields("trained"))
+
+    spans = let(F.col("parts"), lambda parts: let(running_sums(size), lambda ends: spans_of(parts, ends)))
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
     return rows.select("id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
