@@ -99,3 +99,16 @@ def path_filters(docs: DataFrame, prefix: str = "", basename: str = "", lang: st
     if lang:
         docs = docs.where(F.col("lang") == lang)
     return docs.where(F.col("repo_url") == repo) if repo else docs
+
+
+def upload_errors(files: DataFrame) -> DataFrame:
+    """files (path, content, sha256 in hex) with error: why an upload is refused, or null. In order: path, reason to skip, hash format, hash, text."""
+    text = F.col("content").cast("string")
+    error = (
+        F.when(~F.coalesce(paths.valid(F.col("path")), F.lit(False)), F.lit("invalid path"))
+        .when(paths.skip_reason(F.col("path"), F.octet_length("content")).isNotNull(), paths.skip_reason(F.col("path"), F.octet_length("content")))
+        .when(~F.coalesce(F.col("sha256").rlike("^[0-9A-Fa-f]{64}$"), F.lit(False)), F.lit("bad hash"))
+        .when(F.lower("sha256") != F.sha2("content", 256), F.lit("hash does not match"))
+        .when(~F.is_valid_utf8(text) | F.contains(text, F.lit("\0")), F.lit("not text"))
+    )
+    return files.withColumn("error", error)

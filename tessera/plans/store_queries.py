@@ -264,6 +264,13 @@ def chunk_span_rules(spark, sf):
     return bad.crossJoin(c.agg(F.countDistinct("path").alias("files")))
 
 
+@case(with_("files") + f"SELECT path, coalesce({REASON.replace('size', 'length(content)')}, CASE WHEN id % 5 = 1 THEN 'bad hash' WHEN id % 5 = 2 THEN 'hash does not match' WHEN id % 5 = 3 THEN 'not text' END) AS error FROM files")
+def upload_errors(spark, sf):
+    i, body = F.col("id"), F.when(F.col("id") % 5 == 3, F.concat("content", F.lit("\0"))).otherwise(F.col("content")).cast("binary")
+    sha = F.when(i % 5 == 1, "zz").when(i % 5 == 2, F.lit("0" * 64)).otherwise(F.upper(F.sha2(body, 256)))
+    return corpus.upload_errors(fx.files(spark, sf).select("path", sha.alias("sha256"), body.alias("content"))).select("path", "error")
+
+
 CHUNK_QUERIES = ((1, "page"), (2, "the tion"), (3, "example.com"), (4, "exampleCom"))
 
 
@@ -516,6 +523,18 @@ def import_remaps(spark, sf):
     return transfer.import_facts(f.where("id % 3 = 0"), transfer.export_facts(f, users(spark)), owner=9, start=1000000)[0].select("id", "content", "superseded_by", "superseded_at")
 
 
+@case(with_("facts") + "SELECT id, CASE WHEN user_id = 2 THEN 9 ELSE user_id END AS user_id, CASE WHEN subject = 'src3' AND category NOT IN ('en') THEN '' ELSE subject END AS subject FROM facts")
+def owner_backfill(spark, sf):
+    f = fx.facts(spark, sf).withColumn("user_id", F.when(F.col("user_id") != 2, F.col("user_id"))).withColumn("category", F.when(F.col("category") == "en", "identity").otherwise(F.col("category")))
+    return transfer.backfill_owner(f, 9, "src3").select("id", "user_id", "subject")
+
+
+@case(with_("facts") + "SELECT id, CASE WHEN kind <> '' THEN kind WHEN json_type(metadata, '$.surface') = 'VARCHAR' THEN metadata ->> '$.surface' ELSE '' END AS kind FROM facts")
+def kind_backfill(spark, sf):
+    f = fx.facts(spark, sf).withColumn("metadata", F.replace("metadata", F.lit('"surface"'), F.lit('"kind"')))
+    return transfer.backfill_kind(f).select("id", "kind")
+
+
 # ---- streams, run to their end over the given files
 
 

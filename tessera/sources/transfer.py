@@ -53,3 +53,9 @@ def backfill_kind(facts: DataFrame) -> DataFrame:
     from tessera.functions.meta import meta_text
 
     return facts.withColumn("kind", F.when(F.coalesce("kind", F.lit("")) == "", F.coalesce(meta_text(F.col("metadata"), "kind"), F.lit(""))).otherwise(F.col("kind")))
+
+
+def backfill_owner(facts: DataFrame, owner: int, name: str) -> DataFrame:
+    """Rows without an owner get one; a subject that only named the owner is emptied, but for identity and preference facts."""
+    marks = (F.col("subject") == name) & ~F.col("category").isin("identity", "preference")
+    return facts.withColumn("user_id", F.coalesce("user_id", F.lit(owner).cast("long"))).withColumn("subject", F.when(marks, "").otherwise(F.col("subject")))

@@ -272,6 +272,14 @@ def test_manifest(spark):
     assert {(r["path"], r["error"]) for r in corpus.manifest_errors(bad).collect()} == {("a.md", "duplicate"), ("../x", "invalid path"), ("c.md", "bad hash")}
 
 
+def test_upload_errors(spark):
+    import hashlib
+
+    good = hashlib.sha256(b"\xff").hexdigest()
+    df = spark.createDataFrame([("a.md", bytearray(b"\xff"), good), ("../a.md", bytearray(b"x"), good), ("a.exe", bytearray(b"x"), good)], "path string, content binary, sha256 string")
+    assert [r["error"] for r in corpus.upload_errors(df).collect()] == ["not text", "invalid path", "unroutable extension: .exe"]
+
+
 def test_upsert_tells_loose_files_apart(spark):
     schema = "id long, namespace string, user_id long, repo_url string, path string"
     docs = spark.createDataFrame([(1, "n", 1, None, "a.md"), (2, "n", 1, "r", "a.md")], schema)
@@ -589,6 +597,11 @@ def test_kind_backfill(spark):
     assert {r["id"]: r["kind"] for r in transfer.backfill_kind(f).collect()} == {1: "decision", 2: "pattern"}
 
 
+def test_owner_backfill(spark):
+    f = facts(spark, [{"id": 1, "content": "a", "subject": "ann", "user_id": None}, {"id": 2, "content": "b", "subject": "ann", "category": "identity"}])
+    assert {r["id"]: (r["user_id"], r["subject"]) for r in transfer.backfill_owner(f, 5, "ann").collect()} == {1: (5, ""), 2: (1, "ann")}
+
+
 def test_snapshots_change_together(spark, tmp_path):
     s = tables.Snapshots(spark, f"file:{tmp_path}/store")
     assert s.commit(docs=spark.range(2), chunks=spark.range(3)) == 1
