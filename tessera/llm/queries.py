@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, jaccard, langid, pii, ppm, quality, suffix, tokencount
 from .common import documents
+from .sql import OP1_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL
 
 
 def vocabulary_file(name: str) -> bytes:
@@ -21,7 +22,8 @@ def vocabulary_file(name: str) -> bytes:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.judge(docs, quality.references(docs))
+    judged = quality.judge(docs, quality.references(docs))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,26 +87,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP10_SQL = r"""
-WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-sized AS (
-  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\c') AS body,
-    replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\c'), ':', '\o'), chr(10), '\n') AS head FROM rows)
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(head) + length(body) + 15) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_suffix_dedup, op5_language, op6_jaccard, op7_decontaminate, op8_pii, op9_ppm, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL}
+    return {"op1_quality": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_chat": OP10_SQL}

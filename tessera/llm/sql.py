@@ -1,0 +1,93 @@
+"""The training-data queries that SQL can express, for DuckDB."""
+
+#: Base counts, then distances to each language: character classes by regular expressions, words by joins with the 100 most frequent.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, lang, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
+twice AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+base AS (SELECT d.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, length(t) AS chars FROM d JOIN lines USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+cls AS (
+  SELECT doc_id, lang, text, CAST(length(regexp_replace(t, '[^\p{Ll}\p{Lm}\p{Lo}\p{M}]', '', 'g')) AS DOUBLE) AS c0, CAST(length(regexp_replace(t, '[^\p{Lu}\p{Lt}]', '', 'g')) AS DOUBLE) AS c1,
+    CAST(length(regexp_replace(t, '[^\p{N}]', '', 'g')) AS DOUBLE) AS c2, CAST(length(regexp_replace(t, '[^\p{Z}\x09-\x0D]', '', 'g')) AS DOUBLE) AS c3,
+    CAST(length(regexp_replace(t, '[^.,;:!?''"()\-]', '', 'g')) AS DOUBLE) AS c4, CAST(length(regexp_replace(t, '[^#*$%&|<>@+=_~^`\\/{}\[\]]', '', 'g')) AS DOUBLE) AS c5, CAST(length(t) AS DOUBLE) AS total FROM d),
+clh AS (SELECT doc_id, lang, text, unnest([c0, c1, c2, c3, c4, c5, total - c0 - c1 - c2 - c3 - c4 - c5]) AS c, generate_subscripts([0, 0, 0, 0, 0, 0, 0], 1) AS k, total FROM cls),
+clq AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM clh WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang, k),
+xl AS (SELECT *, c / greatest(total, 1) AS p FROM clh),
+cld AS (SELECT doc_id, r.lang, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS a FROM xl JOIN clq r USING (k) GROUP BY doc_id, r.lang),
+dw AS (SELECT doc_id, lang, text, w, count(*) AS n FROM (SELECT doc_id, lang, text, unnest(ws) AS w FROM d) GROUP BY ALL),
+wc AS (SELECT lang, w, sum(n) AS n FROM dw WHERE lang IS NOT NULL GROUP BY ALL),
+wt AS (SELECT lang, sum(n) AS total FROM wc GROUP BY lang),
+top AS (SELECT lang, w, n / total AS q FROM wc JOIN wt USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= 100),
+rest AS (SELECT lang, 1 - sum(q) AS q FROM top GROUP BY lang),
+big AS (SELECT doc_id, n_words FROM base WHERE n_words >= 50),
+pw AS (SELECT b.doc_id, t.lang, t.q, coalesce(x.n, 0) / n_words AS p FROM big b CROSS JOIN top t LEFT JOIN dw x ON x.doc_id = b.doc_id AND x.w = t.w),
+pr AS (SELECT doc_id, lang, 1 - sum(p) AS p FROM pw GROUP BY ALL),
+pa AS (SELECT doc_id, lang, p, q FROM pw UNION ALL SELECT doc_id, lang, p, q FROM pr JOIN rest USING (lang)),
+wd AS (SELECT doc_id, lang, sqrt(greatest(0, sum((CASE WHEN p > 1e-12 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 1e-12 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS b FROM pa GROUP BY ALL),
+near AS (
+  SELECT doc_id, lang, CASE WHEN chars >= 200 THEN a END AS a, b, greatest(CASE WHEN chars >= 200 THEN a ELSE 0 END / (0.20 + 1.0 / sqrt(chars)), coalesce(b, 0) / (0.30 + 2.0 / sqrt(greatest(n_words, 1)))) AS over
+  FROM cld JOIN base USING (doc_id) LEFT JOIN wd USING (doc_id, lang) WHERE chars > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY over, lang) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(over <= 1, true) AS kept, lang AS nearest, round(a, 6) AS class_distance, round(b, 6) AS word_distance
+FROM base LEFT JOIN near USING (doc_id)
+"""
+
+#: Every 100-byte window by its hash; removed runs, and the rest concatenated as hex.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(n - 99)) AS s FROM d WHERE n >= 100),
+win AS (SELECT p.doc_id, s, md5(b[s + 1:s + 100]) AS h FROM p JOIN d USING (doc_id)),
+rep AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+edge AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM rep),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM edge) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM span UNION ALL SELECT d.doc_id, coalesce(max(z), 0), any_value(n) FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[lo + 1:hi]), '' ORDER BY lo) AS x FROM gaps JOIN d USING (doc_id) WHERE hi > lo GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce((SELECT sum(z - a) FROM span s WHERE s.doc_id = d.doc_id), 0) AS BIGINT) AS n_removed, (SELECT count(*) FROM span s WHERE s.doc_id = d.doc_id) AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: All pairs that share a shingle, links among them, components by recursion.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+least_of AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+#: All alignments of equal tokens, and the best window of each document and item.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, ts, len(ts) AS dn FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT item_id, ts, len(ts) AS m, least(20, len(ts)) AS w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM benchmark WHERE text IS NOT NULL) WHERE len(ts) >= 6),
+dt AS (SELECT doc_id, dn, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS p FROM d),
+it AS (SELECT item_id, m, w, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS q FROM i),
+hits AS (SELECT doc_id, item_id, p - q AS diag, q, dn, m, w FROM dt JOIN it USING (t)),
+diags AS (SELECT doc_id, item_id, diag, any_value(dn) AS dn, any_value(m) AS m, any_value(w) AS w, list(q) AS qs FROM hits GROUP BY ALL HAVING count(*) >= 0.8 * any_value(w)),
+wins AS (SELECT doc_id, item_id, diag, w, qs, unnest(range(greatest(0, -diag), least(m, dn - diag) - w + 1)) AS a FROM diags),
+sums AS (SELECT doc_id, item_id, a + diag AS doc_start, a AS item_start, w, len(list_filter(qs, lambda q: q >= a AND q < a + w)) AS k FROM wins),
+best AS (SELECT * FROM sums WHERE k >= 0.8 * w QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, doc_start, item_start) = 1)
+SELECT doc_id, item_id, CAST(doc_start AS BIGINT) AS doc_start, CAST(item_start AS BIGINT) AS item_start, CAST(w AS BIGINT) AS n_window, CAST(k AS BIGINT) AS n_equal FROM best
+"""
+
+#: Turns as they should be read back, and the size of their escaped form.
+OP10_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\c') AS body,
+    replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\c'), ':', '\o'), chr(10), '\n') AS head FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(head) + length(body) + 15) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

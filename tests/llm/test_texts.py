@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, decontaminate, langid, pii, quality, tokencount
-from tessera.llm.queries import OP10_SQL, op5_language, op10_chat, vocabulary_file
+from tessera.llm.queries import op5_language, oracle_sql, queries, vocabulary_file
 
 from . import brute
 
@@ -221,14 +221,18 @@ def test_chat_long_conversation(spark):
     assert [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]] == [f"text {i}" for i in range(1, 3000, 2)]
 
 
-def test_chat_query_as_sql(spark):
+@pytest.mark.parametrize("name", list(oracle_sql()))
+def test_query_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
-    got = op10_chat(spark, SF)
-    want = con.execute(OP10_SQL).fetchall()
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries()[name](spark, SF)
+    assert got.columns == columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) != []
 
 
 @pytest.mark.parametrize(
