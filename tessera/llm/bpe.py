@@ -1,7 +1,7 @@
 """BPE encoding and decoding (operator 2).
 
 Words of a text (runs without white space) never share a token, so a text is cut into words,
-each distinct word is normalised, cut into pre-tokens and merged once per worker, and the
+each distinct word is normalised, cut into pre-tokens and merged once per task, and the
 ids of a text are the concatenation of its words' ids. Merging keeps a priority queue of
 merge ranks over a doubly linked symbol list; entries whose symbols have changed since they
 were queued are stale and skipped, so a pre-token of n bytes costs O(n log n).
@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
+from copy import copy
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import map_texts, two_columns
 
 #: White space of the Unicode standard, as the vocabulary file's pattern counts it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Distinct words whose ids a worker remembers; beyond, it forgets all and starts anew.
+#: Distinct words whose ids a task remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 600_000
 
 _loaded: dict[str, BytePairs] = {}
@@ -55,7 +57,10 @@ class BytePairs:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        known = self.vocab | self.special
+        self.text_of = [""] * (max(known.values()) + 1)
+        for t, i in known.items():
+            self.text_of[i] = t
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -66,7 +71,7 @@ class BytePairs:
         self.between = regex.compile(f"[{SPACE}]+")
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Symbols after all merges, lowest rank first, leftmost first within a rank.
@@ -110,34 +115,36 @@ class BytePairs:
             ids += self.merge([s for s in symbols if s >= 0])
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.text_of[i] for i in ids if i in self.text_of)
+    def decode(self, ids: bytes) -> str:
+        text = self.text_of
+        return " ".join([text[i] for i in array("I", ids)])
 
-    def remembered(self, word: str) -> tuple[bytes, str]:
+    def remembered(self, word: str) -> bytes:
         if (found := self.known.get(word)) is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            ids = self.encode_word(word)
-            found = pack(ids), self.decode(ids)
+            found = pack(self.encode_word(word))
             if len(word) < 200:
                 self.known[word] = found
         return found
 
-    def plain(self, text: str) -> list[tuple[bytes, str]]:
-        """Ids and decoded text of each word of a text without special tokens."""
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         found = text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.between.split(text)
         known = self.known
-        return [known.get(w) or self.remembered(w) for w in found if w]
+        return b"".join([known.get(w) or self.remembered(w) for w in found if w])
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        parts: list[tuple[bytes, str]] = []
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if self.specials and any(s in text for s in self.special):
-            for k, part in enumerate(self.specials.split(text)):
-                parts += [(pack([self.special[part]]), part)] if k % 2 else self.plain(part)
-        else:
-            parts = self.plain(text)
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
+            return b"".join([pack([self.special[p]]) if k % 2 else self.plain(p) for k, p in enumerate(self.specials.split(text))])
+        return self.plain(text)
+
+    def for_a_task(self) -> BytePairs:
+        """The same vocabulary with a memory of its own, which goes with it."""
+        own = copy(self)
+        own.known = {}
+        return own
 
 
 def pack(ids: list[int]) -> bytes:
@@ -164,10 +171,10 @@ def encode_documents(df: DataFrame, content: bytes, id_col: str = "doc_id", text
     fields += [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] * digest
 
     def make():
-        vocab = vocabulary(shared.value)
+        vocab = vocabulary(shared.value).for_a_task()
 
         def run(keys, texts):
-            done = [vocab.encode(t or "") for t in texts]
+            done = [(p, vocab.decode(p)) for t in texts for p in (vocab.encode(t or ""),)]
             out = {"doc_id": keys, "n_tokens": [len(p) // 4 for p, _ in done]}
             if ids:
                 out |= {"token_ids": [p for p, _ in done], "decoded": [d for _, d in done]}

@@ -51,13 +51,16 @@ def slices(batches: Iterator[pa.RecordBatch], names: list[str], text: str = "tex
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: pa.Schema) -> DataFrame:
     """Runs make()'s function over (ids, texts) of each slice; it returns columns of the schema.
 
-    make runs once in each task: it loads what the function needs.
+    make runs once in each task: it loads what the function needs. What it remembers ends with the task, as workers live on
+    and serve other operators.
     """
 
     def run(batches):
         function = make()
         for ids, texts in slices(batches, ["doc_id", "text"]):
             yield pa.RecordBatch.from_pydict(function(ids, texts), schema=schema)
+        del function
+        give_back()
 
     return df.mapInArrow(run, ddl(schema))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, slices, two_columns
+from .common import ddl, give_back, slices, two_columns
 
 #: Fixed masks: 1 is compared, 0 ignored. The first find every window of WINDOW tokens that agrees in AGREE of its places,
 #: wherever the others are; the second do the same for shorter items.
@@ -160,6 +160,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
                     yield part.filter(pa.array([not x for x in seeds.leaks(part.column(column).to_pylist())], pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

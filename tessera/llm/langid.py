@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 
 MAX_LANGUAGES = 1000
 #: Longest part of a word that is scored as one, and longest piece.
@@ -182,6 +182,8 @@ def train(df: DataFrame, model: bytes, lang_col: str = "lang", text_col: str = "
             for lang, use in uses.items():
                 ids = np.flatnonzero(use)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * max(1, len(ids)), "piece": ids if len(ids) else [0], "used": use[ids] if len(ids) else [0.0]}, schema=pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("used", pa.float64())]))
+            del counted, uses
+            give_back()
 
         sums = rows.mapInArrow(run, "lang string, piece int, used double").groupBy("lang", "piece").agg(F.sum("used").alias("used"))
         got = sums.limit(MAX_LANGUAGES * pieces.n + 1).toArrow()
@@ -256,6 +258,8 @@ def identify(df: DataFrame, model: bytes, trained: tuple[list[str], np.ndarray],
                 columns = part.columns if keep else part.columns[:1]
                 names = part.schema.names if keep else part.schema.names[:1]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+        del scorer
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from copy import copy
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,7 +85,8 @@ def count_tokens(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def make():
-        pieces = piece_counts(shared.value)
+        pieces = copy(piece_counts(shared.value))
+        pieces.counts = {}  # a memory of its own, which goes with the task
 
         def run(keys, texts):
             n = [pieces.total(t or "") for t in texts]
