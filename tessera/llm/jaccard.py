@@ -8,16 +8,17 @@ Documents with one set are one node, named by its smallest doc_id.
 - Heavy: larger sets, by inverted lists. In one global order of shingles, rare ones first (by a fixed-size sketch of counts over all
   documents), linked sets share one of their first n - ceil(0.9 n) + 1. Lists of these are scanned. Sets just under x have their lists too,
   for links across the boundary.
-- The boundary x is where the summed cost is least: subsets of a size against list entries times the mean list length, over the sizes counted.
+  A pair counts only where the places of the shared shingle leave room for the overlap that their sizes call for.
+- The boundary x is where the summed cost is least: subsets of a size against list entries and their comparisons, over the sizes counted.
 
-Lists of near-duplicates overlap and would give the square of a group's size in pairs. So each node first goes to one list only, the
-longest it has, in blocks of BLOCK, where all pairs are compared by scanning the block's own inverted index; the links found are
-contracted. After that a list matters only where it joins two components. Its pairs, now between different components, must first pass an
+Lists of near-duplicates overlap and would give the square of a group's size in pairs. So nodes many of whose lists are long first go to
+their SEVERAL longest only, in blocks of BLOCK, where all pairs are compared by scanning the block's own inverted index; the links found
+are contracted. After that a list matters only where it joins two components. Its pairs, now between different components, must first pass an
 exact bound (overlap is at most the sum of smaller counts over hash bins), and what passes is compared in full. No link between components
-is lost, and none within one is enumerated.
+is lost, and none within one is enumerated. Texts are only fetched for nodes of long lists and for pairs that pass the bound.
 
 Cases: null texts and texts without words have empty sets, link to nothing and are their own component; a null id links to nothing and has a null
-component; rows that repeat an id link by their own text each; equal rows give equal rows; an empty table gives an empty table; other columns are ignored.
+component; rows that repeat an id are one document, linked by any of its texts; equal rows give equal rows; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ddl, map_texts, slices, two_columns
+from .common import ddl, give_back, slices, stored, two_columns
 from .components import components
 
 SHINGLE, LEVEL = 3, 90
 SKETCH_BITS = 18
 #: Largest set that may be light, whatever the costs.
 LIGHT_LIMIT = 29
+#: What comparing two entries of a list costs, in entries moved.
+COMPARISON = 0.01
 BLOCK = 512
+#: A list is long from LONG sets on; a node with SEVERAL long lists, and a quarter of its lists long, is first compared in blocks of its longest
+#: SEVERAL. (Near-duplicates in large groups have such lists; the quarter keeps out those who only share common phrases, who get more as a corpus grows.)
+LONG, SEVERAL = 16, 3
+#: Shingles of a set that are remembered before each, so that a pair isn't made at all that it shares.
+BEFORE = 12
+#: Rows (of three numbers at most; an eighth as many with bins) of a side that is broadcast: about 24 MB.
+BROADCAST_ROWS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -140,8 +150,8 @@ def subset_keys(hashes: np.ndarray) -> list[tuple[int, int]]:
 
 
 def bins(hashes: np.ndarray) -> np.ndarray:
-    """How many elements fall in each of about n / 2 bins by their low bits, 255 for more."""
-    size = 1 << max(4, min(14, len(hashes).bit_length() - 1))
+    """How many elements fall in each of about n / 3 bins by their low bits, 255 for more."""
+    size = 1 << max(4, min(14, len(hashes).bit_length() - 2))
     return np.minimum(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
 
 
@@ -168,6 +178,7 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
             sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
             sizes += np.bincount([min(len(s), LIGHT_LIMIT + 1) for s in sets], minlength=LIGHT_LIMIT + 2)[: LIGHT_LIMIT + 1]
         at = np.flatnonzero(sketch)
+        give_back()
         yield pa.RecordBatch.from_pydict({"slot": np.r_[at, -1 - np.arange(len(sizes))], "n": np.r_[sketch[at], sizes]}, schema=schema)
 
     got = docs.select("text").mapInArrow(run, ddl(schema)).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -178,11 +189,12 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
 
 
 def boundary(sketch: np.ndarray, sizes: dict[int, int]) -> int:
-    """The largest light size, where the cost of all sets is least."""
+    """The largest light size, where the cost of all sets is least, in entries that are moved: a subset is one, a shingle's place in a list is one
+    and its comparisons with the list's others, of about the mean length of the sketch's counts."""
     length = float(sketch.mean())
 
     def cost(x: int) -> float:
-        return sum(k * (n_subsets(n) if n <= x else (n - least_overlap(n) + 1) * (1 + length)) for n, k in sizes.items() if n)
+        return sum(k * (n_subsets(n) if n <= x else (n - least_overlap(n) + 1) * (1 + COMPARISON * length)) for n, k in sizes.items() if n)
 
     return min(range(LIGHT_LIMIT + 1), key=lambda x: (cost(x), x))
 
@@ -209,10 +221,17 @@ def signatures(docs: DataFrame, sketch: np.ndarray, light: int) -> DataFrame:
                 for f, x in zip(SIGNED, row, strict=True):
                     out[f.name].append(x)
             yield pa.RecordBatch.from_pydict(out, schema=SIGNED)
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n long, set_id binary, tokens array<long>, subsets array<long>, sizes array<int>, bins binary")
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """ids as a table, to be broadcast if it has BROADCAST_ROWS rows at most: else the join with the documents shuffles them."""
+    ids = stored(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -255,58 +274,48 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = two_columns(df, id_col, text_col)
     sketch, sizes = statistics(docs)
     light = boundary(sketch, sizes)
-    signed = cut(signatures(docs, sketch, light))
+    signed = stored(signatures(docs, sketch, light))
     some = signed.where("n > 0 and doc_id is not null")
     nodes = some.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n", "tokens", "subsets", "sizes", "bins"), "doc_id").alias("x")).select("set_id", "x.*").withColumnRenamed("doc_id", "node")
-    nodes = cut(nodes)
+    nodes = stored(nodes)
 
     # Light: sharers of a subset, tied to the smallest of them.
     entries = nodes.where(F.size("subsets") > 0).select("node", "n", F.explode(F.arrays_zip("subsets", "sizes")).alias("e")).select("node", "n", F.col("e.subsets").alias("key"), F.col("e.sizes").alias("size"))
     hubs = entries.groupBy("key", "size").agg(F.min(F.struct("n", "node")).alias("hub"), F.count("*").alias("k")).where("k > 1")
     light_links = entries.join(hubs, ["key", "size"]).where(f"node <> hub.node and 100 * size >= {LEVEL} * (n + hub.n - size)").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
 
-    # Heavy: entries of lists with more than one set.
-    entries = nodes.where(F.size("tokens") > 0).select("node", "n", F.explode("tokens").alias("token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    entries = cut(entries.join(lists, "token"))
-    first = entries.groupBy("node").agg(F.max(F.struct("length", "token")).alias("list")).select("node", "list.token", "list.length")
-    first = first.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / BLOCK)))
-    texts = cut(docs.join(first.withColumnRenamed("node", "doc_id"), "doc_id"))
+    # Heavy: of each set, its shingles that have a list of several sets, in the set's order, with their places and the lists' lengths.
+    entries = nodes.where(F.size("tokens") > 0).select(F.xxhash64("set_id").alias("sid"), "node", "n", F.posexplode("tokens").alias("place", "token"))
+    lists = entries.groupBy("token").agg(F.count("*").cast("int").alias("length")).where("length > 1")
+    entries = entries.join(lists, "token").groupBy("sid", "node", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token", "length"))).alias("lists"))
+    entries = stored(entries.select("sid", "node", F.col("n").cast("int").alias("n"), "lists"))
+
+    # Sets of several long lists, each in a block of its longest few.
+    ranked = F.reverse(F.array_sort(F.transform("lists", lambda x: F.struct(x["length"].alias("length"), x["token"].alias("token")))))
+    n_long, n_first = F.size(F.filter("lists", lambda x: x["length"] >= LONG)), F.floor((100 - LEVEL) * F.col("n") / 100) + 1
+    long = entries.where((n_long >= SEVERAL) & (4 * n_long >= n_first)).select(F.col("node").alias("doc_id"), F.explode(F.slice(ranked, 1, SEVERAL)).alias("list")).distinct()
+    first = small(long.select("doc_id", "list.token", F.pmod(F.xxhash64("doc_id", "list.token"), F.ceil(F.col("list.length") / BLOCK)).alias("block")))
 
     def in_block(table: pa.Table) -> pa.Table:
-        rows = dict(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True))
-        return link_table(cluster(list(rows), list(rows.values())) if len(rows) > 1 else [])
+        return link_table(cluster(table["doc_id"].to_pylist(), table["text"].to_pylist()) if table.num_rows > 1 else [])
 
-    block_links = texts.groupBy("token", "block").applyInArrow(in_block, ddl(LINK))
-    links = cut(light_links.union(block_links))
+    block_links = docs.join(first, "doc_id").groupBy("token", "block").applyInArrow(in_block, ddl(LINK))
+    links = stored(light_links.union(block_links))
 
-    # What lists still join: pairs of different components.
-    label = components(links)
+    # What lists still join: pairs of different components. Long lists meet block by block: an entry goes to each pair of blocks that has its own.
+    # A pair counts at the first shingle that both have; it is made again only after BEFORE shingles that they don't share.
+    label = small(components(links))
     entries = entries.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    entries = cut(entries.select("token", "node", "n", "length", "component"))
-    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    entries = entries.join(mixed.select("token"), "token")
-    # Long lists meet block by block: an entry goes to each pair of blocks that has its own.
-    k = F.ceil(F.col("length") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "token"), k).cast("int")
-    entries = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-    entries = entries.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-
-    def pairs(table: pa.Table) -> pa.Table:
-        node, n, comp, own, other = (table[c].to_numpy() for c in ("node", "n", "component", "own", "other"))
-        order = np.argsort(n, kind="stable")
-        node, n, comp, own = node[order], n[order], comp[order], own[order]
-        cross = int(table["x"][0].as_py()) != int(table["y"][0].as_py())
-        out = []
-        for i in range(len(node)):
-            j = slice(i + 1, int(np.searchsorted(n, n[i] * 100 // LEVEL, "right")))
-            good = comp[j] != comp[i]
-            if cross:
-                good &= own[j] != own[i]
-            out += [(min(node[i], b), max(node[i], b)) for b in node[j][good].tolist()]
-        return link_table([(int(a), int(b)) for a, b in out])
-
-    pairs_ = entries.groupBy("token", "x", "y").applyInArrow(pairs, ddl(LINK)).distinct()
+    entries = entries.withColumn("order", F.transform("lists", lambda x: x["token"])).select("node", "n", "component", "order", F.posexplode("lists").alias("k", "list"))
+    entries = entries.select("node", "n", "component", "list.*", F.slice("order", F.greatest(F.col("k") - BEFORE, F.lit(0)) + 1, F.least("k", F.lit(BEFORE))).alias("before"))
+    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    entries = entries.withColumn("own", F.pmod(F.xxhash64("node", "token"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    entries = stored(entries.select("token", "node", "n", "place", "component", "before", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
+    e, f = entries.alias("e"), entries.alias("f")
+    meet = F.expr("e.token = f.token and e.x = f.x and e.y = f.y and e.node < f.node and e.component <> f.component and (e.x = e.y or e.own <> f.own)")
+    fits = F.expr(f"{LEVEL} * greatest(e.n, f.n) <= 100 * least(e.n, f.n) and {100 + LEVEL} * least(e.n - e.place, f.n - f.place) >= {LEVEL} * (e.n + f.n)")
+    pairs = e.join(f, meet & fits & F.expr("not arrays_overlap(e.before, f.before)")).select(F.col("e.node").alias("a"), F.col("f.node").alias("b")).distinct()
+    pairs = small(pairs)
     shape = nodes.select("node", "n", "bins")
 
     def bounded(batches):
@@ -314,9 +323,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             good = [may_link(*r) for r in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "m", "bins", "bins_b")), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    pairs_ = pairs_.join(shape.toDF("a", "n", "bins"), "a").join(shape.toDF("b", "m", "bins_b"), "b")
-    pairs_ = cut(pairs_.mapInArrow(bounded, ddl(LINK)))
-    text = texts.select("doc_id", "text")
+    shaped = stored(shape.toDF("a", "n", "bins").join(pairs, "a"))
+    pairs = shape.toDF("b", "m", "bins_b").join(F.broadcast(shaped) if shaped.count() <= BROADCAST_ROWS // 8 else shaped, "b")
+    pairs = stored(pairs.mapInArrow(bounded, ddl(LINK)))
+    wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    text = stored(docs.join(wanted, "doc_id").select("doc_id", "text"))
 
     def compared(batches):
         for a, b, x, y in slices(batches, ["a", "b", "text", "text_b"]):
@@ -324,8 +335,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             good = [(i, j) for i, j, p, q in zip(a, b, s, t, strict=True) if linked(len(p), len(q), len(np.intersect1d(p, q, True)))]
             yield pa.RecordBatch.from_pydict({"a": [i for i, _ in good], "b": [j for _, j in good]}, schema=LINK)
 
-    more = pairs_.join(text.toDF("a", "text"), "a").join(text.toDF("b", "text_b"), "b").mapInArrow(compared, ddl(LINK))
-    label = components(links.union(more))
+    more = pairs.join(text.toDF("a", "text"), "a").join(text.toDF("b", "text_b"), "b").mapInArrow(compared, ddl(LINK))
+    label = small(components(links.union(more)))
     named = nodes.select("set_id", "node").join(label, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     rows = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     return rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -99,7 +99,8 @@ def test_near_duplicates(spark, monkeypatch, light):
     assert got == brute.near_duplicates(rows)
 
 
-def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("big", [False, True])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, big):
     """Groups beyond a block, whose members link only through some of them."""
     random.seed(8)
     base, rows = [word(10_000) for _ in range(60)], []
@@ -109,6 +110,7 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
             b[-1 - k] = word(10_000)
         rows.append((i, " ".join(b)))
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LONG", 100 if big else 4)
     got = {r["doc_id"]: tuple(r) for r in jaccard.near_duplicates(frame(spark, rows)).collect()}
     assert got == brute.near_duplicates(rows)
 
@@ -118,12 +120,16 @@ def test_near_duplicates_odd(spark):
     got = sorted(map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect()), key=str)
     assert got == sorted([(None, 2, None), (1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 2, 1), (5, 1, 5)], key=str)
     assert jaccard.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+    a, b = ("%s " * 40 % tuple(f"{c}{i}" for i in range(40)) for c in "ab")
+    twice = [(5, a), (5, b), (7, a), (9, b + "x"), (8, "c d e f")]
+    got = sorted(map(tuple, jaccard.near_duplicates(frame(spark, twice)).select("doc_id", "component_id").collect()))
+    assert got == [(5, 5), (5, 5), (7, 5), (8, 8), (9, 5)]
 
 
 def test_boundary_follows_costs():
     import numpy as np
 
-    assert jaccard.boundary(np.zeros(8), {5: 10, 15: 10, 25: 10}) < 15 <= jaccard.boundary(np.full(8, 20.0), {5: 10, 15: 10}) <= 29
+    assert jaccard.boundary(np.zeros(8), {5: 10, 15: 10, 25: 10}) < 15 <= jaccard.boundary(np.full(8, 2000.0), {5: 10, 15: 10}) <= 29
 
 
 def test_components(spark):
