@@ -16,8 +16,6 @@ from tessera.functions.vector import cosine, norm
 
 K1, B = 1.2, 0.75
 TINY_IDF = 1e-6
-#: Longest phrase (terms of one query word) that is matched term by term.
-MAX_PHRASE = 8
 
 
 @dataclass(frozen=True)
@@ -44,11 +42,14 @@ class SearchOptions:
         return max(self.rerank_candidates if self.rerank_mode != "off" else 0, 2 * self.max_results)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("content", "subject", "category"), population: DataFrame | None = None, fetch: int | None = None, max_phrase: int = MAX_PHRASE) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("content", "subject", "category"), population: DataFrame | None = None, fetch: int | None = None, max_phrase: int | None = None) -> DataFrame:
     """query_id, id, score of docs (id and text columns) that match all phrases of a query (query_id, text).
 
-    Statistics (documents, mean length, documents with a phrase) are of population, docs itself by default.
+    Statistics (documents, mean length, documents with a phrase) are of population, docs itself by default. max_phrase: terms of the longest query word, found by a pass
+    over the queries if not given.
     """
+    if max_phrase is None:
+        max_phrase = queries.agg(F.max(F.array_max(F.transform(query_phrases(F.col("text")), F.size))).alias("n")).first()["n"] or 1
     stats_of = docs if population is None else population
     text = F.concat_ws(" ", *columns)
 
@@ -59,8 +60,10 @@ def bm25(docs: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("conte
     phrases = phrases.withColumn("term", F.col("want")[0])
 
     def hits(df: DataFrame) -> DataFrame:
-        t = tokens(df).select("id", "len", "terms", F.posexplode("terms").alias("pos", "term"))
-        t = t.select("id", "len", "term", F.slice("terms", F.col("pos") + 1, max_phrase).alias("run"))
+        # Each token with the few that follow it: exploding beside the whole list would copy the list for every token.
+        runs = F.col("terms") if max_phrase == 1 else F.transform("terms", lambda _, i: F.slice("terms", i + 1, max_phrase))
+        t = tokens(df).select("id", "len", F.explode(runs).alias("run"))
+        t = t.select("id", "len", F.col("run").alias("term"), F.array("run").alias("run")) if max_phrase == 1 else t.withColumn("term", F.col("run")[0])
         # First terms of queries are few; the optimizer may broadcast them by their measured size.
         found = t.join(phrases, "term").where(F.slice("run", 1, F.size("want")) == F.col("want"))
         return found.groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
