@@ -20,7 +20,10 @@ def session(name: str = "tessera", master: str | None = None, **conf: str) -> Sp
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the Python workers, once a context: they needn't have it installed, nor run where it lies."""
+    """Sends this package to the Python workers, once a context: they needn't have it installed, nor run where it lies.
+
+    The archive is built in the driver's own temporary folder; Spark serves it from there to the executors, which never read that folder.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_tessera_shipped", False):
         return spark
