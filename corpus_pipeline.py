@@ -18,6 +18,8 @@ from tessera.llm.queries import vocabulary_file
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A prediction under this share of the posterior is no identification.
 LEAST_SCORE = 0.5
+#: Words of a shingle and least similarity, in hundredths, of near-duplicates: those of operator 6, as the tests of the pipeline say.
+SHINGLE, LEVEL = 3, 90
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each component of near-duplicates."""
     docs = docs.select(*COLUMNS)
-    stay = jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    stay = jaccard.near_duplicates(docs, shingle=SHINGLE, level=LEVEL).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*COLUMNS).union(docs.where("doc_id is null"))
 

@@ -1,12 +1,13 @@
 """N-gram Jaccard join (operator 6): a size-aware heavy-light similarity join, for components of near-duplicates.
 
-A document's set is its distinct SHINGLE-word shingles, as 64-bit hashes. Sets link when intersection / union >= LEVEL / 100.
+A document's set is its distinct shingles of so many words, as 64-bit hashes. Sets link when intersection / union >= level / 100.
+Both numbers are parameters of near_duplicates; operator 6's contract fixes SHINGLE and LEVEL.
 Documents with one set are one node, named by its smallest doc_id.
 
 - Light: sets of up to x elements. Two of them link just when they share a subset of as many elements as their sizes call for, so each
   enumerates its subsets of those sizes; sharers of a subset are tied to the smallest set among them, without a comparison.
 - Heavy: larger sets, by inverted lists. In one global order of shingles, rare ones first (by a fixed-size sketch of counts over all
-  documents), linked sets share one of their first n - ceil(0.9 n) + 1. Lists of these are scanned. Sets just under x have their lists too,
+  documents), linked sets share one of their first n - ceil(level n / 100) + 1. Lists of these are scanned. Sets just under x have their lists too,
   for links across the boundary.
   A pair counts only where the places of the shared shingle leave room for the overlap that their sizes call for.
 - The boundary x is where the summed cost is least: subsets of a size against list entries and their comparisons, over the sizes counted.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import ddl, give_back, slices, stored, two_columns
 from .components import components
 
+#: Words of a shingle and least similarity, in hundredths, of operator 6.
 SHINGLE, LEVEL = 3, 90
 SKETCH_BITS = 18
 #: Largest set that may be light, whatever the costs.
@@ -87,7 +89,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((sums[end] - sums[start]) * down[start])
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
     for some in chunks(texts):
@@ -95,14 +97,14 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         start, words = word_hashes(np.frombuffer(b"".join(raw), np.uint8))
         ends = np.searchsorted(start, np.cumsum([len(r) for r in raw]))
         n = len(words)
-        three = np.zeros(n, np.uint64)
-        if n >= SHINGLE:
-            for k in range(SHINGLE):
-                three[: n - SHINGLE + 1] = mix(three[: n - SHINGLE + 1] * np.uint64(BASE) + words[k : n - SHINGLE + 1 + k])
+        runs = np.zeros(n, np.uint64)
+        if n >= shingle:
+            for k in range(shingle):
+                runs[: n - shingle + 1] = mix(runs[: n - shingle + 1] * np.uint64(BASE) + words[k : n - shingle + 1 + k])
         low = 0
         for high in ends.tolist():
-            if high - low >= SHINGLE:
-                out.append(np.unique(three[low : high - SHINGLE + 1]))
+            if high - low >= shingle:
+                out.append(np.unique(runs[low : high - shingle + 1]))
             elif high > low:  # the whole, shorter sequence; its length keeps it apart from shingles
                 h = np.full(1, high - low, np.uint64)
                 for k in range(low, high):
@@ -126,25 +128,25 @@ def chunks(texts: list[str | None], size: int = 1 << 20):
         yield some
 
 
-def least_overlap(n: int) -> int:
+def least_overlap(n: int, level: int) -> int:
     """Elements that a set of n must share with any set it links with."""
-    return -(-LEVEL * n // 100)
+    return -(-level * n // 100)
 
 
-def linked(n: np.ndarray | int, m: np.ndarray | int, shared: np.ndarray | int):
-    return 100 * shared >= LEVEL * (n + m - shared)
+def linked(n: np.ndarray | int, m: np.ndarray | int, shared: np.ndarray | int, level: int):
+    return 100 * shared >= level * (n + m - shared)
 
 
-def n_subsets(n: int) -> int:
-    return sum(comb(n, c) for c in range(least_overlap(n), n + 1))
+def n_subsets(n: int, level: int) -> int:
+    return sum(comb(n, c) for c in range(least_overlap(n, level), n + 1))
 
 
-def subset_keys(hashes: np.ndarray) -> list[tuple[int, int]]:
+def subset_keys(hashes: np.ndarray, level: int) -> list[tuple[int, int]]:
     """(size, hash) of each subset that could be what the set shares with a linked one."""
     n, whole = len(hashes), int(hashes.sum(dtype=np.uint64))
     values = hashes.tolist()
     out = []
-    for c in range(least_overlap(n), n + 1):
+    for c in range(least_overlap(n, level), n + 1):
         out += [(c, (whole - sum(gone)) & 0xFFFFFFFFFFFFFFFF) for gone in combinations(values, n - c)]
     return out
 
@@ -155,7 +157,7 @@ def bins(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
 
 
-def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
+def may_link(n: int, m: int, a: bytes, b: bytes, level: int) -> bool:
     """False only if two sets can't link: the overlap is at most the sum over bins of the smaller count."""
     x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
     if max(x.max(), y.max()) >= 255:
@@ -164,17 +166,17 @@ def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
         x = x[: len(x) // 2] + x[len(x) // 2 :]
     while len(y) > len(x):
         y = y[: len(y) // 2] + y[len(y) // 2 :]
-    return bool(linked(n, m, int(np.minimum(x, y).sum())))
+    return bool(linked(n, m, int(np.minimum(x, y).sum()), level))
 
 
-def statistics(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
+def statistics(docs: DataFrame, shingle: int) -> tuple[np.ndarray, dict[int, int]]:
     """Sketch of shingle counts over all documents (2 ** SKETCH_BITS numbers), and how many documents have each size up to LIGHT_LIMIT."""
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
         sketch, sizes = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(LIGHT_LIMIT + 1, np.int64)
         for (texts,) in slices(batches, ["text"]):
-            sets = shingle_sets(texts)
+            sets = shingle_sets(texts, shingle)
             sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
             sizes += np.bincount([min(len(s), LIGHT_LIMIT + 1) for s in sets], minlength=LIGHT_LIMIT + 2)[: LIGHT_LIMIT + 1]
         at = np.flatnonzero(sketch)
@@ -188,13 +190,13 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
     return sketch, {-1 - s: k for s, k in zip(slot[slot < 0].tolist(), n[slot < 0].tolist(), strict=True)}
 
 
-def boundary(sketch: np.ndarray, sizes: dict[int, int]) -> int:
+def boundary(sketch: np.ndarray, sizes: dict[int, int], level: int = LEVEL) -> int:
     """The largest light size, where the cost of all sets is least, in entries that are moved: a subset is one, a shingle's place in a list is one
     and its comparisons with the list's others, of about the mean length of the sketch's counts."""
     length = float(sketch.mean())
 
     def cost(x: int) -> float:
-        return sum(k * (n_subsets(n) if n <= x else (n - least_overlap(n) + 1) * (1 + COMPARISON * length)) for n, k in sizes.items() if n)
+        return sum(k * (n_subsets(n, level) if n <= x else (n - least_overlap(n, level) + 1) * (1 + COMPARISON * length)) for n, k in sizes.items() if n)
 
     return min(range(LIGHT_LIMIT + 1), key=lambda x: (cost(x), x))
 
@@ -202,19 +204,19 @@ def boundary(sketch: np.ndarray, sizes: dict[int, int]) -> int:
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("tokens", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("bins", pa.binary())])
 
 
-def signatures(docs: DataFrame, sketch: np.ndarray, light: int) -> DataFrame:
+def signatures(docs: DataFrame, sketch: np.ndarray, light: int, shingle: int, level: int) -> DataFrame:
     """doc_id, n, set_id, first tokens of the global order (heavy and boundary sets), subsets and their sizes (light sets), bins."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    crossing = least_overlap(light + 1)
+    crossing = least_overlap(light + 1, level)
 
     def run(batches):
         counts = shared.value
         for ids, texts in slices(batches, ["doc_id", "text"]):
             out: dict[str, list] = {f.name: [] for f in SIGNED}
-            for i, s in zip(ids, shingle_sets(texts), strict=True):
+            for i, s in zip(ids, shingle_sets(texts, shingle), strict=True):
                 n = len(s)
-                keys = subset_keys(s) if 0 < n <= light else []
-                first = n - least_overlap(n) + 1 if n > light or n >= crossing else 0
+                keys = subset_keys(s, level) if 0 < n <= light else []
+                first = n - least_overlap(n, level) + 1 if n > light or n >= crossing else 0
                 if first:
                     order = np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 row = (i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[order[:first]].view(np.int64) if first else [], np.array([k for _, k in keys], np.uint64).view(np.int64), [c for c, _ in keys], bins(s).tobytes())
@@ -235,9 +237,9 @@ def small(ids: DataFrame) -> DataFrame:
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def cluster(ids: list[int], texts: list[str]) -> list[tuple[int, int]]:
+def cluster(ids: list[int], texts: list[str], shingle: int, level: int) -> list[tuple[int, int]]:
     """Links that connect all of a block's linked sets (a forest), by scanning the block's inverted lists set by set."""
-    sets = shingle_sets(texts)
+    sets = shingle_sets(texts, shingle)
     sizes = np.array([len(s) for s in sets])
     values, number, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -257,7 +259,7 @@ def cluster(ids: list[int], texts: list[str]) -> list[tuple[int, int]]:
         lengths = df[own]
         which = np.repeat(bounds[own] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
         shared = np.bincount(postings[which], minlength=len(ids))[:i]
-        for j in np.flatnonzero(linked(sizes[i], sizes[:i], shared) & (shared > 0)).tolist():
+        for j in np.flatnonzero(linked(sizes[i], sizes[:i], shared, level) & (shared > 0)).tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -269,12 +271,14 @@ def link_table(links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}, schema=LINK)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, level: int = LEVEL) -> DataFrame:
+    """doc_id, n_shingles, component_id. shingle: words of a shingle; level: least similarity of a link, in hundredths."""
+    if shingle < 1 or not 1 <= level <= 100:
+        raise ValueError(f"shingle {shingle} must be 1 at least, and level {level} 1 to 100")
     docs = two_columns(df, id_col, text_col)
-    sketch, sizes = statistics(docs)
-    light = boundary(sketch, sizes)
-    signed = stored(signatures(docs, sketch, light))
+    sketch, sizes = statistics(docs, shingle)
+    light = boundary(sketch, sizes, level)
+    signed = stored(signatures(docs, sketch, light, shingle, level))
     some = signed.where("n > 0 and doc_id is not null")
     nodes = some.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n", "tokens", "subsets", "sizes", "bins"), "doc_id").alias("x")).select("set_id", "x.*").withColumnRenamed("doc_id", "node")
     nodes = stored(nodes)
@@ -282,7 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Light: sharers of a subset, tied to the smallest of them.
     entries = nodes.where(F.size("subsets") > 0).select("node", "n", F.explode(F.arrays_zip("subsets", "sizes")).alias("e")).select("node", "n", F.col("e.subsets").alias("key"), F.col("e.sizes").alias("size"))
     hubs = entries.groupBy("key", "size").agg(F.min(F.struct("n", "node")).alias("hub"), F.count("*").alias("k")).where("k > 1")
-    light_links = entries.join(hubs, ["key", "size"]).where(f"node <> hub.node and 100 * size >= {LEVEL} * (n + hub.n - size)").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    light_links = entries.join(hubs, ["key", "size"]).where(f"node <> hub.node and 100 * size >= {level} * (n + hub.n - size)").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
 
     # Heavy: of each set, its shingles that have a list of several sets, in the set's order, with their places and the lists' lengths.
     entries = nodes.where(F.size("tokens") > 0).select(F.xxhash64("set_id").alias("sid"), "node", "n", F.posexplode("tokens").alias("place", "token"))
@@ -292,12 +296,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Sets of several long lists, each in a block of its longest few.
     ranked = F.reverse(F.array_sort(F.transform("lists", lambda x: F.struct(x["length"].alias("length"), x["token"].alias("token")))))
-    n_long, n_first = F.size(F.filter("lists", lambda x: x["length"] >= LONG)), F.floor((100 - LEVEL) * F.col("n") / 100) + 1
+    n_long, n_first = F.size(F.filter("lists", lambda x: x["length"] >= LONG)), F.floor((100 - level) * F.col("n") / 100) + 1
     long = entries.where((n_long >= SEVERAL) & (4 * n_long >= n_first)).select(F.col("node").alias("doc_id"), F.explode(F.slice(ranked, 1, SEVERAL)).alias("list")).distinct()
     first = small(long.select("doc_id", "list.token", F.pmod(F.xxhash64("doc_id", "list.token"), F.ceil(F.col("list.length") / BLOCK)).alias("block")))
 
     def in_block(table: pa.Table) -> pa.Table:
-        return link_table(cluster(table["doc_id"].to_pylist(), table["text"].to_pylist()) if table.num_rows > 1 else [])
+        return link_table(cluster(table["doc_id"].to_pylist(), table["text"].to_pylist(), shingle, level) if table.num_rows > 1 else [])
 
     block_links = docs.join(first, "doc_id").groupBy("token", "block").applyInArrow(in_block, ddl(LINK))
     links = stored(light_links.union(block_links))
@@ -313,14 +317,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = stored(entries.select("token", "node", "n", "place", "component", "before", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
     e, f = entries.alias("e"), entries.alias("f")
     meet = F.expr("e.token = f.token and e.x = f.x and e.y = f.y and e.node < f.node and e.component <> f.component and (e.x = e.y or e.own <> f.own)")
-    fits = F.expr(f"{LEVEL} * greatest(e.n, f.n) <= 100 * least(e.n, f.n) and {100 + LEVEL} * least(e.n - e.place, f.n - f.place) >= {LEVEL} * (e.n + f.n)")
+    fits = F.expr(f"{level} * greatest(e.n, f.n) <= 100 * least(e.n, f.n) and {100 + level} * least(e.n - e.place, f.n - f.place) >= {level} * (e.n + f.n)")
     pairs = e.join(f, meet & fits & F.expr("not arrays_overlap(e.before, f.before)")).select(F.col("e.node").alias("a"), F.col("f.node").alias("b")).distinct()
     pairs = small(pairs)
     shape = nodes.select("node", "n", "bins")
 
     def bounded(batches):
         for batch in batches:
-            good = [may_link(*r) for r in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "m", "bins", "bins_b")), strict=True)]
+            good = [may_link(*r, level) for r in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "m", "bins", "bins_b")), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     shaped = stored(shape.toDF("a", "n", "bins").join(pairs, "a"))
@@ -331,8 +335,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def compared(batches):
         for a, b, x, y in slices(batches, ["a", "b", "text", "text_b"]):
-            s, t = shingle_sets(x), shingle_sets(y)
-            good = [(i, j) for i, j, p, q in zip(a, b, s, t, strict=True) if linked(len(p), len(q), len(np.intersect1d(p, q, True)))]
+            s, t = shingle_sets(x, shingle), shingle_sets(y, shingle)
+            good = [(i, j) for i, j, p, q in zip(a, b, s, t, strict=True) if linked(len(p), len(q), len(np.intersect1d(p, q, True)), level)]
             yield pa.RecordBatch.from_pydict({"a": [i for i, _ in good], "b": [j for _, j in good]}, schema=LINK)
 
     more = pairs.join(text.toDF("a", "text"), "a").join(text.toDF("b", "text_b"), "b").mapInArrow(compared, ddl(LINK))

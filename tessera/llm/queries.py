@@ -46,7 +46,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(documents(spark, sf_dir))
+    return jaccard.near_duplicates(documents(spark, sf_dir), shingle=jaccard.SHINGLE, level=jaccard.LEVEL)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
