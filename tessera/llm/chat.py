@@ -58,27 +58,42 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return schema_paths(kind.elementType, prefix + "[]") if isinstance(kind, T.ArrayType) else [prefix]
 
 
-def record_fingerprint(record: Column) -> Column:
-    """Fingerprint of a JSON record: its fields, and those one array or object down, sorted.
+#: Parts of a variant's schema text: a field's name (quoted if need be), what opens an array or object, what closes one, a plain type.
+SCHEMA_PARTS = r"(?:`(?:[^`]|``)*`|[\p{L}\p{N}_]+): |ARRAY<|OBJECT<|>|[A-Z_]+(?:\([0-9, ]*\))?"
 
-    A record's own schema text gives them: top-level names, each with the names inside it.
-    """
-    pairs = F.map_entries(F.from_json(record, "map<string,string>"))
 
-    def inside(e: Column) -> Column:
-        first = F.when(F.ltrim(e["value"]).startswith("["), F.get_json_object(e["value"], "$[0]")).otherwise(e["value"])
-        names = F.when(F.ltrim(first).startswith("{"), F.json_object_keys(first))
-        mark = F.when(F.ltrim(e["value"]).startswith("["), F.lit("[]")).otherwise(F.lit(""))
-        return F.when(F.size(names) > 0, F.transform(names, lambda n: F.concat(e["key"], mark, F.lit("."), n))).otherwise(F.array(F.concat(e["key"], mark)))
+def record_paths(record: Column) -> Column:
+    """Sorted field paths of a parsed JSON record, however deep, from its own schema: all elements of an array are merged, and a string is a string whatever it says."""
+    state = "struct<at:string,within:array<string>,paths:array<string>,last:string>"
+
+    def step(s: Column, part: Column) -> Column:
+        name = F.regexp_replace(part, ": $", "")
+        name = F.when(name.startswith("`"), F.replace(F.substring(name, 2, 2147483647).substr(F.lit(1), F.length(name) - 2), F.lit("``"), F.lit("`"))).otherwise(name)
+        top = F.element_at(s["within"], -1)
+        named = F.when(top == "", name).otherwise(F.concat(top, F.lit("."), name))
+        # An object without fields is a field itself.
+        empty = (part == ">") & (s["last"] == "OBJECT<")
+        at = F.when(part.endswith(": "), named).when(part == "ARRAY<", F.concat(s["at"], F.lit("[]"))).when(empty, top).otherwise(s["at"])
+        within = F.when(part.isin("ARRAY<", "OBJECT<"), F.concat(s["within"], F.array(at))).when(part == ">", F.slice(s["within"], 1, F.size(s["within"]) - 1)).otherwise(s["within"])
+        leaf = ~(part.endswith(": ") | part.isin("ARRAY<", "OBJECT<", ">")) | empty
+        return F.struct(at.alias("at"), within.alias("within"), F.when(leaf, F.concat(s["paths"], F.array(at))).otherwise(s["paths"]).alias("paths"), part.alias("last")).cast(state)
 
-    return F.xxhash64(F.array_join(F.array_sort(F.flatten(F.transform(pairs, inside))), "\n"))
+    parts = F.regexp_extract_all(F.schema_of_variant(record), F.lit(SCHEMA_PARTS), F.lit(0))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit("").alias("at"), none.alias("within"), none.alias("paths"), F.lit("").alias("last")).cast(state)
+    return F.array_sort(F.aggregate(parts, start, step, lambda s: s["paths"]))
+
+
+def record_fingerprint(record: Column) -> Column:
+    """Fingerprint of a parsed JSON record: the hash of its sorted field paths."""
+    return F.xxhash64(F.array_join(record_paths(record), "\n"))
 
 
 def canonical_turns(df: DataFrame, id_col: str = "id", record_col: str = "record", layouts: dict | None = None) -> DataFrame:
     """id, fingerprint and turns of JSON records in any registered layout; turns is null where the layout is unknown."""
     known = LAYOUTS if layouts is None else layouts
-    rows = df.select(F.col(id_col).alias("id"), F.col(record_col).alias("record"))
-    rows = rows.select("id", record_fingerprint(F.col("record")).alias("fingerprint"), F.try_parse_json("record").alias("r"))
+    rows = df.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(record_col)).alias("r"))
+    rows = rows.select("id", record_fingerprint(F.col("r")).alias("fingerprint"), "r")
     turns = F.lit(None).cast(TURNS)
     for paths, mapping in known.items():
         turns = F.when(F.col("fingerprint") == fingerprint_of_paths(paths), F.expr(mapping).cast(TURNS)).otherwise(turns)
