@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Extensions that the line-window chunker takes.
@@ -12,6 +12,8 @@ TEXT_EXTENSIONS = "txt text rst adoc org yaml yml toml ini cfg conf sh bash sql
 #: Directories that are never taken in.
 EXCLUDED_DIRS = ("vendor", "node_modules", ".git")
 MAX_FILE_BYTES = 1 << 20
+#: Globs of a side that is broadcast: about 20 MB.
+BROADCAST_GLOBS = 100_000
 GENERATED = r"(?m)^// Code generated .* DO NOT EDIT\.$"
 
 
@@ -104,3 +106,13 @@ def glob_regex(pattern: str) -> str:
 
 def glob_match(pattern: str, path: Column) -> Column:
     return clean(path).rlike(glob_regex(pattern))
+
+
+def glob_matches(paths: DataFrame, path: str, globs: DataFrame, glob: str) -> DataFrame:
+    """Each row of paths beside each distinct glob that matches it; any number of globs."""
+    regex = F.udf(glob_regex, "string")
+    g = globs.where(F.col(glob).isNotNull()).select(F.col(glob).alias("_glob")).distinct().select("_glob", regex("_glob").alias("_regex"))
+    # Beyond what a broadcast holds, the same join without one.
+    g = F.broadcast(g) if g.count() <= BROADCAST_GLOBS else g
+    p = paths.withColumn("_path", clean(F.col(path)))
+    return p.join(g, F.expr("_path rlike _regex")).drop("_path", "_regex").withColumnRenamed("_glob", glob)

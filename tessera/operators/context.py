@@ -62,14 +62,9 @@ def scored_agents(routing: DataFrame, tasks: DataFrame, most: int = 5) -> DataFr
 
 
 def file_triggers(triggers: DataFrame, files: DataFrame) -> DataFrame:
-    """file, trigger id of triggers whose glob (signal) matches a file. Distinct globs are few: each becomes one regular expression."""
-    out = None
-    for signal in [r["signal"] for r in triggers.select("signal").distinct().limit(1000).collect()]:
-        own = files.where(paths.glob_match(signal, F.col("file"))).select("file", F.lit(signal).alias("signal"))
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        return files.select("file", F.lit(None).cast("long").alias("id")).limit(0)
-    return out.join(triggers.select("id", "signal"), "signal").select("file", "id")
+    """file, trigger id of triggers whose glob (signal) matches a file. Each distinct glob becomes one regular expression, whatever their number."""
+    found = paths.glob_matches(files.select("file"), "file", triggers, "signal")
+    return found.join(triggers.select("id", "signal"), "signal").select("file", "id")
 
 
 def new_tasks(requests: DataFrame) -> DataFrame:

@@ -84,21 +84,14 @@ def keyword_hits(facts: DataFrame, requests: DataFrame, words: DataFrame) -> Dat
 
 
 def trigger_loads(facts: DataFrame, requests: DataFrame) -> DataFrame:
-    """request_id, id of facts that triggers on the working directory load. Triggers are few and collected for their patterns."""
+    """request_id, id of facts that triggers on the working directory load."""
     rules = facts.where("kind = 'trigger' and superseded_by is null").where(meta_text(F.col("metadata"), "signal_type") == "cwd_pattern")
     rules = rules.select(
         meta_text(F.col("metadata"), "signal").alias("signal"), F.coalesce(meta_text(F.col("metadata"), "load_subsystem"), F.lit("")).alias("load_subsystem"),
         F.coalesce(meta_text(F.col("metadata"), "load_subject"), F.lit("")).alias("load_subject"), F.from_json(F.get_json_object("metadata", "$.load_kinds"), "array<string>").alias("load_kinds"),
     ).where("signal <> '' and (load_subsystem <> '' or load_subject <> '')")
-    cwds = requests.where("cwd <> ''").select("request_id", F.posexplode(suffixes(paths.clean(F.col("cwd")))).alias("at", "suffix"))
-    found = None
-    # A glob becomes a regular expression, which needs its text: one filter for each distinct pattern.
-    for signal in [r["signal"] for r in rules.select("signal").distinct().limit(1000).collect()]:
-        own = requests.where(F.col("cwd") != "").where(paths.glob_match(signal, F.col("cwd"))).select("request_id", F.lit(signal).alias("signal"))
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        return cwds.select("request_id", F.lit(0).cast("long").alias("id")).limit(0)
-    wanted = found.join(rules, "signal")
+    found = paths.glob_matches(requests.where("cwd <> ''").select("request_id", "cwd"), "cwd", rules, "signal")
+    wanted = found.join(rules, "signal").drop("cwd")
     live = facts.where("superseded_by is null").select("id", "subject", "subsystem", "kind")
     loads = (F.col("load_subsystem").isin("") | (F.col("load_subsystem") == F.col("subsystem"))) & ((F.col("load_subject") == "") | (F.col("load_subject") == F.col("subject")))
     return live.join(wanted, loads).where(F.coalesce(F.size("load_kinds"), F.lit(0)).isin(0, -1) | F.array_contains("load_kinds", F.col("kind"))).select("request_id", "id").distinct()
