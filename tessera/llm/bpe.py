@@ -1,7 +1,8 @@
 """BPE encoding and decoding (operator 2).
 
 Words of a text (runs without white space) never share a token, so a text is cut into words,
-each distinct word is normalised, cut into pre-tokens and merged once per task, and the
+each distinct word is normalised, cut into pre-tokens (where it isn't ASCII by the library's own tables, so that both
+know the same Unicode) and merged once per task, and the
 ids of a text are the concatenation of its words' ids. Merging keeps a priority queue of
 merge ranks over a doubly linked symbol list; entries whose symbols have changed since they
 were queued are stale and skipped, so a pre-token of n bytes costs O(n log n).
@@ -16,13 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
 from array import array
 from copy import copy
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from .common import map_texts, two_columns
@@ -68,9 +69,11 @@ class BytePairs:
         shown = byte_characters()
         self.inner = [self.vocab.get(c, -1) for c in shown]
         self.last = [self.vocab.get(c + self.suffix, -1) for c in shown]
-        self.between = regex.compile(f"[{SPACE}]+")
-        self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.between = re.compile(f"[{SPACE}]+")
+        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+")  # of lowered ASCII words, which hold no white space
+        self.library = tokenizers.Tokenizer.from_str(content.decode())  # its normalizer and pre-tokenizer, not its merges
+        self.byte_of = {c: b for b, c in enumerate(shown)}
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
@@ -106,11 +109,15 @@ class BytePairs:
         return [s for s in symbols if s >= 0]
 
     def encode_word(self, word: str) -> list[int]:
-        # Lower case by character: a final sigma is lowered as any sigma.
-        word = word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+        if word.isascii():
+            word = word.lower()
+            pieces = [p.encode() for p in ([word] if word.isalpha() else self.pieces.findall(word))]
+        else:
+            # What is a letter, and how it is composed and lowered, follows the Unicode version of the installed library.
+            shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))
+            pieces = [bytes([self.byte_of[c] for c in p]) for p, _ in shown]
         ids: list[int] = []
-        for piece in [word] if word.isalpha() and word.isascii() else self.pieces.findall(word):
-            data = piece.encode("utf-8", "surrogatepass")
+        for data in pieces:
             symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
             ids += self.merge([s for s in symbols if s >= 0])
         return ids
