@@ -48,6 +48,18 @@ def slices(batches: Iterator[pa.RecordBatch], names: list[str], text: str = "tex
             yield [c[start:] for c in columns]
 
 
+def by_chars(texts: list[str | None], most: int = 1_000_000):
+    """(first, end) of runs of texts with about so many characters."""
+    first = room = 0
+    for i, t in enumerate(texts):
+        if room + len(t or "") > most and i > first:
+            yield first, i
+            first, room = i, 0
+        room += len(t or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: pa.Schema) -> DataFrame:
     """Runs make()'s function over (ids, texts) of each slice; it returns columns of the schema.
 
@@ -95,11 +107,16 @@ def in_buckets(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("tie", tie).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n)).cast("int"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; one is set here only where it is unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder: the cluster names one in spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of its own; on a cluster
+    it's an error, as executors would each write to their own disk."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera")
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints/tessera")
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -108,12 +125,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder: compressed, and read column by column."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """df as a table in the shared checkpoint folder: compressed, and read column by column. It lies in the context's own folder there."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.option("compression", compression).parquet(path)
+    return kept_at(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def kept_at(df: DataFrame, at: str | DataFrame) -> DataFrame:
+    """df, marked as what forget() deletes with a path or with the table of another frame."""
+    df._stored_at = at if isinstance(at, str) else at._stored_at
+    return df
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote. Only for tables that nothing still to be computed reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
