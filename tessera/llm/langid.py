@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, stored
+from .common import by_chars, give_back, slices, stored
 
 MAX_LANGUAGES = 1000
 #: A vocabulary with longer pieces is refused: a lattice has so many rows at most.
@@ -45,7 +45,8 @@ FLOOR, UNKNOWN = 1e-8, 1e-7
 
 _letters = re.compile(r"[^\W\d_]+")
 #: What the expression above takes for letters that aren't of category L: numerals such as fractions.
-_numerals = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if _letters.match(c) and unicodedata.category(c)[0] != "L") + "]")
+_numerals = dict.fromkeys([c for c in range(0x80, sys.maxunicode + 1) if _letters.match(chr(c)) and unicodedata.category(chr(c))[0] != "L"], " ")
+_numeral_chars = frozenset(map(chr, _numerals))
 _loaded: dict[str, Pieces] = {}
 
 
@@ -127,7 +128,9 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
-    return _letters.findall(text if text.isascii() else _numerals.sub(" ", text))
+    if not (text.isascii() or _numeral_chars.isdisjoint(text)):
+        text = text.translate(_numerals)
+    return _letters.findall(text)
 
 
 def forward(lattice: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -329,18 +332,6 @@ class Scorer:
         return [s if n else None for s, n in zip(sums, sizes.tolist(), strict=True)]
 
 
-def by_chars(texts: list[str | None], most: int = 1_000_000):
-    """(first, end) of runs of texts with about so many characters."""
-    first = room = 0
-    for i, t in enumerate(texts):
-        if room + len(t or "") > most and i > first:
-            yield first, i
-            first, room = i, 0
-        room += len(t or "")
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def identify(df: DataFrame, model: bytes, trained: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred and score (the predicted language's share of the posterior, flat prior), after columns in keep."""
     shared = df.sparkSession.sparkContext.broadcast((model, *trained))
