@@ -6,12 +6,12 @@ kept if it passes the base rules and some language is near enough in both. Guard
 histogram isn't judged, under MIN_WORDS words the word histogram isn't; the limits widen with 1/sqrt(n), as the distance
 of a sample from its own source does.
 
-References cover every document with a language and a text. Class counts and words heavy in some task come from one pass, exact counts of those words from
-a second; both are summed per task before the shuffle, and what reaches the driver is languages x (classes + COMMON) numbers.
-A word among the COMMON most frequent of a language is always heavy in some task: HEAVY is far below its share.
+References cover every document with a language and a text, in one pass. Each task sums class counts, words in all and every distinct word of a language; the sums are
+added up by (language, word) in the shuffle, where each language's COMMON most frequent words are taken (a group limit in each task, then one over what is
+left). What reaches the driver is languages x (classes + 1 + COMMON) numbers, MAX_LANGUAGES languages at most: more are an error.
 
 Cases: a null or empty text has no words and fails the base rules; null languages take no part in references, and without any
-reference the base rules decide alone; ties between words go by their bytes; repeated rows are counted and answered each; other columns are ignored.
+reference the base rules decide alone; ties between words go by their bytes; repeated rows are counted and answered each; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ASCII_SPACE, map_texts, slices, two_columns
+from .common import ASCII_SPACE, give_back, map_texts, slices, two_columns
 
 MAX_LANGUAGES = 1000
-COMMON, HEAVY = 100, 1 / 20_000
+COMMON = 100
+#: Distinct words of all languages that a task counts before it sends them on.
+REMEMBERED = 200_000
 MIN_CHARS, MIN_WORDS = 200, 50
 CLASS_LIMIT, WORD_LIMIT, CLASS_SLACK, WORD_SLACK = 0.20, 0.30, 1.0, 2.0
 SYMBOLS = "#*$%&|<>"
@@ -66,65 +68,50 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def references(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict:
     """langs, class shares (languages x classes), common words of each language, and their shares with the rest last."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
-    def count(batches, known=None):
-        """Known words exactly; without known, class counts (one byte words) and words that are heavy in this task."""
-        classes, total, found = {}, Counter(), {}
+    def count(batches):
+        """Sums of this task: class counts (a byte for the class), words in all, and each word."""
+        classes: dict[str, np.ndarray] = {}
+        found: dict[str, Counter] = {}
 
-        def thin(lang, least):
-            found[lang] = Counter({w: n for w, n in found[lang].items() if n >= least})
+        def sent():
+            for lang, c in found.items():
+                out = [("class", bytes([k]), int(x)) for k, x in enumerate(classes[lang])] + [("all", b"", c.total())] + [("word", w, n) for w, n in c.items()]
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(out), "kind": [k for k, _, _ in out], "word": [w for _, w, _ in out], "n": [n for _, _, n in out]}, schema=schema)
+            classes.clear()
+            found.clear()
 
         for langs, texts in slices(batches, ["lang", "text"]):
             for lang, text in zip(langs, texts, strict=True):
-                ws = text.encode("utf-8", "surrogatepass").split()
-                total[lang] += len(ws)
-                if known is None:
-                    classes[lang] = classes.get(lang, 0) + class_counts(text)
-                    c = found.setdefault(lang, Counter())
-                    c.update(ws)
-                    if len(c) > 400_000:
-                        thin(lang, 1 + total[lang] * HEAVY / 4)
-                else:
-                    keep = known.get(lang, frozenset())
-                    found.setdefault(lang, Counter()).update([w for w in ws if w in keep])
-        for lang, n in total.items():
-            if known is None:
-                thin(lang, n * HEAVY)
-            out = [(bytes([k]), int(x)) for k, x in enumerate(classes.get(lang, ()))] if known is None else [(b"", n)]
-            out += found[lang].items() if known is not None else [(b"w" + w, 1) for w in found[lang]]
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(out), "word": [w for w, _ in out], "n": [n for _, n in out]}, schema=schema)
-
-    def summed(known):
-        return rows.mapInArrow(lambda b: count(b, known.value if known else None), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-    first = summed(None).limit(MAX_LANGUAGES * int(2 / HEAVY)).toArrow().to_pylist()
-    langs = sorted({r["lang"] for r in first})
+                classes[lang] = classes.get(lang, 0) + class_counts(text)
+                found.setdefault(lang, Counter()).update(text.encode("utf-8", "surrogatepass").split())
+            if sum(map(len, found.values())) > REMEMBERED:
+                yield from sent()
+        yield from sent()
+        give_back()
+
+    sums = rows.mapInArrow(count, "lang string, kind string, word binary, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    best = sums.withColumn("k", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))).where(F.col("k") <= COMMON)
+    most = len(CLASSES) + 1 + COMMON  # rows of a language; with one language more than allowed, the limit still shows it
+    got = best.limit((MAX_LANGUAGES + 1) * most).toArrow().to_pylist()
+    langs = sorted({r["lang"] for r in got})
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    classes = np.zeros((len(langs), len(CLASSES)))
-    heavy: dict[str, set] = {x: set() for x in langs}
-    for r in first:
-        if r["word"][:1] == b"w":
-            heavy[r["lang"]].add(r["word"][1:])
+    at = {x: i for i, x in enumerate(langs)}
+    classes, shares = np.zeros((len(langs), len(CLASSES))), np.zeros((len(langs), COMMON + 1))
+    words: list[list[bytes]] = [[b""] * COMMON for _ in langs]
+    for r in got:
+        i = at[r["lang"]]
+        if r["kind"] == "class":
+            classes[i, r["word"][0]] = r["n"]
+        elif r["kind"] == "all":
+            shares[i, COMMON] += r["n"]
         else:
-            classes[langs.index(r["lang"]), r["word"][0]] = r["n"]
-    exact = summed(df.sparkSession.sparkContext.broadcast(heavy)) if langs else None
-    best: dict[str, list] = {x: [] for x in langs}
-    totals = dict.fromkeys(langs, 0)
-    if exact is not None:
-        order = Window.partitionBy("lang").orderBy((F.col("word") != b"").cast("int"), F.desc("n"), "word")
-        for r in exact.withColumn("k", F.row_number().over(order)).where(F.col("k") <= COMMON + 1).toArrow().to_pylist():
-            if r["word"]:
-                best[r["lang"]].append((r["k"], r["word"], r["n"]))
-            else:
-                totals[r["lang"]] = r["n"]
-    words = [[w for _, w, _ in sorted(best[x])] for x in langs]
-    shares = np.zeros((len(langs), COMMON + 1))
-    for i, x in enumerate(langs):
-        n = [n for _, _, n in sorted(best[x])]
-        shares[i, : len(n)] = n
-        shares[i, COMMON] = max(0, totals[x] - sum(n))
+            words[i][r["k"] - 1] = r["word"]
+            shares[i, r["k"] - 1] = r["n"]
+            shares[i, COMMON] -= r["n"]
+    words = [[w for w in ws if w] for ws in words]
     part = lambda x: x / np.maximum(x.sum(1, keepdims=True), 1)
     return {"langs": langs, "classes": part(classes), "words": words, "shares": part(shares)}
 
