@@ -1,26 +1,62 @@
-"""Connected components of a link table, distributed."""
+"""Connected components of a link table, distributed.
+
+Cases: links with a null end, and links of a node with itself, connect nothing (and name no node of the answer); repeated links count once; an empty
+table gives an empty table; other columns are ignored.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import forget, kept_at, stored
+
+#: Rows of a key from which it may be hot, however small the table.
+FEW = 64
+
+
+def hot(keys: DataFrame, name: str, rows: int) -> DataFrame:
+    """The keys that have more than a quarter of a partition's mean share of so many rows: four times as many as partitions at the very most, whatever
+    the table, and thus fit to be broadcast. Counts are summed per task before they move."""
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.groupBy(name).agg(F.count("*").alias("rows")).where(F.col("rows") > max(FEW, rows // (4 * parts))).select(name)
+
+
+def join_on_hot_key(left: DataFrame, right: DataFrame, name: str, hot_keys: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right on a key that right has once. Rows of hot keys stay where they are and get right's few rows for them by broadcast; only the others are shuffled."""
+    few = F.broadcast(hot_keys)
+    theirs = F.broadcast(hot_keys.join(right.join(few, name, "left_semi"), name, how))  # a row for a hot key
+    return left.join(theirs, name).unionByName(left.join(few, name, "left_anti").join(right, name, how))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the smallest node reachable) for every node of a link.
 
     Each round every node takes the least label among itself and its neighbours, then the label of that label (pointer jumping), so the
-    rounds grow with the logarithm of a path's length. Labels are written to the shared checkpoint folder each round. Nodes, links and labels stay distributed.
+    rounds grow with the logarithm of a path's length. Labels are written to the shared checkpoint folder each round. Nodes, links and labels stay distributed, and
+    neither a node with very many links nor a label that very many nodes share meets its rows in one task.
     """
-    both = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").union(links.select(F.col(b), F.col(a)).where(f"{a} <> {b}")).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")))
+    links = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    both = stored(links.union(links.select("v", "u")).distinct())
+    hubs = stored(hot(both, "v", both.count()))
+    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")))
+    nodes = labels.count()
     while True:
-        around = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(around, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
-        jump = lower.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = cut(lower.join(jump, "next", "left").select("node", F.coalesce(F.least("next", "far"), "next").alias("component"), "was"))
+        around = join_on_hot_key(both, labels.select(F.col("node").alias("v"), "component"), "v", hubs).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
+        lower = stored(labels.join(around, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was")))
+        # Labels that have a lower label themselves: none where every label is its component's least node.
+        used = lower.select("next").distinct()
+        jump = stored(lower.where("next < node").select(F.col("node").alias("next"), F.col("next").alias("far")).join(used, "next", "left_semi"))
+        done = [labels, lower, jump]
+        if jump.isEmpty():
+            new = lower.select("node", F.col("next").alias("component"), "was")
+        else:
+            shared = stored(hot(lower, "next", nodes))
+            done.append(shared)
+            new = join_on_hot_key(lower, jump, "next", shared, "left").select("node", F.coalesce("far", "next").alias("component"), "was")
+        new = stored(new)
+        forget(*done)
         if new.where("component <> was").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+            forget(both, hubs)
+            return kept_at(new.select("node", "component"), new)
+        labels = new

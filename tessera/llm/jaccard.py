@@ -19,7 +19,7 @@ exact bound (overlap is at most the sum of smaller counts over hash bins), and w
 is lost, and none within one is enumerated. Texts are only fetched for nodes of long lists and for pairs that pass the bound.
 
 Cases: null texts and texts without words have empty sets, link to nothing and are their own component; a null id links to nothing and has a null
-component; rows that repeat an id are one document, linked by any of its texts; equal rows give equal rows; an empty table gives an empty table; other columns are ignored.
+component; rows that repeat an id are one document, linked by any of its texts, and all get its component; equal rows give equal rows; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, give_back, slices, stored, two_columns
-from .components import components
+from .common import ddl, forget, give_back, kept_at, slices, stored, two_columns
+from .components import components, join_on_hot_key
 
 #: Words of a shingle and least similarity, in hundredths, of operator 6.
 SHINGLE, LEVEL = 3, 90
@@ -49,8 +49,8 @@ BLOCK = 512
 LONG, SEVERAL = 16, 3
 #: Shingles of a set that are remembered before each, so that a pair isn't made at all that it shares.
 BEFORE = 12
-#: Rows (of three numbers at most; an eighth as many with bins) of a side that is broadcast: about 24 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows (of three numbers at most) of a side that is broadcast, and bytes of one that has bins.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 24_000_000
 BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -231,7 +231,7 @@ def signatures(docs: DataFrame, sketch: np.ndarray, light: int, shingle: int, le
 def small(ids: DataFrame) -> DataFrame:
     """ids as a table, to be broadcast if it has BROADCAST_ROWS rows at most: else the join with the documents shuffles them."""
     ids = stored(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return kept_at(F.broadcast(ids), ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -280,8 +280,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     light = boundary(sketch, sizes, level)
     signed = stored(signatures(docs, sketch, light, shingle, level))
     some = signed.where("n > 0 and doc_id is not null")
-    nodes = some.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n", "tokens", "subsets", "sizes", "bins"), "doc_id").alias("x")).select("set_id", "x.*").withColumnRenamed("doc_id", "node")
-    nodes = stored(nodes)
+    nodes = some.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n", "tokens", "subsets", "sizes", "bins"), "doc_id").alias("x"), F.count("*").alias("copies"))
+    nodes = stored(nodes.select("set_id", "x.*", "copies").withColumnRenamed("doc_id", "node"))
+
+    # An id with several sets is one document: it ties their nodes, which are named by ids too.
+    sid = F.xxhash64("set_id")
+    twice = small(signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(sid).alias("low"), F.max(sid).alias("high")).where("low <> high").select("doc_id"))
+    own_sets = some.select("doc_id", "set_id").join(twice, "doc_id", "left_semi").distinct()
+    ties = own_sets.join(nodes.select("set_id", "node"), "set_id").where("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     # Light: sharers of a subset, tied to the smallest of them.
     entries = nodes.where(F.size("subsets") > 0).select("node", "n", F.explode(F.arrays_zip("subsets", "sizes")).alias("e")).select("node", "n", F.col("e.subsets").alias("key"), F.col("e.sizes").alias("size"))
@@ -292,24 +298,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = nodes.where(F.size("tokens") > 0).select(F.xxhash64("set_id").alias("sid"), "node", "n", F.posexplode("tokens").alias("place", "token"))
     lists = entries.groupBy("token").agg(F.count("*").cast("int").alias("length")).where("length > 1")
     entries = entries.join(lists, "token").groupBy("sid", "node", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token", "length"))).alias("lists"))
-    entries = stored(entries.select("sid", "node", F.col("n").cast("int").alias("n"), "lists"))
+    heavy = stored(entries.select("sid", "node", F.col("n").cast("int").alias("n"), "lists"))
 
     # Sets of several long lists, each in a block of its longest few.
     ranked = F.reverse(F.array_sort(F.transform("lists", lambda x: F.struct(x["length"].alias("length"), x["token"].alias("token")))))
     n_long, n_first = F.size(F.filter("lists", lambda x: x["length"] >= LONG)), F.floor((100 - level) * F.col("n") / 100) + 1
-    long = entries.where((n_long >= SEVERAL) & (4 * n_long >= n_first)).select(F.col("node").alias("doc_id"), F.explode(F.slice(ranked, 1, SEVERAL)).alias("list")).distinct()
+    long = heavy.where((n_long >= SEVERAL) & (4 * n_long >= n_first)).select(F.col("node").alias("doc_id"), F.explode(F.slice(ranked, 1, SEVERAL)).alias("list")).distinct()
     first = small(long.select("doc_id", "list.token", F.pmod(F.xxhash64("doc_id", "list.token"), F.ceil(F.col("list.length") / BLOCK)).alias("block")))
 
     def in_block(table: pa.Table) -> pa.Table:
         return link_table(cluster(table["doc_id"].to_pylist(), table["text"].to_pylist(), shingle, level) if table.num_rows > 1 else [])
 
     block_links = docs.join(first, "doc_id").groupBy("token", "block").applyInArrow(in_block, ddl(LINK))
-    links = stored(light_links.union(block_links))
+    links = stored(light_links.union(block_links).union(ties))
 
     # What lists still join: pairs of different components. Long lists meet block by block: an entry goes to each pair of blocks that has its own.
     # A pair counts at the first shingle that both have; it is made again only after BEFORE shingles that they don't share.
-    label = small(components(links))
-    entries = entries.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = components(links)
+    label = small(found)
+    entries = heavy.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     entries = entries.withColumn("order", F.transform("lists", lambda x: x["token"])).select("node", "n", "component", "order", F.posexplode("lists").alias("k", "list"))
     entries = entries.select("node", "n", "component", "list.*", F.slice("order", F.greatest(F.col("k") - BEFORE, F.lit(0)) + 1, F.least("k", F.lit(BEFORE))).alias("before"))
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
@@ -319,7 +326,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     meet = F.expr("e.token = f.token and e.x = f.x and e.y = f.y and e.node < f.node and e.component <> f.component and (e.x = e.y or e.own <> f.own)")
     fits = F.expr(f"{level} * greatest(e.n, f.n) <= 100 * least(e.n, f.n) and {100 + level} * least(e.n - e.place, f.n - f.place) >= {level} * (e.n + f.n)")
     pairs = e.join(f, meet & fits & F.expr("not arrays_overlap(e.before, f.before)")).select(F.col("e.node").alias("a"), F.col("f.node").alias("b")).distinct()
-    pairs = small(pairs)
+    met = small(pairs)
     shape = nodes.select("node", "n", "bins")
 
     def bounded(batches):
@@ -327,8 +334,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             good = [may_link(*r, level) for r in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "m", "bins", "bins_b")), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    shaped = stored(shape.toDF("a", "n", "bins").join(pairs, "a"))
-    pairs = shape.toDF("b", "m", "bins_b").join(F.broadcast(shaped) if shaped.count() <= BROADCAST_ROWS // 8 else shaped, "b")
+    shaped = stored(shape.toDF("a", "n", "bins").join(met, "a"))
+    size = shaped.agg(F.coalesce(F.sum(F.octet_length("bins") + 24), F.lit(0)).alias("n")).first()["n"]
+    pairs = shape.toDF("b", "m", "bins_b").join(F.broadcast(shaped) if size <= BROADCAST_BYTES else shaped, "b")
     pairs = stored(pairs.mapInArrow(bounded, ddl(LINK)))
     wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     text = stored(docs.join(wanted, "doc_id").select("doc_id", "text"))
@@ -340,7 +348,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_pydict({"a": [i for i, _ in good], "b": [j for _, j in good]}, schema=LINK)
 
     more = pairs.join(text.toDF("a", "text"), "a").join(text.toDF("b", "text_b"), "b").mapInArrow(compared, ddl(LINK))
-    label = small(components(links.union(more)))
+    last = components(links.union(more))
+    done, label = [found, label, heavy, first, links, entries, met, shaped, pairs, wanted, text, last], small(last)
+    forget(*done)
     named = nodes.select("set_id", "node").join(label, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
-    return rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Rows without a set or an id need no name; a set with very many copies is looked up where its rows are.
+    shares = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copied = nodes.where(F.col("copies") > max(BLOCK, signed.count() // shares)).select("set_id")  # no more than shares of them
+    rows = join_on_hot_key(some.select("set_id", "doc_id", "n"), named, "set_id", copied).select("doc_id", "n", "component")
+    tied = own_sets.join(named, "set_id").select("doc_id", F.col("component").alias("tied")).distinct()
+    rest = signed.where("n = 0 or doc_id is null").select("doc_id", "n").join(tied, "doc_id", "left").select("doc_id", "n", F.coalesce("tied", "doc_id").alias("component"))
+    return rows.unionByName(rest).toDF("doc_id", "n_shingles", "component_id")
