@@ -7,15 +7,16 @@ are equally likely. Text is lower-cased (A to Z), preceded by ORDER zero bytes a
 
 Since a longer context has seen no more symbols than its suffixes, exclusion needs two numbers per context: the distinct
 symbols, and their total in the next shorter context. So the trie is kept as sorted arrays of (context, symbol) counts,
-dealt by the last two context bytes: orders 2 and up of a context chain are together, and orders 0 and 1
-(at most 65,536 numbers, whatever the corpus) are broadcast.
+dealt by the last three context bytes: orders 3 and up of a context chain are together, and no context has more than 65,536 strings in a bucket.
+Orders 0 to 2, whose counts are added up over all tasks first, are broadcast: 256 ** 3 numbers at the very most (some 200 MB) whatever the corpus, and in text
+as many as it has different runs of three bytes.
 
 Buckets of documents send their distinct strings of ORDER + 1 bytes, with training counts, to the parts of the trie, which add up the
 counts and answer with log probabilities; the same goes for words and the unigram base. Text is shuffled once;
 what else moves follows the distinct strings of each bucket. Nothing of the model is collected or broadcast beyond the bound above.
 
-Cases: a null text counts as empty (its end alone is scored); no training rows: every byte has probability 1/256, and the base uses N = V = 0;
-repeated rows count and are answered each; a null id is never held out; an empty table gives an empty table; other columns are ignored.
+Cases: a null text counts as empty (its end alone is scored); no training rows: every byte has probability 1/256, and the base uses N = V = 0; a text of any
+length is scored whole, SLICE bytes at a time in its bucket; repeated rows count and are answered each; a null id is never held out; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,28 +74,36 @@ def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return every, np.bincount(which, np.concatenate(counts), len(every)).astype(np.int64)
 
 
+def order(k: int, g: np.ndarray, n: np.ndarray, shorter: tuple | None) -> tuple[np.ndarray, ...]:
+    """One order of the trie from its sorted strings of k + 1 bytes and their counts: strings, counts, contexts, and of each context its
+    total, its distinct symbols and what these have in the next shorter context."""
+    contexts, first, distinct = np.unique(g >> np.uint64(8), return_index=True, return_counts=True)
+    total = np.add.reduceat(n, first) if len(g) else np.zeros(0, np.int64)
+    if k and len(g):
+        below = shorter[1][np.searchsorted(shorter[0], g & np.uint64((1 << 8 * k) - 1))]
+        taken = np.add.reduceat(below, first)
+    else:
+        taken = np.zeros(len(contexts), np.int64)
+    return g, n, contexts, total, distinct, taken
+
+
+def bounded_orders(triples: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, ...]]:
+    """Orders 0 to 2 from the counts of runs of three bytes."""
+    out: list[tuple[np.ndarray, ...]] = []
+    for k in range(3):
+        g, n = add_up([triples[0].astype(np.uint64) & np.uint64((1 << 8 * (k + 1)) - 1)], [triples[1]])
+        out.append(order(k, g, n, out[-1] if out else None))
+    return out
+
+
 class Trie:
-    """Counts of (context, symbol) for contexts of 2 to ORDER bytes in one part, over the bounded tables of orders 0 and 1."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
-        self.orders: list[tuple[np.ndarray, ...]] = []
-        for k in range(ORDER + 1):
-            if k < 2:
-                own = pairs.sum(0) if k == 0 else pairs.reshape(-1)
-                g = np.flatnonzero(own).astype(np.uint64)
-                n = own[g.astype(np.int64)]
-            else:
-                g, n = add_up([grams & np.uint64((1 << 8 * (k + 1)) - 1)], [counts])
-                g, n = g[n > 0], n[n > 0]
-            contexts, first, distinct = np.unique(g >> np.uint64(8), return_index=True, return_counts=True)
-            total = np.add.reduceat(n, first) if len(g) else np.zeros(0, np.int64)
-            if k and len(g):  # what its symbols have in the next shorter context
-                shorter, m = self.orders[-1][:2]
-                below = m[np.searchsorted(shorter, g & np.uint64((1 << 8 * k) - 1))]
-                taken = np.add.reduceat(below, first)
-            else:
-                taken = np.zeros(len(contexts), np.int64)
-            self.orders.append((g, n, contexts, total, distinct, taken))
+    """Counts of (context, symbol) for contexts of 3 to ORDER bytes in one part, over the bounded orders below."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, bounded: list[tuple[np.ndarray, ...]]):
+        self.orders = list(bounded)
+        for k in range(len(bounded), ORDER + 1):
+            g, n = add_up([grams & np.uint64((1 << 8 * (k + 1)) - 1)], [counts])
+            self.orders.append(order(k, g[n > 0], n[n > 0], self.orders[-1]))
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grams))
@@ -129,31 +138,39 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def low_orders(docs: DataFrame) -> np.ndarray:
-    """Counts (256 x 256) of each byte after each byte over the training rows: at most 65,536 numbers reach the driver."""
-    schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
+def low_orders(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of three bytes, as numbers, and their counts over the training rows: 256 ** 3 at most reach the driver, whatever the corpus."""
+    schema = pa.schema([("triple", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        sums = np.zeros(1 << 16, np.int64)
+        keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for (texts,) in slices(batches, ["text"]):
-            data = np.frombuffer(b"".join([b"\0" + lowered(t) + b"\0" for t in texts]), np.uint8).astype(np.uint16)
-            codes = (data[:-1] << 8) | data[1:]
-            sums += np.bincount(codes, minlength=1 << 16)
-            sums[0] -= len(texts) - 1  # an end and the next text's beginning aren't a pair
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_pydict({"pair": at, "n": sums[at]}, schema=schema)
+            texts = [lowered(t) for t in texts]
+            for some in text_slices(texts):
+                data = np.frombuffer(b"".join([b"\0\0" + texts[i] + b"\0" for i in some]), np.uint8).astype(np.uint32)
+                starts = np.cumsum([0, *(len(texts[i]) + 3 for i in some[:-1])])
+                ends = np.ones(len(data), bool)  # where a run may end: not in what precedes a text
+                ends[starts] = ends[starts + 1] = False
+                g, n = np.unique(((data[:-2] << 16) | (data[1:-1] << 8) | data[2:])[ends[2:]], return_counts=True)
+                keys.append(g)
+                counts.append(n)
+            if len(keys) > 64:
+                keys, counts = map(lambda x: [x], add_up(keys, counts))
+        g, n = add_up(keys, counts)
+        give_back()
+        yield pa.RecordBatch.from_pydict({"triple": g.astype(np.int32), "n": n}, schema=schema)
 
-    got = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << 16, np.int64)
-    out[got["pair"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(256, 256)
+    got = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
+    triple, n = got["triple"].to_numpy(), got["n"].to_numpy()
+    by_number = np.argsort(triple, kind="stable")
+    return triple[by_number].astype(np.uint32), n[by_number]
 
 
 def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Every row scored by a model of the rows that aren't held out (held_out: over id_col)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n = partitions or partitions_for(two_columns(docs))
-    pairs = docs.sparkSession.sparkContext.broadcast(low_orders(docs))
+    triples = docs.sparkSession.sparkContext.broadcast(low_orders(docs))
     dealt = in_buckets(docs, BUCKETS * n).groupBy("bucket")
 
     def distinct(table: pa.Table):
@@ -176,7 +193,8 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         return ids, held, texts, *add_up(keys, counts), words
 
     def part_of(grams: np.ndarray) -> np.ndarray:
-        return (((grams >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65521) % np.uint64(n)).astype(np.int64)
+        mixed = ((grams >> np.uint64(8)) & np.uint64(0xFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
     def dealt_out(grams: np.ndarray, words: Counter):
         """(part, places of its grams, its words) for each part."""
@@ -194,11 +212,15 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         rows = [(p, bucket, grams[at].tobytes(), counts[at].astype(np.uint32).tobytes(), b"\n".join(ws), np.array([words[w] for w in ws], np.uint32).tobytes()) for p, at, ws in dealt_out(grams, words)]
         return pa.table({f.name: pa.array([r[k] for r in rows], f.type) for k, f in enumerate(SENT)})
 
+    orders: list[tuple[np.ndarray, ...]] = []
+
     def answer(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
         counts = [np.frombuffer(c, np.uint32).astype(np.int64) for c in table["counts"].to_pylist()]
         grams, summed = add_up(lists, counts)
-        logs = Trie(grams, summed, pairs.value).log10(grams)
+        if not orders:  # once a task
+            orders.extend(bounded_orders(triples.value))
+        logs = Trie(grams, summed, orders).log10(grams)
         words: Counter = Counter()
         owned = [w.split(b"\n") if w else [] for w in table["words"].to_pylist()]
         for ws, c in zip(owned, table["word_counts"].to_pylist(), strict=True):
