@@ -2,96 +2,140 @@
 
 For a piece vocabulary in which a space mark only ever leads a piece, no piece crosses from a
 character into a following space. A text is thus cut into pre-tokens (spaces, then
-other characters), whose piece counts add up. In each task the per-document pre-token frequencies
-meet a table that holds every distinct pre-token's number of pieces: each is counted once, the
-join is by the pre-token's number, and the sum is over frequencies times counts. No ids of a text
-are ever made, and nothing is shuffled: counting a pre-token again in another task costs less
-than moving its frequencies.
+other characters), whose piece counts add up:
 
-Cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows each give a row; a null id stays null; an
+1. One scan of the documents makes blocks of about BLOCK_CHARS: the block's distinct pre-tokens, and for each document the numbers of those it has, with their
+   frequencies. Blocks go to a table in the shared folder.
+2. The distinct pre-tokens of all blocks are brought together, and the pieces of each are counted, once in the whole run.
+3. Each block's list is joined with these counts by pre-token; the counts go back to their block, where frequencies times counts are summed by document.
+
+No ids of a text are ever made. A pre-token moves once for each block that has it, never for each document, and one that every document has is one row a block: no key is
+hot beyond the number of blocks. Texts aren't shuffled.
+
+Cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows each give a row; a null id stays null; a text longer than a block is a block of its own; an
 empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
-from copy import copy
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_texts, two_columns
+from .common import ddl, give_back, stored, two_columns
 
 #: The vocabulary's mark for a space.
 SPACE_MARK = "▁"
-#: Distinct pre-tokens a worker remembers.
-REMEMBERED = 400_000
+#: Characters of text in a block.
+BLOCK_CHARS = 16_000_000
 
 _runs = re.compile(" +[^ ]*")
-_loaded: dict[str, PieceCounts] = {}
+_loaded: dict[str, object] = {}
 
+BLOCK = pa.schema([("block", pa.int64()), ("pre_tokens", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("numbers", pa.binary()), ("times", pa.binary())])
+BLOCK_DDL = "block long, pre_tokens array<string>, ids array<long>, bytes array<long>, kinds array<int>, numbers binary, times binary"
+OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
-class PieceCounts:
-    """Pieces of each distinct pre-token, counted when first met."""
 
-    def __init__(self, model: bytes):
+def processor(model: bytes):
+    """The vocabulary of a model file's content, loaded once in a process."""
+    key = hashlib.sha256(model).hexdigest()
+    if key not in _loaded:
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        inside = [p for i in range(self.model.get_piece_size()) if SPACE_MARK in (p := self.model.id_to_piece(i)).lstrip(SPACE_MARK)]
+        own = sentencepiece.SentencePieceProcessor(model_proto=model)
+        inside = [p for i in range(own.get_piece_size()) if SPACE_MARK in (p := own.id_to_piece(i)).lstrip(SPACE_MARK)]
         if inside:
             raise ValueError(f"pieces with a space after other characters: {inside[:3]}")
-        self.counts: dict[str, int] = {}
-
-    def frequencies(self, text: str) -> Counter:
-        """Pre-tokens of a text, without their first space (the model puts one before a text)."""
-        if not text:
-            return Counter()
-        text = text.replace(SPACE_MARK, " ")
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return Counter([p[1:] for p in _runs.findall(" " + text)])
-        return Counter(text.split(" "))
-
-    def count(self, pre_tokens) -> None:
-        """Fills the table for these."""
-        new = [p for p in pre_tokens if p not in self.counts]
-        if len(self.counts) + len(new) > REMEMBERED:
-            self.counts.clear()
-            new = list(pre_tokens)
-        for p, pieces in zip(new, self.model.encode(new, num_threads=1), strict=True):
-            self.counts[p] = len(pieces) if p else 1  # a lone space is a piece; the model gives none for an empty text
-
-    def total(self, text: str) -> int:
-        frequencies = self.frequencies(text)
-        try:
-            return sum([n * self.counts[p] for p, n in frequencies.items()])
-        except KeyError:
-            self.count(frequencies.keys())
-            return sum([n * self.counts[p] for p, n in frequencies.items()])
-
-
-def piece_counts(model: bytes) -> PieceCounts:
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _loaded:
-        _loaded[key] = PieceCounts(model)
+        _loaded[key] = own
     return _loaded[key]
 
 
+def frequencies(text: str | None) -> Counter:
+    """Pre-tokens of a text, without their first space (the model puts one before a text)."""
+    if not text:
+        return Counter()
+    text = text.replace(SPACE_MARK, " ")
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return Counter([p[1:] for p in _runs.findall(" " + text)])
+    return Counter(text.split(" "))
+
+
+class Block:
+    """Documents of a block so far: ids, sizes, and frequencies by the pre-tokens' numbers."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.bytes, self.kinds, self.numbers, self.times = [], [], [], [], []
+        self.chars = 0
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        found, number = frequencies(text), self.number
+        self.ids.append(doc_id)
+        self.bytes.append(len((text or "").encode()))
+        self.kinds.append(len(found))
+        self.numbers.append(np.array([number.setdefault(p, len(number)) for p in found], np.uint32))
+        self.times.append(np.fromiter(found.values(), np.uint32, len(found)))
+        self.chars += len(text or "")
+
+    def batch(self) -> pa.RecordBatch:
+        packed = lambda x: np.concatenate([np.zeros(0, np.uint32), *x]).tobytes()
+        row = (random.getrandbits(63), list(self.number), self.ids, self.bytes, self.kinds, packed(self.numbers), packed(self.times))
+        return pa.RecordBatch.from_pydict({f.name: [x] for f, x in zip(BLOCK, row, strict=True)}, schema=BLOCK)
+
+
+def blocks(batches, chars: int):
+    """Arrow batches of (doc_id, text) as blocks, a row each."""
+    own = Block()
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if own.ids and own.chars + len(t or "") > chars:
+                yield own.batch()
+                own = Block()
+            own.add(i, t)
+    if own.ids:
+        yield own.batch()
+    del own
+    give_back()
+
+
 def count_tokens(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more tokens than limit). model is the model file's content, of fixed size."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
-
-    def make():
-        pieces = copy(piece_counts(shared.value))
-        pieces.counts = {}  # a memory of its own, which goes with the task
-
-        def run(keys, texts):
-            n = [pieces.total(t or "") for t in texts]
-            return {"doc_id": keys, "n_bytes": [len((t or "").encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
-
-        return run
-
-    return map_texts(two_columns(df, id_col, text_col), make, schema)
+    processor(model)
+    chars = BLOCK_CHARS
+    table = stored(two_columns(df, id_col, text_col).mapInArrow(lambda b: blocks(b, chars), BLOCK_DDL), "zstd")
+
+    def count(batches):
+        own = processor(shared.value)
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            # A lone space is a piece; the model gives none for an empty text.
+            pieces = [len(x) if p else 1 for p, x in zip(found, own.encode(found, out_type=str, num_threads=1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int32())], ["pre_token", "pieces"])
+
+    counted = table.select(F.explode("pre_tokens").alias("pre_token")).distinct().mapInArrow(count, "pre_token string, pieces int")
+    wanted = table.select("block", F.posexplode("pre_tokens").alias("number", "pre_token"))
+    answers = wanted.join(counted, "pre_token").select(F.col("block").alias("to"), "number", "pieces")
+
+    def total(own: pa.Table, answers: pa.Table) -> pa.Table:
+        pieces = np.zeros(answers.num_rows, np.int64)
+        pieces[answers["number"].to_numpy()] = answers["pieces"].to_numpy()
+        out: dict[str, list] = {f.name: [] for f in OUT}
+        for r in own.to_pylist():
+            numbers, times = np.frombuffer(r["numbers"], np.uint32), np.frombuffer(r["times"], np.uint32)
+            sums = np.r_[0, np.cumsum(pieces[numbers] * times.astype(np.int64))]
+            ends = np.cumsum(np.array(r["kinds"], np.int64))
+            n = (sums[ends] - sums[ends - np.array(r["kinds"], np.int64)]).tolist()
+            for c, x in (("doc_id", r["ids"]), ("n_bytes", r["bytes"]), ("n_tokens", n), ("over_limit", [x > limit for x in n])):
+                out[c] += x
+        give_back()
+        return pa.table(out, schema=OUT)
+
+    return table.drop("pre_tokens").groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(total, ddl(OUT))
