@@ -51,15 +51,17 @@ def meta_text(metadata: Column, key: str) -> Column:
 
 
 def patched(metadata: Column, patch: Column) -> Column:
-    """Shallow patch of a JSON object: a value sets its key, null deletes it. Keys come out sorted; values keep their JSON text."""
+    """Shallow patch of a JSON object: a value sets its key, null deletes it; stored nulls stay. Keys come out sorted; values keep their JSON text.
+
+    What isn't a JSON object counts as an empty one.
+    """
     kind = "map<string,variant>"
     old = F.coalesce(F.try_variant_get(F.try_parse_json(metadata), "$", kind), F.create_map().cast(kind))
     new = F.coalesce(F.try_variant_get(F.try_parse_json(patch), "$", kind), F.create_map().cast(kind))
-    keys = F.array_sort(F.array_union(F.map_keys(old), F.map_keys(new)))
-    entry = lambda k: F.when(F.array_contains(F.map_keys(new), k), new[k]).otherwise(old[k])
-    parts = F.transform(keys, lambda k: F.struct(k.alias("k"), F.to_json(entry(k)).alias("v")))
-    parts = F.filter(parts, lambda p: p["v"].isNotNull() & (p["v"] != "null"))
-    return F.concat(F.lit("{"), F.array_join(F.transform(parts, lambda p: F.concat(F.lit('"'), p["k"], F.lit('":'), p["v"])), ","), F.lit("}"))
+    kept = F.filter(F.array_union(F.map_keys(old), F.map_keys(new)), lambda k: ~(F.array_contains(F.map_keys(new), k) & F.coalesce(F.is_variant_null(new[k]), F.lit(True))))
+    value = lambda k: F.coalesce(F.to_json(F.when(F.array_contains(F.map_keys(new), k), new[k]).otherwise(old[k])), F.lit("null"))
+    quoted = lambda k: F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2)
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(kept), lambda k: F.concat(quoted(k), F.lit(":"), value(k))), ","), F.lit("}"))
 
 
 def conflicts(a: Column, b: Column) -> Column:

@@ -269,33 +269,72 @@ def markdown(data: bytes) -> Chunks:
 
 _go_top = re.compile(rb"^(?:func|type|const|var|import|package)\b", re.M)
 _go_func = re.compile(rb"func\s*(?:\(\s*\w*\s*\*?\s*(\w+)[^)]*\)\s*)?(\w+)")
-_go_name = re.compile(rb"(?:type|const|var)\s+(\w+)")
+#: Of a group, its first spec names it.
+_go_name = re.compile(rb"(?:type|const|var)\s*(?:\((?:\s|//[^\n]*\n|/\*.*?\*/)*)?(\w+)", re.S)
 
 
-def go_source(data: bytes) -> Chunks:
-    """Go files: a header chunk up to the imports, then one chunk for each top-level declaration with its doc comment; small
-    neighbours merge, large ones split between lines. Strings and comments are skipped by a scanner, so braces in them don't count."""
-    depth, top, i = 0, [], 0
+#: Keywords and signs after which a line break ends a statement; names, numbers, strings and closing brackets do too.
+_go_ends = re.compile(rb"(?:[\w)\]}\"'`;]|\+\+|--)$")
+
+
+def go_scan(data: bytes) -> tuple[list[tuple[int, str]], list[tuple[int, int]]]:
+    """Top-level keywords as (place, keyword), and lines that begin a statement or spec one bracket deep as (place, place of the bracket).
+
+    Strings and comments are passed over, so brackets in them don't count. A line continues the one before unless that ends in what a line break ends a statement after.
+    """
+    stack, top, inner, i, fresh, last = [], [], [], 0, True, b""
     while i < len(data):
         c = data[i : i + 1]
+        if c == b"\n":
+            fresh = True
+        elif not c.isspace() and data[i : i + 2] not in (b"//", b"/*"):
+            if fresh and not stack and (m := _go_top.match(data, i)) and (i == 0 or data[i - 1 : i] == b"\n"):
+                top.append((i, m[0].decode()))
+            elif fresh and len(stack) == 1 and c not in (b"}", b")") and (last[-1:] in (b"{", b"(") or _go_ends.search(last)):
+                inner.append((i, stack[0]))
+            fresh = False
+            last = (last + c)[-2:]
         if c in (b'"', b"`", b"'"):
             j = i + 1
             while j < len(data) and data[j : j + 1] != c:
                 j += 2 if data[j : j + 1] == b"\\" and c != b"`" else 1
             i = j
         elif data[i : i + 2] == b"//":
-            i = (data.find(b"\n", i) + 1 or len(data) + 1) - 2
+            end = data.find(b"\n", i)
+            i = (end if end >= 0 else len(data)) - 1
         elif data[i : i + 2] == b"/*":
-            i = (data.find(b"*/", i) + 2 if b"*/" in data[i:] else len(data)) - 1
+            end = data.find(b"*/", i + 2)
+            i = (end + 2 if end >= 0 else len(data)) - 1
         elif c in (b"{", b"("):
-            depth += 1
+            stack.append(i)
         elif c in (b"}", b")"):
-            depth -= 1
-        elif depth == 0 and (i == 0 or data[i - 1 : i] == b"\n") and (m := _go_top.match(data, i)):
-            top.append((i, m[0].decode()))
-        if depth < 0:
-            raise ValueError("unbalanced")
+            if not stack:
+                raise ValueError("unbalanced")
+            stack.pop()
         i += 1
+    return top, inner
+
+
+def go_pieces(data: bytes, start: int, end: int, at: int, kind: str, inner: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """An oversized declaration cut where a statement of its body (of a function) or a spec of its group begins, each piece grown to TARGET; whole if it has fewer than two."""
+    own = [x for x in inner if at < x[0] < end]
+    if kind == "func":
+        bodies = [o for _, o in own if data[o : o + 1] == b"{"]
+        cuts = [p for p, o in own if bodies and o == bodies[-1]]
+    else:
+        cuts = [p for p, o in own if not data[at + len(kind) : o].strip() and data[o : o + 1] == b"("]
+    out, first = [], start
+    for cut in cuts[1:]:
+        if weight(data[first:cut]) >= TARGET:
+            out.append((first, cut))
+            first = cut
+    return [*out, (first, end)]
+
+
+def go_source(data: bytes) -> Chunks:
+    """Go files: a header chunk up to the imports, then one chunk for each top-level declaration with its doc comment; small
+    neighbours merge, large ones split between statements or specs, never inside one."""
+    top, inner = go_scan(data)
     if not top or top[0][1] != "package":
         raise ValueError("no package clause")
     package = re.match(rb"package\s+(\w+)", data[top[0][0] :])[1].decode()
@@ -330,8 +369,7 @@ def go_source(data: bytes) -> Chunks:
             before.byte_end, before.symbol = end, before.symbol or name
             before.imports_used = sorted({*before.imports_used, *used})[:10]
         elif weight(data[start:end]) > MAX:
-            cuts = [start + x.byte_start for x in line_window(data[start:end]).chunks]
-            for a, b in zip(cuts, [*cuts[1:], end], strict=True):
+            for a, b in go_pieces(data, start, end, at, kind, inner):
                 if (e := trimmed(data, a, b)) > a:
                     out.append(Chunk(**asdict(c) | {"byte_start": a, "byte_end": e}))
         else:
@@ -340,7 +378,7 @@ def go_source(data: bytes) -> Chunks:
 
 
 def python_source(data: bytes) -> Chunks:
-    """Python files by their top-level statements, as Go files by their declarations."""
+    """Python files by their top-level statements, as Go files by their declarations. Ours, and only used where chunk_documents is told so."""
     tree = ast.parse(data)
     starts = [0]
     for a, _ in line_spans(data)[1:]:
@@ -359,7 +397,7 @@ def python_source(data: bytes) -> Chunks:
     return Chunks(out)
 
 
-CHUNKERS = {"line-window": line_window, "markdown": markdown, "go": go_source}
+CHUNKERS = {"line-window": line_window, "markdown": markdown, "go": go_source, "python": python_source}
 
 
 def chunk_file(route: str, data: bytes) -> tuple[str, Chunks]:
@@ -380,9 +418,11 @@ SCHEMA = pa.schema(
 DDL = ", ".join(f"{f.name} " + {"string": "string", "int32": "int", "bool": "boolean"}.get(str(f.type), "array<string>") for f in SCHEMA)
 
 
-def chunk_documents(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """A row for each chunk of each file that has a route, is UTF-8 and has no NUL. content: binary or string."""
-    rows = files.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("data"), paths.route(F.col(path)).alias("route")).where("route is not null and data is not null")
+def chunk_documents(files: DataFrame, path: str = "path", content: str = "content", python: bool = False) -> DataFrame:
+    """A row for each chunk of each file that has a route, is UTF-8 and has no NUL. content: binary or string. python: Python files go by their statements, not by line windows."""
+    route = paths.route(F.col(path))
+    route = F.when(F.lower(path).endswith(".py"), "python").otherwise(route) if python else route
+    rows = files.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("data"), route.alias("route")).where("route is not null and data is not null")
 
     def run(batches):
         for batch in batches:

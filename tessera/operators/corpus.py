@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths
 from tessera.functions.text import decomposed
 from tessera.operators import search
+from tessera.sources.tables import written
 
 KEY = ["namespace", "user_id", "repo_url", "path"]
 
@@ -75,19 +76,58 @@ def citation(repo: Column, commit: Column, path: Column, first: Column, last: Co
     return F.concat(origin, blank(path), F.lit(":L"), first.cast("string"), F.lit("-"), last.cast("string"))
 
 
+def manifest(docs: DataFrame, namespace: str, repo_url: str = "", user_id: int | None = None) -> DataFrame:
+    """id, path, file_sha256, dirty of a repository's documents, by path. An empty repository means loose files, never all."""
+    own = docs.where(F.col("namespace") == namespace)
+    own = own if user_id is None else own.where(F.col("user_id") == user_id)
+    own = own.where(F.col("repo_url") == repo_url) if repo_url else own.where(F.col("repo_url").isNull())
+    return own.select("id", "path", "file_sha256", "dirty").orderBy("path")
+
+
+def document(docs: DataFrame, document_id: int, namespace: str, user_id: int | None = None) -> DataFrame:
+    """A document of the scope by its id; no row for one outside."""
+    own = docs.where((F.col("id") == document_id) & (F.col("namespace") == namespace))
+    return own if user_id is None else own.where(F.col("user_id") == user_id)
+
+
+def document_chunks(docs: DataFrame, chunks: DataFrame, document_id: int, namespace: str, user_id: int | None = None) -> DataFrame:
+    """Its chunks by ordinal; none for a document outside the scope."""
+    own = chunks.where(F.col("document_id") == document_id)
+    return own.join(document(docs, document_id, namespace, user_id).select(F.col("id").alias("document_id")), "document_id", "left_semi").orderBy("ordinal")
+
+
+def search_documents(chunks: DataFrame, docs: DataFrame, queries: DataFrame, limit: int = 20, include_generated: bool = False, **filters: str) -> DataFrame:
+    """search_chunks over chunks (id, document_id, namespace, user_id, ordinal, content) joined with their documents by id, namespace and owner, under path_filters.
+
+    query_id, place, id, fallback, score, then repo_url and path.
+    """
+    kept = path_filters(docs, **filters).select(F.col("id").alias("document_id"), "namespace", "user_id", "repo_url", "path", "generated")
+    rows = chunks.drop("repo_url", "path", "generated").join(kept, ["document_id", "namespace", "user_id"])
+    found = search_chunks(rows, queries, limit if limit > 0 else 20, include_generated)
+    return found.join(rows.select("id", "repo_url", "path"), "id").select("query_id", "place", "id", (F.col("tier") == 1).alias("fallback"), "score", "repo_url", "path")
+
+
 def search_chunks(chunks: DataFrame, queries: DataFrame, limit: int = 10, include_generated: bool = False) -> DataFrame:
     """query_id, place, id, tier, score: exact matches first; only where these leave room, matches of the decomposed query on decomposed text.
 
-    chunks: id, content, document_id, ordinal, generated. The second pass is skipped for queries that decomposition doesn't change.
+    chunks: id, content, document_id, ordinal, generated. The second pass is only made for queries with room that decomposition changes; without any, it isn't made at all.
     """
     rows = chunks if include_generated else chunks.where("not generated")
-    exact = search.bm25(rows, queries, columns=("content",))
-    loose_rows = rows.select("id", decomposed(F.col("content")).alias("content"))
-    loose_queries = queries.select("query_id", decomposed(F.col("text")).alias("loose"), F.lower("text").alias("plain")).where("loose <> plain").select("query_id", F.col("loose").alias("text"))
-    loose = search.bm25(loose_rows, loose_queries, columns=("content",)).join(exact.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    both = exact.withColumn("tier", F.lit(0)).unionByName(loose.withColumn("tier", F.lit(1))).join(rows.select("id", "document_id", "ordinal"), "id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "document_id", "ordinal"))
-    return both.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "id", "tier", "score")
+    at = rows.select("id", "document_id", "ordinal")
+
+    def placed(found: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal"))
+        return found.join(at, "id").withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "id", "score")
+
+    exact = written(placed(search.bm25(rows, queries, columns=("content",))))
+    room = queries.join(exact.groupBy("query_id").agg(F.count("*").alias("_full")), "query_id", "left").withColumn("_full", F.coalesce("_full", F.lit(0))).where(F.col("_full") < limit)
+    loose_queries = written(room.select("query_id", "_full", decomposed(F.col("text")).alias("text"), F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("plain")).where("text <> plain and text <> ''"))
+    both = exact.withColumn("tier", F.lit(0))
+    if not loose_queries.isEmpty():
+        found = search.bm25(rows.select("id", decomposed(F.col("content")).alias("content")), loose_queries, columns=("content",)).join(exact.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        loose = placed(found).join(loose_queries.select("query_id", "_full"), "query_id").withColumn("place", F.col("place") + F.col("_full")).where(F.col("place") <= limit)
+        both = both.unionByName(loose.select("query_id", F.col("place").cast("int").alias("place"), "id", "score", F.lit(1).alias("tier")))
+    return both.select("query_id", "place", "id", "tier", "score")
 
 
 def path_filters(docs: DataFrame, prefix: str = "", basename: str = "", lang: str = "", repo: str = "") -> DataFrame:

@@ -81,6 +81,11 @@ def exists(facts: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.join(facts.select("content", "subject", "namespace"), ["content", "subject", "namespace"], "left_semi")
 
 
+def absent(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The asked ids (id) that no fact has, once each: what a read, a confirmation or a deletion reports as not found."""
+    return ids.select("id").where("id is not null").distinct().join(facts.select("id"), "id", "left_anti")
+
+
 def active_count(facts: DataFrame) -> DataFrame:
     return facts.where("superseded_by is null").agg(F.count("*").alias("n"))
 

@@ -118,6 +118,20 @@ def link(links: DataFrame, new: DataFrame) -> DataFrame:
     return links.unionByName(new.select(links.columns))
 
 
+def owned_links(new: DataFrame, facts: DataFrame, namespace: str, user_id: int | None = None) -> DataFrame:
+    """new links (id, source_id, target_id, other columns) with user_id and error: both ends must be facts of the namespace and of one owner, the given one if there is one.
+
+    A fact of somebody else fails just as one that isn't there. Distinct ends are counted by owner; a link of a fact with itself needs one.
+    """
+    there = facts.where(F.col("namespace") == namespace)
+    there = there if user_id is None else there.where(F.col("user_id") == user_id)
+    ends = new.select(F.col("id").alias("_link"), F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"), F.when(F.col("source_id") == F.col("target_id"), 1).otherwise(2).alias("_need"))
+    owners = ends.join(there.select("id", F.col("user_id").alias("_owner")), "id").groupBy("_link", "_owner", "_need").agg(F.countDistinct("id").alias("_n"))
+    good = owners.where("_n = _need").groupBy("_link").agg(F.min("_owner").alias("_owner"))
+    out = new.drop("user_id", "error").join(good, F.col("id") == F.col("_link"), "left")
+    return out.withColumn("user_id", F.col("_owner")).withColumn("error", F.when(F.col("_link").isNull(), "fact not found")).drop("_link", "_owner")
+
+
 def update_links(links: DataFrame, changes: DataFrame) -> DataFrame:
     """changes: id, label, metadata. An empty label keeps the old one; empty metadata becomes null."""
     c = changes.select("id", F.col("label").alias("_label"), F.col("metadata").alias("_meta"), F.lit(True).alias("_hit"))

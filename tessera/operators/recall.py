@@ -16,6 +16,7 @@ from tessera.functions import paths
 from tessera.functions.meta import meta_text
 from tessera.functions.text import candidate_words, cut_bytes
 from tessera.operators import search
+from tessera.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -65,12 +66,12 @@ def keywords(requests: DataFrame, counts: DataFrame | None, o: RecallOptions = R
     return scored.where("good").withColumn("place", place).where(F.col("place") <= o.max_keywords).select("request_id", "word", "place", "idf")
 
 
-def keyword_hits(facts: DataFrame, requests: DataFrame, words: DataFrame) -> DataFrame:
-    """request_id, id, lexical (sum over keywords of the normalised, boosted score), hits."""
+def keyword_hits(facts: DataFrame, requests: DataFrame, words: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """request_id, id, lexical (sum over keywords of the normalised, boosted score), hits. found: places of the words, if a scan has them."""
     # Each keyword is a query; a word shared by requests is searched once.
     limits = words.join(requests.select("request_id", "result_limit"), "request_id").groupBy("word").agg(F.max("result_limit").alias("most"))
     queries = limits.select(F.xxhash64("word").alias("query_id"), F.col("word").alias("text"), "word", "most")
-    scored = search.bm25(facts, queries.select("query_id", "text")).join(queries.select("query_id", "word"), "query_id")
+    scored = search.bm25(facts, queries.select("query_id", "text"), found=found).join(queries.select("query_id", "word"), "query_id")
     best = scored.withColumn("first", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "id")))
     mine = best.join(words, "word").join(requests.select("request_id", "result_limit"), "request_id")
     # Twice as many as wanted are fetched, and twice that goes into the merge.
@@ -131,7 +132,7 @@ def feedback_factor(avg: Column, n: Column) -> Column:
 
 
 def fact_block(row_id: Column, subject: Column, category: Column, created: Column, content: Column) -> Column:
-    return F.concat(F.lit("[id="), row_id.cast("string"), F.lit("] "), subject, F.lit(" | "), category, F.lit(" | "), F.date_format(created, "yyyy-MM-dd"), F.lit("\n  "), content, F.lit("\n"))
+    return F.concat(F.lit("[id="), row_id.cast("string"), F.lit("] "), subject, F.lit(" | "), category, F.lit(" | "), F.date_format(F.to_utc_timestamp(created, F.current_timezone()), "yyyy-MM-dd"), F.lit("\n  "), content, F.lit("\n"))
 
 
 def recall(facts: DataFrame, requests: DataFrame, counts: DataFrame | None = None, feedback: DataFrame | None = None, seen: DataFrame | None = None, recent: DataFrame | None = None, o: RecallOptions = RecallOptions(), scorer=None) -> DataFrame:
@@ -141,10 +142,12 @@ def recall(facts: DataFrame, requests: DataFrame, counts: DataFrame | None = Non
     """
     live = facts.where("superseded_by is null")
     requests = with_defaults(requests)
-    if counts is None:
-        counts = search.term_doc_counts(live, requests.select(F.explode(candidate_words(F.col("prompt"))).alias("word")))
-    words = keywords(requests, counts, o)
-    rows = keyword_hits(live, requests, words)
+    # One scan finds where the terms of all candidate words stand; counts, keywords and hits follow from that.
+    candidates = requests.select(F.explode(candidate_words(F.col("prompt"))).alias("word")).distinct()
+    asked = search.query_terms(candidates.select(F.xxhash64("word").alias("query_id"), F.col("word").alias("text")))
+    found = written(search.places(live, asked.select("term").unionByName(candidates.select(F.col("word").alias("term")))))
+    words = written(keywords(requests, search.term_doc_counts(None, candidates, found=found) if counts is None else counts, o))
+    rows = keyword_hits(live, requests, words, found)
     if "vector" in requests.columns and "embedding" in facts.columns:
         asked = requests.join(words.select("request_id"), "request_id", "left_semi")
         near = search.nearest(live, asked.select(F.col("request_id").alias("query_id"), "vector")).withColumnRenamed("query_id", "request_id")
@@ -185,3 +188,19 @@ def selected(rows: DataFrame, o: RecallOptions = RecallOptions()) -> DataFrame:
     rows = rows.withColumn("block", fact_block(F.col("id"), F.col("subject"), F.col("category"), F.col("created_at"), short))
     used = F.sum(F.octet_length("block")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", used).where("used <= budget").select("request_id", "rank", "id", "score", "block")
+
+
+def contexts(recalled: DataFrame, facts: DataFrame, o: RecallOptions = RecallOptions()) -> DataFrame:
+    """request_id, text: what is put before a prompt, the facts of a request in order of rank, a blank line between. Requests without facts have no row."""
+    line = F.concat(F.lit("[id="), F.col("id").cast("string"), F.lit("] "), "subject", F.lit(" | "), "category", F.lit("\n  "), cut_bytes(F.col("content"), o.fact_chars, "..."), F.lit("\n"))
+    rows = recalled.select("request_id", "rank", "id").join(facts.select("id", "subject", "category", "content"), "id").select("request_id", "rank", line.alias("line"))
+    got = rows.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("x"))  # as many as a request's limit
+    return got.select("request_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
+
+
+def recorded(recalled: DataFrame, requests: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(injections, seen): session_id, ref_id, ref_type, rank (from 0) of what was shown, and session_id, id of all that a session has seen. Requests without a session leave no trace."""
+    shown = recalled.join(requests.where("session_id <> ''").select("request_id", "session_id"), "request_id")
+    injected = shown.select("session_id", F.col("id").cast("string").alias("ref_id"), F.lit("fact").alias("ref_type"), (F.col("rank") - 1).alias("rank"))
+    now_seen = shown.select("session_id", "id")
+    return injected, (now_seen if seen is None else now_seen.unionByName(seen.select("session_id", "id"))).distinct()

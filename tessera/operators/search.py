@@ -1,7 +1,11 @@
 """Lexical, vector and hybrid search. Many queries at once are the general case; one query is a table of one row.
 
-Nothing builds an index over the whole corpus for a few queries: the scan's tokens meet the queries' first terms in a join, so what is shuffled is
-matches, and per-query top-k uses a group limit before the shuffle.
+A search of a few queries analyses the corpus once: the scan's tokens meet the queries' terms in a join, and where they stand is written, beside the length of each
+document, to the shared folder; matches, statistics and counts are all read from there. Postings that are kept (sources.postings) take the scan's place.
+Per-query top-k uses a group limit before the shuffle.
+
+Cases, of every function here: null texts and columns count as empty; a query without a term finds nothing; repeated documents (one id) are one; repeated queries of one id
+count as one query with all their words; ties go to the smaller id; empty tables give empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import cut_bytes, query_phrases, terms
 from tessera.functions.vector import cosine, norm
+from tessera.sources.tables import written
 
 K1, B = 1.2, 0.75
 TINY_IDF = 1e-6
@@ -42,42 +47,50 @@ class SearchOptions:
         return max(self.rerank_candidates if self.rerank_mode != "off" else 0, 2 * self.max_results)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("content", "subject", "category"), population: DataFrame | None = None, fetch: int | None = None, max_phrase: int | None = None) -> DataFrame:
-    """query_id, id, score of docs (id and text columns) that match all phrases of a query (query_id, text).
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, phrase, at, term, wanted (terms of the phrase): a row for each term of each phrase."""
+    phrases = queries.select("query_id", F.posexplode(query_phrases(F.col("text"))).alias("phrase", "want"))
+    return phrases.select("query_id", "phrase", F.size("want").alias("wanted"), F.posexplode("want").alias("at", "term"))
 
-    Statistics (documents, mean length, documents with a phrase) are of population, docs itself by default. max_phrase: terms of the longest query word, found by a pass
-    over the queries if not given.
-    """
-    if max_phrase is None:
-        max_phrase = queries.agg(F.max(F.array_max(F.transform(query_phrases(F.col("text")), F.size))).alias("n")).first()["n"] or 1
-    stats_of = docs if population is None else population
-    text = F.concat_ws(" ", *columns)
 
-    def tokens(df: DataFrame) -> DataFrame:
-        return df.select("id", terms(text).alias("terms")).withColumn("len", F.size("terms"))
+def places(docs: DataFrame, wanted: DataFrame, columns: tuple[str, ...] = ("content", "subject", "category")) -> DataFrame:
+    """term, id, len, pos: where each wanted term (term) stands in each document, and a row with an empty term for the document itself. One scan."""
+    tokens = docs.select("id", terms(F.concat_ws(" ", *columns)).alias("terms")).withColumn("len", F.size("terms"))
+    tokens = tokens.select("id", "len", F.posexplode(F.concat(F.array(F.lit("")), "terms")).alias("pos", "term"))
+    itself = wanted.sparkSession.range(1).select(F.lit("").alias("term"))
+    # The terms of queries are few; the optimizer broadcasts them by their measured size.
+    return tokens.join(wanted.select("term").distinct().unionByName(itself), "term").select("term", "id", "len", "pos")
 
-    phrases = queries.select("query_id", F.posexplode(query_phrases(F.col("text"))).alias("phrase", "want"))
-    phrases = phrases.withColumn("term", F.col("want")[0])
-
-    def hits(df: DataFrame) -> DataFrame:
-        # Each token with the few that follow it: exploding beside the whole list would copy the list for every token.
-        runs = F.col("terms") if max_phrase == 1 else F.transform("terms", lambda _, i: F.slice("terms", i + 1, max_phrase))
-        t = tokens(df).select("id", "len", F.explode(runs).alias("run"))
-        t = t.select("id", "len", F.col("run").alias("term"), F.array("run").alias("run")) if max_phrase == 1 else t.withColumn("term", F.col("run")[0])
-        # First terms of queries are few; the optimizer may broadcast them by their measured size.
-        found = t.join(phrases, "term").where(F.slice("run", 1, F.size("want")) == F.col("want"))
-        return found.groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-    size = tokens(stats_of).agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
-    own = hits(docs)
-    having = (own if population is None else hits(stats_of)).groupBy("query_id", "phrase").agg(F.count("*").alias("having"))
-    wanted = phrases.groupBy("query_id").agg(F.count("*").alias("wanted"))
+
+def matches(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, phrase, id, tf, len of places: a phrase stands where all its terms do, one after the other."""
+    met = found.join(asked, "term").withColumn("start", F.col("pos") - F.col("at"))
+    whole = met.where("wanted = 1").select("query_id", "phrase", "id", "len", "start")
+    longer = met.where("wanted > 1").groupBy("query_id", "phrase", "id", "start").agg(F.countDistinct("at").alias("n"), F.first("wanted").alias("wanted"), F.first("len").alias("len"))
+    whole = whole.unionByName(longer.where("n = wanted").select("query_id", "phrase", "id", "len", "start"))
+    return whole.groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def bm25(docs: DataFrame | None, queries: DataFrame, columns: tuple[str, ...] = ("content", "subject", "category"), population: DataFrame | None = None, fetch: int | None = None, found: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score of docs (id and text columns) that match all phrases of a query (query_id, text).
+
+    Statistics (documents, mean length, documents with a phrase) are of population, docs itself by default. found: places of the queries' terms, if the caller has
+    them already (of a scan, or of kept postings); docs isn't read then.
+    """
+    asked = query_terms(queries)
+    if found is None:
+        found = written(places(docs, asked, columns))
+    stats_of = found if population is None else written(places(population, asked, columns))
+    size = stats_of.where("term = ''").agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
+    own = matches(found, asked)
+    having = (own if population is None else matches(stats_of, asked)).groupBy("query_id", "phrase").agg(F.count("*").alias("having"))
     idf = F.log((F.col("docs") - F.col("having") + 0.5) / (F.col("having") + 0.5))
     idf = F.when(idf <= 0, TINY_IDF).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+    phrases = asked.groupBy("query_id").agg(F.countDistinct("phrase").alias("phrases"))
     scored = own.join(having, ["query_id", "phrase"]).crossJoin(size)  # size is one row
     scored = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
-    scored = scored.join(wanted, "query_id").where("matched = wanted").select("query_id", "id", "score")
+    scored = scored.join(phrases, "query_id").where("matched = phrases").select("query_id", "id", "score")
     return top(scored, fetch) if fetch else scored
 
 
@@ -158,8 +171,10 @@ def search(docs: DataFrame, queries: DataFrame, o: SearchOptions = SearchOptions
     return ranked.withColumn("rank", place).where(F.col("rank") <= o.max_results).select("query_id", "rank", "id", "fts", "vec", "rerank", "combined")
 
 
-def term_doc_counts(docs: DataFrame, words: DataFrame, columns: tuple[str, ...] = ("content", "subject", "category")) -> DataFrame:
-    """word, df, docs: documents with each word, and all documents, of one population."""
-    own = docs.select(F.explode(F.array_distinct(terms(F.concat_ws(" ", *columns)))).alias("word"))
-    counts = own.join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    return words.select("word").distinct().join(counts, "word", "left").fillna(0, ["df"]).crossJoin(docs.agg(F.count("*").alias("docs")))
+def term_doc_counts(docs: DataFrame | None, words: DataFrame, columns: tuple[str, ...] = ("content", "subject", "category"), found: DataFrame | None = None) -> DataFrame:
+    """word, df, docs: documents with each word, and all documents, of one population. found: places of the words, if there are any already."""
+    asked = words.select(F.col("word").alias("term")).distinct()
+    found = written(places(docs, asked, columns)) if found is None else found
+    counts = found.select(F.col("term").alias("word"), "id").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    size = found.where("term = ''").agg(F.count("*").alias("docs"))
+    return words.select("word").distinct().join(counts, "word", "left").fillna(0, ["df"]).crossJoin(size)

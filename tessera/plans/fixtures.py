@@ -2,32 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.schemas import MAX_CONTENT
-
-#: What keeps documents over the limit of an insert out of facts, in SQL. Queries of all documents do without.
-CAP = f" WHERE length(text) <= {MAX_CONTENT}"
-_all_documents: ContextVar[bool] = ContextVar("all_documents", default=False)
-
 #: Views in SQL; each query's SQL names those it needs through with_().
 VIEWS = {
-    "facts": f"""
+    "facts": """
       SELECT doc_id AS id, 'ns' || CAST(doc_id % 3 AS VARCHAR) AS namespace, doc_id % 4 AS user_id, text AS content, source AS subject, lang AS category,
         CASE doc_id % 8 WHEN 0 THEN 'decision' WHEN 1 THEN 'convention' WHEN 2 THEN 'invariant' WHEN 3 THEN 'failure_mode' WHEN 4 THEN 'pattern' WHEN 5 THEN 'summary' WHEN 6 THEN 'trigger' ELSE '' END AS kind,
         CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'sub' || CAST(doc_id % 5 AS VARCHAR) END AS subsystem,
-        CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '{{"chapter":' || CAST(doc_id % 10 AS VARCHAR) || '}}'
-          WHEN 2 THEN '{{"chapter":"text","surface":"project","project_path":"/work/src' || CAST(doc_id % 20 AS VARCHAR) || '"}}'
-          ELSE '{{"chapter":' || CAST(doc_id % 10 AS VARCHAR) || ',"quality":"' || CASE WHEN doc_id % 3 = 0 THEN 'local:draft' ELSE 'good' END || '"}}' END AS metadata,
+        CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '{"chapter":' || CAST(doc_id % 10 AS VARCHAR) || '}'
+          WHEN 2 THEN '{"chapter":"text","surface":"project","project_path":"/work/src' || CAST(doc_id % 20 AS VARCHAR) || '"}'
+          ELSE '{"chapter":' || CAST(doc_id % 10 AS VARCHAR) || ',"quality":"' || CASE WHEN doc_id % 3 = 0 THEN 'local:draft' ELSE 'good' END || '"}' END AS metadata,
         CASE WHEN doc_id % 7 = 3 THEN doc_id + 1 WHEN doc_id % 7 = 4 THEN doc_id + 2 END AS superseded_by,
         CASE WHEN doc_id % 7 IN (3, 4) THEN TIMESTAMP '2024-06-01 00:00:00' END AS superseded_at,
         CAST(doc_id % 5 AS INTEGER) AS confirmed_count, CAST(doc_id % 11 AS INTEGER) AS use_count,
         TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 HOUR AS created_at
-      FROM documents{CAP}""",
+      FROM documents""",
     "vectors": "SELECT vec_id AS id, embedding, label FROM embeddings",
     "links": """
       SELECT row_number() OVER (ORDER BY l_suppkey, l_partkey) AS id, l_suppkey AS source_id, 100000 + l_partkey AS target_id, CASE WHEN l_partkey % 3 = 0 THEN 'depends' ELSE 'reference' END AS link_type, l_partkey % 4 = 0 AS bidirectional
@@ -63,9 +54,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 4 == 3, F.concat(chapter, F.lit(',"quality":"'), F.when(i % 3 == 0, "local:draft").otherwise("good"), F.lit('"}')))
     )
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    docs = table(spark, sf_dir, "documents")
-    docs = docs if _all_documents.get() else docs.where(F.length("text") <= MAX_CONTENT)
-    return docs.select(
+    return table(spark, sf_dir, "documents").select(
         i.alias("id"), F.concat(F.lit("ns"), text(i % 3)).alias("namespace"), (i % 4).alias("user_id"), F.col("text").alias("content"), F.col("source").alias("subject"), F.col("lang").alias("category"),
         kind.alias("kind"), F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("sub"), text(i % 5))).alias("subsystem"), metadata.alias("metadata"),
         F.when(i % 7 == 3, i + 1).when(i % 7 == 4, i + 2).alias("superseded_by"), F.when((i % 7).isin(3, 4), F.lit("2024-06-01 00:00:00").cast("timestamp")).alias("superseded_at"),
@@ -73,19 +62,6 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def of_all_documents(query: Callable, sql: str | None) -> tuple[Callable, str | None]:
-    """The same query and SQL with every document as a stored fact, however long: the limit is a check of inserts and updates, no rule of reads."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = _all_documents.set(True)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _all_documents.reset(before)
-
-    return run, sql and sql.replace(CAP, "")
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 

@@ -6,14 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import fixtures, search_queries, store_queries, whole_queries
+from tessera.plans import more_queries, search_queries, store_queries, whole_queries
 
 
 def cases() -> dict[str, tuple]:
-    """Queries by name. Each on facts comes twice: of documents within the limit of an insert, and, as NAME_of_all, of all documents."""
-    own = search_queries.CASES | store_queries.CASES
-    twins = {f"{name}_of_all": fixtures.of_all_documents(query, sql) for name, (query, sql) in own.items() if sql and fixtures.CAP in sql}
-    return own | twins | whole_queries.CASES
+    """Queries by name, each over the whole of its tables."""
+    return search_queries.CASES | store_queries.CASES | whole_queries.CASES | more_queries.CASES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -80,12 +80,6 @@ def facts_by_subject(spark, sf):
     return facts_ops.by_subject(fx.facts(spark, sf), "src7").select("id", "content")
 
 
-@case(with_("facts") + "SELECT probe, n FROM (SELECT text AS probe, doc_id AS n, source, doc_id FROM documents) p WHERE n % 3 = 0 AND EXISTS (SELECT 1 FROM facts f WHERE f.content = p.probe AND f.subject = p.source AND f.namespace = 'ns0')")
-def exists_exact(spark, sf):
-    probes = fx.table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("text").alias("content"), F.col("source").alias("subject"), F.lit("ns0").alias("namespace"), F.col("doc_id").alias("n"))
-    return facts_ops.exists(fx.facts(spark, sf), probes).select(F.col("content").alias("probe"), "n")
-
-
 @case(with_("facts") + "SELECT count(*) AS n FROM facts WHERE superseded_by IS NULL")
 def active_count(spark, sf):
     return facts_ops.active_count(fx.facts(spark, sf))
@@ -209,7 +203,7 @@ def rerank_sql(fused: str, where: str) -> str:
         "facts",
         **hybrid_views(40),
         pool="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS place FROM fused",
-        scored=f"SELECT p.*, q.text AS q, list_distinct({TERMS.format('q.text')}) AS qt, list_distinct({TERMS.format('left(content, 10000)')}) AS dt, confirmed_count FROM pool p JOIN queries q USING (query_id) JOIN facts f ON f.id = p.id",
+        scored=f"SELECT p.*, q.text AS q, list_distinct({TERMS.format('q.text')}) AS qt, list_distinct({TERMS.format('content')}) AS dt, confirmed_count FROM pool p JOIN queries q USING (query_id) JOIN facts f ON f.id = p.id",
         reranked="SELECT *, CASE WHEN place <= 8 THEN CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(qt, dt)) / len(qt) END END AS rr FROM scored",
         final=f"SELECT *, CASE WHEN rr IS NULL THEN combined ELSE {fused} END + least(0.05 * confirmed_count, 0.15) AS score FROM reranked WHERE {where}",
         placed="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM final",
@@ -218,7 +212,7 @@ def rerank_sql(fused: str, where: str) -> str:
 
 def reranked(spark, sf, **options):
     f, q = hybrid_inputs(spark, sf)
-    o = search.SearchOptions(max_results=6, rerank_candidates=8, rerank_bytes=100000, **options)
+    o = search.SearchOptions(max_results=6, rerank_candidates=8, rerank_bytes=1 << 30, **options)
     # The arms fetch for the default pool, so that a smaller pool shows in the ranks only.
     lexical, vector = search.bm25(f, q, fetch=40), search.nearest(f, q, 40)
     rows = search.rerank(search.merge_arms(lexical, vector, o.weights), f, q, o)
@@ -262,12 +256,3 @@ def decomposed_urls(spark, sf):
 @case(r"SELECT page_id, length(regexp_replace(html, '\s', '', 'g')) AS weight FROM pages")
 def page_weight(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", weight(F.col("html")).cast("long").alias("weight"))
-
-
-@case(
-    with_("facts", words="SELECT DISTINCT lower(unnest(regexp_split_to_array(text, '[^A-Za-z]+'))) AS word FROM benchmark WHERE item_id < 10", terms=f"SELECT DISTINCT id, unnest({TERMS.format("content || ' ' || subject || ' ' || category")}) AS word FROM facts WHERE superseded_by IS NULL")
-    + "SELECT w.word, count(id) AS df, (SELECT count(*) FROM facts WHERE superseded_by IS NULL) AS docs FROM words w LEFT JOIN terms USING (word) WHERE w.word <> '' GROUP BY 1"
-)
-def term_document_counts(spark, sf):
-    w = fx.table(spark, sf, "benchmark").where("item_id < 10").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).select(F.lower("word").alias("word")).where("word <> ''").distinct()
-    return search.term_doc_counts(fx.facts(spark, sf).where("superseded_by is null"), w)

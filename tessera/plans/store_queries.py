@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
-from tessera.functions.meta import conflicts
 from tessera.operators import chunking, context, corpus, extract, graph, lifecycle, recall, search, sessions
 from tessera.plans import fixtures as fx
 from tessera.plans.fixtures import with_
@@ -60,10 +59,16 @@ def delete_cascades(spark, sf):
     return lifecycle.delete(ends, links, ids)[1].select("source_id", "target_id")
 
 
-@case("SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, 0 AS new FROM conversations WHERE turn < 2 UNION ALL SELECT conv_id, turn, role, 1 FROM conversations WHERE turn < 4) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY new) = 1")
+@case(
+    """SELECT conv_id, turn, role FROM (
+      SELECT conv_id, turn, role, 0 AS new FROM conversations WHERE turn % 2 = 0
+      UNION ALL SELECT conv_id, turn, 'again', 1 FROM conversations)
+    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY new) = 1"""
+)
 def insert_if_absent(spark, sf):
+    """Turns with even numbers are there; all turns come again."""
     t = fx.table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return lifecycle.insert_if_absent(t.where("turn < 2"), t.where("turn < 4"), ["conv_id", "turn"], ["role"])
+    return lifecycle.insert_if_absent(t.where("turn % 2 = 0"), t.withColumn("role", F.lit("again")), ["conv_id", "turn"], ["role"])
 
 
 @case(with_("facts") + "SELECT namespace, user_id, count(*) AS n FROM (SELECT namespace, user_id FROM facts UNION ALL SELECT 'mine', 7 FROM benchmark) GROUP BY ALL")
@@ -86,25 +91,6 @@ def update_link_labels(spark, sf):
     return out.groupBy("source_id").agg(F.count("*").alias("n"), F.count(F.when((F.col("label") == "new") & F.col("metadata").isNull(), 1)).alias("relabelled"))
 
 
-@case(
-    "WITH items AS (SELECT doc_id AS item, trim(CASE WHEN doc_id % 6 = 0 THEN '  ' WHEN doc_id % 6 = 1 THEN 'same' ELSE left(text, 40) END) AS content, CASE WHEN doc_id = 4 THEN '' ELSE lang END AS subject FROM documents WHERE doc_id < 18), "
-    "checked AS (SELECT *, CASE WHEN content = '' THEN 'content is required' WHEN subject = '' THEN 'subject is required' END AS error FROM items), placed AS (SELECT *, row_number() OVER (PARTITION BY content, subject ORDER BY (error IS NULL) DESC, item) AS k FROM checked) "
-    "SELECT item, CASE WHEN error IS NOT NULL THEN 'error' WHEN k > 1 THEN 'duplicate' ELSE 'stored' END AS status, error FROM placed"
-)
-def store_batch_statuses(spark, sf):
-    d = fx.table(spark, sf, "documents").where("doc_id < 18")
-    content = F.when(F.col("doc_id") % 6 == 0, "  ").when(F.col("doc_id") % 6 == 1, "same").otherwise(F.substring("text", 1, 40))
-    items = d.select(F.col("doc_id").alias("item"), content.alias("content"), F.when(F.col("doc_id") == 4, "").otherwise(F.col("lang")).alias("subject"), F.lit("").alias("category"))
-    return extract.store_batch(fx.facts(spark, sf), items)
-
-
-@case(with_("facts") + "SELECT a.id AS a, b.id AS b, (a.id % 4 = 1 AND b.id % 4 IN (1, 2, 3) AND (b.id % 4 = 2 OR a.id % 10 <> b.id % 10)) OR (a.id % 4 = 2 AND (b.id % 4 IN (1, 3) OR (b.id % 4 = 2 AND a.id % 20 <> b.id % 20))) OR (a.id % 4 = 3 AND (b.id % 4 = 2 OR (b.id % 4 IN (1, 3) AND a.id % 10 <> b.id % 10) OR (b.id % 4 = 3 AND (a.id % 3 = 0) <> (b.id % 3 = 0)))) AS conflict FROM facts a, facts b WHERE a.id < 40 AND b.id < 40")
-def metadata_conflicts(spark, sf):
-    f = fx.facts(spark, sf).where("id < 40").select("id", "metadata")
-    pairs = f.select(F.col("id").alias("a"), F.col("metadata").alias("m")).crossJoin(f.select(F.col("id").alias("b"), F.col("metadata").alias("o")))
-    return pairs.select("a", "b", conflicts(F.col("m"), F.col("o")).alias("conflict"))
-
-
 # ---- chains and links
 
 
@@ -159,13 +145,6 @@ def link_neighbourhood(spark, sf):
     return graph.neighbourhood(fx.links(spark, sf), spark.createDataFrame([(1,), (2,)], "id long"), 2)
 
 
-@case("WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey < 4) SELECT 100000 + l_partkey AS fact_id, l_suppkey AS other_id, s_name AS other_subject, left(s_name, 100) AS preview FROM l JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey < 40")
-def link_previews(spark, sf):
-    people = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("subject"), F.col("s_name").alias("content"))
-    links = fx.links(spark, sf).where("source_id < 4 and target_id < 100040")
-    return graph.neighbours(links, people, links.select(F.col("target_id").alias("fact_id"))).select("fact_id", "other_id", "other_subject", "preview")
-
-
 AUTO = {
     "new": "SELECT vec_id AS s, label, embedding AS v FROM embeddings WHERE vec_id % 10 = 3",
     "sims": "SELECT s AS source_id, vec_id AS target_id, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM new JOIN embeddings USING (label) WHERE vec_id <> s",
@@ -327,12 +306,6 @@ def transcripts(spark, sf):
     return sessions.parse_transcript(c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("line_no"), line.alias("value"))).select("session_id", "turn_index", "role", "content")
 
 
-@case("SELECT event_type AS session_id, CAST(user_id AS VARCHAR) AS cwd, count(*) AS n FROM events WHERE user_id < 20 GROUP BY ALL")
-def hook_payloads(spark, sf):
-    e = fx.table(spark, sf, "events").where("user_id < 20").select(F.to_json(F.struct(F.col("event_type").alias("session_id"), F.col("user_id").cast("string").alias("cwd"))).alias("payload"))
-    return sessions.hook_rows(e).groupBy("session_id", "cwd").agg(F.count("*").alias("n"))
-
-
 @case("SELECT CAST(doc_id AS VARCHAR) AS ref_id, avg(2.0 * quality - 1) AS avg, count(*) AS n FROM labels GROUP BY 1")
 def feedback_stats(spark, sf):
     return sessions.feedback_stats(fx.feedback(spark, sf))
@@ -343,20 +316,6 @@ def feedback_averages(spark, sf):
     return sessions.feedback_average(fx.feedback(spark, sf), fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("ref_id")))
 
 
-def injections(spark, sf):
-    return fx.table(spark, sf, "orders").where("o_orderkey < 4000").select((F.col("o_custkey") % 120).cast("string").alias("session_id"), F.col("o_orderkey").cast("string").alias("ref_id"), F.lit("fact").alias("ref_type"), (F.col("o_orderkey") % 10).cast("int").alias("rank"))
-
-
-@case("SELECT DISTINCT CAST(o_custkey % 120 AS VARCHAR) AS session_id FROM orders WHERE o_orderkey < 4000 AND CAST(o_custkey % 120 AS VARCHAR) IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations) AND CAST(o_custkey % 120 AS VARCHAR) NOT IN (SELECT CAST(doc_id % 50 AS VARCHAR) FROM labels)")
-def unrated_sessions(spark, sf):
-    return sessions.unrated_sessions(injections(spark, sf), fx.turns(spark, sf), fx.feedback(spark, sf))
-
-
-@case("SELECT CAST(o_orderkey AS VARCHAR) AS ref_id, CAST(o_orderkey % 10 AS INTEGER) AS rank FROM orders WHERE o_orderkey < 4000 AND o_custkey % 120 = 17")
-def injected_facts(spark, sf):
-    return sessions.injected_facts(injections(spark, sf), "17").select("ref_id", "rank")
-
-
 @case("SELECT event_id AS id, value AS relevance FROM events WHERE user_id % 5 = 1 AND event_type = 'view' OR (event_type = 'click' AND user_id % 7 = 2)")
 def pending_hints(spark, sf):
     e = fx.table(spark, sf, "events").where("event_type in ('view', 'click')")
@@ -383,19 +342,6 @@ def summary_texts(spark, sf):
     return fx.table(spark, sf, "region").select("r_name", sessions.summary_text(F.concat(F.lit(" Lead "), "r_name"), items, F.array(F.lit(" "))).alias("text"))
 
 
-@case(
-    with_(
-        g="SELECT user_id, event_type, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 3600 THEN 1 ELSE 0 END AS gap FROM events WHERE user_id < 60",
-        s="SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts) AS stretch FROM g",
-        l="SELECT * FROM s QUALIFY stretch = max(stretch) OVER (PARTITION BY user_id)",
-    )
-    + "SELECT user_id, string_agg(event_type, ',' ORDER BY t, event_type) AS files FROM (SELECT user_id, event_type, max(ts) AS t FROM l GROUP BY ALL) GROUP BY user_id"
-)
-def recent_files(spark, sf):
-    touches = fx.table(spark, sf, "events").where("user_id < 60").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("file"), "ts")
-    return sessions.recent_files(touches).select(F.col("session_id").alias("user_id"), F.array_join("files", ",").alias("files"))
-
-
 # ---- context and recall
 
 TASKS = ((1, "the ounty tion"), (2, "la de"), (3, "zz qq"))
@@ -419,22 +365,6 @@ def task_context(spark, sf):
     return context.get_context(fx.facts(spark, sf), tasks, limit=10).withColumn("score", F.round("score", 6))
 
 
-@case(
-    with_(
-        "facts",
-        tasks="SELECT item_id AS task_id, text AS task FROM benchmark WHERE item_id < 8",
-        r="SELECT id, category || 'er' AS agent, [category, 'there'] AS domains, content FROM facts WHERE superseded_by IS NULL AND id < 60",
-        s="SELECT task_id, id, agent, 3 * len(list_filter(domains, lambda d: contains(lower(task), d))) + len(list_filter(regexp_split_to_array(trim(lower(task)), '\\s+'), lambda w: strlen(w) >= 3 AND contains(lower(content), w))) AS score FROM r, tasks",
-        p="SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, id) AS rank, score / max(score) OVER (PARTITION BY task_id) AS share FROM s WHERE score > 0",
-    )
-    + "SELECT task_id, CAST(rank AS INTEGER) AS rank, id, agent, CAST(score AS INTEGER) AS score, CASE WHEN share >= 0.8 THEN 'high' WHEN share >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM p WHERE rank <= 5"
-)
-def agent_suggestions(spark, sf):
-    f = fx.facts(spark, sf).where("superseded_by is null and id < 60").select("id", F.concat("category", F.lit("er")).alias("agent"), F.array(F.col("category"), F.lit("there")).alias("domains"), "content")
-    tasks = fx.table(spark, sf, "benchmark").where("item_id < 8").select(F.col("item_id").alias("task_id"), F.col("text").alias("task"))
-    return context.scored_agents(f, tasks)
-
-
 @case(with_("files") + "SELECT path AS file, 1 AS id FROM files WHERE path LIKE '%.md' UNION ALL SELECT path, 2 FROM files WHERE regexp_matches(path, '(^|/)lib/([^/]*/)*[^/]*$') UNION ALL SELECT path, 3 FROM files WHERE regexp_matches(path, '(^|/)page1[0-9]\\.txt$')")
 def file_triggers(spark, sf):
     triggers = spark.createDataFrame([(1, "*.md"), (2, "lib/**"), (3, "page1?.txt"), (4, "none/*")], "id int, signal string")
@@ -451,7 +381,7 @@ def task_updates(spark, sf):
 
 
 RECALL = {
-    "req": "SELECT item_id, text, regexp_split_to_array(text, '\\s+') AS ws FROM benchmark WHERE item_id < 6",
+    "req": "SELECT item_id, text, regexp_split_to_array(text, '\\s+') AS ws FROM benchmark",
     "w0": f"SELECT item_id, pos, word FROM (SELECT item_id, generate_subscripts(ws, 1) AS pos, unnest(list_transform(ws, lambda w: lower(trim(w, '.,;:!?\"''()[]{{}}')))) AS word FROM req) WHERE strlen(word) >= 3 AND word NOT IN {STOPS} QUALIFY row_number() OVER (PARTITION BY item_id, word ORDER BY pos) = 1",
     "live": "SELECT * FROM facts WHERE superseded_by IS NULL",
     "an": f"SELECT id, {TERMS.format("content || ' ' || subject || ' ' || category")} AS terms FROM live",
@@ -461,16 +391,6 @@ RECALL = {
 }
 
 
-@case(with_("facts", **RECALL) + "SELECT item_id AS request_id, word, round(idf, 6) AS idf FROM kw")
-def recall_keywords(spark, sf):
-    req = fx.table(spark, sf, "benchmark").where("item_id < 6").select(F.col("item_id").alias("request_id"), F.col("text").alias("prompt"))
-    live = fx.facts(spark, sf).where("superseded_by is null")
-    from tessera.functions.text import candidate_words
-
-    counts = search.term_doc_counts(live, req.select(F.explode(candidate_words(F.col("prompt"))).alias("word")))
-    return recall.keywords(req, counts).select("request_id", "word", F.round("idf", 6).alias("idf"))
-
-
 PROMPTS = ((1, "s1", "the there hahere ndound worthless thention", "/work/src3/lib", "src3"), (2, "s2", "les pour dans eauxment menteux", "/home", ""), (3, "s1", "and of", "", ""))
 RECALL_FULL = with_(
     "facts",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,13 @@ from tessera.functions import paths
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a session on one machine gets a folder of its own; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera")
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints/tessera")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -25,10 +29,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def create_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that must not be there yet: of two who create it, one fails."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 class Snapshots:
     """A set of tables that change together: each commit writes new folders, then points to them by one small file.
 
-    Readers follow the newest pointer, so they see all tables of a commit or none; a failed commit leaves folders that nothing points to.
+    Readers follow the newest pointer, so they see all tables of a commit or none; a failed commit leaves folders that nothing points to. Of two writers
+    that begin from one version, the second fails when it comes to point, and may begin anew.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -43,15 +58,16 @@ class Snapshots:
             return []
         return [(r["version"], r["name"], r["path"]) for r in rows]
 
-    def commit(self, **tables: DataFrame) -> int:
+    def commit(self, by: tuple[str, ...] = (), **tables: DataFrame) -> int:
+        """Writes tables, in folders by the columns in by, and points to them with those of the version before."""
         known = self._versions()
         version = max((v for v, _, _ in known), default=0) + 1
         current = {n: p for v, n, p in sorted(known) if v == version - 1}
         for name, df in tables.items():
             current[name] = f"{self.root}/{name}/{version}-{uuid.uuid4()}"
-            df.write.parquet(current[name])
-        pointer = self.spark.createDataFrame([(version, n, p) for n, p in current.items()], "version long, name string, path string")
-        pointer.coalesce(1).write.mode("append").json(f"{self.root}/_commits/{version}")
+            (df.write.partitionBy(*by) if by else df.write).parquet(current[name])
+        text = "".join(json.dumps({"version": version, "name": n, "path": p}) + "\n" for n, p in sorted(current.items()))
+        create_file(self.spark, f"{self.root}/_commits/{version}/pointer.json", text)
         return version
 
     def read(self, name: str, version: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,6 +34,32 @@ def embed(facts: DataFrame, embedder: Callable[[Column], Column] = hashed_embedd
     return todo.where(good).select("id", embedder(text).alias("vector")), todo.where(~good).select("id", F.lit("no text").alias("error"))
 
 
+def embed_in_batches(facts: DataFrame, call: Callable[[list[str]], list[list[float]]], size: int = 50) -> DataFrame:
+    """id, vector of facts without a vector, by a model that takes up to size texts a call. An answer with another number of vectors is an error."""
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = (batch.column(i).to_pylist() for i in range(2))
+            for at in range(0, len(ids), size):
+                some = [t or "" for t in texts[at : at + size]]
+                got = call(some)
+                if len(got) != len(some):
+                    raise ValueError(f"{len(got)} vectors for {len(some)} texts")
+                yield pa.RecordBatch.from_pydict({"id": ids[at : at + size], "vector": got}, schema=pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float32()))]))
+
+    return facts.where("embedding is null").select("id", "content").mapInArrow(run, "id long, vector array<float>")
+
+
+def embed_outcomes(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, vector), (id, error), (id): answers (id, vectors, error, retryable) of a model, one fact each: stored, quarantined, tried again with the next batch.
+
+    What may pass (a time-out) or came with another number of vectors than one is tried again; any other error would come again for ever, and is quarantined.
+    """
+    good = F.col("error").isNull() & (F.size(F.coalesce("vectors", F.array().cast("array<array<float>>"))) == 1)
+    bad = F.col("error").isNotNull() & ~F.coalesce("retryable", F.lit(False))
+    return answers.where(good).select("id", F.col("vectors")[0].alias("vector")), answers.where(bad).select("id", "error"), answers.where(~good & ~bad).select("id")
+
+
 def embed_stream(facts: DataFrame, out: str, checkpoint: str, embedder: Callable[[Column], Column] = hashed_embedding, once: bool = False) -> StreamingQuery:
     """New facts of a stream to two tables, vectors and failures. A batch that is run again after a failure overwrites its own files: each has its folder."""
 
