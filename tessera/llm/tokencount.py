@@ -5,12 +5,12 @@ character into a following space. A text is thus cut into pre-tokens (spaces, th
 other characters), whose piece counts add up:
 
 1. One scan of the documents makes blocks of about BLOCK_CHARS: the block's distinct pre-tokens, and for each document the numbers of those it has, with their
-   frequencies. Blocks go to a table in the shared folder.
-2. The distinct pre-tokens of all blocks are brought together, and the pieces of each are counted, once in the whole run.
-3. Each block's list is joined with these counts by pre-token; the counts go back to their block, where frequencies times counts are summed by document.
+   frequencies, packed. Blocks go to a table in the shared folder.
+2. The blocks' pre-tokens are dealt by themselves and sorted, so that equal ones come one after the other, and the pieces of each are counted, once in the whole run.
+3. The counts go back to the blocks that asked, a packed row for each that a stretch of sorted pre-tokens answers, and frequencies times counts are summed by document.
 
 No ids of a text are ever made. A pre-token moves once for each block that has it, never for each document, and one that every document has is one row a block: no key is
-hot beyond the number of blocks. Texts aren't shuffled.
+hot beyond the number of blocks, and equal ones pass through a task as a stream. Texts aren't shuffled.
 
 Cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows each give a row; a null id stays null; a text longer than a block is a block of its own; an
 empty table gives an empty table; other columns are ignored.
@@ -33,11 +33,14 @@ from .common import ddl, give_back, stored, two_columns
 #: The vocabulary's mark for a space.
 SPACE_MARK = "▁"
 #: Characters of text in a block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
+#: Sorted pre-tokens that are answered at a time.
+ANSWERED = 500_000
 
 _runs = re.compile(" +[^ ]*")
 _loaded: dict[str, object] = {}
 
+ANSWER = pa.schema([("to", pa.int64()), ("numbers", pa.binary()), ("pieces", pa.binary())])
 BLOCK = pa.schema([("block", pa.int64()), ("pre_tokens", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("numbers", pa.binary()), ("times", pa.binary())])
 BLOCK_DDL = "block long, pre_tokens array<string>, ids array<long>, bytes array<long>, kinds array<int>, numbers binary, times binary"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -67,6 +70,18 @@ def frequencies(text: str | None) -> Counter:
     return Counter(text.split(" "))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers under 2 ** 32, compressed by their bytes: all first bytes, then all second ones, and so on."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], 4 * n, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 class Block:
     """Documents of a block so far: ids, sizes, and frequencies by the pre-tokens' numbers."""
 
@@ -80,13 +95,15 @@ class Block:
         self.ids.append(doc_id)
         self.bytes.append(len((text or "").encode()))
         self.kinds.append(len(found))
-        self.numbers.append(np.array([number.setdefault(p, len(number)) for p in found], np.uint32))
-        self.times.append(np.fromiter(found.values(), np.uint32, len(found)))
+        numbers = np.array([number.setdefault(p, len(number)) for p in found], np.int64)
+        order = np.argsort(numbers)
+        self.numbers.append(np.diff(numbers[order], prepend=0))  # gaps pack better
+        self.times.append(np.fromiter(found.values(), np.int64, len(found))[order])
         self.chars += len(text or "")
 
     def batch(self) -> pa.RecordBatch:
-        packed = lambda x: np.concatenate([np.zeros(0, np.uint32), *x]).tobytes()
-        row = (random.getrandbits(63), list(self.number), self.ids, self.bytes, self.kinds, packed(self.numbers), packed(self.times))
+        whole = lambda x: packed(np.concatenate([np.zeros(0, np.int64), *x]))
+        row = (random.getrandbits(63), list(self.number), self.ids, self.bytes, self.kinds, whole(self.numbers), whole(self.times))
         return pa.RecordBatch.from_pydict({f.name: [x] for f, x in zip(BLOCK, row, strict=True)}, schema=BLOCK)
 
 
@@ -113,26 +130,52 @@ def count_tokens(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
     table = stored(two_columns(df, id_col, text_col).mapInArrow(lambda b: blocks(b, chars), BLOCK_DDL), "zstd")
 
     def count(batches):
-        own = processor(shared.value)
+        """(block, number, pre_token), sorted by pre_token: the pieces of each, packed by block."""
+        own, last, n = processor(shared.value), None, 0
+        waiting: list[np.ndarray] = []
+
+        def answered():
+            rows = np.concatenate(waiting, 1)
+            rows = rows[:, np.lexsort((rows[1], rows[0]))]
+            edge = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]]).tolist()
+            some = [rows[:, a:b] for a, b in zip(edge, [*edge[1:], rows.shape[1]], strict=True)]
+            waiting.clear()
+            return pa.RecordBatch.from_pydict({"to": [int(r[0, 0]) for r in some], "numbers": [packed(np.diff(r[1], prepend=0)) for r in some], "pieces": [packed(r[2]) for r in some]}, schema=ANSWER)
+
         for batch in batches:
-            found = batch.column(0).to_pylist()
+            found = batch.column(2).dictionary_encode()
+            names = found.dictionary.to_pylist()
+            new = [p for p in names if p != last]  # only the first can have come before
             # A lone space is a piece; the model gives none for an empty text.
-            pieces = [len(x) if p else 1 for p, x in zip(found, own.encode(found, out_type=str, num_threads=1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int32())], ["pre_token", "pieces"])
+            pieces = [len(x) if p else 1 for p, x in zip(new, own.encode(new, out_type=str, num_threads=1), strict=True)]
+            pieces = [n] * (len(names) - len(new)) + pieces
+            if names:
+                last, n = names[-1], pieces[-1]
+            waiting.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), np.array(pieces, np.int64)[found.indices.to_numpy()]]))
+            if sum(w.shape[1] for w in waiting) >= ANSWERED:
+                yield answered()
+        if waiting:
+            yield answered()
+        give_back()
 
-    counted = table.select(F.explode("pre_tokens").alias("pre_token")).distinct().mapInArrow(count, "pre_token string, pieces int")
     wanted = table.select("block", F.posexplode("pre_tokens").alias("number", "pre_token"))
-    answers = wanted.join(counted, "pre_token").select(F.col("block").alias("to"), "number", "pieces")
+    answers = wanted.repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(count, "to long, numbers binary, pieces binary")
 
     def total(own: pa.Table, answers: pa.Table) -> pa.Table:
-        pieces = np.zeros(answers.num_rows, np.int64)
-        pieces[answers["number"].to_numpy()] = answers["pieces"].to_numpy()
+        rows = [(np.cumsum(unpacked(x)), unpacked(y)) for x, y in zip(answers["numbers"].to_pylist(), answers["pieces"].to_pylist(), strict=True)]
+        pieces = np.zeros(sum(len(x) for x, _ in rows), np.int64)
+        for at, n in rows:
+            pieces[at] = n
         out: dict[str, list] = {f.name: [] for f in OUT}
         for r in own.to_pylist():
-            numbers, times = np.frombuffer(r["numbers"], np.uint32), np.frombuffer(r["times"], np.uint32)
-            sums = np.r_[0, np.cumsum(pieces[numbers] * times.astype(np.int64))]
-            ends = np.cumsum(np.array(r["kinds"], np.int64))
-            n = (sums[ends] - sums[ends - np.array(r["kinds"], np.int64)]).tolist()
+            kinds = np.array(r["kinds"], np.int64)
+            ends = np.cumsum(kinds)
+            numbers = np.cumsum(unpacked(r["numbers"]))
+            # Gaps begin anew with each document.
+            before = np.r_[0, numbers][ends - kinds]
+            numbers -= np.repeat(before, kinds)
+            sums = np.r_[0, np.cumsum(pieces[numbers] * unpacked(r["times"]))]
+            n = (sums[ends] - sums[ends - kinds]).tolist()
             for c, x in (("doc_id", r["ids"]), ("n_bytes", r["bytes"]), ("n_tokens", n), ("over_limit", [x > limit for x in n])):
                 out[c] += x
         give_back()
