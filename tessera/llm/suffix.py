@@ -16,6 +16,13 @@ with one anchor form a block (35 windows on average), and blocks, not windows, a
    window, by hash and then by their bytes.
 4. Verdicts return to the buckets, which mark windows, remove what they cover and hash the rest.
 
+An anchor that very many buckets have (in a common line, say, each time with other surroundings) would bring all its blocks to one partition. Blocks of such an anchor are first
+cut by how far their windows reach left of it, STEP places at a time; windows of a part have all but STEP - 1 of their bytes in common, and by these
+bytes the part is dealt. So no partition gets more than what agrees in nearly a whole window.
+
+This is a variant of a suffix sort: one suffix in 35 is sorted, in an order by anchors, and windows that are shared by blocks which aren't equal are found by their hashes and bytes
+within the anchor's class, not by the order itself.
+
 Text is shuffled once; what else moves is hashes and surviving suffixes, each distinct one once per bucket, so
 a group of copies costs a bucket no more than one copy. Buckets are dealt by id and text, partitions by hash.
 
@@ -26,6 +33,7 @@ arbitrarily but each counted once as earlier; null ids come first; an empty tabl
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +44,8 @@ from .common import BUCKETS, ddl, give_back, in_buckets, partitions_for, two_col
 
 WINDOW, GRAM = 100, 32
 PLACES = WINDOW - GRAM + 1
+#: Buckets from which an anchor's blocks are cut before they're dealt, and places of a part.
+HOT, STEP = 64, 9
 SEGMENT_BITS = 20
 SEGMENT = 1 << SEGMENT_BITS
 BASE = 0x9E3779B97F4A7C15
@@ -133,21 +143,48 @@ class Bucket:
         self.lists = [(int(self.parts[x[0]]), x) for x in np.split(by_part, cuts[1:])] if len(grams) else []
         self.grams, self.counts = grams, counts
 
-    def entries(self, replies: dict[int, bytes]) -> tuple[np.ndarray, dict[bytes, int], list[tuple[int, bytes]]]:
-        """Numbers of surviving blocks; the first surviving block of each key; (part, key) in the order of runs."""
-        shared = np.zeros(len(self.grams), bool)
+    def entries(self, replies: dict[int, tuple[bytes, bytes]], parts: int) -> Entries:
+        """Surviving blocks, those of hot anchors cut into parts."""
+        shared, hot = np.zeros(len(self.grams), bool), np.zeros(len(self.grams), bool)
         for part, where in self.lists:
             if part in replies:
-                shared[where] = np.unpackbits(np.frombuffer(replies[part], np.uint8), count=len(where)).astype(bool)
+                for flags, packed in zip((shared, hot), replies[part], strict=True):
+                    flags[where] = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(where)).astype(bool)
+        b = self.blocks
         chosen = np.flatnonzero(shared[self.which]) if len(self.grams) else np.zeros(0, np.int64)
-        b, first, self.keys = self.blocks, {}, []
-        for i, d, a, low, high in zip(chosen.tolist(), b.doc[chosen].tolist(), b.anchor[chosen].tolist(), b.low[chosen].tolist(), b.high[chosen].tolist(), strict=True):
+        doc, anchor, low, high = (x[chosen] for x in (b.doc, b.anchor, b.low, b.high))
+        part, step = (self.parts[self.which[chosen]], np.full(len(chosen), -1)) if len(chosen) else (chosen, chosen)
+        if len(chosen) and hot.any():
+            cut = hot[self.which[chosen]]
+            first, last = (anchor - high)[cut] // STEP, (anchor - low)[cut] // STEP
+            times = last - first + 1
+            own = np.repeat(np.arange(len(times)), times)
+            steps = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
+            lows = np.maximum(low[cut][own], anchor[cut][own] - steps * STEP - STEP + 1)
+            highs = np.minimum(high[cut][own], anchor[cut][own] - steps * STEP)
+            whole = ~cut
+            doc, anchor = np.r_[doc[whole], doc[cut][own]], np.r_[anchor[whole], anchor[cut][own]]
+            low, high, part, step = np.r_[low[whole], lows], np.r_[high[whole], highs], np.r_[part[whole], np.zeros(len(own), np.int64)], np.r_[step[whole], steps]
+        keys, first_of, part = [], {}, part.tolist()
+        for i, (d, a, x, z, k) in enumerate(zip(doc.tolist(), anchor.tolist(), low.tolist(), high.tolist(), step.tolist(), strict=True)):
             t = self.texts[d]
-            key = t[a : high + WINDOW] + t[low:a][::-1] + bytes((high + WINDOW - a,))
-            self.keys.append(key)
-            first.setdefault(key, i)
-        part_of = self.parts[self.which]
-        return chosen, first, sorted((int(part_of[i]), k) for k, i in first.items())
+            key = t[a : z + WINDOW] + t[x:a][::-1] + bytes((z + WINDOW - a,))
+            if k >= 0:  # what all windows of the part have in common
+                part[i] = int.from_bytes(hashlib.blake2b(t[a - k * STEP : a + WINDOW - k * STEP - STEP + 1], digest_size=8, salt=bytes((k,))).digest(), "little") % parts
+            keys.append(key)
+            first_of.setdefault(key, i)
+        return Entries(doc, low, high, keys, first_of, sorted((part[i], k) for k, i in first_of.items()))
+
+
+class Entries(NamedTuple):
+    """Blocks as they're sorted: document, first and last window, key; the first one of each key; (part, key) in the order of runs."""
+
+    doc: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    keys: list[bytes]
+    first: dict[bytes, int]
+    ordered: list[tuple[int, bytes]]
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -319,29 +356,29 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lists = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
         every = np.concatenate(lists)
         grams, which, counts = np.unique(every, return_inverse=True, return_counts=True)
-        shared, rows, at = (counts > 1)[which], [], 0
+        shared, hot, rows, at = (counts > 1)[which], (counts >= HOT)[which], [], 0
         for bucket, part, g, many in zip(table["bucket"].to_pylist(), table["part"].to_pylist(), lists, table["many"].to_pylist(), strict=True):
             bits = shared[at : at + len(g)] | np.unpackbits(np.frombuffer(many, np.uint8), count=len(g)).astype(bool)
+            rows.append((bucket, 0, part, np.packbits(bits).tobytes(), np.packbits(hot[at : at + len(g)]).tobytes()))
             at += len(g)
-            rows.append((bucket, 0, part, np.packbits(bits).tobytes(), b""))
         return table_of(rows, R_SCHEMA)
 
     def send_runs(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return table_of([], B_SCHEMA)
         b, rows = Bucket(table, n), []
-        _, first, ordered = b.entries({p: d for p, (d, _) in replies_of(replies, 0).items()})
-        bucket, at = table["bucket"][0].as_py(), 0
+        found = b.entries(replies_of(replies, 0), n)
+        ordered, bucket, at = found.ordered, table["bucket"][0].as_py(), 0
         while at < len(ordered):
             part, end = ordered[at][0], at
             while end < len(ordered) and ordered[end][0] == part:
                 end += 1
             keys = [k for _, k in ordered[at:end]]
-            blocks = [first[k] for k in keys]
-            places = np.array([(*b.order[d], low) for d, low in zip(b.blocks.doc[blocks].tolist(), b.blocks.low[blocks].tolist(), strict=True)], np.int64)
+            blocks = [found.first[k] for k in keys]
+            places = np.array([(*b.order[d], low) for d, low in zip(found.doc[blocks].tolist(), found.low[blocks].tolist(), strict=True)], np.int64)
             rows.append((part, bucket, *front_code(keys), places.tobytes()))
             at = end
-        del b, first, ordered
+        del b, found, ordered
         give_back()
         return table_of(rows, B_SCHEMA)
 
@@ -351,7 +388,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         base = np.cumsum([0, *counts]).tolist()
         places = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 4) for p in columns["places"]])
         ranked = np.unique(places[:, :3], axis=0, return_inverse=True)[1].reshape(-1)
-        position = ((ranked << 40) + places[:, 3]).tolist()
+        bits = int(places[:, 3].max() + WINDOW).bit_length()  # a window's place in its document
+        if int(ranked.max()) >> (63 - bits):
+            raise OverflowError("more documents in a part than positions have room for: use more partitions")
+        position = ((ranked << bits) + places[:, 3]).tolist()
         verdict = np.zeros(len(places), np.uint8)
         masks: dict[int, bytes] = {}
         groups: list[list[tuple[bytes, int]]] = []
@@ -402,11 +442,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not table.num_rows:
             return table_of([], out_schema)
         b, verdicts = Bucket(table, n), replies_of(replies, 1)
-        chosen, first, ordered = b.entries({p: d for p, (d, _) in replies_of(replies, 0).items()})
+        found = b.entries(replies_of(replies, 0), n)
         said: dict[bytes, bytes | int] = {}
         seen: dict[int, int] = {}
         mask_at: dict[int, int] = {}
-        for part, key in ordered:
+        for part, key in found.ordered:
             data, masks = verdicts[part]
             k = seen.get(part, 0)
             seen[part] = k + 1
@@ -420,11 +460,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sizes = np.array([len(t) for t in b.texts])
         starts = np.cumsum(sizes) - sizes
         change = np.zeros(int(sizes.sum()) + 1, np.int32)
-        lows = starts[b.blocks.doc[chosen]] + b.blocks.low[chosen]
-        highs = starts[b.blocks.doc[chosen]] + b.blocks.high[chosen]
-        for i, key, low, high in zip(chosen.tolist(), b.keys, lows.tolist(), highs.tolist(), strict=True):
+        lows = starts[found.doc] + found.low
+        highs = starts[found.doc] + found.high
+        for i, (key, low, high) in enumerate(zip(found.keys, lows.tolist(), highs.tolist(), strict=True)):
             v = said[key]
-            if v == 1 or first[key] != i:
+            if v == 1 or found.first[key] != i:
                 change[low] += 1
                 change[high + WINDOW] -= 1
             elif v:
@@ -439,7 +479,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if n_gone else text
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n_gone else 0
             rows.append((b.ids[k], len(text), n_gone, spans, hashlib.sha256(kept).hexdigest(), *([kept] * texts)))
-        del b, said, change, covered
+        del b, found, said, change, covered
         give_back()
         return table_of(rows, out_schema)
 

@@ -101,3 +101,19 @@ def test_very_long_repetitive_texts():
     got = seeds.leaks(["a " * 100_000, "b a " * 60_000, None, ""])
     assert got[0] == [(0, 0, 0, 20, 20)] and got[1][0][0] == 1 and got[2:] == [[], []]
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("partitions", [3, 8])
+def test_repeats_around_common_lines(spark, monkeypatch, partitions):
+    """Lines that many documents have, each time between other words, and anchors that are cut wherever they occur."""
+    from tessera.llm import suffix
+
+    from . import brute
+
+    monkeypatch.setattr(suffix, "HOT", 1)
+    random.seed(31)
+    lines = ["all rights reserved by the makers of this very page and its friends " * k for k in (1, 2, 4)] + ["ab" * 90, "é" * 70]
+    w = lambda: "".join(random.choices("abcdeé", k=random.randint(1, 7)))
+    rows = [(i, " ".join(w() for _ in range(random.randint(0, 20))) + random.choice(lines) + " ".join(w() for _ in range(random.randint(0, 20)))) for i in range(90)] + [(100, None), (101, "")]
+    got = {r["doc_id"]: tuple(r) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), texts=False, partitions=partitions).collect()}
+    assert got == brute.repeats(rows)
