@@ -30,15 +30,16 @@ ADDED = ("secret", "number", "name")
 #: Fixed patterns of the contract, possessive, begun at the start of a run.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+",
     "number": r"(?<![A-Za-z0-9+.-])\(?[0-9]{3}(?:\)\x20?|[\x20.-])[0-9]{2,3}[\x20.-][0-9]{4}(?![A-Za-z0-9-])",
-    "name": r"(?<=\b(?:Mr|Ms|Mrs|Dr)\.\x20|\bDear\x20|\bname\x20is\x20)[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?(?![A-Za-z])",
+    "name": r"(?=[A-Z])(?<=\b(?:Mr|Ms|Mrs|Dr)\.\x20|\bDear\x20|\bname\x20is\x20)[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?(?![A-Za-z])",
 }
-#: What a text must hold for a pattern to be worth a look.
-GATES = {"email": "@", "phone": "+"}
+#: What a text must hold for a pattern to be worth a look: one of some strings, or a simpler pattern that every good match holds.
+GATES = {"email": ("@",), "phone": ("+",), "name": ("Mr. ", "Ms. ", "Mrs. ", "Dr. ", "Dear ", "name is ")}
+SIMPLER = {"ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){13}[0-9]", "number": r"[0-9][\x20.-][0-9]{4}"}
 #: Fixed words of the gazetteer: before a span of personal data, and before something else.
 CUES = ("token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "bearer", "auth", "phone", "tel", "call", "mobile", "fax", "ssn", "passport", "account", "id", "dear", "mr", "ms", "mrs", "dr", "is", "name")
 OTHERS = ("isbn", "issn", "version", "page", "chapter", "order", "figure", "table", "sha1", "commit", "md5", "checksum", "of", "the")
@@ -57,7 +58,12 @@ def matches(text: Column, kind: str) -> Column:
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), lambda parts: places(parts, hits))))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     found = F.coalesce(found, none)
-    return F.when(F.contains(text, F.lit(GATES[kind])), found).otherwise(none) if kind in GATES else found
+    worth = None
+    for some in GATES.get(kind, ()):
+        worth = F.contains(text, F.lit(some)) if worth is None else worth | F.contains(text, F.lit(some))
+    if kind in SIMPLER:
+        worth = F.regexp_like(text, F.lit(SIMPLER[kind]))
+    return found if worth is None else F.when(worth, found).otherwise(none)
 
 
 def digits(value: Column) -> Column:
