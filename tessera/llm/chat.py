@@ -12,7 +12,8 @@ control strings only ever stand where the template put them, and reading back is
 
 Cases: a null text counts as empty, a null role as an empty role; a null turn number comes first; turns that share
 a number come by role, then text; repeated rows are turns of their own; a null conversation id is a
-conversation; an empty table gives an empty table; other columns are ignored.
+conversation; an empty table gives an empty table; other columns are ignored. A record that is null, isn't JSON, is empty or mixes layouts (a message of text beside one of
+parts, say) has a layout that isn't known, and null turns; its text stays with the caller under its id. Repeated records are each answered.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ LAYOUTS: dict[tuple[str, ...], str] = {
     ("completion", "prompt"): "array(struct('user' AS role, try_variant_get(r, '$.prompt', 'string') AS text), struct('assistant' AS role, try_variant_get(r, '$.completion', 'string') AS text))",
     ("instruction", "output"): "array(struct('user' AS role, try_variant_get(r, '$.instruction', 'string') AS text), struct('assistant' AS role, try_variant_get(r, '$.output', 'string') AS text))",
     ("input", "instruction", "output"): "array(struct('user' AS role, concat_ws('\\n\\n', try_variant_get(r, '$.instruction', 'string'), nullif(try_variant_get(r, '$.input', 'string'), '')) AS text), struct('assistant' AS role, try_variant_get(r, '$.output', 'string') AS text))",
+    ("messages[].content[].text", "messages[].content[].type", "messages[].role"): "transform(try_variant_get(r, '$.messages', 'array<struct<role string, content array<struct<type string, text string>>>>'), m -> struct(m.role AS role, array_join(transform(filter(m.content, c -> c.type = 'text'), c -> c.text), '') AS text))",
     ("prompt", "response", "system"): "array(struct('system' AS role, try_variant_get(r, '$.system', 'string') AS text), struct('user' AS role, try_variant_get(r, '$.prompt', 'string') AS text), struct('assistant' AS role, try_variant_get(r, '$.response', 'string') AS text))",
 }
 #: The same for tables of turn rows: key, order, role and text columns.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, jaccard, langid, pii, ppm, quality, suffix, tokencount
 from .common import documents
-from .sql import OP1_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL
+from .sql import LAYOUTS_SQL, OP1_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL
 
 
 def vocabulary_file(name: str) -> bytes:
@@ -87,9 +87,38 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a JSON record in one of seven layouts, the last of them unknown, brought to canonical turns by the records' fingerprints."""
+    chats = chat.turns_of_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+    def each(*fields):
+        return F.to_json(F.struct(F.transform("turns", lambda t: F.struct(*[make(t).alias(name) for name, make in fields[1:]])).alias(fields[0])))
+
+    def said(i: int):
+        return F.coalesce(F.get("turns", F.lit(i))["text"], F.lit(""))
+
+    role, text = (lambda t: t["role"]), (lambda t: t["text"])
+    speaker = lambda t: F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"])
+    cut = lambda t: F.array(F.struct(F.lit("text").alias("type"), F.substring(t["text"], 1, 5).alias("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), t["text"].substr(F.lit(6), F.lit(1 << 30)).alias("text")))
+    records = [
+        each("messages", ("role", role), ("content", text)),
+        each("turns", ("text", text), ("role", role)),
+        each("conversations", ("from", speaker), ("value", text)),
+        F.to_json(F.struct(said(1).alias("response"), said(0).alias("prompt"))),
+        F.to_json(F.struct(said(0).alias("instruction"), said(1).alias("input"), said(2).alias("output"))),
+        each("messages", ("role", role), ("content", cut)),
+        each("dialogue", ("who", role), ("what", text)),
+    ]
+    kind = F.pmod("id", F.lit(len(records)))
+    record = F.coalesce(*[F.when(kind == k, r) for k, r in enumerate(records)])
+    got = chat.canonical_turns(chats.select("id", record.alias("record")))
+    said_all = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return got.select(F.col("id").alias("conv_id"), F.when(F.col("turns").isNotNull(), F.size("turns")).cast("long").alias("n_turns"), F.sha2(said_all, 256).alias("turns_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_suffix_dedup, op5_language, op6_jaccard, op7_decontaminate, op8_pii, op9_ppm, op10_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_suffix_dedup, op5_language, op6_jaccard, op7_decontaminate, op8_pii, op9_ppm, op10_chat, chat_layouts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_chat": OP10_SQL}
+    return {"op1_quality": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_chat": OP10_SQL, "chat_layouts": LAYOUTS_SQL}

@@ -91,3 +91,15 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(head) + length(body) + 15) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+#: What each layout's record says, by conversation: all turns, a pair, a triple, or nothing that is known.
+LAYOUTS_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations),
+firsts AS (SELECT conv_id, coalesce(max(text) FILTER (k = 1), '') AS a, coalesce(max(text) FILTER (k = 2), '') AS b, coalesce(max(text) FILTER (k = 3), '') AS c FROM t GROUP BY conv_id),
+said AS (
+  SELECT conv_id, k, role, text FROM t WHERE conv_id % 7 IN (0, 1, 2, 5)
+  UNION ALL SELECT conv_id, 1, 'user', CASE WHEN conv_id % 7 = 4 AND b <> '' THEN a || chr(10) || chr(10) || b ELSE a END FROM firsts WHERE conv_id % 7 IN (3, 4)
+  UNION ALL SELECT conv_id, 2, 'assistant', CASE WHEN conv_id % 7 = 4 THEN c ELSE b END FROM firsts WHERE conv_id % 7 IN (3, 4))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256 FROM said GROUP BY conv_id
+UNION ALL SELECT DISTINCT conv_id, NULL, NULL FROM t WHERE conv_id % 7 = 6
+"""
