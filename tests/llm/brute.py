@@ -26,11 +26,11 @@ def repeats(rows, window=100):
     return out
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, shingle=3, level=90):
     sets = {}
     for d, t in rows:
         w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
-        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else ({tuple(w)} if w else set())
     parent = {d: d for d in sets}
 
     def root(x):
@@ -44,7 +44,7 @@ def near_duplicates(rows):
             inverted[s].append(d)
     for d in sorted(sets):
         for e, k in Counter(e for s in sets[d] for e in inverted[s] if e > d).items():
-            if 100 * k >= 90 * (len(sets[d]) + len(sets[e]) - k):
+            if 100 * k >= level * (len(sets[d]) + len(sets[e]) - k):
                 a, b = sorted((root(d), root(e)))
                 parent[b] = a
     return {d: (d, len(sets[d]), root(d)) for d in sets}

@@ -16,7 +16,7 @@ def test_run_as_plain_steps(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     model = vocabulary_file("piece_bpe_32k.model")
     known = {r["doc_id"] for r in langid.identify(docs, model, langid.train(docs, model)).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5}
-    stay = {d for d, (_, _, c) in brute.near_duplicates([(d, texts[d]) for d in sorted(known)]).items() if d == c}
+    stay = {d for d, (_, _, c) in brute.near_duplicates([(d, texts[d]) for d in sorted(known)], 5, 80).items() if d == c}
     seeds = decontaminate.Seeds([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     clean = {d for d in stay if not seeds.leaks([texts[d]])[0]}
     vocab = vocabulary(vocabulary_file("word_bpe_49k.json"))
