@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard, langid, pii
-from tessera.llm.common import documents, ensure_checkpoint_dir
+from tessera.llm.common import documents, ensure_checkpoint_dir, forget, kept_at
 from tessera.llm.queries import vocabulary_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A prediction under this share of the posterior is no identification.
 LEAST_SCORE = 0.5
-#: Words of a shingle and least similarity, in hundredths, of near-duplicates: those of operator 6, as the tests of the pipeline say.
-SHINGLE, LEVEL = 3, 90
+#: Words of a shingle and least similarity, in hundredths, of near-duplicates. (Operator 6's own query has a contract with others.)
+SHINGLE, LEVEL = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +64,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents; what a stage keeps is written to the shared folder, and read again by the next."""
-    ensure_checkpoint_dir(spark)
-    shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4()}"
-    docs = documents(spark, sf_dir)
+    shared = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{shared}/{k}-{name}")
-            docs = spark.read.parquet(f"{shared}/{k}-{name}")
+            docs = kept_at(spark.read.parquet(f"{shared}/{k}-{name}"), f"{shared}/{k}-{name}")
+            if before is not None:
+                forget(before)  # the next stage reads what this one has written
+            before = docs
     return docs
