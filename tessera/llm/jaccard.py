@@ -15,7 +15,8 @@ Documents with one set are one node, named by its smallest doc_id.
 Lists of near-duplicates overlap and would give the square of a group's size in pairs. So nodes many of whose lists are long first go to
 their SEVERAL longest only, in blocks of BLOCK, where all pairs are compared by scanning the block's own inverted index; the links found
 are contracted. After that a list matters only where it joins two components. Its pairs, now between different components, must first pass an
-exact bound (overlap is at most the sum of smaller counts over hash bins), and what passes is compared in full. No link between components
+exact bound (overlap is at most the sum of smaller counts over hash bins), and what passes is compared in full. A list longer than a block is cut by classes of
+size first, as sets whose sizes differ by more than the level allows can't link. No link between components
 is lost, and none within one is enumerated. Texts are only fetched for nodes of long lists and for pairs that pass the bound.
 
 Cases: null texts and texts without words have empty sets, link to nothing and are their own component; a null id links to nothing and has a null
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import combinations
-from math import ceil, comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -319,11 +320,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = heavy.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     entries = entries.withColumn("order", F.transform("lists", lambda x: x["token"])).select("node", "n", "component", "order", F.posexplode("lists").alias("k", "list"))
     entries = entries.select("node", "n", "component", "list.*", F.slice("order", F.greatest(F.col("k") - BEFORE, F.lit(0)) + 1, F.least("k", F.lit(BEFORE))).alias("before"))
+    # Only sets of nearly one size can link: a list beyond a block is cut by sizes, each entry standing in the class of its own and, as a guest, in the next.
+    own_class = F.floor(F.log(F.col("n").cast("double")) / log(100.01 / level)).cast("int") if level < 100 else F.col("n").cast("int")
+    classes = F.array(own_class, own_class + 1)
+    crowds = heavy.select("n", F.explode("lists").alias("list")).where(F.col("list.length") > BLOCK).select("list.token", F.explode(classes).alias("size"))
+    crowds = small(crowds.groupBy("token", "size").agg(F.count("*").cast("int").alias("crowd")))
+    entries = entries.withColumn("size", F.explode(F.when(F.col("length") > BLOCK, classes).otherwise(F.array(F.lit(-1))))).withColumn("guest", (F.col("length") > BLOCK) & (F.col("size") != own_class))
+    entries = entries.join(crowds, ["token", "size"], "left").withColumn("length", F.coalesce("crowd", "length"))
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     entries = entries.withColumn("own", F.pmod(F.xxhash64("node", "token"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    entries = stored(entries.select("token", "node", "n", "place", "component", "before", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
+    entries = stored(entries.select("token", "size", "guest", "node", "n", "place", "component", "before", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
     e, f = entries.alias("e"), entries.alias("f")
-    meet = F.expr("e.token = f.token and e.x = f.x and e.y = f.y and e.node < f.node and e.component <> f.component and (e.x = e.y or e.own <> f.own)")
+    meet = F.expr("e.token = f.token and e.size = f.size and e.x = f.x and e.y = f.y and e.node < f.node and e.component <> f.component and (e.x = e.y or e.own <> f.own) and not (e.guest and f.guest)")
     fits = F.expr(f"{level} * greatest(e.n, f.n) <= 100 * least(e.n, f.n) and {100 + level} * least(e.n - e.place, f.n - f.place) >= {level} * (e.n + f.n)")
     pairs = e.join(f, meet & fits & F.expr("not arrays_overlap(e.before, f.before)")).select(F.col("e.node").alias("a"), F.col("f.node").alias("b")).distinct()
     met = small(pairs)
@@ -349,7 +357,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     more = pairs.join(text.toDF("a", "text"), "a").join(text.toDF("b", "text_b"), "b").mapInArrow(compared, ddl(LINK))
     last = components(links.union(more))
-    done, label = [found, label, heavy, first, links, entries, met, shaped, pairs, wanted, text, last], small(last)
+    done, label = [found, label, heavy, first, links, crowds, entries, met, shaped, pairs, wanted, text, last], small(last)
     forget(*done)
     named = nodes.select("set_id", "node").join(label, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     # Rows without a set or an id need no name; a set with very many copies is looked up where its rows are.
