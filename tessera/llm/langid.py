@@ -38,8 +38,8 @@ LONGEST = 64
 SHORT = 32
 #: Positions of a long word at a time, and after how many of them sums are rescaled.
 BLOCK, RESCALE = 4096, 16
-#: Distinct words that a task counts before it sends them on, and numbers in the table of a worker's scored words.
-REMEMBERED, TABLE = 200_000, 16_000_000
+#: Distinct words that a task counts before it sends them on; words, and numbers in all, in the table of a worker's scored words.
+REMEMBERED, SCORED, TABLE = 200_000, 400_000, 16_000_000
 #: Of a piece that a language never used, and of a letter that no piece has.
 FLOOR, UNKNOWN = 1e-8, 1e-7
 
@@ -320,7 +320,7 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
         found = [words_of(t) for t in texts]
-        if len(self.row) * self.p.shape[1] > TABLE:
+        if len(self.row) > min(SCORED, TABLE // self.p.shape[1]):
             self.row, self.table = {}, self.table[:0]
         if new := list(dict.fromkeys([w for ws in found for w in ws if w not in self.row])):
             self.learn(new)
