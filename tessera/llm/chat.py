@@ -80,15 +80,19 @@ def record_paths(record: Column) -> Column:
         leaf = ~(part.endswith(": ") | part.isin("ARRAY<", "OBJECT<", ">")) | empty
         return F.struct(at.alias("at"), within.alias("within"), F.when(leaf, F.concat(s["paths"], F.array(at))).otherwise(s["paths"]).alias("paths"), part.alias("last")).cast(state)
 
-    parts = F.regexp_extract_all(F.schema_of_variant(record), F.lit(SCHEMA_PARTS), F.lit(0))
     none = F.array().cast("array<string>")
     start = F.struct(F.lit("").alias("at"), none.alias("within"), none.alias("paths"), F.lit("").alias("last")).cast(state)
-    return F.array_sort(F.aggregate(parts, start, step, lambda s: s["paths"]))
+    return F.array_sort(F.aggregate(schema_parts(record), start, step, lambda s: s["paths"]))
+
+
+def schema_parts(record: Column) -> Column:
+    return F.regexp_extract_all(F.schema_of_variant(record), F.lit(SCHEMA_PARTS), F.lit(0))
 
 
 def record_fingerprint(record: Column) -> Column:
-    """Fingerprint of a parsed JSON record: the hash of its sorted field paths."""
-    return F.xxhash64(F.array_join(record_paths(record), "\n"))
+    """Fingerprint of a parsed JSON record: the hash of its sorted field paths, and of a mark where elements of an array have values of several kinds at one path."""
+    mixed = F.when(F.array_contains(schema_parts(record), "VARIANT"), F.lit("\n?")).otherwise("")
+    return F.xxhash64(F.concat(F.array_join(record_paths(record), "\n"), mixed))
 
 
 def canonical_turns(df: DataFrame, id_col: str = "id", record_col: str = "record", layouts: dict | None = None) -> DataFrame:
