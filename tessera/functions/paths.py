@@ -14,6 +14,7 @@ EXCLUDED_DIRS = ("vendor", "node_modules", ".git")
 MAX_FILE_BYTES = 1 << 20
 #: Globs of a side that is broadcast: about 20 MB.
 BROADCAST_GLOBS = 100_000
+#: Fixed value: the line by which Go tools mark what they generate.
 GENERATED = r"(?m)^// Code generated .* DO NOT EDIT\.$"
 
 
@@ -56,7 +57,7 @@ def valid(path: Column) -> Column:
 
 
 def skip_reason(path: Column, size: Column) -> Column:
-    """Why a file isn't taken in, or null: its directory, its extension, its size, in this order."""
+    """Why a file isn't taken in, or null: its directory, its extension, its size, in this order. The wordings are fixed values: they are counted and shown as they are."""
     bad = F.filter(F.split(path, "/"), lambda s: s.isin(*EXCLUDED_DIRS))
     dotted = F.regexp_extract(path, r"(\.[^./]*)$", 1)
     unroutable = F.when(dotted == "", F.lit("no extension")).otherwise(F.concat(F.lit("unroutable extension: "), dotted))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import ship
+from tessera.sources.tables import shared_folder
 
 #: ASCII white space: the bytes that separate words in every contract here.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -108,15 +109,8 @@ def in_buckets(df: DataFrame, n: int) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder: the cluster names one in spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of its own; on a cluster
-    it's an error, as executors would each write to their own disk."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or "/tmp/checkpoints/tessera")
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The shared folder for checkpoints and tables, set where it wasn't."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ Documents with one set are one node, named by its smallest doc_id.
 - The boundary x is where the summed cost is least: subsets of a size against list entries and their comparisons, over the sizes counted.
 
 Lists of near-duplicates overlap and would give the square of a group's size in pairs. So nodes many of whose lists are long first go to
-their SEVERAL longest only, in blocks of BLOCK, where all pairs are compared by scanning the block's own inverted index; the links found
+their SEVERAL longest only, in blocks of CLUSTER, dealt anew for each list, where all pairs are compared by scanning the block's own inverted index; the links found
 are contracted. After that a list matters only where it joins two components. Its pairs, now between different components, must first pass an
 exact bound (overlap is at most the sum of smaller counts over hash bins), and what passes is compared in full. A list longer than a block is cut by classes of
 size first, as sets whose sizes differ by more than the level allows can't link. No link between components
@@ -44,7 +44,8 @@ SKETCH_BITS = 18
 LIGHT_LIMIT = 29
 #: What comparing two entries of a list costs, in entries moved.
 COMPARISON = 0.01
-BLOCK = 512
+#: Entries of a list that meet at a time, and of its sets that are first compared with each other.
+BLOCK, CLUSTER = 512, 64
 #: A list is long from LONG sets on; a node with SEVERAL long lists, and a quarter of its lists long, is first compared in blocks of its longest
 #: SEVERAL. (Near-duplicates in large groups have such lists; the quarter keeps out those who only share common phrases, who get more as a corpus grows.)
 LONG, SEVERAL = 16, 3
@@ -305,7 +306,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranked = F.reverse(F.array_sort(F.transform("lists", lambda x: F.struct(x["length"].alias("length"), x["token"].alias("token")))))
     n_long, n_first = F.size(F.filter("lists", lambda x: x["length"] >= LONG)), F.floor((100 - level) * F.col("n") / 100) + 1
     long = heavy.where((n_long >= SEVERAL) & (4 * n_long >= n_first)).select(F.col("node").alias("doc_id"), F.explode(F.slice(ranked, 1, SEVERAL)).alias("list")).distinct()
-    first = small(long.select("doc_id", "list.token", F.pmod(F.xxhash64("doc_id", "list.token"), F.ceil(F.col("list.length") / BLOCK)).alias("block")))
+    first = small(long.select("doc_id", "list.token", F.pmod(F.xxhash64("doc_id", "list.token"), F.ceil(F.col("list.length") / min(BLOCK, CLUSTER))).alias("block")))
 
     def in_block(table: pa.Table) -> pa.Table:
         return link_table(cluster(table["doc_id"].to_pylist(), table["text"].to_pylist(), shingle, level) if table.num_rows > 1 else [])

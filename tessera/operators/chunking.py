@@ -353,7 +353,7 @@ def go_source(data: bytes) -> Chunks:
     first = declared[0][0] if declared else len(data)
     if (end := trimmed(data, 0, first)) > 0:
         out.append(Chunk(0, end, decl_kind="package_doc", package=package, scope_path=package, lang="go"))
-    for (start, at, kind), nxt in zip(declared, [*(d[0] for d in declared[1:]), len(data)], strict=True):
+    for (start, at, kind), nxt in zip(declared, [*(d[0] for d in declared), len(data)][1:], strict=True):
         end = trimmed(data, start, nxt)
         body = data[at:end]
         receiver, name = "", ""

@@ -1,4 +1,8 @@
-"""Context assembly, curation, agent routing, file triggers and tasks."""
+"""Context assembly, curation, agent routing, file triggers and tasks.
+
+Cases: null texts, files, globs and domains match nothing; facts and tasks that repeat an id are answered each; ties go to the smaller id; a task without words, or an empty
+table, gets no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -27,20 +31,24 @@ def get_context(facts: DataFrame, tasks: DataFrame, limit: int = 20, subject: st
     found = search.search(live, tasks, search.SearchOptions(max_results=limit), lexical_only="vector" not in tasks.columns).select("query_id", "id", F.col("combined").alias("score"))
     touched = found.join(live.select("id", "subsystem"), "id").where("subsystem <> ''").select("query_id", "subsystem").distinct()
     rules = live.where(F.col("kind").isin("invariant", "failure_mode")).join(touched, "subsystem").select("query_id", "id", F.when(F.col("kind") == "invariant", 0).otherwise(1).alias("tier"), F.lit(0.0).alias("score"))
-    # Tasks are a stated set; every trigger is held against each.
-    fired = live.where("kind = 'trigger'").crossJoin(tasks.select("query_id", F.col("text").alias("task"))).where(words_in(F.col("content"), F.col("task")) > 0).select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.0).alias("score"))
+    # Tasks are a stated set; every trigger is held against each, a block of tasks at a time.
+    fired = search.beside(live.where("kind = 'trigger'").select("id", "content"), tasks.select("query_id", F.col("text").alias("task"))).where(words_in(F.col("content"), F.col("task")) > 0).select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.0).alias("score"))
     every = rules.unionByName(fired).unionByName(found.select("query_id", "id", F.lit(3).alias("tier"), "score"))
     first = every.groupBy("query_id", "id").agg(F.min(F.struct("tier", "score")).alias("x"))
     names = F.array(*map(F.lit, ("invariant", "failure_mode", "trigger", "relevant")))
     return first.select(F.col("query_id").alias("task_id"), names[F.col("x.tier")].alias("tier"), "id", F.col("x.score").alias("score"))
 
 
-def curate(candidates: DataFrame, most: int = 5, chosen: DataFrame | None = None) -> DataFrame:
-    """The first candidates (rank, id), or, with a chooser's answer (ids in its order, as an array), those of its ids that are candidates."""
+def curate(candidates: DataFrame, most: int = 5, chosen: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first candidates (rank, id, columns in by), or, with a chooser's answer (columns in by, and ids in its order, as an array), those of its ids that are candidates.
+
+    by: what tells tasks apart; without it, all rows are one task's, few by nature. An id that a chooser names twice counts once, and one that is no candidate not at all.
+    """
     if chosen is None:
         return candidates.where(F.col("rank") <= most)
-    order = chosen.select(F.posexplode("ids").alias("at", "id")).groupBy("id").agg(F.min("at").alias("at"))
-    return candidates.join(order, "id").withColumn("rank", F.row_number().over(Window.orderBy("at"))).drop("at").where(F.col("rank") <= most)
+    order = chosen.select(*by, F.posexplode("ids").alias("at", "id")).groupBy(*by, "id").agg(F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("at"))
+    return candidates.join(order, [*by, "id"]).withColumn("rank", place).drop("at").where(F.col("rank") <= most)
 
 
 def suggest_agents(facts: DataFrame, tasks: DataFrame, most: int = 5) -> DataFrame:
@@ -52,7 +60,7 @@ def suggest_agents(facts: DataFrame, tasks: DataFrame, most: int = 5) -> DataFra
 
 def scored_agents(routing: DataFrame, tasks: DataFrame, most: int = 5) -> DataFrame:
     """routing: id, agent, domains, content; tasks: task_id, task."""
-    rows = routing.select("id", "agent", "domains", "content").crossJoin(tasks.select("task_id", "task"))
+    rows = search.beside(routing.select("id", "agent", "domains", "content"), tasks.select("task_id", "task"), "task_id")
     hits = F.size(F.filter("domains", lambda d: (d != "") & F.contains(F.lower("task"), F.lower(d))))
     rows = rows.withColumn("score", 3 * hits + words_in(F.col("content"), F.col("task"))).where("score > 0")
     w = Window.partitionBy("task_id").orderBy(F.desc("score"), "id")
@@ -74,7 +82,7 @@ def new_tasks(requests: DataFrame) -> DataFrame:
 
 
 def update_tasks(facts: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes: id, status, note. A terminal status takes the task off its surface; an unknown status changes nothing."""
+    """changes: id, status, note. A terminal status takes the task off its surface; an unknown status changes nothing here, and is listed by unknown_states."""
     gone = F.when(F.col("status").isin(*TERMINAL), F.lit(',"surface":null')).otherwise(F.lit(""))
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(',"note":'), F.to_json(F.struct(F.col("note").alias("n"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("note").alias("n")))) - 6))).otherwise(F.lit(""))
     patch = F.concat(F.lit('{"status":"'), F.col("status"), F.lit('"'), gone, note, F.lit("}"))
@@ -82,6 +90,11 @@ def update_tasks(facts: DataFrame, changes: DataFrame) -> DataFrame:
     return facts.join(c, "id", "left").withColumn("metadata", F.when(F.col("_patch").isNotNull(), patched(F.col("metadata"), F.col("_patch"))).otherwise(F.col("metadata"))).select(facts.columns)
 
 
+def unknown_states(changes: DataFrame) -> DataFrame:
+    """id, status of changes that are refused."""
+    return changes.where(~F.coalesce(F.col("status").isin(*STATES), F.lit(False))).select("id", "status")
+
+
 def list_tasks(facts: DataFrame, status: str = "pending") -> DataFrame:
     rows = facts.where("kind = 'task' and superseded_by is null").withColumn("status", meta_text(F.col("metadata"), "status"))
     return rows.where(F.col("status") == status).orderBy("id") if status else rows.orderBy("id")

@@ -116,7 +116,8 @@ def search_chunks(chunks: DataFrame, queries: DataFrame, limit: int = 10, includ
     at = rows.select("id", "document_id", "ordinal")
 
     def placed(found: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal"))
+        # Sums of the same terms in another order are the same score.
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "document_id", "ordinal"))
         return found.join(at, "id").withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "id", "score")
 
     exact = written(placed(search.bm25(rows, queries, columns=("content",))))

@@ -1,4 +1,8 @@
-"""Version chains and the link graph."""
+"""Version chains and the link graph.
+
+Cases: ids of facts are unique; pointers and link ends that are null, or name a fact that isn't there, lead nowhere; repeated links are answered each (a neighbourhood and its hops
+count a fact once); ties go to the smaller id; empty tables give empty tables; other columns are kept by links_of and neighbours, and ignored elsewhere.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +44,7 @@ def degrees(links: DataFrame) -> DataFrame:
 
 def neighbourhood(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """id and least hops of every fact within reach of the seeds (id), along links."""
-    edges = directed(links).select("from_id", "to_id").distinct()
+    edges = directed(links).select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct()
     reached = seeds.select("id", F.lit(0).alias("hops")).distinct()
     edge = reached
     for k in range(1, hops + 1):

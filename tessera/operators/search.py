@@ -4,8 +4,8 @@ A search of a few queries analyses the corpus once: the scan's tokens meet the q
 document, to the shared folder; matches, statistics and counts are all read from there. Postings that are kept (sources.postings) take the scan's place.
 Per-query top-k uses a group limit before the shuffle.
 
-Cases, of every function here: null texts and columns count as empty; a query without a term finds nothing; repeated documents (one id) are one; repeated queries of one id
-count as one query with all their words; ties go to the smaller id; empty tables give empty tables; other columns are ignored.
+Cases, of every function here: null texts and columns count as empty; a query without a term finds nothing; rows that repeat an id are counted each, and where the id is named their
+matches add up; rows that repeat a query's id are one query with all their words; ties go to the smaller id; empty tables give empty tables; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from tessera.sources.tables import written
 
 K1, B = 1.2, 0.75
 TINY_IDF = 1e-6
+#: Queries that each row meets at a time.
+QUERIES_AT_ONCE = 2000
 
 
 @dataclass(frozen=True)
@@ -100,11 +102,22 @@ def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     return scored.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
+def beside(rows: DataFrame, queries: DataFrame, key: str = "query_id") -> DataFrame:
+    """Each row beside each query of a stated set. Queries are counted first and broadcast, QUERIES_AT_ONCE of them about at a time."""
+    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    out = None
+    for k in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
+        own = rows.crossJoin(F.broadcast(own))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def nearest(docs: DataFrame, queries: DataFrame, fetch: int | None = None) -> DataFrame:
-    """query_id, id, score: exact cosine, positive only. docs: id, embedding; queries: query_id, vector, a stated set that each row meets."""
+    """query_id, id, score: exact cosine, positive only. docs: id, embedding; queries: query_id, vector, a stated set that each row meets, in blocks. Null vectors find nothing and aren't found."""
     d = docs.where("embedding is not null").select("id", "embedding", norm(F.col("embedding")).alias("length"))
     q = queries.where("vector is not null").select("query_id", "vector", norm(F.col("vector")).alias("q_length"))
-    sim = d.crossJoin(q).select("query_id", "id", cosine(F.col("embedding"), F.col("vector"), F.col("length"), F.col("q_length")).alias("score"))
+    sim = beside(d, q).select("query_id", "id", cosine(F.col("embedding"), F.col("vector"), F.col("length"), F.col("q_length")).alias("score"))
     sim = sim.where("score > 0")
     return top(sim, fetch) if fetch else sim
 

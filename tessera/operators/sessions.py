@@ -1,4 +1,8 @@
-"""Sessions: transcripts, turns, hints, injections, feedback, and what is made of them."""
+"""Sessions: transcripts, turns, hints, injections, feedback, and what is made of them.
+
+Cases: null contents are left out of texts (and a session of only such has none); turns that share a number come by their text; ratings and injections that repeat a row count each,
+but where a key says first or distinct; sessions without rows have no row; empty tables give empty tables; other columns are ignored.
+"""
 
 from __future__ import annotations
 

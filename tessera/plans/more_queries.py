@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus, extract, lifecycle, recall, search, sessions, tools
+from tessera.operators import chunking, corpus, extract, lifecycle, recall, search, sessions, tools
 from tessera.operators import facts as facts_ops
 from tessera.operators.facts import Scope
 from tessera.plans import fixtures as fx
@@ -79,7 +79,9 @@ def absent_ids(spark, sf):
           * CASE category WHEN 'note' THEN pow(0.5, (epoch(TIMESTAMP '2025-01-01 00:00:00') - epoch(created_at)) / 2592000.0) ELSE 1 END AS score
           FROM lex JOIN facts f ON f.id = lex.id""",
     )
-    + "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, round(score, 6) AS score, use_count + 1 AS use_count FROM scored QUALIFY rank <= 10"
+    + """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, round(score, 6) AS score, use_count + 1 AS use_count
+          FROM scored
+          QUALIFY rank <= 10"""
 )
 def tool_search(spark, sf):
     """The scope comes before ranking and statistics; notes fade; use is counted."""
@@ -92,12 +94,14 @@ def tool_search(spark, sf):
         "facts",
         items="""SELECT doc_id AS item, trim(coalesce('new ' || text, ''), ' ') AS content, coalesce(source, '') AS subject,
           CASE doc_id % 5 WHEN 0 THEN doc_id WHEN 1 THEN doc_id + 5000000 END AS supersedes FROM documents""",
-        checked="SELECT *, CASE WHEN content = '' THEN 'content is required' WHEN subject = '' THEN 'subject is required' WHEN length(content) > 8000 THEN 'content is too long' END AS error FROM items",
+        checked="""SELECT *, CASE WHEN content = '' THEN 'content is required' WHEN subject = '' THEN 'subject is required' WHEN length(content) > 8000 THEN 'content is too long' END AS error
+              FROM items""",
         placed="SELECT *, row_number() OVER (PARTITION BY content, subject ORDER BY (error IS NULL) DESC, item) AS k FROM checked",
         said="SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN k > 1 THEN 'duplicate' ELSE 'stored' END AS status FROM placed",
         done="SELECT said.*, f.id AS superseded FROM said LEFT JOIN facts f ON f.id = supersedes AND f.superseded_by IS NULL AND status = 'stored'",
     )
-    + "SELECT item, status, error, superseded, CASE WHEN status = 'stored' AND supersedes IS NOT NULL AND superseded IS NULL THEN 'fact ' || CAST(supersedes AS VARCHAR) || ' was not replaced' END AS warning FROM done"
+    + """SELECT item, status, error, superseded, CASE WHEN status = 'stored' AND supersedes IS NOT NULL AND superseded IS NULL THEN 'fact ' || CAST(supersedes AS VARCHAR) || ' was not replaced' END AS warning
+          FROM done"""
 )
 def tool_store(spark, sf):
     """New facts, each of which may replace an old one; a replacement that fails is a warning."""
@@ -137,7 +141,8 @@ def stored_documents(spark, sf):
 
 
 DOCS = {
-    "docs": "SELECT id, CASE WHEN id % 8 = 7 THEN 'other' ELSE 'ns' END AS namespace, id % 2 AS user_id, CASE WHEN id % 3 > 0 THEN 'repo' END AS repo_url, path, sha256(content) AS file_sha256, id % 10 = 1 AS dirty, CASE WHEN id % 5 = 0 THEN 'de' ELSE 'en' END AS lang, id % 10 = 0 AS generated FROM files",
+    "docs": """SELECT id, CASE WHEN id % 8 = 7 THEN 'other' ELSE 'ns' END AS namespace, id % 2 AS user_id, CASE WHEN id % 3 > 0 THEN 'repo' END AS repo_url, path, sha256(content) AS file_sha256, id % 10 = 1 AS dirty, CASE WHEN id % 5 = 0 THEN 'de' ELSE 'en' END AS lang, id % 10 = 0 AS generated
+          FROM files""",
     "parts": "SELECT id AS document_id, 0 AS ordinal, left(content, 400) AS content FROM files UNION ALL SELECT id, 1, content[401:] FROM files",
 }
 
@@ -161,9 +166,14 @@ DOCUMENT_QUERIES = ((1, "page"), (2, "div class"), (3, "the"))
     with_(
         "files",
         **DOCS,
-        facts="SELECT document_id * 2 + ordinal AS id, p.content, '' AS subject, '' AS category, document_id, ordinal, repo_url, path FROM parts p JOIN docs d ON d.id = document_id WHERE NOT generated AND starts_with(path, 'src/lib') AND lang = 'en' AND repo_url = 'repo'",
+        facts="""SELECT document_id * 2 + ordinal AS id, p.content, '' AS subject, '' AS category, document_id, ordinal, repo_url, path
+              FROM parts p
+              JOIN docs d ON d.id = document_id
+              WHERE NOT generated AND starts_with(path, 'src/lib') AND lang = 'en' AND repo_url = 'repo'""",
         **bm25_views("true") | {"queries": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in DOCUMENT_QUERIES) + ") q(query_id, text)"},
-        placed="SELECT query_id, f.id, score, repo_url, path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, document_id, ordinal) AS place FROM lexical l JOIN facts f ON f.id = l.id",
+        placed="""SELECT query_id, f.id, score, repo_url, path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, document_id, ordinal) AS place
+              FROM lexical l
+              JOIN facts f ON f.id = l.id""",
     )
     + "SELECT query_id, CAST(place AS INTEGER) AS place, id, false AS fallback, round(score, 6) AS score, repo_url, path FROM placed WHERE place <= 20"
 )
@@ -197,21 +207,37 @@ def recall_views(pool: int) -> dict[str, str]:
     base = VIEWS["facts"].replace("source AS subject", "CASE WHEN doc_id % 13 = 5 THEN 'file:' || source ELSE source END AS subject")
     rows = ", ".join(f"({i}, '{m}')" for i, m in TRIGGERS)
     return {
-        "facts": base + f" UNION ALL SELECT id, 'ns0', 0, 'trigger', 'rule', 'note', 'trigger', '', metadata, NULL, NULL, 0, 0, TIMESTAMP '2024-01-01 00:00:00' FROM (VALUES {rows}) t(id, metadata)",
+        "facts": base + f"""
+              UNION ALL SELECT id, 'ns0', 0, 'trigger', 'rule', 'note', 'trigger', '', metadata, NULL, NULL, 0, 0, TIMESTAMP '2024-01-01 00:00:00'
+              FROM (VALUES {rows}) t(id, metadata)""",
         "req": "SELECT item_id, s AS session_id, text, cwd, project, regexp_split_to_array(text, '\\s+') AS ws FROM (VALUES " + ", ".join(f"({i}, '{s}', '{p}', '{c}', '{n}')" for i, s, p, c, n in ASKED) + ") q(item_id, s, text, cwd, project)",
         **{k: v for k, v in RECALL.items() if k != "req"},
         "h": "SELECT k.item_id, k.word, a.id, len(terms) AS n, len(list_filter(terms, lambda t: t = k.word)) AS tf FROM kw k JOIN an a ON list_contains(terms, k.word)",
         "hd": "SELECT word, count(DISTINCT id) AS hv FROM h GROUP BY word",
-        "bm": "SELECT item_id, word, id, greatest(ln((d - hv + 0.5) / (hv + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / m)) AS score FROM h JOIN hd USING (word), (SELECT count(*) AS d, avg(len(terms)) AS m FROM an)",
+        "bm": """SELECT item_id, word, id, greatest(ln((d - hv + 0.5) / (hv + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / m)) AS score
+              FROM h
+              JOIN hd USING (word), (SELECT count(*) AS d, avg(len(terms)) AS m FROM an)""",
         "b1": "SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY item_id, word ORDER BY score DESC, id) <= 32",
         "b2": "SELECT item_id, word, b1.id, score / max(score) OVER (PARTITION BY item_id, word) + least(0.05 * confirmed_count, 0.15) AS combined FROM b1 JOIN facts f ON f.id = b1.id",
         "b3": "SELECT * FROM b2 QUALIFY row_number() OVER (PARTITION BY item_id, word ORDER BY combined DESC, id) <= 16",
         "lexarm": "SELECT item_id, id, sum(combined) AS lexical, count(*) AS hits FROM b3 GROUP BY ALL",
         "asked": "SELECT DISTINCT item_id FROM kw",
-        "vecarm": "SELECT item_id, l.id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS vec FROM asked JOIN embeddings q ON q.vec_id = item_id, live l JOIN embeddings e ON e.vec_id = l.id WHERE vec > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY vec DESC, l.id) <= 16",
-        "both_": "SELECT coalesce(a.item_id, v.item_id) AS item_id, coalesce(a.id, v.id) AS id, CASE WHEN lexical IS NOT NULL THEN lexical + 0.5 * coalesce(vec, 0) ELSE 1.5 * vec END AS s0, coalesce(hits, 0) AS hits FROM lexarm a FULL JOIN vecarm v ON v.item_id = a.item_id AND v.id = a.id",
+        "vecarm": """SELECT item_id, l.id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS vec
+              FROM asked
+              JOIN embeddings q ON q.vec_id = item_id, live l
+              JOIN embeddings e ON e.vec_id = l.id
+              WHERE vec > 0
+              QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY vec DESC, l.id) <= 16""",
+        "both_": """SELECT coalesce(a.item_id, v.item_id) AS item_id, coalesce(a.id, v.id) AS id, CASE WHEN lexical IS NOT NULL THEN lexical + 0.5 * coalesce(vec, 0) ELSE 1.5 * vec END AS s0, coalesce(hits, 0) AS hits
+              FROM lexarm a
+              FULL
+              JOIN vecarm v ON v.item_id = a.item_id AND v.id = a.id""",
         "loads": "SELECT 1 AS item_id, id FROM live WHERE subsystem = 'sub2' AND kind IN ('decision', 'convention') UNION ALL SELECT 5, id FROM live WHERE subject = 'src5'",
-        "c": "SELECT * FROM both_ UNION ALL SELECT item_id, id, 2.0, 0 FROM loads l WHERE item_id IN (SELECT item_id FROM asked) AND NOT EXISTS (SELECT 1 FROM both_ b WHERE b.item_id = l.item_id AND b.id = l.id)",
+        "c": """SELECT *
+              FROM both_
+              UNION ALL SELECT item_id, id, 2.0, 0
+              FROM loads l
+              WHERE item_id IN (SELECT item_id FROM asked) AND NOT EXISTS (SELECT 1 FROM both_ b WHERE b.item_id = l.item_id AND b.id = l.id)""",
         "recent": "SELECT * FROM (VALUES " + ", ".join(f"('{s}', [{', '.join(repr(x.rsplit('/', 1)[-1]) for x in f)}])" for s, f in RECENT) + ") r(session_id, files)",
         "w": """SELECT c.item_id, f.*, hits, project, cwd, session_id, text AS prompt, lower(subject) = lower(project) OR lower(regexp_extract(subject, '[^/]*$')) = lower(project) AS own, project <> '' AS known,
           coalesce(metadata ->> '$.quality', '') AS quality, coalesce(metadata ->> '$.surface', '') AS surface, metadata ->> '$.project_path' AS pp, s0,
@@ -224,11 +250,14 @@ def recall_views(pool: int) -> dict[str, str]:
           FROM w WHERE NOT (starts_with(quality, 'local:') OR subject = 'session-activity' OR kind = 'trigger' OR (kind = 'pattern' AND surface <> 'project') OR (kind = 'summary' AND known AND NOT own))""",
         "fb": "SELECT doc_id AS id, avg(2.0 * quality - 1) AS a, count(*) AS n FROM labels GROUP BY 1",
         "y": "SELECT x.*, s1 * CASE WHEN n > 0 THEN pow(2, a * (0.4 + 0.6 * least(n, 5) / 5)) ELSE 1 END AS s2 FROM x LEFT JOIN fb USING (id)",
-        "pool": f"SELECT *, s2 / max(s2) OVER (PARTITION BY item_id) AS share, list_distinct({TERMS.format('prompt')}) AS qt FROM (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s2 DESC, id) <= {pool})",
+        "pool": f"""SELECT *, s2 / max(s2) OVER (PARTITION BY item_id) AS share, list_distinct({TERMS.format('prompt')}) AS qt
+              FROM (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s2 DESC, id) <= {pool})""",
         "second": f"SELECT *, 0.7 * (CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, list_distinct({TERMS.format('content')}))) / len(qt) END) + 0.3 * share AS score FROM pool",
         "fresh": "SELECT * FROM second WHERE NOT (session_id = 's1' AND id % 17 = 0)",
         "z": "SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank, max(score) OVER (PARTITION BY item_id) AS best FROM fresh",
-        "cut": "SELECT *, sum(strlen('[id=' || CAST(id AS VARCHAR) || '] ' || subject || ' | ' || category || ' | 2024-01-01' || chr(10) || '  ' || content || chr(10))) OVER (PARTITION BY item_id ORDER BY score DESC, id) AS used FROM z WHERE rank <= 8 AND score >= 0.3 * best AND score >= 0.35",
+        "cut": """SELECT *, sum(strlen('[id=' || CAST(id AS VARCHAR) || '] ' || subject || ' | ' || category || ' | 2024-01-01' || chr(10) || '  ' || content || chr(10))) OVER (PARTITION BY item_id ORDER BY score DESC, id) AS used
+              FROM z
+              WHERE rank <= 8 AND score >= 0.3 * best AND score >= 0.35""",
         "shown": "SELECT * FROM cut WHERE used <= 9000",
     }
 
@@ -261,7 +290,9 @@ def recall_with_every_arm(spark, sf):
     return recalled(spark, sf)[-1].select("request_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@case(FULL + "SELECT item_id AS request_id, string_agg('[id=' || CAST(id AS VARCHAR) || '] ' || subject || ' | ' || category || chr(10) || '  ' || content || chr(10), chr(10) ORDER BY rank) AS text FROM shown GROUP BY item_id")
+@case(FULL + """SELECT item_id AS request_id, string_agg('[id=' || CAST(id AS VARCHAR) || '] ' || subject || ' | ' || category || chr(10) || '  ' || content || chr(10), chr(10) ORDER BY rank) AS text
+      FROM shown
+      GROUP BY item_id""")
 def recall_contexts(spark, sf):
     _, f, _, o, got = recalled(spark, sf)
     return recall.contexts(got, f, o)
@@ -284,7 +315,10 @@ def recall_records(spark, sf):
 
 @case(
     with_(**NEAREST, placed="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sims WHERE score > 0")
-    + "SELECT query_id AS session_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS retrieved, round(avg(score), 6) AS relevance, round(max(score), 6) AS best FROM placed WHERE rank <= 10 GROUP BY query_id"
+    + """SELECT query_id AS session_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS retrieved, round(avg(score), 6) AS relevance, round(max(score), 6) AS best
+          FROM placed
+          WHERE rank <= 10
+          GROUP BY query_id"""
 )
 def hint_records(spark, sf):
     v = fx.vectors(spark, sf)
@@ -302,14 +336,18 @@ def hints(spark, sf):
     return e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.when(F.col("event_id") % 4 == 0, F.lit("2024-02-01").cast("timestamp")).alias("consumed_at"))
 
 
-@case("SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-03-01 00:00:00' END AS consumed_at FROM events")
+@case("""SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-03-01 00:00:00' END AS consumed_at
+      FROM events""")
 def consumed_hints(spark, sf):
     """A hint is consumed once: one that already is keeps its time."""
     h = hints(spark, sf)
     return lifecycle.consume_hints(h, h.where("id % 3 = 0").select("id"), "2024-03-01").select("id", "consumed_at")
 
 
-@case("SELECT e.event_id AS id, CAST(o_custkey % 120 AS VARCHAR) AS shown_in, CAST(o_orderkey % 10 AS INTEGER) AS rank FROM events e JOIN orders ON o_orderkey = e.event_id WHERE o_orderkey % 2 = 0")
+@case("""SELECT e.event_id AS id, CAST(o_custkey % 120 AS VARCHAR) AS shown_in, CAST(o_orderkey % 10 AS INTEGER) AS rank
+      FROM events e
+      JOIN orders ON o_orderkey = e.event_id
+      WHERE o_orderkey % 2 = 0""")
 def shown_hints(spark, sf):
     shown = injections(spark, sf).withColumn("ref_type", F.when(F.col("ref_id").cast("long") % 2 == 0, "hint").otherwise("fact"))
     return sessions.hint_injections(hints(spark, sf), shown).select("id", "shown_in", "rank")
@@ -322,7 +360,11 @@ def shown_hints(spark, sf):
         inj="SELECT DISTINCT CAST(o_custkey % 120 AS VARCHAR) AS session_id, CAST(o_orderkey AS VARCHAR) AS ref_id FROM orders",
         open_="SELECT DISTINCT session_id FROM inj WHERE session_id IN (SELECT session_id FROM turns) AND session_id NOT IN (SELECT CAST(doc_id % 50 AS VARCHAR) FROM labels)",
     )
-    + "SELECT ref_id, session_id, CASE WHEN contains(f.content, 'the') THEN -1 ELSE 1 END AS score FROM inj JOIN open_ USING (session_id) JOIN facts f ON CAST(f.id AS VARCHAR) = ref_id WHERE f.content IS NOT NULL"
+    + """SELECT ref_id, session_id, CASE WHEN contains(f.content, 'the') THEN -1 ELSE 1 END AS score
+          FROM inj
+          JOIN open_ USING (session_id)
+          JOIN facts f ON CAST(f.id AS VARCHAR) = ref_id
+          WHERE f.content IS NOT NULL"""
 )
 def backfilled_ratings(spark, sf):
     """Facts shown in sessions that nobody rated, rated by a plug-in."""
@@ -355,3 +397,63 @@ def changed_page_files(spark, sf):
         return jobs.changed_files(s.select(F.col("page_id").alias("id")).join(names, "id"), stored)
 
     return drained(spark, sf, "pages", make).select("path", F.when(F.col("id") % 4 == 0, "new").otherwise("changed").alias("why"))
+
+
+# ---- chunks of files whose cuts can be reckoned
+
+SPAN = ("path", "strategy", "ordinal", "byte_start", "byte_end")
+
+
+def repeated(n, line):
+    """line(j) for j from 0 to n - 1, one after the other."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), line), "")).otherwise("")
+
+
+def numbered_files(spark, sf, end: str, content):
+    d = fx.table(spark, sf, "documents")
+    return d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(end)).alias("path"), content(F.col("doc_id")).alias("content"))
+
+
+@case(
+    """WITH f AS (SELECT doc_id, doc_id % 97 AS n FROM documents WHERE doc_id % 97 > 0),
+    w AS (SELECT doc_id, n, unnest(range(1 + greatest(0, CAST(ceil((n - 20) / 18.0) AS BIGINT)))) AS k FROM f)
+    SELECT 'd' || CAST(doc_id AS VARCHAR) || '.txt' AS path, 'line-window' AS strategy, CAST(k AS INTEGER) AS ordinal, CAST(18 * k * 101 AS INTEGER) AS byte_start, CAST(least(18 * k + 20, n) * 101 - 1 AS INTEGER) AS byte_end,
+      CAST(18 * k + 1 AS INTEGER) AS line_start, CAST(least(18 * k + 20, n) AS INTEGER) AS line_end FROM w"""
+)
+def chunk_windows(spark, sf):
+    """Lines of 100 characters: a window has 20 of them, and shares two with the one before."""
+    line = lambda j: F.concat(F.repeat(F.substring(F.lit("abcdefghij"), 1, 1), 99), (j % 10).cast("string"), F.lit("\n"))
+    return chunking.chunk_documents(numbered_files(spark, sf, ".txt", lambda i: repeated(i % 97, line))).select(*SPAN, "line_start", "line_end")
+
+
+@case(
+    """WITH f AS (SELECT 'd' || CAST(doc_id AS VARCHAR) || '.md' AS path, doc_id % 23 AS m, 6 + doc_id % 5 AS q FROM documents),
+    small AS (SELECT *, unnest(range(CAST(ceil(m / 4.0) AS BIGINT))) AS g FROM f),
+    big AS (SELECT *, unnest(range(CAST(ceil(q / 2.0) AS BIGINT))) AS k, 12 + 110 * m AS b FROM f),
+    every AS (
+      SELECT path, 0 AS place, 0 AS byte_start, 10 AS byte_end, '' AS heading_path, 1 AS heading_level FROM f
+      UNION ALL SELECT path, 1 + g, 12 + 440 * g, 12 + 110 * (least(4 * g + 4, m) - 1) + 108, 'T', 2 FROM small
+      UNION ALL SELECT path, 1000 + k, CASE WHEN k = 0 THEN b ELSE b + 7 + 3004 * k END, b + 7 + 1502 * (least(2 * k + 2, q) - 1) + 1500, '', 1 FROM big)
+    SELECT path, 'markdown' AS strategy, CAST(row_number() OVER (PARTITION BY path ORDER BY place) - 1 AS INTEGER) AS ordinal, CAST(byte_start AS INTEGER) AS byte_start, CAST(byte_end AS INTEGER) AS byte_end, heading_path, heading_level FROM every"""
+)
+def chunk_sections(spark, sf):
+    """A title, small sections that join by fours, and a section too large for one chunk, cut between paragraphs."""
+    section = lambda j: F.concat(F.lit("## S"), (j + 10).cast("string"), F.lit("\n\n"), F.repeat(F.lit("y"), 100), F.lit("\n\n"))
+    paragraph = lambda j: F.concat(F.repeat(F.lit("z"), 1500), F.lit("\n\n"))
+    text = lambda i: F.concat(F.lit("# T\n\nintro\n\n"), repeated(i % 23, section), F.lit("# Big\n\n"), repeated(6 + i % 5, paragraph))
+    return chunking.chunk_documents(numbered_files(spark, sf, ".md", text)).select(*SPAN, "heading_path", "heading_level")
+
+
+@case(
+    """WITH f AS (SELECT 'd' || CAST(doc_id AS VARCHAR) || '.go' AS path, doc_id % 3 = 0 AS generated, doc_id % 7 AS n, CASE WHEN doc_id % 3 = 0 THEN 41 ELSE 0 END AS h FROM documents),
+    every AS (
+      SELECT path, generated, 0 AS ordinal, 0 AS byte_start, h + 9 AS byte_end, '' AS symbol, 'package_doc' AS decl_kind, 'p' AS scope_path FROM f
+      UNION ALL SELECT path, generated, j + 1, h + 11 + 476 * j, h + 11 + 476 * j + 474, 'F' || CAST(j + 10 AS VARCHAR), 'func', 'p > F' || CAST(j + 10 AS VARCHAR) FROM (SELECT *, unnest(range(n)) AS j FROM f))
+    SELECT path, 'go' AS strategy, CAST(ordinal AS INTEGER) AS ordinal, CAST(byte_start AS INTEGER) AS byte_start, CAST(byte_end AS INTEGER) AS byte_end, symbol, decl_kind, scope_path, generated FROM every"""
+)
+def chunk_declarations(spark, sf):
+    """Functions large enough to stand alone, in files of which some are marked as generated."""
+    one = lambda j: F.concat(F.lit("func F"), (j + 10).cast("string"), F.lit('() {\n\tcall("'), F.repeat(F.lit("w"), 450), F.lit('")\n}\n\n'))
+    head = lambda i: F.when(i % 3 == 0, "// Code generated by tool. DO NOT EDIT.\n\n").otherwise("")
+    text = lambda i: F.concat(head(i), F.lit("package p\n\n"), repeated(i % 7, one))
+    return chunking.chunk_documents(numbered_files(spark, sf, ".go", text)).select(*SPAN, "symbol", "decl_kind", "scope_path", "generated")

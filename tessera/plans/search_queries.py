@@ -33,7 +33,9 @@ def list_by_columns(spark, sf):
     return facts_ops.list_facts(fx.facts(spark, sf), Options(subject="src3", category="en"), Scope("ns1")).select(*BRIEF)
 
 
-@case(with_("facts") + "SELECT id, namespace, subject, category, kind FROM facts WHERE kind = 'decision' AND subsystem = 'sub3' AND namespace IN ('ns0', 'ns2') AND user_id = 0 ORDER BY id LIMIT 5")
+@case(with_("facts") + """SELECT id, namespace, subject, category, kind
+      FROM facts
+      WHERE kind = 'decision' AND subsystem = 'sub3' AND namespace IN ('ns0', 'ns2') AND user_id = 0 ORDER BY id LIMIT 5""")
 def list_by_scope_with_limit(spark, sf):
     return facts_ops.list_facts(fx.facts(spark, sf), Options(kind="decision", subsystem="sub3", only_active=False, limit=5), Scope(namespaces=("ns0", "ns2"), user_id=0)).select(*BRIEF)
 
@@ -43,12 +45,16 @@ def list_by_ids(spark, sf):
     return facts_ops.list_facts(fx.facts(spark, sf), Options(ids=(3, 5, 8, 13, 21, 100000), only_active=False)).select(*BRIEF)
 
 
-@case(with_("facts") + "SELECT id, metadata FROM facts WHERE superseded_by IS NULL AND json_type(metadata, '$.chapter') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(metadata ->> '$.chapter' AS DOUBLE) <= 3")
+@case(with_("facts") + """SELECT id, metadata
+      FROM facts
+      WHERE superseded_by IS NULL AND json_type(metadata, '$.chapter') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(metadata ->> '$.chapter' AS DOUBLE) <= 3""")
 def metadata_number(spark, sf):
     return facts_ops.list_facts(fx.facts(spark, sf), Options(metadata=(MetaFilter("chapter", "<=", 3),))).select("id", "metadata")
 
 
-@case(with_("facts") + "SELECT id, metadata FROM facts WHERE superseded_by IS NULL AND (metadata IS NULL OR json_type(metadata, '$.chapter') IS NULL OR (json_type(metadata, '$.chapter') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(metadata ->> '$.chapter' AS DOUBLE) <> 3))")
+@case(with_("facts") + """SELECT id, metadata
+      FROM facts
+      WHERE superseded_by IS NULL AND (metadata IS NULL OR json_type(metadata, '$.chapter') IS NULL OR (json_type(metadata, '$.chapter') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(metadata ->> '$.chapter' AS DOUBLE) <> 3))""")
 def metadata_number_or_absent(spark, sf):
     return facts_ops.list_facts(fx.facts(spark, sf), Options(metadata=(MetaFilter("chapter", "!=", 3, include_null=True),))).select("id", "metadata")
 
@@ -91,8 +97,23 @@ def subsystems(spark, sf):
 
 
 @case(
-    with_("facts", active="SELECT * FROM facts WHERE superseded_by IS NULL", counts="SELECT 'subject' AS dimension, subject AS key, count(*) AS n FROM active GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM active GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM active WHERE kind <> '' GROUP BY 2", placed="SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS position FROM counts")
-    + "SELECT dimension, key, n, CAST(position AS INTEGER) AS position FROM placed WHERE dimension <> 'subject' OR position <= 10 UNION ALL SELECT dimension, '+' || CAST(count(*) AS VARCHAR) || ' more', CAST(sum(n) AS BIGINT), 11 FROM placed WHERE dimension = 'subject' AND position > 10 GROUP BY dimension"
+    with_("facts", active="SELECT * FROM facts WHERE superseded_by IS NULL", counts="""SELECT 'subject' AS dimension, subject AS key, count(*) AS n
+          FROM active
+          GROUP BY 2
+          UNION ALL SELECT 'category', category, count(*)
+          FROM active
+          GROUP BY 2
+          UNION ALL SELECT 'kind', kind, count(*)
+          FROM active
+          WHERE kind <> ''
+          GROUP BY 2""", placed="SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS position FROM counts")
+    + """SELECT dimension, key, n, CAST(position AS INTEGER) AS position
+          FROM placed
+          WHERE dimension <> 'subject' OR position <= 10
+          UNION ALL SELECT dimension, '+' || CAST(count(*) AS VARCHAR) || ' more', CAST(sum(n) AS BIGINT), 11
+          FROM placed
+          WHERE dimension = 'subject' AND position > 10
+          GROUP BY dimension"""
 )
 def status_counts(spark, sf):
     return facts_ops.status(fx.facts(spark, sf), cap=10)
@@ -118,11 +139,17 @@ def bm25_views(where: str = "superseded_by IS NULL") -> dict[str, str]:
         "size": "SELECT count(*) AS docs, avg(len(terms)) AS mean_len FROM analyzed",
         "words": f"SELECT query_id, unnest(list_filter(list_transform(regexp_split_to_array(trim(text), '\\s+'), lambda w: {TERMS.format('w')}), lambda p: len(p) > 0)) AS want FROM queries",
         "phrases": "SELECT query_id, row_number() OVER (PARTITION BY query_id) AS phrase, want FROM words",
-        "hits": "SELECT query_id, phrase, id, len(terms) AS n, len(list_filter(range(1, len(terms) - len(want) + 2), lambda i: terms[i:i + len(want) - 1] = want)) AS tf FROM phrases, analyzed WHERE list_contains(terms, want[1])",
+        "hits": """SELECT query_id, phrase, id, len(terms) AS n, len(list_filter(range(1, len(terms) - len(want) + 2), lambda i: terms[i:i + len(want) - 1] = want)) AS tf
+              FROM phrases, analyzed
+              WHERE list_contains(terms, want[1])""",
         "found": "SELECT * FROM hits WHERE tf > 0",
         "having_": "SELECT query_id, phrase, count(*) AS h FROM found GROUP BY ALL",
         "idf": "SELECT query_id, phrase, CASE WHEN ln((docs - h + 0.5) / (h + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - h + 0.5) / (h + 0.5)) END AS idf FROM having_, size",
-        "lexical": "SELECT query_id, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean_len))) AS score FROM found JOIN idf USING (query_id, phrase), size GROUP BY query_id, id HAVING count(*) = (SELECT count(*) FROM phrases p WHERE p.query_id = found.query_id)",
+        "lexical": """SELECT query_id, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean_len))) AS score
+              FROM found
+              JOIN idf USING (query_id, phrase), size
+              GROUP BY query_id, id
+              HAVING count(*) = (SELECT count(*) FROM phrases p WHERE p.query_id = found.query_id)""",
     }
 
 
@@ -165,13 +192,21 @@ def hybrid_inputs(spark, sf):
 def hybrid_views(fetch: int) -> dict[str, str]:
     return bm25_views() | {
         "qv": "SELECT query_id, embedding AS v FROM queries JOIN embeddings ON vec_id = query_id",
-        "sims": "SELECT query_id, f.id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS score FROM facts f JOIN embeddings e ON e.vec_id = f.id, qv WHERE superseded_by IS NULL",
+        "sims": """SELECT query_id, f.id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS score
+              FROM facts f
+              JOIN embeddings e ON e.vec_id = f.id, qv
+              WHERE superseded_by IS NULL""",
         "vec": f"SELECT * FROM sims WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {fetch}",
         "lex": f"SELECT * FROM lexical QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {fetch}",
         "lexn": "SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS fts FROM lex",
-        "merged": "SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.id, v.id) AS id, coalesce(fts, 0) AS fts, coalesce(v.score, 0) AS vec FROM lexn l FULL JOIN vec v ON l.query_id = v.query_id AND l.id = v.id",
+        "merged": """SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.id, v.id) AS id, coalesce(fts, 0) AS fts, coalesce(v.score, 0) AS vec
+              FROM lexn l
+              FULL
+              JOIN vec v ON l.query_id = v.query_id AND l.id = v.id""",
         "fused": "SELECT *, 0.6 * fts + 0.4 * vec AS combined FROM merged",
-        "aged": "SELECT m.*, category, (combined + least(0.05 * confirmed_count, 0.15)) * pow(0.5, (epoch(TIMESTAMP '2025-01-01 00:00:00') - epoch(created_at)) / CASE category WHEN 'de' THEN 864000.0 ELSE 2592000.0 END) AS decayed, combined + least(0.05 * confirmed_count, 0.15) AS trusted FROM fused m JOIN facts f ON f.id = m.id",
+        "aged": """SELECT m.*, category, (combined + least(0.05 * confirmed_count, 0.15)) * pow(0.5, (epoch(TIMESTAMP '2025-01-01 00:00:00') - epoch(created_at)) / CASE category WHEN 'de' THEN 864000.0 ELSE 2592000.0 END) AS decayed, combined + least(0.05 * confirmed_count, 0.15) AS trusted
+              FROM fused m
+              JOIN facts f ON f.id = m.id""",
     }
 
 
@@ -192,7 +227,9 @@ def hybrid_with_decay(spark, sf):
     return search.search(f, q, o).select(*show())
 
 
-@case(with_("facts", **bm25_views(), lex="SELECT * FROM lexical QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10", trusted="SELECT query_id, f.id, score / max(score) OVER (PARTITION BY query_id) AS fts, score / max(score) OVER (PARTITION BY query_id) + least(0.05 * confirmed_count, 0.15) AS combined FROM lex JOIN facts f ON f.id = lex.id", placed="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS rank FROM trusted") + "SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(fts, 6) AS fts, round(combined, 6) AS combined FROM placed WHERE rank <= 5")
+@case(with_("facts", **bm25_views(), lex="SELECT * FROM lexical QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10", trusted="""SELECT query_id, f.id, score / max(score) OVER (PARTITION BY query_id) AS fts, score / max(score) OVER (PARTITION BY query_id) + least(0.05 * confirmed_count, 0.15) AS combined
+      FROM lex
+      JOIN facts f ON f.id = lex.id""", placed="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS rank FROM trusted") + "SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(fts, 6) AS fts, round(combined, 6) AS combined FROM placed WHERE rank <= 5")
 def lexical_search(spark, sf):
     f = fx.facts(spark, sf).where("superseded_by is null")
     return search.search(f, query_table(spark), search.SearchOptions(max_results=5), lexical_only=True).select("query_id", "rank", "id", F.round("fts", 6).alias("fts"), F.round("combined", 6).alias("combined"))
@@ -203,7 +240,10 @@ def rerank_sql(fused: str, where: str) -> str:
         "facts",
         **hybrid_views(40),
         pool="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS place FROM fused",
-        scored=f"SELECT p.*, q.text AS q, list_distinct({TERMS.format('q.text')}) AS qt, list_distinct({TERMS.format('content')}) AS dt, confirmed_count FROM pool p JOIN queries q USING (query_id) JOIN facts f ON f.id = p.id",
+        scored=f"""SELECT p.*, q.text AS q, list_distinct({TERMS.format('q.text')}) AS qt, list_distinct({TERMS.format('content')}) AS dt, confirmed_count
+              FROM pool p
+              JOIN queries q USING (query_id)
+              JOIN facts f ON f.id = p.id""",
         reranked="SELECT *, CASE WHEN place <= 8 THEN CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(qt, dt)) / len(qt) END END AS rr FROM scored",
         final=f"SELECT *, CASE WHEN rr IS NULL THEN combined ELSE {fused} END + least(0.05 * confirmed_count, 0.15) AS score FROM reranked WHERE {where}",
         placed="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM final",
@@ -242,13 +282,16 @@ STOPS = "('" + "','".join(STOP_WORDS) + "')"
 
 
 @case(
-    "SELECT item_id, word FROM (SELECT item_id, unnest(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: lower(trim(w, '.,;:!?\"''()[]{}')))) AS word FROM benchmark) WHERE strlen(word) >= 3 AND word NOT IN " + STOPS + " GROUP BY ALL"
+    """SELECT item_id, word
+          FROM (SELECT item_id, unnest(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: lower(trim(w, '.,;:!?\"''()[]{}')))) AS word FROM benchmark)
+          WHERE strlen(word) >= 3 AND word NOT IN """ + STOPS + " GROUP BY ALL"
 )
 def prompt_words(spark, sf):
     return fx.table(spark, sf, "benchmark").select("item_id", F.explode(candidate_words(F.col("text"))).alias("word"))
 
 
-@case(r"SELECT page_id, trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[/._:\-]', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '\s+', ' ', 'g'))) AS words FROM pages")
+@case(r"""SELECT page_id, trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[/._:\-]', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '\s+', ' ', 'g'))) AS words
+      FROM pages""")
 def decomposed_urls(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", decomposed(F.col("url")).alias("words"))
 

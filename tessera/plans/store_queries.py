@@ -29,21 +29,28 @@ def case(sql: str | None):
 # ---- writes
 
 
-@case(with_("facts") + "SELECT f.id, CASE WHEN f.superseded_by IS NOT NULL THEN f.superseded_by WHEN f.id % 9 = 1 AND EXISTS (SELECT 1 FROM facts g WHERE g.id = f.id + 10) THEN f.id + 10 END AS superseded_by, CASE WHEN f.superseded_by IS NOT NULL THEN f.superseded_at WHEN f.id % 9 = 1 AND EXISTS (SELECT 1 FROM facts g WHERE g.id = f.id + 10) THEN TIMESTAMP '2024-09-01 00:00:00' END AS superseded_at FROM facts f")
+@case(with_("facts") + """SELECT f.id, CASE WHEN f.superseded_by IS NOT NULL THEN f.superseded_by WHEN f.id % 9 = 1 AND EXISTS (SELECT 1 FROM facts g WHERE g.id = f.id + 10) THEN f.id + 10 END AS superseded_by, CASE WHEN f.superseded_by IS NOT NULL THEN f.superseded_at WHEN f.id % 9 = 1 AND EXISTS (SELECT 1 FROM facts g WHERE g.id = f.id + 10) THEN TIMESTAMP '2024-09-01 00:00:00' END AS superseded_at
+      FROM facts f""")
 def supersede_pairs(spark, sf):
     f = fx.facts(spark, sf)
     pairs = f.where("id % 9 = 1").select(F.col("id").alias("old_id"), (F.col("id") + 10).alias("new_id"))
     return lifecycle.supersede(f, pairs, "2024-09-01 00:00:00").select("id", "superseded_by", "superseded_at")
 
 
-@case(with_("facts") + "SELECT id, confirmed_count + CASE WHEN id % 10 < 3 THEN 1 ELSE 0 END AS confirmed_count, use_count + CASE WHEN id IN (SELECT DISTINCT user_id FROM events) THEN 1 ELSE 0 END AS use_count FROM facts")
+@case(with_("facts") + """SELECT id, confirmed_count + CASE WHEN id % 10 < 3 THEN 1 ELSE 0 END AS confirmed_count, use_count + CASE WHEN id IN (SELECT DISTINCT user_id FROM events) THEN 1 ELSE 0 END AS use_count
+      FROM facts""")
 def confirm_and_touch(spark, sf):
     f = fx.facts(spark, sf)
     f = lifecycle.confirm(f, f.where("id % 10 < 3").select("id"), "2024-09-01")
     return lifecycle.touch(f, fx.table(spark, sf, "events").select(F.col("user_id").alias("id")), "2024-09-01").select("id", "confirmed_count", "use_count")
 
 
-@case(with_("facts") + "SELECT id, metadata ->> '$.chapter' AS chapter, metadata ->> '$.quality' AS quality, metadata ->> '$.surface' AS surface, CASE WHEN id % 4 <> 0 THEN 'yes' END AS seen FROM facts WHERE id % 4 <> 2 UNION ALL SELECT id, NULL, NULL, 'project', 'yes' FROM facts WHERE id % 4 = 2")
+@case(with_("facts") + """SELECT id, metadata ->> '$.chapter' AS chapter, metadata ->> '$.quality' AS quality, metadata ->> '$.surface' AS surface, CASE WHEN id % 4 <> 0 THEN 'yes' END AS seen
+      FROM facts
+      WHERE id % 4 <> 2
+      UNION ALL SELECT id, NULL, NULL, 'project', 'yes'
+      FROM facts
+      WHERE id % 4 = 2""")
 def patch_metadata(spark, sf):
     f = fx.facts(spark, sf)
     patches = f.where("id % 4 <> 0").select("id", F.when(F.col("id") % 4 == 2, '{"seen":"yes","chapter":null}').otherwise('{"seen":"yes"}').alias("patch"))
@@ -83,7 +90,9 @@ def pending_vectors(spark, sf):
     return lifecycle.pending(f, 30).select("id")
 
 
-@case("SELECT l_suppkey AS source_id, count(*) AS n, sum(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS relabelled FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY 1")
+@case("""SELECT l_suppkey AS source_id, count(*) AS n, sum(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS relabelled
+      FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
+      GROUP BY 1""")
 def update_link_labels(spark, sf):
     links = fx.links(spark, sf).withColumns({"label": F.lit("old"), "metadata": F.lit("{}")})
     changes = links.select("id", F.when(F.col("target_id") % 2 == 0, "new").otherwise("").alias("label"), F.lit("").alias("metadata"))
@@ -94,7 +103,8 @@ def update_link_labels(spark, sf):
 # ---- chains and links
 
 
-@case(with_("chains") + "SELECT id, subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY created_at, id) - 1 AS INTEGER) AS position, CAST(count(*) OVER (PARTITION BY subject) AS INTEGER) AS chain_length FROM chains")
+@case(with_("chains") + """SELECT id, subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY created_at, id) - 1 AS INTEGER) AS position, CAST(count(*) OVER (PARTITION BY subject) AS INTEGER) AS chain_length
+      FROM chains""")
 def history_of_subjects(spark, sf):
     return lifecycle.history_by_subject(fx.chains(spark, sf))
 
@@ -102,7 +112,10 @@ def history_of_subjects(spark, sf):
 STARTS = "SELECT id AS start FROM chains WHERE id % 97 = 5"
 
 
-@case(with_("chains", starts=STARTS, placed="SELECT id, subject, row_number() OVER (PARTITION BY subject ORDER BY created_at, id) - 1 AS position, count(*) OVER (PARTITION BY subject) AS chain_length FROM chains") + "SELECT start, p.id, CAST(p.position AS INTEGER) AS position, CAST(p.chain_length AS INTEGER) AS chain_length FROM starts s JOIN placed q ON q.id = s.start JOIN placed p ON p.subject = q.subject")
+@case(with_("chains", starts=STARTS, placed="SELECT id, subject, row_number() OVER (PARTITION BY subject ORDER BY created_at, id) - 1 AS position, count(*) OVER (PARTITION BY subject) AS chain_length FROM chains") + """SELECT start, p.id, CAST(p.position AS INTEGER) AS position, CAST(p.chain_length AS INTEGER) AS chain_length
+      FROM starts s
+      JOIN placed q ON q.id = s.start
+      JOIN placed p ON p.subject = q.subject""")
 def history_of_ids(spark, sf):
     c = fx.chains(spark, sf)
     return graph.history(c, c.where("id % 97 = 5").select("id"))
@@ -117,7 +130,9 @@ IDS = "(1, 5, 9, 100004, 100008, 100013)"
 
 
 def link_case(direction: str, where: str):
-    sql = with_("links") + f"SELECT fact_id, other_id, link_type FROM (SELECT source_id AS fact_id, target_id AS other_id, link_type, bidirectional, 1 AS outward FROM links UNION ALL SELECT target_id, source_id, link_type, bidirectional, 0 FROM links) WHERE fact_id IN {IDS} AND {where}"
+    sql = with_("links") + f"""SELECT fact_id, other_id, link_type
+          FROM (SELECT source_id AS fact_id, target_id AS other_id, link_type, bidirectional, 1 AS outward FROM links UNION ALL SELECT target_id, source_id, link_type, bidirectional, 0 FROM links)
+          WHERE fact_id IN {IDS} AND {where}"""
 
     def query(spark, sf):
         ids = spark.createDataFrame([(i,) for i in (1, 5, 9, 100004, 100008, 100013)], "fact_id long")
@@ -132,7 +147,9 @@ link_case("inbound", "(outward = 0 OR bidirectional)")
 link_case("both", "true")
 
 
-@case(with_("links") + "SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT source_id AS id, 1 AS o, 0 AS i FROM links UNION ALL SELECT target_id, 0, 1 FROM links) GROUP BY id")
+@case(with_("links") + """SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree
+      FROM (SELECT source_id AS id, 1 AS o, 0 AS i FROM links UNION ALL SELECT target_id, 0, 1 FROM links)
+      GROUP BY id""")
 def link_degrees(spark, sf):
     return graph.degrees(fx.links(spark, sf))
 
@@ -147,7 +164,10 @@ def link_neighbourhood(spark, sf):
 
 AUTO = {
     "new": "SELECT vec_id AS s, label, embedding AS v FROM embeddings WHERE vec_id % 10 = 3",
-    "sims": "SELECT s AS source_id, vec_id AS target_id, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM new JOIN embeddings USING (label) WHERE vec_id <> s",
+    "sims": """SELECT s AS source_id, vec_id AS target_id, list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score
+          FROM new
+          JOIN embeddings USING (label)
+          WHERE vec_id <> s""",
 }
 
 
@@ -157,9 +177,23 @@ def auto_links(spark, sf):
     return graph.auto_links(v.where("id % 10 = 3"), v, threshold=0.3).select("source_id", "target_id", F.round("score", 6).alias("score"))
 
 
-@case(None)
+@case(
+    with_(
+        news="SELECT vec_id AS id, label, embedding AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE vec_id % 10 = 3",
+        pairs="""SELECT n.id AS new_id, e.vec_id AS old_id, list_cosine_similarity(CAST(n.v AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS sim
+          FROM news n JOIN embeddings e USING (label) WHERE e.vec_id <> n.id AND (e.vec_id % 10 <> 3 OR e.vec_id < n.id) AND sim >= 0.3""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + """,
+    walk AS (
+      SELECT label, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS old_id, CAST(NULL AS BIGINT) AS new_id FROM (SELECT DISTINCT label FROM news)
+      UNION ALL
+      SELECT w.label, n.k, CASE WHEN p.old_id IS NULL THEN gone ELSE list_append(gone, p.old_id) END, p.old_id, n.id
+      FROM walk w JOIN news n ON n.label = w.label AND n.k = w.k + 1 LEFT JOIN pairs p ON p.new_id = n.id AND NOT list_contains(w.gone, p.old_id)
+      QUALIFY row_number() OVER (PARTITION BY w.label ORDER BY p.sim DESC NULLS LAST, p.old_id) = 1)
+    SELECT old_id, new_id FROM walk WHERE old_id IS NOT NULL"""
+)
 def auto_supersede(spark, sf):
-    """The choice depends on earlier choices: tests hold it against a plain loop."""
+    """What each new fact replaces depends on what earlier ones did; tests hold it against a plain loop, too."""
     v = fx.vectors(spark, sf).withColumns({"subject": F.col("label").cast("string"), "superseded_by": F.lit(None).cast("long"), "metadata": F.lit(None).cast("string")})
     return extract.replacements(v.where("id % 10 = 3").withColumn("batch_index", F.col("id").cast("int")), v.where("id % 10 <> 3"), threshold=0.3)
 
@@ -171,7 +205,8 @@ ROUTED = f"({EXT} IN ('md', 'markdown', 'go') OR {EXT} IN ('{"','".join(paths.TE
 REASON = f"CASE WHEN path LIKE '%/vendor/%' THEN 'excluded directory: vendor' WHEN path LIKE '%/.git/%' THEN 'excluded directory: .git' WHEN NOT {ROUTED} THEN CASE WHEN {EXT} = '' THEN 'no extension' ELSE 'unroutable extension: ' || regexp_extract(path, '\\.[^./]*$') END WHEN size > 1048576 THEN 'size ' || CAST(size AS VARCHAR) || ' exceeds cap 1048576' END"
 
 
-@case(with_("files") + f"SELECT path, {REASON} AS reason, CASE WHEN {EXT} IN ('md', 'markdown') THEN 'markdown' WHEN {EXT} = 'go' THEN 'go' WHEN {ROUTED} THEN 'line-window' END AS route FROM files")
+@case(with_("files") + f"""SELECT path, {REASON} AS reason, CASE WHEN {EXT} IN ('md', 'markdown') THEN 'markdown' WHEN {EXT} = 'go' THEN 'go' WHEN {ROUTED} THEN 'line-window' END AS route
+      FROM files""")
 def file_routes(spark, sf):
     p = F.col("path")
     return fx.files(spark, sf).select("path", paths.skip_reason(p, F.col("size")).alias("reason"), paths.route(p).alias("route"))
@@ -186,7 +221,10 @@ def manifests(spark, sf):
 SYNC = with_(
     "files",
     stored="SELECT path, id FROM files WHERE id % 4 <> 1 UNION ALL SELECT 'gone/a.md', NULL UNION ALL SELECT 'gone/b.go', NULL",
-    synced=f"SELECT coalesce(f.path, s.path) AS path, CASE WHEN f.path IS NULL THEN 'orphan' WHEN r IS NOT NULL THEN 'skip' WHEN s.path IS NOT NULL AND f.id % 8 <> 2 THEN 'unchanged' ELSE 'need' END AS action, r AS reason FROM (SELECT *, {REASON} AS r FROM files) f FULL JOIN stored s ON s.path = f.path",
+    synced=f"""SELECT coalesce(f.path, s.path) AS path, CASE WHEN f.path IS NULL THEN 'orphan' WHEN r IS NOT NULL THEN 'skip' WHEN s.path IS NOT NULL AND f.id % 8 <> 2 THEN 'unchanged' ELSE 'need' END AS action, r AS reason
+          FROM (SELECT *, {REASON} AS r FROM files) f
+          FULL
+          JOIN stored s ON s.path = f.path""",
 )
 
 
@@ -200,7 +238,8 @@ def manifest_skips(spark, sf):
     return corpus.skip_counts(corpus.sync(*manifests(spark, sf)))
 
 
-@case("SELECT page_id, 'https://x/r' || CASE WHEN page_id % 3 = 0 THEN ' ' ELSE '@c' || CAST(page_id AS VARCHAR) || ' ' END || url || ':L' || CAST(page_id AS VARCHAR) || '-' || CAST(page_id + 9 AS VARCHAR) AS cite FROM pages")
+@case("""SELECT page_id, 'https://x/r' || CASE WHEN page_id % 3 = 0 THEN ' ' ELSE '@c' || CAST(page_id AS VARCHAR) || ' ' END || url || ':L' || CAST(page_id AS VARCHAR) || '-' || CAST(page_id + 9 AS VARCHAR) AS cite
+      FROM pages""")
 def citations(spark, sf):
     p = fx.table(spark, sf, "pages")
     commit = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("c"), F.col("page_id").cast("string")))
@@ -214,7 +253,9 @@ def doc_tables(spark, sf):
     return docs, chunks
 
 
-@case(with_("files") + "SELECT id AS document_id, count(*) AS n FROM (SELECT id FROM files, range(2) WHERE id % 5 <> 0 UNION ALL SELECT id + 5000 FROM files, range(3) WHERE id % 5 = 0) GROUP BY 1")
+@case(with_("files") + """SELECT id AS document_id, count(*) AS n
+      FROM (SELECT id FROM files, range(2) WHERE id % 5 <> 0 UNION ALL SELECT id + 5000 FROM files, range(3) WHERE id % 5 = 0)
+      GROUP BY 1""")
 def upsert_replaces(spark, sf):
     docs, chunks = doc_tables(spark, sf)
     new = docs.where("id % 5 = 0").withColumn("id", F.col("id") + 5000)
@@ -243,7 +284,8 @@ def chunk_span_rules(spark, sf):
     return bad.crossJoin(c.agg(F.countDistinct("path").alias("files")))
 
 
-@case(with_("files") + f"SELECT path, coalesce({REASON.replace('size', 'length(content)')}, CASE WHEN id % 5 = 1 THEN 'bad hash' WHEN id % 5 = 2 THEN 'hash does not match' WHEN id % 5 = 3 THEN 'not text' END) AS error FROM files")
+@case(with_("files") + f"""SELECT path, coalesce({REASON.replace('size', 'length(content)')}, CASE WHEN id % 5 = 1 THEN 'bad hash' WHEN id % 5 = 2 THEN 'hash does not match' WHEN id % 5 = 3 THEN 'not text' END) AS error
+      FROM files""")
 def upload_errors(spark, sf):
     i, body = F.col("id"), F.when(F.col("id") % 5 == 3, F.concat("content", F.lit("\0"))).otherwise(F.col("content")).cast("binary")
     sha = F.when(i % 5 == 1, "zz").when(i % 5 == 2, F.lit("0" * 64)).otherwise(F.upper(F.sha2(body, 256)))
@@ -259,11 +301,22 @@ CHUNK_QUERIES = ((1, "page"), (2, "the tion"), (3, "example.com"), (4, "exampleC
         facts="SELECT page_id AS id, html AS content, '' AS subject, '' AS category, NULL AS superseded_by, page_id % 10 = 0 AS generated FROM pages",
         **{k: v.replace("content || ' ' || subject || ' ' || category", "content") for k, v in bm25_views("NOT generated").items() if k != "queries"},
         lq="SELECT query_id, 'example com' AS text FROM queries WHERE query_id IN (3, 4)",
-        dd=r"SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(trim(regexp_replace(regexp_replace(regexp_replace(content, '[/._:\-]', ' ', 'g'), '([\p{Ll}\p{Nd}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')))), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS terms FROM facts WHERE NOT generated",
+        dd=r"""SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(trim(regexp_replace(regexp_replace(regexp_replace(content, '[/._:\-]', ' ', 'g'), '([\p{Ll}\p{Nd}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')))), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS terms
+              FROM facts
+              WHERE NOT generated""",
         lhits="SELECT query_id, w, id, len(terms) AS n, len(list_filter(terms, lambda t: t = w)) AS tf FROM lq, unnest(['example', 'com']) u(w), dd WHERE list_contains(terms, w)",
-        lidf="SELECT query_id, w, CASE WHEN ln((d - h + 0.5) / (h + 0.5)) <= 0 THEN 1e-6 ELSE ln((d - h + 0.5) / (h + 0.5)) END AS idf FROM (SELECT query_id, w, count(*) AS h FROM lhits GROUP BY ALL), (SELECT count(*) AS d FROM dd)",
-        loose="SELECT query_id, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / m))) AS score FROM lhits JOIN lidf USING (query_id, w), (SELECT avg(len(terms)) AS m FROM dd) GROUP BY ALL HAVING count(*) = 2",
-        tiers="SELECT query_id, id, 0 AS tier, score FROM lexical UNION ALL SELECT query_id, id, 1, score FROM loose l WHERE NOT EXISTS (SELECT 1 FROM lexical x WHERE x.query_id = l.query_id AND x.id = l.id)",
+        lidf="""SELECT query_id, w, CASE WHEN ln((d - h + 0.5) / (h + 0.5)) <= 0 THEN 1e-6 ELSE ln((d - h + 0.5) / (h + 0.5)) END AS idf
+              FROM (SELECT query_id, w, count(*) AS h FROM lhits GROUP BY ALL), (SELECT count(*) AS d FROM dd)""",
+        loose="""SELECT query_id, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / m))) AS score
+              FROM lhits
+              JOIN lidf USING (query_id, w), (SELECT avg(len(terms)) AS m FROM dd)
+              GROUP BY ALL
+              HAVING count(*) = 2""",
+        tiers="""SELECT query_id, id, 0 AS tier, score
+              FROM lexical
+              UNION ALL SELECT query_id, id, 1, score
+              FROM loose l
+              WHERE NOT EXISTS (SELECT 1 FROM lexical x WHERE x.query_id = l.query_id AND x.id = l.id)""",
         placed="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(score, 9) DESC, id) AS place FROM tiers",
     )
     + "SELECT query_id, CAST(place AS INTEGER) AS place, id, tier, round(score, 6) AS score FROM placed WHERE place <= 12"
@@ -277,12 +330,16 @@ def corpus_search(spark, sf):
 # ---- sessions
 
 
-@case(with_("turns") + "SELECT session_id, string_agg(left(content, 100000), ' ' ORDER BY turn_index DESC) AS query FROM (SELECT * FROM turns WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_index DESC) <= 3) GROUP BY session_id")
+@case(with_("turns") + """SELECT session_id, string_agg(left(content, 100000), ' ' ORDER BY turn_index DESC) AS query
+      FROM (SELECT * FROM turns WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_index DESC) <= 3)
+      GROUP BY session_id""")
 def session_queries(spark, sf):
     return sessions.search_query(fx.turns(spark, sf), most=100000)
 
 
-@case(with_("turns") + "SELECT session_id, string_agg('[' || role || ']: ' || content, chr(10) ORDER BY turn_index) AS snippet FROM (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_index DESC) <= 3) GROUP BY session_id")
+@case(with_("turns") + """SELECT session_id, string_agg('[' || role || ']: ' || content, chr(10) ORDER BY turn_index) AS snippet
+      FROM (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_index DESC) <= 3)
+      GROUP BY session_id""")
 def session_snippets(spark, sf):
     return sessions.snippet(fx.turns(spark, sf), most=100000)
 
@@ -297,7 +354,9 @@ def session_turns(spark, sf):
     return sessions.turns_of(fx.turns(spark, sf), "2").select("turn_index", "role", "content")
 
 
-@case("SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index, role, text AS content FROM conversations WHERE role IN ('user', 'assistant') AND text <> ''")
+@case("""SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index, role, text AS content
+      FROM conversations
+      WHERE role IN ('user', 'assistant') AND text <> ''""")
 def transcripts(spark, sf):
     c = fx.table(spark, sf, "conversations")
     body = F.when(F.col("role") == "user", F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"))))
@@ -329,14 +388,16 @@ def hint_worth(spark, sf):
     return e.select("event_id", sessions.desirability(F.col("value") / 100).alias("desirability"), sessions.worth_a_hint(F.col("value") / 100, F.col("user_id") % 3).alias("worth"))
 
 
-@case("SELECT n_name, CASE WHEN n_regionkey = 0 THEN 'general' WHEN n_regionkey IN (1, 2) THEN CASE WHEN n_nationkey % 2 = 0 THEN 'user' ELSE 'ann' END ELSE n_name END AS subject, CASE n_regionkey WHEN 0 THEN 'note' WHEN 1 THEN 'identity' WHEN 2 THEN 'preference' ELSE 'project' END AS category, CASE n_regionkey WHEN 0 THEN 'general' WHEN 1 THEN 'user' WHEN 2 THEN 'preference' ELSE 'project' END AS scope FROM nation")
+@case("""SELECT n_name, CASE WHEN n_regionkey = 0 THEN 'general' WHEN n_regionkey IN (1, 2) THEN CASE WHEN n_nationkey % 2 = 0 THEN 'user' ELSE 'ann' END ELSE n_name END AS subject, CASE n_regionkey WHEN 0 THEN 'note' WHEN 1 THEN 'identity' WHEN 2 THEN 'preference' ELSE 'project' END AS category, CASE n_regionkey WHEN 0 THEN 'general' WHEN 1 THEN 'user' WHEN 2 THEN 'preference' ELSE 'project' END AS scope
+      FROM nation""")
 def summary_routes(spark, sf):
     scope = F.element_at(F.array(*map(F.lit, ("general", "user", "preference", "project", "odd"))), F.col("n_regionkey") + 1)
     persona = F.when(F.col("n_nationkey") % 2 == 1, "ann").otherwise("")
     return fx.table(spark, sf, "nation").select("n_name", sessions.summary_route(scope, F.col("n_name"), persona).alias("r")).select("n_name", "r.*")
 
 
-@case("SELECT r_name, 'Lead ' || r_name || CASE WHEN r_regionkey > 0 THEN chr(10) || chr(10) || 'Decisions:' || chr(10) || '- ' || array_to_string(list_transform(range(r_regionkey), lambda i: 'd' || CAST(i AS VARCHAR)), chr(10) || '- ') ELSE '' END AS text FROM region")
+@case("""SELECT r_name, 'Lead ' || r_name || CASE WHEN r_regionkey > 0 THEN chr(10) || chr(10) || 'Decisions:' || chr(10) || '- ' || array_to_string(list_transform(range(r_regionkey), lambda i: 'd' || CAST(i AS VARCHAR)), chr(10) || '- ') ELSE '' END AS text
+      FROM region""")
 def summary_texts(spark, sf):
     items = F.when(F.col("r_regionkey") > 0, F.transform(F.sequence(F.lit(0), F.col("r_regionkey") - 1), lambda i: F.concat(F.lit(" d"), i.cast("string"), F.lit(" ")))).otherwise(F.array(F.lit("  ")))
     return fx.table(spark, sf, "region").select("r_name", sessions.summary_text(F.concat(F.lit(" Lead "), "r_name"), items, F.array(F.lit(" "))).alias("text"))
@@ -355,7 +416,15 @@ TASKS = ((1, "the ounty tion"), (2, "la de"), (3, "zz qq"))
         res="SELECT query_id, f.id, subsystem, score / max(score) OVER (PARTITION BY query_id) + least(0.05 * confirmed_count, 0.15) AS score FROM lex JOIN facts f ON f.id = lex.id",
         results="SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10",
         live="SELECT * FROM facts WHERE superseded_by IS NULL",
-        tiers="SELECT DISTINCT query_id, l.id, CASE kind WHEN 'invariant' THEN 0 ELSE 1 END AS tier, 0.0::DOUBLE AS score FROM live l JOIN results s USING (subsystem) WHERE kind IN ('invariant', 'failure_mode') AND subsystem <> '' UNION ALL SELECT query_id, l.id, 2, 0.0 FROM live l, queries q WHERE kind = 'trigger' AND len(list_filter(string_split(q.text, ' '), lambda w: strlen(w) >= 3 AND contains(lower(content), w))) > 0 UNION ALL SELECT query_id, id, 3, score FROM results",
+        tiers="""SELECT DISTINCT query_id, l.id, CASE kind WHEN 'invariant' THEN 0 ELSE 1 END AS tier, 0.0::DOUBLE AS score
+              FROM live l
+              JOIN results s USING (subsystem)
+              WHERE kind IN ('invariant', 'failure_mode') AND subsystem <> ''
+              UNION ALL SELECT query_id, l.id, 2, 0.0
+              FROM live l, queries q
+              WHERE kind = 'trigger' AND len(list_filter(string_split(q.text, ' '), lambda w: strlen(w) >= 3 AND contains(lower(content), w))) > 0
+              UNION ALL SELECT query_id, id, 3, score
+              FROM results""",
         firsts="SELECT * FROM tiers QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY tier) = 1",
     )
     + "SELECT query_id AS task_id, ['invariant', 'failure_mode', 'trigger', 'relevant'][tier + 1] AS tier, id, round(score, 6) AS score FROM firsts"
@@ -365,7 +434,15 @@ def task_context(spark, sf):
     return context.get_context(fx.facts(spark, sf), tasks, limit=10).withColumn("score", F.round("score", 6))
 
 
-@case(with_("files") + "SELECT path AS file, 1 AS id FROM files WHERE path LIKE '%.md' UNION ALL SELECT path, 2 FROM files WHERE regexp_matches(path, '(^|/)lib/([^/]*/)*[^/]*$') UNION ALL SELECT path, 3 FROM files WHERE regexp_matches(path, '(^|/)page1[0-9]\\.txt$')")
+@case(with_("files") + """SELECT path AS file, 1 AS id
+      FROM files
+      WHERE path LIKE '%.md'
+      UNION ALL SELECT path, 2
+      FROM files
+      WHERE regexp_matches(path, '(^|/)lib/([^/]*/)*[^/]*$')
+      UNION ALL SELECT path, 3
+      FROM files
+      WHERE regexp_matches(path, '(^|/)page1[0-9]\\.txt$')""")
 def file_triggers(spark, sf):
     triggers = spark.createDataFrame([(1, "*.md"), (2, "lib/**"), (3, "page1?.txt"), (4, "none/*")], "id int, signal string")
     return context.file_triggers(triggers, fx.files(spark, sf).select(F.col("path").alias("file")))
@@ -382,7 +459,10 @@ def task_updates(spark, sf):
 
 RECALL = {
     "req": "SELECT item_id, text, regexp_split_to_array(text, '\\s+') AS ws FROM benchmark",
-    "w0": f"SELECT item_id, pos, word FROM (SELECT item_id, generate_subscripts(ws, 1) AS pos, unnest(list_transform(ws, lambda w: lower(trim(w, '.,;:!?\"''()[]{{}}')))) AS word FROM req) WHERE strlen(word) >= 3 AND word NOT IN {STOPS} QUALIFY row_number() OVER (PARTITION BY item_id, word ORDER BY pos) = 1",
+    "w0": f"""SELECT item_id, pos, word
+          FROM (SELECT item_id, generate_subscripts(ws, 1) AS pos, unnest(list_transform(ws, lambda w: lower(trim(w, '.,;:!?\"''()[]{{}}')))) AS word FROM req)
+          WHERE strlen(word) >= 3 AND word NOT IN {STOPS}
+          QUALIFY row_number() OVER (PARTITION BY item_id, word ORDER BY pos) = 1""",
     "live": "SELECT * FROM facts WHERE superseded_by IS NULL",
     "an": f"SELECT id, {TERMS.format("content || ' ' || subject || ' ' || category")} AS terms FROM live",
     "dfs": "SELECT word, count(*) AS df FROM (SELECT DISTINCT id, unnest(terms) AS word FROM an) GROUP BY word",
@@ -399,15 +479,26 @@ RECALL_FULL = with_(
         "req": "SELECT item_id, text, cwd, project, regexp_split_to_array(text, '\\s+') AS ws FROM (VALUES " + ", ".join(f"({i}, '{p}', '{c}', '{n}')" for i, _, p, c, n in PROMPTS) + ") q(item_id, text, cwd, project)",
         "h": "SELECT k.item_id, k.word, a.id, len(terms) AS n, len(list_filter(terms, lambda t: t = k.word)) AS tf FROM kw k JOIN an a ON list_contains(terms, k.word)",
         "hd": "SELECT word, count(DISTINCT id) AS hv FROM h GROUP BY word",
-        "bm": "SELECT item_id, word, id, greatest(ln((d - hv + 0.5) / (hv + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / m)) AS score FROM h JOIN hd USING (word), (SELECT count(*) AS d, avg(len(terms)) AS m FROM an)",
+        "bm": """SELECT item_id, word, id, greatest(ln((d - hv + 0.5) / (hv + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / m)) AS score
+              FROM h
+              JOIN hd USING (word), (SELECT count(*) AS d, avg(len(terms)) AS m FROM an)""",
         "b1": "SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY item_id, word ORDER BY score DESC, id) <= 20",
         "b2": "SELECT item_id, word, b1.id, score / max(score) OVER (PARTITION BY item_id, word) + least(0.05 * confirmed_count, 0.15) AS combined FROM b1 JOIN facts f ON f.id = b1.id",
         "b3": "SELECT * FROM b2 QUALIFY row_number() OVER (PARTITION BY item_id, word ORDER BY combined DESC, id) <= 10",
         "c": "SELECT item_id, id, sum(combined) AS score, count(*) AS hits FROM b3 GROUP BY ALL",
-        "w": "SELECT item_id, f.*, hits, project, cwd, lower(subject) = lower(project) AS own, project <> '' AS known, coalesce(metadata ->> '$.quality', '') AS quality, coalesce(metadata ->> '$.surface', '') AS surface, metadata ->> '$.project_path' AS pp, score AS s0 FROM c JOIN facts f USING (id) JOIN req USING (item_id)",
-        "x": "SELECT *, s0 * CASE WHEN kind = 'decision' THEN 1.5 WHEN kind IN ('convention', 'invariant') THEN 1.3 ELSE 1 END * CASE WHEN known AND own THEN 2.5 WHEN known THEN 0.3 ELSE 1 END * CASE WHEN surface = 'project' AND cwd <> '' AND (cwd = pp OR starts_with(cwd, pp || '/')) THEN 4 ELSE 1 END * CASE WHEN hits > 1 THEN 1 + 0.2 * (hits - 1) ELSE 1 END AS s1 FROM w WHERE NOT (starts_with(quality, 'local:') OR kind = 'trigger' OR (kind = 'pattern' AND surface <> 'project') OR (kind = 'summary' AND known AND NOT own))",
+        "w": """SELECT item_id, f.*, hits, project, cwd, lower(subject) = lower(project) AS own, project <> '' AS known, coalesce(metadata ->> '$.quality', '') AS quality, coalesce(metadata ->> '$.surface', '') AS surface, metadata ->> '$.project_path' AS pp, score AS s0
+              FROM c
+              JOIN facts f USING (id)
+              JOIN req USING (item_id)""",
+        "x": """SELECT *, s0 * CASE WHEN kind = 'decision' THEN 1.5 WHEN kind IN ('convention', 'invariant') THEN 1.3 ELSE 1 END * CASE WHEN known AND own THEN 2.5 WHEN known THEN 0.3 ELSE 1 END * CASE WHEN surface = 'project' AND cwd <> '' AND (cwd = pp OR starts_with(cwd, pp || '/')) THEN 4 ELSE 1 END * CASE WHEN hits > 1 THEN 1 + 0.2 * (hits - 1) ELSE 1 END AS s1
+              FROM w
+              WHERE NOT (starts_with(quality, 'local:') OR kind = 'trigger' OR (kind = 'pattern' AND surface <> 'project') OR (kind = 'summary' AND known AND NOT own))""",
         "fb": "SELECT doc_id AS id, avg(2.0 * quality - 1) AS a, count(*) AS n FROM labels GROUP BY 1",
-        "y": "SELECT x.* EXCLUDE (s1), s1 * CASE WHEN n > 0 THEN pow(2, a * (0.4 + 0.6 * least(n, 5) / 5)) ELSE 1 END AS score FROM x LEFT JOIN fb USING (id) WHERE NOT (item_id IN (1, 3) AND id % 17 = 0)",
+        "y": """SELECT x.* EXCLUDE (s1), s1 * CASE WHEN n > 0 THEN pow(2, a * (0.4 + 0.6 * least(n, 5) / 5)) ELSE 1 END AS score
+              FROM x
+              LEFT
+              JOIN fb USING (id)
+              WHERE NOT (item_id IN (1, 3) AND id % 17 = 0)""",
         "z": "SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank, max(score) OVER (PARTITION BY item_id) AS best FROM y",
     },
 )
@@ -436,7 +527,11 @@ def export_rows(spark, sf):
 
 @case(
     with_("facts", t="SELECT DISTINCT content, subject, namespace FROM facts WHERE id % 3 = 0 AND superseded_by IS NULL", kept="SELECT f.* FROM facts f WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.content = f.content AND t.subject = f.subject AND t.namespace = f.namespace)", m="SELECT id AS old_id, 1000000 + row_number() OVER (ORDER BY id) AS id FROM kept")
-    + "SELECT m.id, f.content, n.id AS superseded_by, CASE WHEN n.id IS NOT NULL THEN f.superseded_at END AS superseded_at FROM kept f JOIN m ON m.old_id = f.id LEFT JOIN m n ON n.old_id = f.superseded_by"
+    + """SELECT m.id, f.content, n.id AS superseded_by, CASE WHEN n.id IS NOT NULL THEN f.superseded_at END AS superseded_at
+          FROM kept f
+          JOIN m ON m.old_id = f.id
+          LEFT
+          JOIN m n ON n.old_id = f.superseded_by"""
 )
 def import_remaps(spark, sf):
     f = fx.facts(spark, sf)
@@ -495,6 +590,8 @@ def windowed_events(spark, sf):
     return jobs.windowed_counts(fx.table(spark, sf, "events"))
 
 
-@case("WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 3600 THEN 0 ELSE 1 END AS gap FROM events), s AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, gap DESC) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+@case("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 3600 THEN 0 ELSE 1 END AS gap FROM events), s AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, gap DESC) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", count(*) AS n
+      FROM s
+      GROUP BY user_id, k""")
 def session_stretches(spark, sf):
     return jobs.session_stretches(fx.table(spark, sf, "events"), user="user_id")

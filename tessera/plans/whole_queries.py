@@ -28,12 +28,17 @@ def case(sql: str | None):
 @case(
     with_(
         "facts",
-        items="SELECT doc_id AS item, trim(CASE WHEN doc_id % 6 = 0 THEN '  ' WHEN doc_id % 6 = 1 THEN 'same' ELSE coalesce(text, '') END, ' ') AS content, CASE WHEN doc_id % 11 = 4 THEN '' WHEN doc_id % 2 = 0 THEN source ELSE lang END AS subject FROM documents",
-        checked=f"SELECT *, CASE WHEN content = '' THEN 'content is required' WHEN subject = '' THEN 'subject is required' WHEN length(content) > {MAX_CONTENT} THEN 'content is too long' END AS error FROM items",
+        items="""SELECT doc_id AS item, trim(CASE WHEN doc_id % 6 = 0 THEN '  ' WHEN doc_id % 6 = 1 THEN 'same' ELSE coalesce(text, '') END, ' ') AS content, CASE WHEN doc_id % 11 = 4 THEN '' WHEN doc_id % 2 = 0 THEN source ELSE lang END AS subject
+              FROM documents""",
+        checked=f"""SELECT *, CASE WHEN content = '' THEN 'content is required' WHEN subject = '' THEN 'subject is required' WHEN length(content) > {MAX_CONTENT} THEN 'content is too long' END AS error
+              FROM items""",
         placed="SELECT *, row_number() OVER (PARTITION BY content, subject ORDER BY (error IS NULL) DESC, item) AS k FROM checked",
         there="SELECT DISTINCT content, subject, true AS there FROM facts WHERE superseded_by IS NULL",
     )
-    + "SELECT item, CASE WHEN error IS NOT NULL THEN 'error' WHEN k > 1 OR there THEN 'duplicate' ELSE 'stored' END AS status, error FROM placed LEFT JOIN there USING (content, subject)"
+    + """SELECT item, CASE WHEN error IS NOT NULL THEN 'error' WHEN k > 1 OR there THEN 'duplicate' ELSE 'stored' END AS status, error
+          FROM placed
+          LEFT
+          JOIN there USING (content, subject)"""
 )
 def store_batch_statuses(spark, sf):
     d = fx.table(spark, sf, "documents")
@@ -50,7 +55,9 @@ def insert_checks_length(spark, sf):
     return lifecycle.insert(fx.facts(spark, sf), new, "mine", 7, "2025-01-01").select("id", "content", "subject")
 
 
-@case(with_("facts") + "SELECT a.id AS a, b.id AS b, (a.id % 4 = 1 AND b.id % 4 IN (1, 2, 3) AND (b.id % 4 = 2 OR a.id % 10 <> b.id % 10)) OR (a.id % 4 = 2 AND (b.id % 4 IN (1, 3) OR (b.id % 4 = 2 AND a.id % 20 <> b.id % 20))) OR (a.id % 4 = 3 AND (b.id % 4 = 2 OR (b.id % 4 IN (1, 3) AND a.id % 10 <> b.id % 10) OR (b.id % 4 = 3 AND (a.id % 3 = 0) <> (b.id % 3 = 0)))) AS conflict FROM facts a JOIN facts b ON b.id = a.superseded_by")
+@case(with_("facts") + """SELECT a.id AS a, b.id AS b, (a.id % 4 = 1 AND b.id % 4 IN (1, 2, 3) AND (b.id % 4 = 2 OR a.id % 10 <> b.id % 10)) OR (a.id % 4 = 2 AND (b.id % 4 IN (1, 3) OR (b.id % 4 = 2 AND a.id % 20 <> b.id % 20))) OR (a.id % 4 = 3 AND (b.id % 4 = 2 OR (b.id % 4 IN (1, 3) AND a.id % 10 <> b.id % 10) OR (b.id % 4 = 3 AND (a.id % 3 = 0) <> (b.id % 3 = 0)))) AS conflict
+      FROM facts a
+      JOIN facts b ON b.id = a.superseded_by""")
 def metadata_conflicts(spark, sf):
     """Every fact and the one that replaces it."""
     f = fx.facts(spark, sf)
@@ -64,7 +71,9 @@ def exists_exact(spark, sf):
     return facts_ops.exists(fx.facts(spark, sf), probes).select(F.col("content").alias("probe"), "n")
 
 
-@case("WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT 100000 + l_partkey AS fact_id, l_suppkey AS other_id, s_name AS other_subject, left(s_name, 100) AS preview FROM l JOIN supplier ON s_suppkey = l_suppkey")
+@case("""WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT 100000 + l_partkey AS fact_id, l_suppkey AS other_id, s_name AS other_subject, left(s_name, 100) AS preview
+      FROM l
+      JOIN supplier ON s_suppkey = l_suppkey""")
 def link_previews(spark, sf):
     people = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("subject"), F.col("s_name").alias("content"))
     links = fx.links(spark, sf)
@@ -81,7 +90,9 @@ def injections(spark, sf):
     return fx.table(spark, sf, "orders").select((F.col("o_custkey") % 120).cast("string").alias("session_id"), F.col("o_orderkey").cast("string").alias("ref_id"), F.lit("fact").alias("ref_type"), (F.col("o_orderkey") % 10).cast("int").alias("rank"))
 
 
-@case("SELECT DISTINCT CAST(o_custkey % 120 AS VARCHAR) AS session_id FROM orders WHERE CAST(o_custkey % 120 AS VARCHAR) IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations) AND CAST(o_custkey % 120 AS VARCHAR) NOT IN (SELECT CAST(doc_id % 50 AS VARCHAR) FROM labels)")
+@case("""SELECT DISTINCT CAST(o_custkey % 120 AS VARCHAR) AS session_id
+      FROM orders
+      WHERE CAST(o_custkey % 120 AS VARCHAR) IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations) AND CAST(o_custkey % 120 AS VARCHAR) NOT IN (SELECT CAST(doc_id % 50 AS VARCHAR) FROM labels)""")
 def unrated_sessions(spark, sf):
     return sessions.unrated_sessions(injections(spark, sf), fx.turns(spark, sf), fx.feedback(spark, sf))
 
@@ -109,10 +120,13 @@ def recent_files(spark, sf):
         "facts",
         tasks="SELECT item_id AS task_id, text AS task FROM benchmark",
         r="SELECT id, category || 'er' AS agent, [category, 'there'] AS domains, content FROM facts WHERE superseded_by IS NULL",
-        s="SELECT task_id, id, agent, 3 * len(list_filter(domains, lambda d: contains(lower(task), d))) + len(list_filter(regexp_split_to_array(trim(lower(task)), '\\s+'), lambda w: strlen(w) >= 3 AND contains(lower(content), w))) AS score FROM r, tasks",
+        s="""SELECT task_id, id, agent, 3 * len(list_filter(domains, lambda d: contains(lower(task), d))) + len(list_filter(regexp_split_to_array(trim(lower(task)), '\\s+'), lambda w: strlen(w) >= 3 AND contains(lower(content), w))) AS score
+              FROM r, tasks""",
         p="SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, id) AS rank, score / max(score) OVER (PARTITION BY task_id) AS share FROM s WHERE score > 0",
     )
-    + "SELECT task_id, CAST(rank AS INTEGER) AS rank, id, agent, CAST(score AS INTEGER) AS score, CASE WHEN share >= 0.8 THEN 'high' WHEN share >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM p WHERE rank <= 5"
+    + """SELECT task_id, CAST(rank AS INTEGER) AS rank, id, agent, CAST(score AS INTEGER) AS score, CASE WHEN share >= 0.8 THEN 'high' WHEN share >= 0.5 THEN 'medium' ELSE 'low' END AS confidence
+          FROM p
+          WHERE rank <= 5"""
 )
 def agent_suggestions(spark, sf):
     f = fx.facts(spark, sf).where("superseded_by is null").select("id", F.concat("category", F.lit("er")).alias("agent"), F.array(F.col("category"), F.lit("there")).alias("domains"), "content")

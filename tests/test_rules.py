@@ -101,7 +101,7 @@ def test_conflicts(spark, a, b, want):
 # ---- paths
 
 GLOBS = [
-    ("internal/feeds/**", "/home/x/internal/feeds/a/b.go", True), ("internal/feeds/**", "/home/x/internal/feeds", True), ("internal/feeds/**", "/home/x/internal/other/a.go", False),
+    ("lib/news/**", "/home/x/lib/news/a/b.go", True), ("lib/news/**", "/home/x/lib/news", True), ("lib/news/**", "/home/x/lib/other/a.go", False),
     ("*.go", "/a/b/c.go", True), ("*.go", "/a/b/c.md", False), ("b/*.go", "/a/b/c.go", True), ("b/*.go", "/a/b/d/c.go", False), ("**/c.go", "/a/b/c.go", True), ("a/**/c.go", "/a/c.go", True),
     ("a/**/c.go", "/a/x/y/c.go", True), ("a/**/c.go", "/b/x/c.go", False), ("**", "/any/thing", True), ("c?.go", "/a/c1.go", True), ("c[0-2].go", "/a/c1.go", True), ("c[^0-2].go", "/a/c1.go", False),
     ("a.b", "/x/aXb", False), ("src/**/test/*.py", "/r/src/a/b/test/t.py", True), ("src/**/test/*.py", "/r/src/test/t.py", True), ("x/**", "/a/xy/b", False), ("./b/*.go", "/a/b/c.go", True),
