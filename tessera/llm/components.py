@@ -29,6 +29,32 @@ def join_on_hot_key(left: DataFrame, right: DataFrame, name: str, hot_keys: Data
     return left.join(theirs, name).unionByName(left.join(few, name, "left_anti").join(right, name, how))
 
 
+def star_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and component, as of components(), by alternating large-star and small-star.
+
+    Large-star hangs each node's larger neighbours on the least node around it, small-star its smaller ones; both keep components as they are, and together they end, after a number of rounds that
+    grows with the logarithm of the nodes, in stars around least nodes. Edges are written to the shared checkpoint folder each round; those of a node that very many have stay where they are.
+    """
+    edges = links.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("low < high")
+    edges, was = stored(edges.distinct()), None
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
+        if now == was:
+            break
+        was = now
+        hubs = stored(hot(edges, "low", now[0]))
+        # Edges go from the smaller node: these are each node's larger neighbours.
+        around = edges.union(edges.select("high", "low")).toDF("low", "near").groupBy("low").agg(F.least(F.min("near"), F.col("low")).alias("center"))
+        large = stored(join_on_hot_key(edges, around, "low", hubs).select(F.col("center").alias("low"), "high").distinct())
+        forget(hubs, edges)
+        hubs = stored(hot(large, "high", now[0]))
+        below = large.groupBy("high").agg(F.min("low").alias("center"))
+        met = join_on_hot_key(large, below, "high", hubs)
+        edges = stored(met.select(F.col("center").alias("low"), "high").union(met.where("low > center").select("center", "low")).distinct())
+        forget(hubs, large)
+    return kept_at(edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(edges.select("low", "low").distinct()), edges)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the smallest node reachable) for every node of a link.
 

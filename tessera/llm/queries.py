@@ -8,9 +8,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, pii, ppm, quality, suffix, tokencount
+from . import bpe, chat, clustering, decontaminate, jaccard, langid, minhash, negatives, pii, ppm, quality, suffix, tokencount
+from tessera.session import ship
+
 from .common import documents
-from .sql import LAYOUTS_SQL, OP1_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL
+from .sql import LAYOUTS_SQL, OP1_SQL, OP4_SQL, OP6_SQL, OP7_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def vocabulary_file(name: str) -> bytes:
@@ -87,6 +89,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle=3, level=85)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a JSON record in one of seven layouts, the last of them unknown, brought to canonical turns by the records' fingerprints."""
     chats = chat.turns_of_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
@@ -117,8 +133,8 @@ def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_suffix_dedup, op5_language, op6_jaccard, op7_decontaminate, op8_pii, op9_ppm, op10_chat, chat_layouts)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_token_counts, op4_suffix_dedup, op5_language, op6_jaccard, op7_decontaminate, op8_pii, op9_ppm, op10_chat, op11_hard_negatives, op12_minhash, op13_clusters, chat_layouts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_chat": OP10_SQL, "chat_layouts": LAYOUTS_SQL}
+    return {"op1_quality": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_chat": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_minhash": OP12_SQL, "op13_clusters": OP13_SQL, "chat_layouts": LAYOUTS_SQL}

@@ -103,3 +103,39 @@ said AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256 FROM said GROUP BY conv_id
 UNION ALL SELECT DISTINCT conv_id, NULL, NULL FROM t WHERE conv_id % 7 = 6
 """
+
+#: Scores of anchors with all rows, their first positives, and the first rows of other labels in each window.
+OP11_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS place
+  FROM s JOIN p USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 10
+"""
+
+#: As operator 6 at another level, and which documents stay.
+OP12_SQL = "SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM (" + OP6_SQL.replace("90 * (x.n + y.n - k)", "85 * (x.n + y.n - k)") + ")"
+
+
+def _clustering(rounds: int = 10) -> str:
+    """Assignments to the nearest centroid, and floors of means, so many times."""
+    nearest = "a{r} AS MATERIALIZED (SELECT vec_id, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.vec_id, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r} c) GROUP BY vec_id)"
+    means = """m{r} AS (SELECT k, i, (s - (s % n + n) % n) // n AS x FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM a{r} JOIN v USING (vec_id)) GROUP BY k, i)),
+c{s} AS MATERIALIZED (SELECT c.k, coalesce(any_value(m.x), any_value(c.x)) AS x FROM c{r} c LEFT JOIN (SELECT k, list(CAST(x AS BIGINT) ORDER BY i) AS x FROM m{r} GROUP BY k) m USING (k) GROUP BY c.k)"""
+    steps = ",\n".join(f"{nearest.format(r=r)},\n{means.format(r=r, s=r + 1)}" for r in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8)),
+{steps},
+{nearest.format(r=rounds)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)
+"""
+
+
+OP13_SQL = _clustering()
