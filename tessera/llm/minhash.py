@@ -6,9 +6,11 @@ two sets of a similarity of 0.85 share no band with a chance under 1e-10 (1 - (1
 Sharers of a band are candidates, but a group of near copies would give the square of its size in pairs. So:
 1. In a few bands (FIRST), each set meets one other of its bucket, dealt by hash; the TRIES of its partners whose signatures agree best are compared in full. Links found are contracted to
    components.
-2. In all bands, what's left are buckets that join two components: pairs of different components in small buckets, and in large ones cells of two blocks each, compared by
+2. In all bands, what's left are buckets that join two components. Where one of them is large (over SMALL sets), the sets of the other visit it: blocks of its members meet blocks of
+   visitors, a text once in each cell of two blocks, and are compared in full there, by the cell's own inverted lists. A visitor sends on one link for a cell.
+3. Links found are contracted again. What then joins two components in a bucket, both small in step 1, are pairs in small buckets, and in large ones cells of two blocks each, compared by
    signature within a task. Rows of the component that has most of a large bucket never meet each other there.
-Either way a pair must have about equal sizes and a signature whose agreement isn't SIGMAS deviations under what the level calls for; then it's confirmed on full sets of whole texts. What a large bucket's sets of different components cost
+A pair of steps 1 and 3 must have about equal sizes and a signature whose agreement isn't SIGMAS deviations under what the level calls for; then it's confirmed on full sets of whole texts. What a large bucket's sets of different components cost
 by signature grows with their square within the bucket; no pair of them is made unless signatures agree.
 
 Cases: null texts and texts without words have empty sets, link to nothing and are their own component; a null id links to nothing, has a null component and is kept; rows that repeat an id are
@@ -37,8 +39,10 @@ HASHES = BANDS * ROWS
 FIRST, TRIES = 12, 2
 #: Deviations of the number of equal minima that a linked pair may stay below its mean.
 SIGMAS = 7
-#: Sets of a bucket up to which pairs are made at once; sets of a block beyond that.
+#: Sets of a bucket up to which pairs are made at once, and of a component that isn't large; sets of a block beyond that.
 SMALL, BLOCK = 64, 512
+#: Members, and visitors, of a cell of a large component: their texts meet in a task.
+CELL = 256
 #: Odd factors and addends of the hash functions, by a rule.
 FACTORS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(BASE)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 ADDENDS = (mix(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(BASE)) >> np.uint64(32)).astype(np.uint32)
@@ -152,13 +156,59 @@ def in_cell(level: int):
     return run
 
 
-def large_buckets(entries: DataFrame, crowds: DataFrame, shape: DataFrame, level: int) -> DataFrame:
-    """a, b of large buckets: those of different components whose signatures may link. entries: key, node, component; crowds: key of large buckets.
+def in_group(shingle: int, level: int):
+    """A link for each visitor of a cell that links with a member of it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, visits = t["doc_id"].to_pylist(), t["visits"].to_numpy()
+        sets = shingle_sets(t["text"].to_pylist(), shingle)
+        members = [i for i in np.flatnonzero(~visits).tolist() if len(sets[i])]
+        out: list[tuple[int, int]] = []
+        if members:
+            sizes = np.array([len(sets[i]) for i in members])
+            values, number = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
+            postings = np.repeat(np.arange(len(members)), sizes)[np.argsort(number, kind="stable")]
+            bounds = np.r_[0, np.cumsum(np.bincount(number))]
+            for i in np.flatnonzero(visits).tolist():
+                at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+                own = at[values[at] == sets[i]]
+                lengths = bounds[own + 1] - bounds[own]
+                which = np.repeat(bounds[own] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+                shared = np.bincount(postings[which], minlength=len(members))
+                good = np.flatnonzero((shared > 0) & linked(len(sets[i]), sizes, shared, level))
+                if len(good):
+                    out.append((ids[i], ids[members[good[0]]]))
+        return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=LINK)
+
+    return run
+
+
+def visits(entries: DataFrame, label: DataFrame, large: DataFrame, docs: DataFrame, shingle: int, level: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between large components and sets of others that share a bucket with them, and tables to forget. entries: key, node, component; large: component, rows. Of two large ones the smaller visits."""
+    hosts = entries.join(large, "component").select("key", F.col("component").alias("host"), F.col("rows").alias("host_rows")).distinct()
+    guests = entries.join(large, "component", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    guests = guests.join(hosts, "key").where("component <> host and (rows < host_rows or rows = host_rows and component > host)")
+    guests = stored(guests.select("node", F.col("host").alias("component")).distinct())
+    n = stored(guests.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("guest_blocks")).join(large.withColumn("blocks", F.ceil(F.col("rows") / CELL).cast("int")), "component").select("component", "guest_blocks", "blocks"))
+
+    def dealt(rows: DataFrame, blocks: str, others: str, visiting: bool) -> DataFrame:
+        own, other = F.pmod(F.xxhash64("node", "component"), F.col(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        rows = rows.join(n, "component").select("node", "component", own.alias("own"), other.alias("other"))
+        return rows.select(F.col("node").alias("doc_id"), "component", F.lit(visiting).alias("visits"), F.col("other" if visiting else "own").alias("x"), F.col("own" if visiting else "other").alias("y"))
+
+    cells = dealt(label.select("node", "component"), "blocks", "guest_blocks", False).unionByName(dealt(guests, "guest_blocks", "blocks", True))
+    wanted = small(cells.select("doc_id").distinct())
+    text = stored(docs.join(wanted, "doc_id").select("doc_id", "text"))
+    found = cells.join(text, "doc_id").groupBy("component", "x", "y").applyInArrow(in_group(shingle, level), ddl(LINK))
+    return found, [guests, n, wanted, text]
+
+
+def large_buckets(own: DataFrame, shape: DataFrame, level: int) -> DataFrame:
+    """a, b of large buckets (own: key, node, component): those of different components whose signatures may link.
 
     Of a bucket's components one has most rows: those go to blocks of their own, which meet the blocks of the others only.
     """
-    own = entries.join(crowds, "key", "left_semi")
-    sizes = own.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", "rows").alias("main"), F.max("rows").alias("main_rows"), F.sum("rows").alias("rows"))
+    sizes = own.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", "rows").alias("main"), F.max("rows").alias("main_rows"), F.sum("rows").alias("rows")).where("rows > main_rows")
     own = own.join(sizes, "key").withColumn("is_main", F.col("component") == F.col("main"))
     others = F.ceil((F.col("rows") - F.col("main_rows")) / BLOCK).cast("int")
     mains = F.ceil(F.col("main_rows") / BLOCK).cast("int")
@@ -175,11 +225,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if shingle < 1 or not 80 <= level <= 100:
         raise ValueError(f"shingle {shingle} must be 1 at least, and level {level} 80 to 100")
     docs = two_columns(df, id_col, text_col)
-    signed = stored(signatures(docs, shingle))
-    some = signed.where("n > 0 and doc_id is not null")
+    full = stored(signatures(docs, shingle))
+    some = full.where("n > 0 and doc_id is not null")
     nodes = some.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n", "signature", "bands"), "doc_id").alias("x"), F.count("*").alias("copies"))
     nodes = stored(nodes.select("set_id", "x.*", "copies").withColumnRenamed("doc_id", "node"))
     shape = nodes.select("node", "n", "signature").dropDuplicates(["node", "signature"])
+    signed = stored(full.select("doc_id", "n", "set_id"))
+    forget(full)
+    some = signed.where("n > 0 and doc_id is not null")
 
     # An id with several sets is one document: it ties their nodes, which are named by ids too.
     sid = F.xxhash64("set_id")
@@ -190,28 +243,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # First, a partner in each of a few bands; the best of them in full.
     entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     first = entries.where(F.col("band") < FIRST).select("node", "key")
-    partner = first.groupBy("key").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("key", "node")).alias("partner")).where("k > 1").select("key", "partner")
+    partner = small(first.groupBy("key").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("key", "node")).alias("partner")).where("k > 1").select("key", "partner"))
     pairs = first.join(partner, "key").where("node <> partner").select(F.col("node").alias("a"), F.col("partner").alias("b")).distinct()
     best = agreeing(pairs, shape, level).groupBy("a").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("equal", "b")))), 1, TRIES).alias("x"))  # FIRST at most
     best = stored(best.select("a", F.explode("x.b").alias("b")))
-    links, done = confirmed(best, docs, shingle, level)
+    links, own = confirmed(best, docs, shingle, level)
     links = stored(links.union(ties))
     found = star_components(links)
     label = small(found)
-    forget(best, *done)
-
-    # Then all buckets that still join two components.
-    entries = stored(entries.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-    mixed = entries.groupBy("key").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    mixed = stored(mixed.select("key", "k"))
-    few = entries.join(mixed.where(F.col("k") <= SMALL).select("key"), "key", "left_semi")
+    forget(best, partner, *own)
+
+    # Buckets that still join two components.
+    entries = entries.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = entries.groupBy("key").agg(F.count("*").cast("int").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    mixed = small(mixed.select("key", "k"))
+    entries = stored(entries.join(mixed, "key"))
+    large = small(label.groupBy("component").agg(F.count("*").alias("rows")).where(F.col("rows") > SMALL))
+    visiting, own = visits(entries.drop("k"), label, large, docs, shingle, level)
+    more = stored(links.union(visiting))
+    forget(*own)
+    again = star_components(more)
+    label = small(again)
+    left = entries.join(large.select("component"), "component", "left_anti").drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    few = left.where(F.col("k") <= SMALL)
     e, f = few.alias("e"), few.alias("f")
     met = e.join(f, F.expr("e.key = f.key and e.node > f.node and e.component <> f.component")).select(F.col("e.node").alias("a"), F.col("f.node").alias("b")).distinct()
-    may = stored(agreeing(met, shape, level).select("a", "b").union(large_buckets(entries, mixed.where(F.col("k") > SMALL).select("key"), shape, level)).distinct())
-    more, own = confirmed(may, docs, shingle, level)
-    last = star_components(links.union(more))
+    many = left.where(F.col("k") > SMALL).select("key", "node", "component")
+    may = stored(agreeing(met, shape, level).select("a", "b").union(large_buckets(many, shape, level)).distinct())
+    last_links, last_own = confirmed(may, docs, shingle, level)
+    last = star_components(more.union(last_links))
     label = small(last)
-    forget(*done[2:], found, links, entries, mixed, may, *own)
+    forget(found, links, again, more, entries, mixed, large, may, *last_own)
 
     named = nodes.select("set_id", "node").join(label, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     # Rows without a set or an id need no name; a set with very many copies is looked up where its rows are.

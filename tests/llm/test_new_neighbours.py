@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,10 +149,26 @@ def test_near_duplicates_as_all_pairs(spark, monkeypatch, n, base, change, shing
     rows = texts(n, base=base, change=change)
     monkeypatch.setattr(minhash, "SMALL", 8)  # large buckets, in several blocks
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "CELL", 16)
     want = brute.near_duplicates([(d, t) for d, t, *_ in rows], shingle, level)
     assert near(spark, rows, shingle, level) == sorted(((d, k, c, d == c) for d, k, c in want.values()), key=str)
 
 
+def test_visitors_of_a_cell_as_all_pairs():
+    rows = texts(60, base=1, change=9)
+    sets = minhash.shingle_sets([t for _, t, *_ in rows], 3)
+    t = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "visits": [i >= 30 for i in range(60)]})
+    got = minhash.in_group(3, 85)(t)
+
+    def link(i, j):
+        x = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * x >= 85 * (len(sets[i]) + len(sets[j]) - x)
+
+    pairs = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    assert [a for a, _ in pairs] == [i for i in range(30, 60) if any(link(i, j) for j in range(30))] and 0 < len(pairs) < 30
+    assert all(link(a, b) for a, b in pairs)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert near(spark, []) == []
     a, b = "a b c d e f", "q r s t u v"
