@@ -66,15 +66,17 @@ def keywords(requests: DataFrame, counts: DataFrame | None, o: RecallOptions = R
     return scored.where("good").withColumn("place", place).where(F.col("place") <= o.max_keywords).select("request_id", "word", "place", "idf")
 
 
-def keyword_hits(facts: DataFrame, requests: DataFrame, words: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """request_id, id, lexical (sum over keywords of the normalised, boosted score), hits. found: places of the words, if a scan has them."""
+def keyword_hits(facts: DataFrame, requests: DataFrame, words: DataFrame, found: DataFrame | None = None, kept=None) -> DataFrame:
+    """request_id, id, lexical (sum over keywords of the normalised, boosted score), hits. found: places of the words, if a scan has them; kept: postings, which take their place."""
     # Each keyword is a query; a word shared by requests is searched once.
     limits = words.join(requests.select("request_id", "result_limit"), "request_id").groupBy("word").agg(F.max("result_limit").alias("most"))
     queries = limits.select(F.xxhash64("word").alias("query_id"), F.col("word").alias("text"), "word", "most")
-    scored = search.bm25(facts, queries.select("query_id", "text"), found=found).join(queries.select("query_id", "word"), "query_id")
-    best = scored.withColumn("first", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "id")))
+    # Twice as many as wanted are fetched, and twice that goes into the merge: a word's facts never meet, but for as many as a request may have.
+    fetch = 4 * DEFAULTS["result_limit"][1]
+    scored = search.bm25(facts, queries.select("query_id", "text"), found=found) if kept is None else kept.bm25(queries, fetch, 4 * F.col("most"), within=facts)
+    scored = scored.join(queries.select("query_id", "word", "most"), "query_id")
+    best = search.first_of(scored, ("word",), [F.desc("score"), F.col("id")], 4 * F.col("most"), fetch).withColumnRenamed("place", "first").drop("most")
     mine = best.join(words, "word").join(requests.select("request_id", "result_limit"), "request_id")
-    # Twice as many as wanted are fetched, and twice that goes into the merge.
     mine = mine.where(F.col("first") <= 4 * F.col("result_limit"))
     top = F.max("score").over(Window.partitionBy("request_id", "word"))
     mine = mine.withColumn("norm", F.when(top > 0, F.col("score") / top).otherwise(F.col("score"))).join(facts.select("id", "confirmed_count"), "id")
@@ -135,8 +137,8 @@ def fact_block(row_id: Column, subject: Column, category: Column, created: Colum
     return F.concat(F.lit("[id="), row_id.cast("string"), F.lit("] "), subject, F.lit(" | "), category, F.lit(" | "), F.date_format(F.to_utc_timestamp(created, F.current_timezone()), "yyyy-MM-dd"), F.lit("\n  "), content, F.lit("\n"))
 
 
-def recall(facts: DataFrame, requests: DataFrame, counts: DataFrame | None = None, feedback: DataFrame | None = None, seen: DataFrame | None = None, recent: DataFrame | None = None, o: RecallOptions = RecallOptions(), scorer=None) -> DataFrame:
-    """request_id, rank, id, score, block. facts: scoped; embedding only needed where requests have a vector.
+def recall(facts: DataFrame, requests: DataFrame, counts: DataFrame | None = None, feedback: DataFrame | None = None, seen: DataFrame | None = None, recent: DataFrame | None = None, o: RecallOptions = RecallOptions(), scorer=None, kept=None) -> DataFrame:
+    """request_id, rank, id, score, block. facts: scoped; embedding only needed where requests have a vector. kept: postings (sources.postings) of the facts not superseded, read instead of their texts.
 
     feedback: ref_id, ref_type, score; seen: session_id, id; recent: session_id, files (array). Blocks of a request in order of rank make its context.
     """
@@ -145,14 +147,16 @@ def recall(facts: DataFrame, requests: DataFrame, counts: DataFrame | None = Non
     # One scan finds where the terms of all candidate words stand; counts, keywords and hits follow from that.
     candidates = requests.select(F.explode(candidate_words(F.col("prompt"))).alias("word")).distinct()
     asked = search.query_terms(candidates.select(F.xxhash64("word").alias("query_id"), F.col("word").alias("text")))
-    found = written(search.places(live, asked.select("term").unionByName(candidates.select(F.col("word").alias("term")))))
-    words = written(keywords(requests, search.term_doc_counts(None, candidates, found=found) if counts is None else counts, o))
-    rows = keyword_hits(live, requests, words, found)
+    found = None if kept is not None else written(search.places(live, asked.select("term").unionByName(candidates.select(F.col("word").alias("term")))))
+    if counts is None:
+        counts = search.term_doc_counts(None, candidates, found=found) if kept is None else kept.term_doc_counts(candidates)
+    words = written(keywords(requests, counts, o))
+    rows = keyword_hits(live, requests, words, found, kept)
     if "vector" in requests.columns and "embedding" in facts.columns:
         asked = requests.join(words.select("request_id"), "request_id", "left_semi")
         near = search.nearest(live, asked.select(F.col("request_id").alias("query_id"), "vector")).withColumnRenamed("query_id", "request_id")
-        place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "id"))
-        near = near.withColumn("k", place).join(requests.select("request_id", "result_limit"), "request_id").where(F.col("k") <= 2 * F.col("result_limit")).select("request_id", "id", F.col("score").alias("vec"))
+        near = near.join(requests.select("request_id", "result_limit"), "request_id")
+        near = search.first_of(near, ("request_id",), [F.desc("score"), F.col("id")], 2 * F.col("result_limit"), 2 * DEFAULTS["result_limit"][1]).select("request_id", "id", F.col("score").alias("vec"))
         rows = rows.join(near, ["request_id", "id"], "full_outer")
     else:
         rows = rows.withColumn("vec", F.lit(None).cast("double"))

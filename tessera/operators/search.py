@@ -102,6 +102,13 @@ def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     return scored.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
+def first_of(rows: DataFrame, by: tuple[str, ...], order: list[Column], k: Column, most: int) -> DataFrame:
+    """Rows of each key in order, up to the key's own limit k, with their place (from 1). most bounds all limits; as a constant it lets each task keep that many rows of a
+    key at most before they are shuffled (a group limit), and so a key that all rows have doesn't meet in one task."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("place", place).where((F.col("place") <= most) & (F.col("place") <= k))
+
+
 def beside(rows: DataFrame, queries: DataFrame, key: str = "query_id") -> DataFrame:
     """Each row beside each query of a stated set. Queries are counted first and broadcast, QUERIES_AT_ONCE of them about at a time."""
     blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
@@ -170,10 +177,13 @@ def boosted(rows: DataFrame, o: SearchOptions, now) -> DataFrame:
     return rows.withColumn("combined", F.when(half > 0, combined * F.pow(F.lit(0.5), age / F.when(half > 0, half).otherwise(1.0))).otherwise(combined))
 
 
-def search(docs: DataFrame, queries: DataFrame, o: SearchOptions = SearchOptions(), now="2025-01-01", lexical_only: bool = False, scorer=None, population: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, id, fts, vec, rerank, combined. docs: scoped facts; queries: query_id, text and, unless lexical_only, vector."""
+def search(docs: DataFrame, queries: DataFrame, o: SearchOptions = SearchOptions(), now="2025-01-01", lexical_only: bool = False, scorer=None, population: DataFrame | None = None, kept=None) -> DataFrame:
+    """query_id, rank, id, fts, vec, rerank, combined. docs: scoped facts; queries: query_id, text and, unless lexical_only, vector.
+
+    kept: postings (sources.postings) of the population, docs itself or more; texts of docs aren't analysed then, and blocks of postings that can't reach the result aren't read.
+    """
     fetch = o.fetch
-    lexical = bm25(docs, queries, population=population, fetch=fetch)
+    lexical = bm25(docs, queries, population=population, fetch=fetch) if kept is None else kept.bm25(queries, fetch, within=docs)
     if lexical_only:
         merged = merge_arms(lexical, lexical.limit(0), (1.0, 0.0))
     else:

@@ -19,15 +19,16 @@ DEFAULT, MOST = 10, 50
 NOTE_HALF_LIFE_S = 30 * 86400
 
 
-def tool_search(facts: DataFrame, queries: DataFrame, limit: int = 0, filters: Options = Options(), s: Scope = Scope(), now="2025-01-01", o: search.SearchOptions = search.SearchOptions(), scorer=None) -> tuple[DataFrame, DataFrame]:
+def tool_search(facts: DataFrame, queries: DataFrame, limit: int = 0, filters: Options = Options(), s: Scope = Scope(), now="2025-01-01", o: search.SearchOptions = search.SearchOptions(), scorer=None, kept=None) -> tuple[DataFrame, DataFrame]:
     """(query_id, rank, id, score, use_count; facts with the use of the found ones counted).
 
     limit: DEFAULT if not positive, MOST at most. Scope and filters come before ranking and statistics. Without vectors (of queries, or of facts), the search is lexical.
+    kept: postings of the facts that scope and filters leave, or of more, whose statistics hold then.
     """
     own = scope(facts, s).where(predicate(filters))
     o = replace(o, max_results=min(MOST, limit if limit > 0 else DEFAULT), category_half_life_s={"note": NOTE_HALF_LIFE_S})
     lexical = "vector" not in queries.columns or "embedding" not in facts.columns
-    found = written(search.search(own, queries.where(F.trim("text") != ""), o, now, lexical_only=lexical, scorer=scorer))
+    found = written(search.search(own, queries.where(F.trim("text") != ""), o, now, lexical_only=lexical, scorer=scorer, kept=kept))
     used = lifecycle.touch(facts, found.select("id").distinct(), now)
     shown = found.join(facts.select("id", "use_count"), "id").select("query_id", "rank", "id", F.col("combined").alias("score"), (F.col("use_count") + 1).alias("use_count"))
     return shown, used

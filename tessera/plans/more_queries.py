@@ -10,9 +10,10 @@ from tessera.operators import chunking, corpus, extract, lifecycle, recall, sear
 from tessera.operators import facts as facts_ops
 from tessera.operators.facts import Scope
 from tessera.plans import fixtures as fx
+from tessera.plans import search_queries, store_queries
 from tessera.plans.fixtures import VIEWS, with_
 from tessera.plans.search_queries import NEAREST, TERMS, VECTOR_QUERIES, bm25_views, query_table
-from tessera.plans.store_queries import RECALL, drained
+from tessera.plans.store_queries import PROMPTS, RECALL, drained
 from tessera.plans.whole_queries import injections
 from tessera.sources.postings import Postings
 from tessera.sources.tables import Snapshots, shared_folder
@@ -47,6 +48,28 @@ def kept_postings(spark, sf):
     return search.bm25(None, queries, found=kept.places(search.query_terms(queries))).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@case(search_queries.CASES["bm25_top"][1])
+def kept_search_top(spark, sf):
+    """The best documents of each query from an index in three segments, an old state and two updates, by blocks that can reach the result."""
+    live = fx.facts(spark, sf).where("superseded_by is null")
+    kept = Postings(spark, folder(spark))
+    kept.build(live.where("id % 13 <> 2").withColumn("content", F.when(F.col("id") % 10 == 3, F.lit("an older text")).otherwise(F.col("content"))))
+    kept.update(live.where("id % 10 = 3 and id % 13 <> 2"))
+    kept.update(live.where("id % 13 = 2"))
+    return kept.bm25(query_table(spark), 20).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@case(store_queries.CASES["recall_for_prompts"][1])
+def kept_recall(spark, sf):
+    """recall_for_prompts over kept postings: counts and keyword searches without a look at the texts."""
+    requests = spark.createDataFrame(PROMPTS, "request_id int, session_id string, prompt string, cwd string, project string").withColumn("budget", F.lit(1 << 20)).withColumn("result_limit", F.lit(5))
+    f, kept = fx.facts(spark, sf), Postings(spark, folder(spark))
+    kept.build(f.where("superseded_by is null"))
+    seen = f.where("id % 17 = 0").select(F.lit("s1").alias("session_id"), "id")
+    got = recall.recall(f, requests, feedback=fx.feedback(spark, sf), seen=seen, kept=kept)
+    return got.select("request_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @case(
     with_("facts")
     + """SELECT 1 AS version, namespace, count(*) AS facts, 25 AS nations FROM facts WHERE id % 2 = 0 GROUP BY namespace

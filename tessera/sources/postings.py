@@ -1,54 +1,224 @@
-"""Kept postings: where every term stands, and how long every document is, as tables that searches read instead of the texts.
+"""Kept postings: an index of terms that searches read instead of the texts, in segments, with top-k searches that skip what can't reach the result.
 
-postings: part, term, id, len, pos, one row for each place, sorted by term within its part (a hash of the term): a search reads the parts of its terms, and of those only the
-row groups that can hold them. documents: id, len. Both change together (sources.tables.Snapshots): an update writes the places of changed documents anew, drops those of
-changed and deleted ones, and leaves texts that didn't change unread.
+Each build or update writes one segment and touches no other:
+- postings: part (a hash of the term, a folder), term, tier, slice, mean, bound, docs, entries (id, len, pos: places), a row for each block, sorted by term. A term's documents are dealt to tiers by their
+  impact (what a document's frequency and length make of BM25, at the mean length of that time), and to slices by id, so that a block of a common term stays small. bound is the block's
+  greatest impact; at another mean length m it is at most bound * max(1, m / mean), as the length's part of the denominator shrinks by that much at most.
+- documents: id, len, terms (distinct), sorted by id.
+- counts: term, docs: documents with a term that came (above 0) or went (below); the empty term counts documents, and lens adds their lengths.
+- gone: ids that the segment replaces or deletes in all older ones.
+So an update reads, of what is kept, the rows of changed documents only, and writes the blocks of their new texts. compact() makes one segment of all. Segments appear and go by one commit
+(sources.tables.Snapshots).
 
-Cases: null texts have no terms but count as documents; of rows that repeat an id, all places count under it; an empty table is an index of nothing; other columns are ignored.
+A search of single terms finds each query's rarest term, whose documents hold all matches. Of its blocks the best are scored, up to LEAD times the wanted number of documents; the k-th score found
+is a threshold, and of all other blocks only those are read that could exceed it with the greatest impacts of the query's other terms. Queries with phrases of several terms go by places.
+
+Cases: null texts have no terms but count as documents; rows that repeat an id are one entry with all their places, under the length of the shortest, and each counts as a document; ids asked away that aren't there
+change nothing; an update without rows is an empty segment; an empty table is an index of nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
-from tessera.sources.tables import Snapshots
+from tessera.operators import search
+from tessera.sources.tables import Snapshots, written
 
 PARTS = 64
+TIERS = 16
+#: Documents of a segment for each slice of its terms' tiers.
+SLICE = 65_536
+#: Documents of the rarest term that are scored first, for each that is wanted.
+LEAD = 4
+#: Ids up to which a change's set is broadcast.
+FEW = 1_000_000
+#: Terms of a stated set of queries up to which they are pushed down to the scan as values; beyond that they are joined.
+VALUES = 2000
 
 
 def part_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def impact(tf: Column, length: Column, mean: Column) -> Column:
+    return tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * length / F.when(mean > 0, mean).otherwise(1.0)))
+
+
 class Postings:
     def __init__(self, spark: SparkSession, root: str, columns: tuple[str, ...] = ("content", "subject", "category")):
-        self.tables, self.columns = Snapshots(spark, root), columns
+        self.spark, self.tables, self.columns = spark, Snapshots(spark, root), columns
 
-    def _rows(self, docs: DataFrame) -> DataFrame:
-        tokens = docs.select("id", terms(F.concat_ws(" ", *self.columns)).alias("terms")).withColumn("len", F.size("terms"))
-        # The empty term stands for the document.
-        return tokens.select("id", "len", F.posexplode(F.concat(F.array(F.lit("")), "terms")).alias("pos", "term"))
+    def _segments(self, version: int | None = None) -> list[int]:
+        known = self.tables._versions()
+        last = version if version is not None else max((v for v, _, _ in known), default=0)
+        emptied = [int(n.split("_")[1]) for v, n, _ in known if v == last and n.startswith("whole_")]
+        return sorted(s for s in (int(n.split("_")[1]) for v, n, _ in known if v == last and n.startswith("postings_")) if s >= max(emptied, default=0))
 
-    def _commit(self, rows: DataFrame) -> int:
-        rows = rows.withColumn("part", F.when(F.col("term") == "", PARTS).otherwise(part_of(F.col("term")))).select("part", "term", "id", "len", "pos")
-        # A very common term doesn't meet in one task: its rows are dealt by document, too, and sorted there.
-        dealt = rows.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term", "id", "pos")
-        return self.tables.commit(by=("part",), postings=dealt)
+    def _read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table of all segments, with the number of each row's segment."""
+        out = None
+        for s in self._segments(version):
+            own = self.tables.read(f"{name}_{s}", version).withColumn("segment", F.lit(s))
+            out = own if out is None else out.unionByName(own)
+        if out is None:
+            raise KeyError(name)
+        return out
+
+    def _live(self, rows: DataFrame, version: int | None = None) -> DataFrame:
+        """rows (id, segment) that no later segment replaces."""
+        if len(self._segments(version)) == 1:
+            return rows
+        gone = self._read("gone", version).groupBy(F.col("id").alias("_gone")).agg(F.max("segment").alias("_until"))
+        return rows.join(gone, (F.col("id") == F.col("_gone")) & (F.col("segment") < F.col("_until")), "left_anti")
+
+    def _commit(self, docs: DataFrame, gone: DataFrame, was: DataFrame | None, whole: bool) -> int:
+        """A segment of docs. was: id, len, terms of the documents that gone takes away."""
+        known = self.tables._versions()
+        s = max((v for v, _, _ in known), default=0) + 1
+        tokens = written(docs.select("id", terms(F.concat_ws(" ", *self.columns)).alias("terms")).withColumn("len", F.size("terms")))
+        mean, n = tokens.agg(F.coalesce(F.avg("len"), F.lit(0.0)), F.count("*")).first()
+        slices = max(1, -(-n // SLICE))
+        places = tokens.select("id", "len", F.posexplode("terms").alias("pos", "term"))
+        # A document's places of a term meet in one row, a term's documents of a tier and slice in another: neither grows with the corpus.
+        own = places.groupBy("term", "id").agg(F.min("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("pos"))
+        own = own.withColumn("impact", impact(F.size("pos"), F.col("len"), F.lit(mean))).withColumn("tier", F.least(F.lit(TIERS - 1), F.floor(F.col("impact") / (search.K1 + 1) * TIERS)).cast("int"))
+        blocks = own.groupBy("term", "tier", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")).agg(F.max("impact").alias("bound"), F.count("*").cast("int").alias("docs"), F.collect_list(F.struct("id", "len", "pos")).alias("entries"))
+        blocks = blocks.select(part_of(F.col("term")).alias("part"), "term", "tier", "slice", F.lit(mean).alias("mean"), "bound", "docs", "entries")
+        documents = tokens.select("id", F.col("len").cast("long").alias("len"), F.array_distinct("terms").alias("terms"))
+        change = documents.withColumn("d", F.lit(1))
+        change = change if was is None else change.unionByName(was.select("id", "len", "terms", F.lit(-1).alias("d")))
+        # The empty term stands for documents; a term counts once for an id, however many rows have it.
+        by_term = change.select("id", "d", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.sum("d").alias("docs"))
+        counts = by_term.where("docs <> 0").select("term", "docs", F.lit(0).cast("long").alias("lens"))
+        counts = counts.unionByName(change.agg(F.lit("").alias("term"), F.coalesce(F.sum("d"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.col("d") * F.col("len")), F.lit(0)).alias("lens")))
+        new = {
+            f"postings_{s}": blocks.repartitionByRange("part", "term", "tier", "slice").sortWithinPartitions("part", "term", "tier"),
+            f"documents_{s}": documents.repartitionByRange("id").sortWithinPartitions("id"),
+            f"counts_{s}": counts.repartitionByRange("term").sortWithinPartitions("term"),
+            f"gone_{s}": gone.select("id").distinct(),
+        }
+        if whole:
+            new[f"whole_{s}"] = self.spark.range(1)
+        return self.tables.commit(**new)
 
     def build(self, docs: DataFrame) -> int:
-        """Postings of all documents (id and text columns), as a new version."""
-        return self._commit(self._rows(docs))
+        """Postings of all documents (id and text columns), as a new version that reads no older segment."""
+        return self._commit(docs, docs.select("id").limit(0), None, True)
 
     def update(self, changed: DataFrame, gone: DataFrame | None = None) -> int:
-        """A new version: changed documents as they are now, without those in gone (id)."""
-        out = changed.select("id") if gone is None else changed.select("id").unionByName(gone.select("id"))
-        return self._commit(self.tables.read("postings").join(out.distinct(), "id", "left_anti").select("id", "len", "pos", "term").unionByName(self._rows(changed)))
+        """A new version, by one more segment: changed documents as they are now, without those in gone (id)."""
+        out = written((changed.select("id") if gone is None else changed.select("id").unionByName(gone.select("id"))).distinct())
+        low, high, n = out.agg(F.min("id"), F.max("id"), F.count("*")).first()
+        kept = self._read("documents").where(F.col("id").between(low, high) if n else F.lit(False))  # reaches the scan: files are sorted by id
+        was = self._live(kept.join(F.broadcast(out) if n <= FEW else out, "id", "left_semi"))
+        return self._commit(changed, out, was, False)
+
+    def compact(self) -> int:
+        """A new version of one segment, made of the blocks of all: no text is read."""
+        s = max(v for v, _, _ in self.tables._versions()) + 1
+        docs = written(self._live(self._read("documents")).select("id", "len", "terms"))
+        mean, n = docs.agg(F.coalesce(F.avg("len"), F.lit(0.0)), F.count("*")).first()
+        slices = max(1, -(-n // SLICE))
+        own = self._entries(self._read("postings"))
+        own = own.withColumn("impact", impact(F.size("pos"), F.col("len"), F.lit(mean))).withColumn("tier", F.least(F.lit(TIERS - 1), F.floor(F.col("impact") / (search.K1 + 1) * TIERS)).cast("int"))
+        blocks = own.groupBy("term", "tier", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")).agg(F.max("impact").alias("bound"), F.count("*").cast("int").alias("docs"), F.collect_list(F.struct("id", "len", "pos")).alias("entries"))
+        blocks = blocks.select(part_of(F.col("term")).alias("part"), "term", "tier", "slice", F.lit(mean).alias("mean"), "bound", "docs", "entries")
+        counts = self._read("counts").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("lens").alias("lens")).where("docs <> 0 or term = ''")
+        new = {
+            f"postings_{s}": blocks.repartitionByRange("part", "term", "tier", "slice").sortWithinPartitions("part", "term", "tier"),
+            f"documents_{s}": docs.repartitionByRange("id").sortWithinPartitions("id"), f"counts_{s}": counts.repartitionByRange("term").sortWithinPartitions("term"),
+            f"gone_{s}": docs.select("id").limit(0), f"whole_{s}": self.spark.range(1),
+        }
+        return self.tables.commit(**new)
+
+    def _entries(self, blocks: DataFrame, version: int | None = None) -> DataFrame:
+        """term, id, len, pos (array) of the live entries of blocks."""
+        return self._live(blocks.select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.*"), version)
+
+    def _of_terms(self, name: str, asked: DataFrame, version: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+        """Rows of the asked terms (term): by values that reach the scan, where there are few, else by a join."""
+        words = [r["term"] for r in asked.select("term").distinct().limit(VALUES + 1).collect()]
+        rows = self._read(name, version)
+        if len(words) > VALUES:
+            more = asked.select("term").distinct().unionByName(self.spark.createDataFrame([(w,) for w in also], "term string"))
+            return rows.join(more, "term", "left_semi")
+        return rows.where(F.col("term").isin(*words, *also))
 
     def places(self, asked: DataFrame, version: int | None = None) -> DataFrame:
         """term, id, len, pos of the asked terms (term), and a row with an empty term for each document: what search.bm25 takes as found."""
-        words = sorted({r["term"] for r in asked.select("term").distinct().collect()})  # the terms of a stated set of queries
-        kept = self.tables.read("postings", version)
-        parts = kept.where(F.col("part").isin(PARTS, *{r["p"] for r in asked.select(part_of(F.col("term")).alias("p")).distinct().collect()}))
-        return parts.where(F.col("term").isin("", *words)).select("term", "id", "len", "pos")
+        rows = self._entries(self._of_terms("postings", asked, version), version).select("term", "id", F.col("len").cast("int").alias("len"), F.explode("pos").alias("pos"))
+        docs = self._live(self._read("documents", version).select("id", "len", "segment"), version)
+        return rows.unionByName(docs.select(F.lit("").alias("term"), "id", F.col("len").cast("int").alias("len"), F.lit(0).alias("pos")))
+
+    def term_doc_counts(self, words: DataFrame, version: int | None = None) -> DataFrame:
+        """word, df, docs, as search.term_doc_counts: of counts alone."""
+        found = self._of_terms("counts", words.select(F.col("word").alias("term")), version, ("",))
+        found = found.groupBy("term").agg(F.sum("docs").alias("df"))
+        size = found.where("term = ''").select(F.col("df").alias("docs"))  # one row
+        return words.select("word").distinct().join(found.withColumnRenamed("term", "word"), "word", "left").fillna(0, ["df"]).crossJoin(size)
+
+    def bm25(self, queries: DataFrame, fetch: int, limit: Column | None = None, within: DataFrame | None = None, version: int | None = None) -> DataFrame:
+        """query_id, id, score: the best fetch of each query (query_id, text), or as many as its own limit (a column of queries, fetch at most), of ids in within (id), as search.bm25 has them."""
+        wanted = written(queries.groupBy("query_id").agg(F.least(F.max(F.lit(fetch) if limit is None else limit), F.lit(fetch)).cast("int").alias("k")))
+        asked = written(search.query_terms(queries))
+        long_ones = asked.where("wanted > 1").select("query_id").distinct()
+        by_places = asked.join(long_ones, "query_id", "left_semi")
+        found = None
+        if not by_places.isEmpty():
+            some = queries.join(long_ones, "query_id", "left_semi")
+            scored = search.bm25(None, some, found=written(self.places(by_places, version)))
+            found = scored if within is None else scored.join(within.select("id").distinct(), "id", "left_semi")
+        single = asked.join(long_ones, "query_id", "left_anti")
+        if not single.isEmpty():
+            scored = self._pruned(single, wanted, within, version)
+            found = scored if found is None else found.select("query_id", "id", "score").unionByName(scored)
+        if found is None:
+            return asked.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)
+        found = found.select("query_id", "id", "score").join(wanted, "query_id")
+        return search.first_of(found, ("query_id",), [F.desc("score"), F.col("id")], F.col("k"), fetch).select("query_id", "id", "score")
+
+    def _pruned(self, asked: DataFrame, wanted: DataFrame, within: DataFrame | None, version: int | None) -> DataFrame:
+        """query_id, id, score of all that can be among the first k of each query of single terms."""
+        # A word that a query repeats weighs as often: each phrase is one.
+        phrases = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        known = self._of_terms("counts", phrases, version, ("",)).groupBy("term").agg(F.sum("docs").alias("having"), F.sum("lens").alias("lens"))
+        size = known.where("term = ''").first()
+        docs, mean = (size["having"], size["lens"] / size["having"] if size["having"] else 0.0) if size else (0, 0.0)
+        idf = F.log((docs - F.col("having") + 0.5) / (F.col("having") + 0.5))
+        weights = known.where("having > 0 and term <> ''").select("term", "having", F.when(idf <= 0, search.TINY_IDF).otherwise(idf).alias("idf"))
+        weights = phrases.join(weights, "term").select("query_id", "term", "having", (F.col("idf") * F.col("times")).alias("weight"))
+        blocks = self._of_terms("postings", phrases, version)
+        heads = written(blocks.select("segment", "term", "tier", "slice", "docs", (F.col("bound") * F.greatest(F.lit(1.0), F.lit(mean) / F.col("mean"))).alias("bound")))
+        most = heads.groupBy("term").agg(F.max("bound").alias("most"))
+        # Queries whose terms all have documents; best: what the query's terms can add up to.
+        weights = weights.join(most, "term")
+        whole = phrases.groupBy("query_id").agg(F.count("*").alias("terms")).join(weights.groupBy("query_id").agg(F.count("*").alias("there"), F.sum(F.col("weight") * F.col("most")).alias("best")), "query_id").where("terms = there")
+        weights = written(weights.join(whole.select("query_id", "terms", "best"), "query_id"))
+        lead = weights.groupBy("query_id").agg(F.min_by("term", F.struct("having", "term")).alias("term"))
+        # upper: no document of the block scores more. A little is added for sums in another order.
+        upper = weights.join(heads, "term").withColumn("upper", (F.col("best") + F.col("weight") * (F.col("bound") - F.col("most"))) * (1 + 1e-9))
+        upper = written(upper.select("query_id", "term", "segment", "tier", "slice", "docs", "upper", "weight", "terms"))
+        leading = upper.join(lead, ["query_id", "term"])
+        before = F.sum("docs").over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "segment", "tier", "slice").rowsBetween(Window.unboundedPreceding, -1))  # of a query's blocks, not its documents
+        first = leading.withColumn("before", F.coalesce(before, F.lit(0))).join(wanted, "query_id").where(F.col("before") < LEAD * F.col("k")).select("query_id", "term", "segment", "tier", "slice")
+        scored = written(self._scored(blocks, upper, first, mean, within, version))
+        ranked = search.first_of(scored.join(wanted, "query_id"), ("query_id",), [F.desc("score"), F.col("id")], F.col("k"), int(wanted.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0]))
+        least = ranked.where("place = k").select("query_id", F.col("score").alias("least"))
+        upper = upper.join(least, "query_id", "left").where("least is null or upper >= least").drop("least")
+        rest = upper.join(lead, ["query_id", "term"]).select("query_id", "term", "segment", "tier", "slice").join(first, ["query_id", "term", "segment", "tier", "slice"], "left_anti")
+        return scored.unionByName(self._scored(blocks, upper, rest, mean, within, version))
+
+    def _scored(self, blocks: DataFrame, upper: DataFrame, lead: DataFrame, mean: float, within: DataFrame | None, version: int | None) -> DataFrame:
+        """query_id, id, score of documents in the lead blocks that the other terms' blocks in upper complete. What else upper lacks can't be in the result."""
+        key = ["term", "segment", "tier", "slice"]
+        chosen = lead.join(upper.select("query_id", *key, "weight", "terms"), ["query_id", *key])
+        others = upper.join(lead.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti").join(lead.select("query_id").distinct(), "query_id", "left_semi").select("query_id", *key, "weight", "terms")
+        both = chosen.select("query_id", *key, "weight", "terms").unionByName(others)
+        rows = blocks.join(both, key).select("segment", "query_id", "weight", "terms", F.explode("entries").alias("e")).select("segment", "query_id", "weight", "terms", F.col("e.id").alias("id"), F.col("e.len").alias("len"), F.size("e.pos").alias("tf"))
+        rows = self._live(rows, version)
+        if within is not None:
+            rows = rows.join(within.select("id").distinct(), "id", "left_semi")
+        rows = rows.groupBy("query_id", "id").agg(F.sum(F.col("weight") * impact(F.col("tf"), F.col("len"), F.lit(mean))).alias("score"), F.count("*").alias("found"), F.first("terms").alias("terms"))
+        return rows.where("found = terms").select("query_id", "id", "score")
