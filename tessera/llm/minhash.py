@@ -133,12 +133,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, level: int) -> tu
 
 
 def in_cell(level: int):
-    """Pairs of a cell of two blocks of a bucket, of different components, that may link."""
+    """Pairs of a cell of two blocks of a bucket, of different components, that may link and share no band before the bucket's own: there they have met already."""
     least = least_equal(level)
 
     def run(t: pa.Table) -> pa.Table:
         own, node, n, component = (t[c].to_numpy() for c in ("own", "node", "n", "component"))
         signature = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        keys = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band = int((keys == t["key"][0].as_py()).any(0).argmax())
         x, y = t["x"][0].as_py(), t["y"][0].as_py()
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         out: list[np.ndarray] = []
@@ -149,6 +151,8 @@ def in_cell(level: int):
             good = (equal >= least) & (component[rows, None] != component[None, right]) & (level * many <= 100 * few)
             good &= (node[rows, None] < node[None, right]) | (x != y)
             r, c = np.nonzero(good)
+            fresh = ~(keys[rows[r], :band] == keys[right[c], :band]).any(1)
+            r, c = r[fresh], c[fresh]
             out.append(np.stack([node[rows[r]], node[right[c]]], 1))
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pairs.max(1, initial=0) if not len(pairs) else pairs.max(1), "b": pairs.min(1, initial=0) if not len(pairs) else pairs.min(1)}, schema=LINK)
@@ -216,7 +220,7 @@ def large_buckets(own: DataFrame, shape: DataFrame, level: int) -> DataFrame:
     own = own.withColumn("others", others).withColumn("all", others + mains).withColumn("own", F.when(F.col("is_main"), others + spot).otherwise(spot))
     cells = F.explode(F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("all") - 1)))
     own = own.withColumn("other", cells).select("key", "node", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    own = own.join(shape, "node")
+    own = own.join(shape, "node")  # with bands
     return own.groupBy("key", "x", "y").applyInArrow(in_cell(level), ddl(LINK)).distinct()
 
 
@@ -269,7 +273,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     e, f = few.alias("e"), few.alias("f")
     met = e.join(f, F.expr("e.key = f.key and e.node > f.node and e.component <> f.component")).select(F.col("e.node").alias("a"), F.col("f.node").alias("b")).distinct()
     many = left.where(F.col("k") > SMALL).select("key", "node", "component")
-    may = stored(agreeing(met, shape, level).select("a", "b").union(large_buckets(many, shape, level)).distinct())
+    may = stored(agreeing(met, shape, level).select("a", "b").union(large_buckets(many, nodes.select("node", "n", "signature", "bands").dropDuplicates(["node", "signature"]), level)).distinct())
     last_links, last_own = confirmed(may, docs, shingle, level)
     last = star_components(more.union(last_links))
     label = small(last)
