@@ -1,7 +1,7 @@
 """Kept postings: an index of terms that searches read instead of the texts, in segments, with top-k searches that skip what can't reach the result.
 
 Each build or update writes one segment and touches no other:
-- postings: part (a hash of the term, a folder), term, tier, slice, mean, bound, docs, entries (id, len, pos: places), a row for each block, sorted by term. A term's documents are dealt to tiers by their
+- postings: part (a hash of the term), term, tier, slice, mean, bound, docs, entries (id, len, pos: places), a row for each block, sorted by term. A term's documents are dealt to tiers by their
   impact (what a document's frequency and length make of BM25, at the mean length of that time), and to slices by id, so that a block of a common term stays small. bound is the block's
   greatest impact; at another mean length m it is at most bound * max(1, m / mean), as the length's part of the denominator shrinks by that much at most.
 - documents: id, len, terms (distinct), sorted by id.
@@ -46,6 +46,14 @@ def impact(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * length / F.when(mean > 0, mean).otherwise(1.0)))
 
 
+def blocks_of(own: DataFrame, mean: float, slices: int) -> DataFrame:
+    """Blocks of entries (term, id, len, pos), dealt to tiers by impact at a mean length, and to slices by id."""
+    own = own.withColumn("impact", impact(F.size("pos"), F.col("len"), F.lit(mean))).withColumn("tier", F.least(F.lit(TIERS - 1), F.floor(F.col("impact") / (search.K1 + 1) * TIERS)).cast("int"))
+    blocks = own.groupBy("term", "tier", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")).agg(F.max("impact").alias("bound"), F.count("*").cast("int").alias("docs"), F.collect_list(F.struct("id", "len", "pos")).alias("entries"))
+    blocks = blocks.select(part_of(F.col("term")).alias("part"), "term", "tier", "slice", F.lit(mean).alias("mean"), "bound", "docs", "entries")
+    return blocks
+
+
 class Postings:
     def __init__(self, spark: SparkSession, root: str, columns: tuple[str, ...] = ("content", "subject", "category")):
         self.spark, self.tables, self.columns = spark, Snapshots(spark, root), columns
@@ -83,9 +91,7 @@ class Postings:
         places = tokens.select("id", "len", F.posexplode("terms").alias("pos", "term"))
         # A document's places of a term meet in one row, a term's documents of a tier and slice in another: neither grows with the corpus.
         own = places.groupBy("term", "id").agg(F.min("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("pos"))
-        own = own.withColumn("impact", impact(F.size("pos"), F.col("len"), F.lit(mean))).withColumn("tier", F.least(F.lit(TIERS - 1), F.floor(F.col("impact") / (search.K1 + 1) * TIERS)).cast("int"))
-        blocks = own.groupBy("term", "tier", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")).agg(F.max("impact").alias("bound"), F.count("*").cast("int").alias("docs"), F.collect_list(F.struct("id", "len", "pos")).alias("entries"))
-        blocks = blocks.select(part_of(F.col("term")).alias("part"), "term", "tier", "slice", F.lit(mean).alias("mean"), "bound", "docs", "entries")
+        blocks = blocks_of(own, mean, slices)
         documents = tokens.select("id", F.col("len").cast("long").alias("len"), F.array_distinct("terms").alias("terms"))
         change = documents.withColumn("d", F.lit(1))
         change = change if was is None else change.unionByName(was.select("id", "len", "terms", F.lit(-1).alias("d")))
@@ -122,9 +128,7 @@ class Postings:
         mean, n = docs.agg(F.coalesce(F.avg("len"), F.lit(0.0)), F.count("*")).first()
         slices = max(1, -(-n // SLICE))
         own = self._entries(self._read("postings"))
-        own = own.withColumn("impact", impact(F.size("pos"), F.col("len"), F.lit(mean))).withColumn("tier", F.least(F.lit(TIERS - 1), F.floor(F.col("impact") / (search.K1 + 1) * TIERS)).cast("int"))
-        blocks = own.groupBy("term", "tier", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")).agg(F.max("impact").alias("bound"), F.count("*").cast("int").alias("docs"), F.collect_list(F.struct("id", "len", "pos")).alias("entries"))
-        blocks = blocks.select(part_of(F.col("term")).alias("part"), "term", "tier", "slice", F.lit(mean).alias("mean"), "bound", "docs", "entries")
+        blocks = blocks_of(own, mean, slices)
         counts = self._read("counts").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("lens").alias("lens")).where("docs <> 0 or term = ''")
         new = {
             f"postings_{s}": blocks.repartitionByRange("part", "term", "tier", "slice").sortWithinPartitions("part", "term", "tier"),
