@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.meta import conflicts
-from tessera.functions.vector import cosine, norm
+from tessera.operators.similar import near
 
 SIMILAR = 0.85
 
@@ -64,15 +64,15 @@ def plan_extraction(new: DataFrame, facts: DataFrame, order: list[str]) -> DataF
 def replacements(new: DataFrame, facts: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """old_id, new_id: what each new fact (in order of batch_index) replaces: the most similar active fact of its subject, from a similarity on.
 
-    Metadata must not conflict; of its batch only earlier ones, and none that an earlier one has already replaced. Pairs are found and thinned in Spark; the order
-    within a subject, which each choice depends on, is then walked with the few pairs that reached the threshold.
+    Metadata must not conflict; of its batch only earlier ones, and none that an earlier one has already replaced. Pairs come from similar.near, a hot subject's in blocks; the order
+    within a subject, which each choice depends on, is then walked with the pairs that reached the threshold.
     """
-    a = new.select(F.col("id").alias("new_id"), "subject", "batch_index", F.col("metadata").alias("m"), F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n"))
+    a = new.select(F.col("id").alias("new_id"), "subject", "batch_index", F.col("metadata").alias("m"), F.col("embedding").alias("v"))
     own = new.select(F.col("id").alias("old_id"), "subject", F.col("batch_index").alias("old_index"), F.col("metadata").alias("o"), F.col("embedding").alias("w"))
     old = facts.where("superseded_by is null and embedding is not null").select(F.col("id").alias("old_id"), "subject", F.lit(-1).alias("old_index"), F.col("metadata").alias("o"), F.col("embedding").alias("w"))
-    pool = old.join(own.select("old_id"), "old_id", "left_anti").unionByName(own).withColumn("k", norm(F.col("w")))
-    pairs = a.join(pool, "subject").where("new_id <> old_id and old_index < batch_index").where(~conflicts(F.col("m"), F.col("o")))
-    pairs = pairs.withColumn("sim", cosine(F.col("v"), F.col("w"), F.col("n"), F.col("k"))).where(F.col("sim") >= threshold).select("subject", "batch_index", "new_id", "old_id", "sim")
+    pool = old.join(own.select("old_id"), "old_id", "left_anti").select(own.columns).unionByName(own)
+    pairs = near(a, pool, "new_id", "old_id", threshold).where("old_index < batch_index").where(~conflicts(F.col("m"), F.col("o")))
+    pairs = pairs.select("subject", "batch_index", "new_id", "old_id", F.col("score").alias("sim"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         gone, out = set(), []

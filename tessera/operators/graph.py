@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vector import cosine, norm
 from tessera.operators.lifecycle import preview
+from tessera.operators.similar import near
 from tessera.sources.tables import written
 
 
@@ -139,11 +139,11 @@ def history(facts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def auto_links(new: DataFrame, facts: DataFrame, threshold: float = 0.6, most: int = 3) -> DataFrame:
-    """source_id, target_id, score: each new fact's nearest facts of the same subject, from a similarity on."""
+    """source_id, target_id, score: each new fact's nearest active facts of the same subject, from a similarity on; ties go to the smaller id. Pairs come from similar.near, so a hot subject meets in blocks."""
     from pyspark.sql import Window
 
-    a = new.select(F.col("id").alias("source_id"), "subject", F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n"))
-    b = facts.where("superseded_by is null").select(F.col("id").alias("target_id"), "subject", F.col("embedding").alias("w"), norm(F.col("embedding")).alias("m"))
-    near = a.join(b, "subject").where("source_id <> target_id").select("source_id", "target_id", cosine(F.col("v"), F.col("w"), F.col("n"), F.col("m")).alias("score")).where(F.col("score") >= threshold)
+    a = new.select(F.col("id").alias("source_id"), "subject", F.col("embedding").alias("v"))
+    b = facts.where("superseded_by is null").select(F.col("id").alias("target_id"), "subject", F.col("embedding").alias("w"))
+    found = near(a, b, "source_id", "target_id", threshold, most).select("source_id", "target_id", "score")
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id"))
-    return near.withColumn("k", place).where(F.col("k") <= most).drop("k")
+    return found.withColumn("k", place).where(F.col("k") <= most).drop("k")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
-from tessera.operators import chunking, context, corpus, extract, graph, lifecycle, recall, search, sessions
+from tessera.operators import chunking, context, corpus, extract, graph, lifecycle, recall, search, sessions, similar
 from tessera.plans import fixtures as fx
 from tessera.plans.fixtures import with_
 from tessera.plans.search_queries import STOPS, TERMS, bm25_views
@@ -198,6 +198,22 @@ def auto_supersede(spark, sf):
     return extract.replacements(v.where("id % 10 = 3").withColumn("batch_index", F.col("id").cast("int")), v.where("id % 10 <> 3"), threshold=0.3)
 
 
+CLOSE = 0.5
+
+
+@case(
+    f"""SELECT a.vec_id AS source_id, b.vec_id AS target_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+      FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+      WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {CLOSE}"""
+)
+def close_pairs(spark, sf):
+    """All vectors as one subject: its pairs of a similarity, by pivots and blocks."""
+    v = fx.vectors(spark, sf).withColumn("subject", F.lit("one"))
+    a, b = (v.select(F.col("id").alias(i), "subject", F.col("embedding").alias(w)) for i, w in (("source_id", "v"), ("target_id", "w")))
+    found = similar.near(a, b, "source_id", "target_id", CLOSE).where("source_id < target_id")
+    return found.select("source_id", "target_id", F.round("score", 6).alias("score"))
+
+
 # ---- corpus
 
 EXT = "lower(regexp_extract(path, '\\.([^./]*)$', 1))"
