@@ -144,18 +144,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sums(lengths: Column) -> Column:
-    """Sums of the elements up to and with each, of an array of longs. Built in runs of 256: appending to one array would cost the square."""
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """step (a sum, say, or the greater of two; associative, with 0 as its start) over the elements up to and with each, of an array of longs. Built in runs of 256: appending to one array would cost the square."""
 
     def within(run: Column) -> Column:
-        return F.aggregate(run, F.array(F.lit(0).cast("long")), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+        return F.aggregate(run, F.array(F.lit(0).cast("long")), lambda done, x: F.concat(done, F.array(step(F.element_at(done, -1), x))))
 
     def runs(x: Column) -> Column:
         some = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 256).cast("int")), lambda k: within(F.slice(x, k * 256 + 1, 256)))
         return F.when(F.size(x) > 0, some).otherwise(F.array().cast("array<array<long>>"))
 
     def joined(parts: Column) -> Column:
-        before = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda sums, p: F.concat(sums, F.array(F.element_at(sums, -1) + F.element_at(p, -1))))
-        return let(before, lambda b: F.flatten(F.transform(parts, lambda p, k: F.transform(F.slice(p, 2, 256), lambda x: x + b[k]))))
+        before = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda done, p: F.concat(done, F.array(step(F.element_at(done, -1), F.element_at(p, -1)))))
+        return let(before, lambda b: F.flatten(F.transform(parts, lambda p, k: F.transform(F.slice(p, 2, 256), lambda x: step(b[k], x)))))
+
+    return let(values, lambda x: let(runs(x), joined))
 
-    return let(lengths, lambda x: let(runs(x), joined))
+
+def running_sums(lengths: Column) -> Column:
+    """Sums of the elements up to and with each, of an array of longs."""
+    return running(lengths, lambda a, x: a + x)

@@ -9,7 +9,8 @@ its probability is at least a half.
 
 The patterns are written so that no text makes them slow: runs are possessive, and a match may only begin where a run begins
 (or where the last match ended), which is where the leftmost match of the plain pattern begins. Positions are code points: parts between matches and the matches
-themselves have lengths, whose running sums are the starts. One scan of the documents counts votes, one finds spans; neither shuffles texts.
+themselves have lengths, whose running sums are the starts. What stands around a place is read from pieces of the text, and a candidate looks for base spans by halving, so
+that a text costs no more than its length times a logarithm, however many spans it has. One scan of the documents counts votes, one finds spans; neither shuffles texts.
 
 Cases: a null text counts as empty; repeated rows are answered each; a null id stays null; an empty table gives an empty table, and with no
 candidates at all nothing is added; added spans that overlap a base span are left out; other columns are ignored.
@@ -23,7 +24,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, running_sums
+from .common import let, running, running_sums
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "name")
@@ -44,6 +45,8 @@ SIMPLER = {"ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){13}[0-9]", "number
 CUES = ("token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "bearer", "auth", "phone", "tel", "call", "mobile", "fax", "ssn", "passport", "account", "id", "dear", "mr", "ms", "mrs", "dr", "is", "name")
 OTHERS = ("isbn", "issn", "version", "page", "chapter", "order", "figure", "table", "sha1", "commit", "md5", "checksum", "of", "the")
 AROUND = 24
+#: Code points of a piece: finding a place in a text costs its distance from the start, in a piece at most this.
+PIECE = 1024
 LABELERS = ("form", "gazetteer", "marks", "mixture")
 
 
@@ -66,6 +69,16 @@ def matches(text: Column, kind: str) -> Column:
     return found if worth is None else F.when(worth, found).otherwise(none)
 
 
+def pieces(text: Column) -> Column:
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+
+
+def cut(parts: Column, at: Column, n: Column) -> Column:
+    """n code points from place at (from 0) on, of a text in pieces."""
+    first, last = F.floor(at / PIECE).cast("int"), F.floor((at + n - 1) / PIECE).cast("int")
+    return F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), "").substr((at - first * PIECE + 1).cast("int"), n.cast("int"))
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -103,12 +116,17 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(none, *kinds))
 
 
-def votes(kind: str, text: Column, m: Column) -> Column:
+def votes(kind: str, parts: Column, m: Column) -> Column:
     """The labelers' votes on a candidate, as a string of LABELERS votes (y, n or -), and its features."""
-    before = text.substr(F.greatest(m["start"] - AROUND + 1, F.lit(1)).cast("int"), F.least(m["start"], F.lit(AROUND)).cast("int"))
-    after = text.substr((m["end"] + 1).cast("int"), F.lit(2))
-    value = m["value"]
-    word = F.lower(F.regexp_extract(before, r"([A-Za-z_0-9]+)[^A-Za-z_0-9]*$", 1))
+    before = cut(parts, F.greatest(m["start"] - AROUND, F.lit(0)), F.least(m["start"], F.lit(AROUND)))
+    after = cut(parts, m["end"], F.lit(2))
+    word = lambda before: F.lower(F.regexp_extract(before, r"([A-Za-z_0-9]+)[^A-Za-z_0-9]*$", 1))
+    # Each computed once: they are looked at many times.
+    return let(before, lambda before: let(after, lambda after: let(word(before), lambda word: judged(kind, m["value"], before, after, word))))
+
+
+def judged(kind: str, value: Column, before: Column, after: Column, word: Column) -> Column:
+    """Votes and features of a candidate by its value, what stands around it, and the word before it."""
     has = {c: value.rlike(p) for c, p in (("lower", "[a-z]"), ("upper", "[A-Z]"), ("digit", "[0-9]"))}
     share = F.length(digits(value)) / F.length(value)
     say = lambda yes, no: F.when(yes, "y").when(no, "n").otherwise("-")
@@ -133,10 +151,10 @@ def candidates(text: Column) -> Column:
     """Array of (kind, start, end, votes, features) over the added kinds."""
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,votes:string,features:array<string>>>")
 
-    def of(kind: str) -> Column:
-        return F.transform(matches(text, kind), lambda m: let(votes(kind, text, m), lambda v: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), v["votes"].alias("votes"), v["features"].alias("features"))))
+    def of(kind: str, parts: Column) -> Column:
+        return F.transform(matches(text, kind), lambda m: let(votes(kind, parts, m), lambda v: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), v["votes"].alias("votes"), v["features"].alias("features"))))
 
-    return F.concat(none, *[of(k) for k in ADDED])
+    return let(pieces(text), lambda parts: F.concat(none, *[of(k, parts) for k in ADDED]))
 
 
 def reliabilities(counts: dict[str, float], rounds: int = 60) -> dict[str, float]:
@@ -209,11 +227,18 @@ def find_spans(df: DataFrame, model: dict[str, dict[str, float]], id_col: str =
     text = F.col("text_")
     ranks = F.create_map(*[x for r, k in enumerate(ADDED) for x in (F.lit(k), F.lit(len(BASE) + r))])
 
-    def clear(c: Column, base: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    def over(c: Column, own: Column) -> Column:
+        """Whether a candidate overlaps one of a kind's spans, which are in order and apart: the last that begins before its end, found by halving."""
+        n = F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda n, p: F.when(n + p > F.size(own), n).when(own[n + p - 1]["start"] < c["end"], n + p).otherwise(n))
+        return F.when(F.size(own) > 0, let(n, lambda n: F.when(n > 0, own[n - 1]["end"] > c["start"]).otherwise(False))).otherwise(False)
 
     added = F.filter(candidates(text), lambda c: accepted(c, model))
-    added = let(F.col("base"), lambda b: F.filter(added, lambda c: clear(c, b)))
+
+    def clear(found: Column, rank: int) -> Column:
+        return let(F.filter("base", lambda b: b["rank"] == rank), lambda own: F.filter(found, lambda c: ~over(c, own)))
+
+    for r in range(len(BASE)):
+        added = clear(added, r)
     added = F.transform(added, lambda c: F.struct(c["start"].alias("start"), ranks[c["kind"]].alias("rank"), c["end"].alias("end")))
     rows = rows.withColumn("added", added if model else F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>"))
     return rows.select(*kept, *([] if "doc_id" in kept else [F.col("doc_id_").alias("doc_id")]), F.col("text_").alias("searched"), "base", "added")
@@ -225,13 +250,16 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with each span, or run of overlapping spans, replaced by its first kind in brackets."""
+    """text with each span, or run of overlapping spans, replaced by its first kind in brackets. spans are in order."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in BASE + ADDED])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= a["at"], F.array(text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), names[s["rank"]])).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["parts"], gap).alias("parts"))
+    def done(parts: Column, own: Column, ends: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, ends[i - 1]).otherwise(F.lit(0).cast("long"))
+            return F.when(s["start"] >= at, F.concat(cut(parts, at, s["start"] - at), names[s["rank"]])).otherwise("")
+
+        last = F.element_at(ends, -1)
+        return F.concat(F.array_join(F.transform(own, part), ""), cut(parts, last, F.length(text) - last))
 
-    done = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), text.substr((a["at"] + 1).cast("int"), F.lit(2147483647))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    ends = lambda own: running(F.transform(own, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(spans) > 0, let(pieces(text), lambda parts: let(spans, lambda own: let(ends(own), lambda e: done(parts, own, e))))).otherwise(text)
