@@ -13,7 +13,7 @@ from tessera.plans.fixtures import with_
 from tessera.plans.search_queries import STOPS, TERMS, bm25_views
 from tessera.sources import transfer
 from tessera.sources.tables import shared_folder
-from tessera.streaming import jobs
+from tessera.streaming import jobs, memory
 
 CASES: dict[str, tuple] = {}
 
@@ -590,6 +590,23 @@ def stream_deduplicates(spark, sf):
     return drained(spark, sf, "events", twice)
 
 
+@case(
+    with_(
+        g="SELECT user_id, event_type, event_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 3600 THEN 1 ELSE 0 END AS gap FROM events",
+        s="SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts) AS stretch FROM g",
+        l="SELECT * FROM s QUALIFY stretch = max(stretch) OVER (PARTITION BY user_id)",
+        f="SELECT user_id, event_type, max(ts) AS t FROM l GROUP BY ALL",
+    )
+    + """SELECT user_id, files, seen FROM (SELECT user_id, string_agg(event_type, ',' ORDER BY t, event_type) AS files FROM f GROUP BY user_id)
+      JOIN (SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS seen FROM (SELECT DISTINCT user_id, event_id FROM l) GROUP BY user_id) USING (user_id)"""
+)
+def stream_remembers(spark, sf):
+    """Session memory as a stream's state, at its end: the same files as recent_files of the whole table."""
+    made = lambda s: memory.session_memory(s.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("file"), F.col("event_id").alias("fact_id"), "ts"), "40 days")
+    got = memory.latest(drained(spark, sf, "events", made, "update"))
+    return got.select(F.col("session_id").cast("long").alias("user_id"), F.array_join("files", ",").alias("files"), F.array_join(F.col("seen").cast("array<string>"), ",").alias("seen"))
+
+
 @case("SELECT item_id AS id, 64 AS size, 1.0 AS length FROM benchmark")
 def stream_embeds(spark, sf):
     def make(s):
