@@ -109,11 +109,36 @@ def glob_match(pattern: str, path: Column) -> Column:
     return clean(path).rlike(glob_regex(pattern))
 
 
+def glob_words(pattern: str) -> list[str]:
+    """Segments without wildcards that every path that matches the glob holds; none where that isn't plain (brackets, escapes, ** beside **)."""
+    parts = [p.strip("/") for p in re.sub(r"/+", "/", pattern.removeprefix("./")).split("**")]
+    if not all(parts[1:-1]) or any(c in pattern for c in "[]\\"):
+        return []
+    return sorted({s for p in parts for s in p.split("/") if s and "*" not in s and "?" not in s})
+
+
+def path_words(path: Column) -> Column:
+    """Distinct segments of a clean path, the last one also without a line end, which the end of a regular expression passes over."""
+    return F.array_distinct(F.concat(F.split(path, "/"), F.array(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(\r\n|[\n\r\u0085\u2028\u2029])\z", ""))))
+
+
 def glob_matches(paths: DataFrame, path: str, globs: DataFrame, glob: str) -> DataFrame:
-    """Each row of paths beside each distinct glob that matches it; any number of globs."""
-    regex = F.udf(glob_regex, "string")
-    g = globs.where(F.col(glob).isNotNull()).select(F.col(glob).alias("_glob")).distinct().select("_glob", regex("_glob").alias("_regex"))
-    # Beyond what a broadcast holds, the same join without one.
-    g = F.broadcast(g) if g.count() <= BROADCAST_GLOBS else g
+    """Each row of paths beside each distinct glob that matches it; any number of globs.
+
+    A glob is looked up by the rarest of its plain segments among those of the paths, and its expression is only tried on paths that have it; globs without a plain segment are tried on all paths.
+    """
+    regex, words = F.udf(glob_regex, "string"), F.udf(glob_words, "array<string>")
+    g = globs.where(F.col(glob).isNotNull()).select(F.col(glob).alias("_glob")).distinct().select("_glob", regex("_glob").alias("_regex"), words("_glob").alias("_words"))
+    few = g.count() <= BROADCAST_GLOBS
+    small = lambda df: F.broadcast(df) if few else df
     p = paths.withColumn("_path", clean(F.col(path)))
-    return p.join(g, F.expr("_path rlike _regex")).drop("_path", "_regex").withColumnRenamed("_glob", glob)
+    by_word = p.withColumn("_word", F.explode(path_words(F.col("_path"))))
+    wanted = g.select("_glob", "_regex", F.explode("_words").alias("_word"))
+    counts = by_word.select("_word").join(small(wanted.select("_word").distinct()), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0).cast("long"))
+    rarest = wanted.join(counts, "_word", "left").groupBy("_glob", "_regex").agg(F.min_by("_word", F.struct(n, F.col("_word"))).alias("_word"), F.min(n).alias("_n")).where("_n > 0").drop("_n")
+    # Beyond what a broadcast holds, the same joins without one.
+    found = by_word.join(small(rarest), "_word").where(F.expr("_path rlike _regex")).drop("_word")
+    rest = p.join(small(g.where(F.size("_words") == 0).drop("_words")), F.expr("_path rlike _regex"))
+    columns = [*paths.columns, "_glob"]
+    return found.select(columns).unionByName(rest.select(columns)).withColumnRenamed("_glob", glob)
