@@ -198,7 +198,7 @@ def auto_supersede(spark, sf):
     return extract.replacements(v.where("id % 10 = 3").withColumn("batch_index", F.col("id").cast("int")), v.where("id % 10 <> 3"), threshold=0.3)
 
 
-CLOSE = 0.5
+CLOSE = 0.3
 
 
 @case(
