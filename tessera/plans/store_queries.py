@@ -13,7 +13,7 @@ from tessera.plans.fixtures import with_
 from tessera.plans.search_queries import STOPS, TERMS, bm25_views
 from tessera.sources import transfer
 from tessera.sources.tables import shared_folder
-from tessera.streaming import jobs, memory
+from tessera.streaming import jobs, memory, queue
 
 CASES: dict[str, tuple] = {}
 
@@ -583,6 +583,28 @@ def drained(spark, sf, name: str, make, mode: str = "append"):
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
+def answers_in_time(text: str, attempt: int) -> list[list[float]]:
+    """A stand-in for a model that refuses some texts, by their length: one in seven for good, others at their first attempts."""
+    n = len(text)
+    if n % 7 == 0:
+        raise ValueError("refused")
+    if attempt <= n % 3:
+        raise queue.Retryable("busy")
+    return [[float(n), float(attempt)]]
+
+
+@case("SELECT doc_id AS id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no text' WHEN length(text) % 7 = 0 THEN 'refused' END AS error, CASE WHEN trim(coalesce(text, '')) <> '' AND length(text) % 7 <> 0 THEN length(text) END AS size, CASE WHEN trim(coalesce(text, '')) <> '' AND length(text) % 7 <> 0 THEN length(text) % 3 + 1 END AS attempt FROM documents")
+def stream_retries(spark, sf):
+    """All documents through a queue whose model fails, until none waits: what was stored, and at which attempt; what was quarantined, and why."""
+    source = spark.readStream.schema(fx.table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    facts = source.select(F.col("doc_id").alias("id"), "text")
+    queue.drain(queue.embedding_queue(facts, f"{at}/out", f"{at}/state", "stand-in", 2, answers_in_time, every="0 seconds", wait=0.001), 3600)
+    stored, failed, _ = queue.outcomes(spark, f"{at}/out")
+    v = lambda i: F.col("vector")[i].cast("long")
+    return stored.select("id", F.lit(None).cast("string").alias("error"), v(0).alias("size"), v(1).alias("attempt")).unionByName(failed.select("id", "error"), allowMissingColumns=True)
+
+
 @case("SELECT event_id, user_id, event_type FROM events")
 def stream_deduplicates(spark, sf):
     """Every event is sent twice; each is kept once."""
