@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
-from tessera.operators import chunking, context, corpus, extract, graph, lifecycle, recall, search, sessions, similar
+from tessera.operators import chunking, context, corpus, extract, graph, ignores, lifecycle, recall, search, sessions, similar
 from tessera.plans import fixtures as fx
 from tessera.plans.fixtures import with_
 from tessera.plans.search_queries import STOPS, TERMS, bm25_views
@@ -228,6 +228,27 @@ def file_routes(spark, sf):
     return fx.files(spark, sf).select("path", paths.skip_reason(p, F.col("size")).alias("reason"), paths.route(p).alias("route"))
 
 
+#: Of all pages, and of those of each host under .net, which brings back what ends in 5.
+IGNORED = ("# pages", "m.*/", "/blog.*/en/", "*5", "!*25", "*/fr/8??")
+IGNORED_OF_HOST = ("de/", "!*5")
+PAGE_PATH = "rtrim(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/')"
+LAST = "regexp_extract(path, '([^/]*)$', 1)"
+
+
+@case(f"""WITH p AS (SELECT DISTINCT {PAGE_PATH} AS path FROM pages),
+      q AS (SELECT path, {LAST} AS name, regexp_extract(path, '^[^/]*', 0) LIKE '%.net' AND contains(path, '/') AS net FROM p WHERE path <> '')
+      SELECT path, regexp_matches(path, '(^|/)m\\.[^/]*/') OR regexp_matches(path, '^blog\\.[^/]*/en/') OR (net AND regexp_matches(path, '^[^/]*/(.*/)?de/')) OR CASE WHEN net AND name LIKE '%5' THEN false WHEN regexp_matches(path, '^[^/]*/fr/8[^/][^/]$') THEN true WHEN name LIKE '%25' THEN false ELSE name LIKE '%5' END AS ignored
+      FROM q""")
+def ignored_pages(spark, sf):
+    """Pages as paths, under rules of the root and of each host of one kind: negated, bound to a place, for folders only."""
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", ""), "/+$", "")
+    pages = fx.table(spark, sf, "pages").select(path.alias("path"))
+    root = spark.createDataFrame([("", n, t) for n, t in enumerate(IGNORED)], "base string, line int, pattern string")
+    hosts = pages.where("contains(path, '/')").select(F.regexp_extract("path", "^[^/]*", 0).alias("base")).where("base like '%.net'").distinct()
+    own = hosts.select("base", F.posexplode(F.array(*map(F.lit, IGNORED_OF_HOST))).alias("line", "pattern"))
+    return ignores.decided(pages, ignores.rules(root.unionByName(own)))
+
+
 def manifests(spark, sf):
     f = fx.files(spark, sf).withColumn("sha256", F.sha2("content", 256))
     stored = f.where("id % 4 <> 1").select("path", F.when(F.col("id") % 8 == 2, F.lit("00")).otherwise(F.col("sha256")).alias("sha256")).unionByName(spark.createDataFrame([("gone/a.md", "11"), ("gone/b.go", "22")], "path string, sha256 string"))
