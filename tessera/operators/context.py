@@ -100,6 +100,14 @@ def list_tasks(facts: DataFrame, status: str = "pending") -> DataFrame:
     return rows.where(F.col("status") == status).orderBy("id") if status else rows.orderBy("id")
 
 
+def task_rows(tasks: DataFrame) -> DataFrame:
+    """id, text: a task as one line, all of it as it's stored; null for a null id. What its metadata doesn't have, or has null, is empty; a due date is shown only where there is one."""
+    of = lambda key: F.coalesce(meta_text(F.col("metadata"), key), F.lit(""))
+    due = F.when(of("due") != "", F.concat(F.lit(", due="), of("due"))).otherwise(F.lit(""))
+    content = F.coalesce("content", F.lit(""))
+    return tasks.select("id", F.concat(F.lit("[id="), F.col("id").cast("string"), F.lit("] ["), of("status"), F.lit("] "), content, F.lit(" (scope="), of("scope"), F.lit(", priority="), of("priority"), due, F.lit(")\n")).alias("text"))
+
+
 def allows(scopes: Column, want: str) -> Column:
     """Whether a token's scopes grant one: admin grants read and write, no scopes grant read and write, ingest is only granted by name."""
     named = F.array_contains(scopes, want)

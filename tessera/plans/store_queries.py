@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
@@ -228,6 +229,49 @@ def file_routes(spark, sf):
     return fx.files(spark, sf).select("path", paths.skip_reason(p, F.col("size")).alias("reason"), paths.route(p).alias("route"))
 
 
+@case("""SELECT l_suppkey AS source_id, CASE WHEN l_partkey % 3 = 0 THEN 'depends' ELSE 'reference' END AS link_type, count(*) AS n
+      FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
+      WHERE (100000 + l_partkey) % 5 <> 0
+      GROUP BY 1, 2""")
+def deleted_links(spark, sf):
+    """Links go by id; ids are named twice, and some are of no link."""
+    links = fx.links(spark, sf)
+    ids = links.where("target_id % 5 = 0").select("id")
+    left = lifecycle.delete_links(links, ids.unionByName(ids).unionByName(ids.select((-F.col("id").bitwiseXOR(F.lit(1))).alias("id")).join(links.select("id"), "id", "left_anti")))
+    return left.groupBy("source_id", "link_type").agg(F.count("*").alias("n"))
+
+
+@case("""SELECT o_custkey AS task, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC)::INT AS rank
+      FROM orders
+      WHERE o_orderkey % 2 = 0
+      QUALIFY rank <= 5""")
+def curated_candidates(spark, sf):
+    """A chooser's answer for each customer's orders: the even ones, newest first, one named twice, and an id that is no candidate."""
+    o = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("id"))
+    candidates = o.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy("id")))
+    even = F.reverse(F.array_sort(F.collect_list(F.when(F.col("id") % 2 == 0, F.col("id")))))
+    chosen = o.groupBy("task").agg(even.alias("e")).select("task", F.concat(F.array(F.lit(-1).cast("long")), F.col("e").cast("array<long>"), F.slice(F.col("e").cast("array<long>"), 1, 1)).alias("ids"))
+    return context.curate(candidates.withColumn("id", F.col("id").cast("long")), 5, chosen, ("task",)).select("task", "id", "rank")
+
+
+@case("SELECT o_orderkey AS id, o_orderkey % 6 IN (0, 1, 3) AS may_read, o_orderkey % 6 IN (0, 2, 3) AS may_write, o_orderkey % 6 IN (4, 5) AS may_ingest FROM orders")
+def granted_scopes(spark, sf):
+    kinds = F.array(*(F.array(*map(F.lit, k)).cast("array<string>") for k in ((), ("read",), ("write",), ("admin",), ("ingest",), ("ingest", "other"))))
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.element_at(kinds, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("scopes"))
+    return o.select("id", *(context.allows(F.col("scopes"), w).alias(f"may_{w}") for w in ("read", "write", "ingest")))
+
+
+@case("""SELECT o_orderkey AS id, '[id=' || o_orderkey || '] [' || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'pending' END || '] order of ' || o_custkey || ' (scope=' || CASE WHEN o_custkey % 2 = 0 THEN 'user' ELSE '' END || ', priority=' || o_orderpriority
+             || CASE WHEN o_orderkey % 3 = 0 THEN ', due=' || strftime(o_orderdate, '%Y-%m-%d') ELSE '' END || ')' || chr(10) AS text
+      FROM orders""")
+def task_rows(spark, sf):
+    """Orders as tasks: without a status, a scope or a due date some of them."""
+    o = fx.table(spark, sf, "orders")
+    some = lambda condition, value: F.when(F.expr(condition), value)
+    meta = F.to_json(F.struct(some("o_orderkey % 4 <> 0", F.lit("pending")).alias("status"), some("o_custkey % 2 = 0", F.lit("user")).alias("scope"), F.col("o_orderpriority").alias("priority"), some("o_orderkey % 3 = 0", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("due")))
+    return context.task_rows(o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order of "), F.col("o_custkey").cast("string")).alias("content"), meta.alias("metadata")))
+
+
 #: Of all pages, and of those of each host under .net, which brings back what ends in 5.
 IGNORED = ("# pages", "m.*/", "/blog.*/en/", "*5", "!*25", "*/fr/8??")
 IGNORED_OF_HOST = ("de/", "!*5")
