@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.vector import norm
+from tessera.operators import search
 from tessera.session import ship
 from tessera.sources.tables import written
 
 BLOCK = 4096
 PIVOTS = 64
 STRIP = 256
+SHARE = 64
 #: Angles are rounded by far less than this, and so are products of unit vectors by less than MARGIN.
 SLACK, MARGIN = 1e-6, 1e-9
 #: Keys that get broadcast: those with over 1 / (4 * PARTS) of all rows, of which there are fewer than 4 * PARTS.
@@ -96,13 +98,17 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return hot.unionByName(rest)
 
 
-def near(left: DataFrame, right: DataFrame, left_id: str, right_id: str, threshold: float, most: int | None = None, left_vector: str = "v", right_vector: str = "w") -> DataFrame:
+def near(left: DataFrame, right: DataFrame, left_id: str, right_id: str, threshold: float, most: int | None = None, left_vector: str = "v", right_vector: str = "w", least: str | None = None) -> DataFrame:
     """Columns of left and right (both have subject) but their vectors, and score: the pairs of one subject with a cosine of threshold (over 0) or more.
 
-    With most, at least each left row's most best ones (ties: smaller right id) are among what is returned, and no block returns more than most for it.
+    With most, at least each left row's most best ones (ties: smaller right id) are among what is returned, and no block returns more than most for it. least names a column of left: a score known
+    to be reached most times at least, or null; cells that can't reach it aren't compared with the row.
     """
     spark = ship(left.sparkSession)
-    wide = math.acos(min(1.0, max(-1.0, threshold))) + SLACK
+    wide = F.lit(math.acos(min(1.0, max(-1.0, threshold))) + SLACK)
+    if least:
+        # A cosine rounded down by MARGIN, so that partners with the very same score stay within the angle.
+        wide = F.least(wide, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.col(least), F.lit(-1.0)) - MARGIN))) + SLACK)
     r = usable(right, right_id, right_vector)
     pivots = pivots_of(r, right_id, right_vector)
     # Written once: cells are counted, then their rows are dealt.
@@ -174,3 +180,19 @@ def best_of_block(a: pa.Table, b: pa.Table, left_id: str, right_id: str, left_ve
             out.append((i, j, score))
     i, j, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     return pa.array(i, pa.int64()), pa.array(j, pa.int64()), score
+
+
+def nearest(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score: the k best rows of docs (id, embedding) by positive cosine for each of queries (query_id, vector), ties by id; exact, as search.nearest with a limit.
+
+    A first pass over one row in SHARE, by hash, gives each query a score that k rows reach. With it the second pass leaves out cells that can't hold a better one.
+    Cases: as near(); a query's own row is found like any other; query_id must be unique; with fewer than k positive rows in the first pass a query has no such score, and meets all cells.
+    """
+    asked = queries.where("query_id is not null").select("query_id", "vector")
+    right = docs.select("id", F.lit("").alias("subject"), F.col("embedding").alias("w"))
+    some = usable(right, "id", "w").where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0).select("id", F.col("w").alias("embedding"))
+    reached = search.nearest(some, asked, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("__least")).where(F.col("n") == k).drop("n")
+    # near() takes equal ids as one row; a query is none of the rows, and NaN equals no id.
+    left = asked.join(reached, "query_id", "left").select(F.col("query_id").alias("__query"), F.lit("").alias("subject"), F.col("vector").alias("v"), "__least", F.lit(float("nan")).alias("__left"))
+    found = near(left, right, "__left", "id", 1e-300, k, least="__least")
+    return search.top(found.select(F.col("__query").alias("query_id"), "id", "score"), k)

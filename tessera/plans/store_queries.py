@@ -215,6 +215,17 @@ def close_pairs(spark, sf):
     return found.select("source_id", "target_id", F.round("score", 6).alias("score"))
 
 
+@case("""SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+      FROM embeddings a, embeddings b
+      WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0
+      QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) <= 10""")
+def nearest_by_cells(spark, sf):
+    """Every vector whose id is divisible by 20 against all: cells that can't reach a query's tenth score are left out."""
+    v = fx.vectors(spark, sf)
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return similar.nearest(v.select("id", "embedding"), q, 10).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 # ---- corpus
 
 EXT = "lower(regexp_extract(path, '\\.([^./]*)$', 1))"
