@@ -13,7 +13,7 @@ from tessera.plans import fixtures as fx
 from tessera.plans.fixtures import with_
 from tessera.plans.search_queries import STOPS, TERMS, bm25_views
 from tessera.sources import transfer
-from tessera.sources.tables import shared_folder
+from tessera.sources.tables import shared_folder, streamed
 from tessera.streaming import jobs, memory, queue
 
 CASES: dict[str, tuple] = {}
@@ -646,9 +646,8 @@ def kind_backfill(spark, sf):
 
 
 def drained(spark, sf, name: str, make, mode: str = "append"):
-    """A stream over a table's file, run to the end of its input into a table in the shared folder, and read back."""
-    schema = fx.table(spark, sf, name).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A stream over a table, run to the end of its input into a table in the shared folder, and read back."""
+    source = streamed(spark, f"{sf}/{name}.parquet")
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
 
     def save(batch, number: int) -> None:

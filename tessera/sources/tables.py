@@ -39,6 +39,15 @@ def create_file(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def streamed(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as a stream of all its rows, whether it's one file or a folder of files. Spark streams folders only: a file is one that its folder holds by that name."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return source.parquet(path)
+    return source.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+
+
 class Snapshots:
     """A set of tables that change together: each commit writes new folders, then points to them by one small file.
 
