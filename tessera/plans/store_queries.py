@@ -671,7 +671,7 @@ def answers_in_time(text: str, attempt: int) -> list[list[float]]:
 @case("SELECT doc_id AS id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no text' WHEN length(text) % 7 = 0 THEN 'refused' END AS error, CASE WHEN trim(coalesce(text, '')) <> '' AND length(text) % 7 <> 0 THEN length(text) END AS size, CASE WHEN trim(coalesce(text, '')) <> '' AND length(text) % 7 <> 0 THEN length(text) % 3 + 1 END AS attempt FROM documents")
 def stream_retries(spark, sf):
     """All documents through a queue whose model fails, until none waits: what was stored, and at which attempt; what was quarantined, and why."""
-    source = spark.readStream.schema(fx.table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    source = streamed(spark, f"{sf}/documents.parquet")
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     facts = source.select(F.col("doc_id").alias("id"), "text")
     queue.drain(queue.embedding_queue(facts, f"{at}/out", f"{at}/state", "stand-in", 2, answers_in_time, every="0 seconds", wait=0.001), 3600)

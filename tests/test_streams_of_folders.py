@@ -21,7 +21,7 @@ def rows(df):
     return sorted(map(repr, df.collect()))
 
 
-@pytest.mark.parametrize("query", [more_queries.changed_page_files])
+@pytest.mark.parametrize("query", [more_queries.changed_page_files, store_queries.stream_retries])
 def test_stream_of_a_folder(spark, folders, query):
     assert rows(query(spark, folders)) == rows(query(spark, SF)) != []
 
