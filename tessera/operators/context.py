@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 from tessera.functions import paths
 from tessera.functions.meta import meta_text, patched
 from tessera.operators import search
+from tessera.operators.matches import matches
 
 TERMINAL = ("completed", "cancelled")
 STATES = ("pending", "in_progress", *TERMINAL)
 
 
-def words_in(text: Column, task: Column) -> Column:
-    """How many words of the task (3 bytes or more) the text contains."""
-    return F.size(F.filter(F.split(F.lower(F.trim(task)), r"\s+"), lambda w: (F.octet_length(w) >= 3) & F.contains(F.lower(text), w)))
-
-
 def get_context(facts: DataFrame, tasks: DataFrame, limit: int = 20, subject: str = "") -> DataFrame:
     """task_id, tier, id, score for each task (query_id, text): what a search finds, the invariants and failure modes of the subsystems that it touches,
     triggers whose text shares a word with the task. A fact shows once, in the first of these tiers: invariant, failure_mode, trigger, relevant."""
@@ -31,8 +27,7 @@ def get_context(facts: DataFrame, tasks: DataFrame, limit: int = 20, subject: st
     found = search.search(live, tasks, search.SearchOptions(max_results=limit), lexical_only="vector" not in tasks.columns).select("query_id", "id", F.col("combined").alias("score"))
     touched = found.join(live.select("id", "subsystem"), "id").where("subsystem <> ''").select("query_id", "subsystem").distinct()
     rules = live.where(F.col("kind").isin("invariant", "failure_mode")).join(touched, "subsystem").select("query_id", "id", F.when(F.col("kind") == "invariant", 0).otherwise(1).alias("tier"), F.lit(0.0).alias("score"))
-    # Tasks are a stated set; every trigger is held against each, a block of tasks at a time.
-    fired = search.beside(live.where("kind = 'trigger'").select("id", "content"), tasks.select("query_id", F.col("text").alias("task"))).where(words_in(F.col("content"), F.col("task")) > 0).select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.0).alias("score"))
+    fired = matches(live.where("kind = 'trigger'").select("id", "content"), tasks.select("query_id", F.col("text").alias("task")), key="query_id").select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.0).alias("score"))
     every = rules.unionByName(fired).unionByName(found.select("query_id", "id", F.lit(3).alias("tier"), "score"))
     first = every.groupBy("query_id", "id").agg(F.min(F.struct("tier", "score")).alias("x"))
     names = F.array(*map(F.lit, ("invariant", "failure_mode", "trigger", "relevant")))
@@ -60,11 +55,10 @@ def suggest_agents(facts: DataFrame, tasks: DataFrame, most: int = 5) -> DataFra
 
 def scored_agents(routing: DataFrame, tasks: DataFrame, most: int = 5) -> DataFrame:
     """routing: id, agent, domains, content; tasks: task_id, task."""
-    rows = search.beside(routing.select("id", "agent", "domains", "content"), tasks.select("task_id", "task"), "task_id")
-    hits = F.size(F.filter("domains", lambda d: (d != "") & F.contains(F.lower("task"), F.lower(d))))
-    rows = rows.withColumn("score", 3 * hits + words_in(F.col("content"), F.col("task"))).where("score > 0")
+    rows = matches(routing.select("id", "agent", "domains", "content"), tasks.select("task_id", "task"), most)
     w = Window.partitionBy("task_id").orderBy(F.desc("score"), "id")
-    rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("best", F.max("score").over(Window.partitionBy("task_id"))).where(F.col("rank") <= most)
+    # The limit comes before the best score is looked up, which is among the first: so each task cuts its rows before they are shuffled.
+    rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).withColumn("best", F.max("score").over(Window.partitionBy("task_id")))
     share = F.col("score") / F.col("best")
     return rows.select("task_id", "rank", "id", "agent", "score", F.when(share >= 0.8, "high").when(share >= 0.5, "medium").otherwise("low").alias("confidence"))
 
