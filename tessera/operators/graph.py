@@ -13,6 +13,9 @@ from tessera.operators.lifecycle import preview
 from tessera.operators.similar import near
 from tessera.sources.tables import written
 
+#: Facts up to which those that a hop starts from are broadcast.
+FEW = 1_000_000
+
 
 def directed(links: DataFrame) -> DataFrame:
     """Every way a link can be walked: from, to, out (along it), both ways for a bidirectional one."""
@@ -38,18 +41,24 @@ def neighbours(links: DataFrame, facts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def degrees(links: DataFrame) -> DataFrame:
-    ends = links.select(F.col("source_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(links.select(F.col("target_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    end = lambda c, o, i: F.struct(F.col(c).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = links.select(F.explode(F.array(end("source_id", 1, 0), end("target_id", 0, 1))).alias("e")).select("e.*")
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
 def neighbourhood(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """id and least hops of every fact within reach of the seeds (id), along links."""
-    edges = directed(links).select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct()
-    reached = seeds.select("id", F.lit(0).alias("hops")).distinct()
-    edge = reached
+    """id and least hops of every fact within reach of the seeds (id), along links.
+
+    Links are read once and written by their ends; each hop then reads them as they lie, beside the facts last reached, as long as those are few (FEW).
+    """
+    edges = written(directed(links).select("from_id", "to_id").where("from_id is not null and to_id is not null"))
+    reached = written(seeds.select("id", F.lit(0).alias("hops")).distinct())
+    edge = reached.select("id")
     for k in range(1, hops + 1):
-        edge = edge.join(edges, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id")).distinct().join(reached, "id", "left_anti").select("id", F.lit(k).alias("hops"))
-        reached = reached.unionByName(edge)
+        few = edge.count() <= FEW
+        near_ = edges.join(F.broadcast(edge) if few else edge, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id")).distinct()
+        edge = written(near_.join(reached, "id", "left_anti"))
+        reached = reached.unionByName(edge.select("id", F.lit(k).alias("hops")))
     return reached
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import spread
+
 #: Views in SQL; each query's SQL names those it needs through with_().
 VIEWS = {
     "facts": """
@@ -67,8 +69,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids are hashes of the endpoints: numbering in order would put all rows into one task."""
-    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    """Ids are hashes of the endpoints: numbering in order would put all rows into one task. Partitions are dealt by a count of rows, as a task holds its distinct pairs in memory."""
+    pairs = spread(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").distinct()
     return pairs.select(
         F.xxhash64("l_suppkey", "l_partkey").alias("id"), F.col("l_suppkey").alias("source_id"), (100000 + F.col("l_partkey")).alias("target_id"),
         F.when(F.col("l_partkey") % 3 == 0, "depends").otherwise("reference").alias("link_type"), (F.col("l_partkey") % 4 == 0).alias("bidirectional"),

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths
 
+#: Rows of a partition that spread() deals.
+SPREAD_ROWS = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a session on one machine gets a folder of its own; on a cluster that is an error."""
@@ -29,6 +32,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into partitions of about SPREAD_ROWS rows, counted: what a task then holds of them in memory doesn't grow with the table.
+
+    Adaptive execution joins partitions by their compressed bytes, of which sorted or repeated numbers have few. For keys that no value of is hot.
+    """
+    return df.repartition(max(1, -(-df.count() // SPREAD_ROWS)), *keys)
+
+
 def create_file(spark: SparkSession, path: str, text: str) -> None:
     """A small file that must not be there yet: of two who create it, one fails."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
