@@ -121,15 +121,19 @@ def link(links: DataFrame, new: DataFrame) -> DataFrame:
 def owned_links(new: DataFrame, facts: DataFrame, namespace: str, user_id: int | None = None) -> DataFrame:
     """new links (id, source_id, target_id, other columns) with user_id and error: both ends must be facts of the namespace and of one owner, the given one if there is one.
 
-    A fact of somebody else fails just as one that isn't there. Distinct ends are counted by owner; a link of a fact with itself needs one.
+    A fact of somebody else fails just as one that isn't there. Of several owners of both ends (facts that repeat an id) the smallest counts; a null owner is one too. Each end is looked
+    up in turn: nothing is gathered by link.
     """
     there = facts.where(F.col("namespace") == namespace)
     there = there if user_id is None else there.where(F.col("user_id") == user_id)
-    ends = new.select(F.col("id").alias("_link"), F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"), F.when(F.col("source_id") == F.col("target_id"), 1).otherwise(2).alias("_need"))
-    owners = ends.join(there.select("id", F.col("user_id").alias("_owner")), "id").groupBy("_link", "_owner", "_need").agg(F.countDistinct("id").alias("_n"))
-    good = owners.where("_n = _need").groupBy("_link").agg(F.min("_owner").alias("_owner"))
-    out = new.drop("user_id", "error").join(good, F.col("id") == F.col("_link"), "left")
-    return out.withColumn("user_id", F.col("_owner")).withColumn("error", F.when(F.col("_link").isNull(), "fact not found")).drop("_link", "_owner")
+    owners = there.groupBy("id").agg(F.collect_set(F.struct(F.col("user_id").alias("owner"))).alias("of"))
+    out = new.drop("user_id", "error")
+    for end, name in (("source_id", "_from"), ("target_id", "_to")):
+        out = out.join(owners.select(F.col("id").alias(f"{name}_id"), F.col("of").alias(name)), F.col(end) == F.col(f"{name}_id"), "left").drop(f"{name}_id")
+    both = F.when(F.col("id").isNotNull(), F.array_intersect("_from", "_to"))
+    good = F.coalesce(F.size(both) > 0, F.lit(False))
+    owner = F.array_min(F.transform(both, lambda o: o["owner"]))
+    return out.withColumn("user_id", F.when(good, owner)).withColumn("error", F.when(~good, "fact not found")).drop("_from", "_to")
 
 
 def update_links(links: DataFrame, changes: DataFrame) -> DataFrame:
