@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VERSION = 1
+#: Users up to which their names are broadcast.
+FEW_USERS = 1_000_000
 
 
 def export_facts(facts: DataFrame, users: DataFrame) -> DataFrame:
     """All facts, replaced ones too, with their owner's name (empty if unknown) and without vectors. Written by id ranges: sort only what is read back in order."""
-    return facts.drop("embedding", "embed_failed_at", "embed_error").join(users.select(F.col("id").alias("user_id"), F.col("name").alias("owner")), "user_id", "left").withColumn("owner", F.coalesce("owner", F.lit(""))).withColumn("version", F.lit(VERSION))
+    # Dealt by user, all facts of one would meet in one task: names go to the facts instead, as long as they are few.
+    names = users.select(F.col("id").alias("user_id"), F.col("name").alias("owner"))
+    names = F.broadcast(names) if users.count() <= FEW_USERS else names
+    rows = facts.drop("embedding", "embed_failed_at", "embed_error").join(names, "user_id", "left")
+    return rows.withColumn("owner", F.coalesce("owner", F.lit(""))).withColumn("version", F.lit(VERSION))
 
 
 def write_export(facts: DataFrame, users: DataFrame, path: str) -> None:
