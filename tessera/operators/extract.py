@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.meta import conflicts
 from tessera.operators.similar import near
+from tessera.session import ship
 
 SIMILAR = 0.85
+#: Bytes of answers that a worker parses at once (a longer answer comes alone).
+SLICE_BYTES = 1_000_000
 
 
 def parse_answer(raw: str | None) -> list[dict]:
@@ -36,19 +44,26 @@ def parse_answer(raw: str | None) -> list[dict]:
     return [v for v in value if isinstance(v, dict)]
 
 
-FACTS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("content", "subject", "category")]))
-
-
-@F.pandas_udf(FACTS)
-def parsed(raw: pd.Series) -> pd.Series:
-    """Arrow batches of answers to arrays of facts."""
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """answer_id, at, content, subject, category of batches of answers (answer_id, raw), SLICE_BYTES of answers at a time: what a worker holds doesn't grow with a batch's texts."""
     text = lambda v: v if isinstance(v, str) else None
-    return raw.map(lambda r: [{k: text(f.get(k)) for k in ("content", "subject", "category")} for f in parse_answer(r)])
+    for batch in batches:
+        ids, raw = batch.columns
+        slices = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+        starts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(raw)] if len(raw) else [0]
+        for low, high in pairwise(starts):
+            found = [(low + i, at, f) for i, r in enumerate(raw.slice(low, high - low).to_pylist()) for at, f in enumerate(parse_answer(r))]
+            columns = [pa.array([text(f.get(c)) for *_, f in found], pa.string()) for c in ("content", "subject", "category")]
+            rows, places = pa.array([i for i, *_ in found], pa.int64()), pa.array([at for _, at, _ in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([ids.take(rows), places, *columns], names=["answer_id", "at", "content", "subject", "category"])
 
 
 def candidates(answers: DataFrame, raw: str = "raw") -> DataFrame:
     """batch_index, content, subject, category of answers (answer_id, raw): trimmed, without empty content, category note by default."""
-    rows = answers.select("answer_id", F.posexplode(parsed(F.col(raw))).alias("at", "f")).select("answer_id", "at", "f.*")
+    ship(answers.sparkSession)
+    own = answers.select("answer_id", F.col(raw).cast("string").alias("raw"))
+    schema = T.StructType([own.schema["answer_id"], T.StructField("at", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("content", "subject", "category"))])
+    rows = own.mapInArrow(parsed, schema)
     rows = rows.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("content", "subject")}).where("content <> ''")
     return rows.withColumn("category", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("note")))
 
