@@ -32,6 +32,8 @@ from .common import map_texts, two_columns
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Distinct words whose ids a task remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 600_000
+#: Distinct pre-tokens likewise: a word comes with many a mark beside it, and in either case.
+REMEMBERED_PIECES = 200_000
 
 _loaded: dict[str, BytePairs] = {}
 
@@ -75,6 +77,7 @@ class BytePairs:
         self.byte_of = {c: b for b, c in enumerate(shown)}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.merged: dict[bytes, list[int]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Symbols after all merges, lowest rank first, leftmost first within a rank.
@@ -118,8 +121,14 @@ class BytePairs:
             pieces = [bytes([self.byte_of[c] for c in p]) for p, _ in shown]
         ids: list[int] = []
         for data in pieces:
-            symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-            ids += self.merge([s for s in symbols if s >= 0])
+            if (found := self.merged.get(data)) is None:
+                symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
+                found = self.merge([s for s in symbols if s >= 0])
+                if len(data) < 200:
+                    if len(self.merged) >= REMEMBERED_PIECES:
+                        self.merged.clear()
+                    self.merged[data] = found
+            ids += found
         return ids
 
     def decode(self, ids: bytes) -> str:
@@ -150,7 +159,7 @@ class BytePairs:
     def for_a_task(self) -> BytePairs:
         """The same vocabulary with a memory of its own, which goes with it."""
         own = copy(self)
-        own.known = {}
+        own.known, own.merged = {}, {}
         return own
 
 
