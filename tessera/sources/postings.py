@@ -1,12 +1,13 @@
 """Kept postings: an index of terms that searches read instead of the texts, in segments, with top-k searches that skip what can't reach the result.
 
 Each build or update writes one segment and touches no other:
-- postings: part (a hash of the term), term, tier, slice, mean, bound, docs, entries (id, len, pos: places), a row for each block, sorted by term. A term's documents are dealt to tiers by their
+- postings: term, tier, slice, mean, bound, docs, entries (id, len, pos: places), a row for each block, sorted by term in each file. A term's documents are dealt to tiers by their
   impact (what a document's frequency and length make of BM25, at the mean length of that time), and to slices by id, so that a block of a common term stays small. bound is the block's
   greatest impact; at another mean length m it is at most bound * max(1, m / mean), as the length's part of the denominator shrinks by that much at most.
-- documents: id, len, terms (distinct), sorted by id.
+- documents: id, len, terms (in order), sorted by id in each file.
 - counts: term, docs: documents with a term that came (above 0) or went (below); the empty term counts documents, and lens adds their lengths.
 - gone: ids that the segment replaces or deletes in all older ones.
+Documents are written first, and the rest is made of them: a task packs blocks where its documents lie, and blocks are exchanged once, by term and slice.
 So an update reads, of what is kept, the rows of changed documents only, and writes the blocks of their new texts. compact() makes one segment of all. Segments appear and go by one commit
 (sources.tables.Snapshots).
 
@@ -19,17 +20,24 @@ change nothing; an update without rows is an empty segment; an empty table is an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import terms
 from tessera.operators import search
+from tessera.session import ship
 from tessera.sources.tables import Snapshots, written
 
-PARTS = 64
 TIERS = 16
 #: Documents of a segment for each slice of its terms' tiers.
 SLICE = 65_536
+#: Places of terms for each partition of blocks.
+PLACES = 1_000_000
 #: Documents of the rarest term that are scored first, for each that is wanted.
 LEAD = 4
 #: Ids up to which a change's set is broadcast.
@@ -38,20 +46,92 @@ FEW = 1_000_000
 VALUES = 2000
 
 
-def part_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+def impact(tf, length, mean: float):
+    """What a frequency and a length make of BM25 at a mean length: of columns, or of arrays."""
+    return tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * length / (mean or 1.0)))
+
+
+def packer(mean: float, slices: int):
+    """A mapInArrow function from documents (id, len, slice, terms) to blocks, as far as a batch has their entries. Batches are bounded by Arrow's bytes of a batch."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lens, dealt, lists = batch.columns
+            flat, first = lists.flatten(), lists.offsets.to_numpy()
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(len(lists)), np.diff(first))
+            coded = flat.dictionary_encode()
+            # Places by term, then row; the sort is stable, so places of both stay in order.
+            key = coded.indices.to_numpy().astype("int64") * len(lists) + row
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            pos = (np.arange(len(flat)) - (first - first[0])[row])[order].astype("int32")
+            tf, code, row = np.diff(np.r_[starts, len(flat)]), key[starts] // len(lists), row[order][starts]
+            own = impact(tf, lens.to_numpy()[row], mean)
+            tier = np.minimum(TIERS - 1, np.floor(own / (search.K1 + 1) * TIERS)).astype("int64")
+            # Entries by term, tier and slice.
+            key = (code * TIERS + tier) * slices + dealt.to_numpy()[row]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            docs = np.diff(np.r_[heads, len(key)]).astype("int32")
+            at = pa.array(row[order])
+            places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(flat)].astype("int32")), pa.array(pos)).take(pa.array(order))
+            entries = pa.StructArray.from_arrays([ids.take(at), lens.take(at), places], ["id", "len", "pos"])
+            columns = [
+                coded.dictionary.take(pa.array(code[order][heads])), pa.array(tier[order][heads].astype("int32")), dealt.take(pa.array(row[order][heads])),
+                pa.array(np.maximum.reduceat(own[order], heads)), pa.array(docs), pa.ListArray.from_arrays(pa.array(np.r_[heads, len(key)].astype("int32")), entries),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "tier", "slice", "bound", "docs", "entries"])
+
+    return pack
+
+
+def slice_of(docs: int) -> tuple[Column, int]:
+    """The slice of an id, and how many there are, for so many documents."""
+    slices = max(1, -(-docs // SLICE))
+    return F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"), slices
 
 
-def impact(tf: Column, length: Column, mean: Column) -> Column:
-    return tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * length / F.when(mean > 0, mean).otherwise(1.0)))
+def singles(own: DataFrame, mean: float, docs: int) -> DataFrame:
+    """Blocks of one entry each of entries (term, id, len, pos)."""
+    own = own.withColumn("bound", impact(F.size("pos"), F.col("len"), mean))
+    tier = F.least(F.lit(TIERS - 1), F.floor(F.col("bound") / (search.K1 + 1) * TIERS)).cast("int")
+    return own.select("term", tier.alias("tier"), slice_of(docs)[0].alias("slice"), "bound", F.lit(1).alias("docs"), F.array(F.struct("id", "len", "pos")).alias("entries"))
 
 
-def blocks_of(own: DataFrame, mean: float, slices: int) -> DataFrame:
-    """Blocks of entries (term, id, len, pos), dealt to tiers by impact at a mean length, and to slices by id."""
-    own = own.withColumn("impact", impact(F.size("pos"), F.col("len"), F.lit(mean))).withColumn("tier", F.least(F.lit(TIERS - 1), F.floor(F.col("impact") / (search.K1 + 1) * TIERS)).cast("int"))
-    blocks = own.groupBy("term", "tier", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")).agg(F.max("impact").alias("bound"), F.count("*").cast("int").alias("docs"), F.collect_list(F.struct("id", "len", "pos")).alias("entries"))
-    blocks = blocks.select(part_of(F.col("term")).alias("part"), "term", "tier", "slice", F.lit(mean).alias("mean"), "bound", "docs", "entries")
-    return blocks
+def packed(documents: DataFrame, mean: float, docs: int) -> DataFrame:
+    """Blocks of documents (id, len, terms), each task's own. Only rows that repeat an id are brought together before: one entry a term, under the shortest length."""
+    ship(documents.sparkSession)
+    rows = documents.select("id", F.col("len").cast("int").alias("len"), slice_of(docs)[0].alias("slice"), "terms")
+    entry = T.StructType([rows.schema["id"], rows.schema["len"], T.StructField("pos", T.ArrayType(T.IntegerType()))])
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("tier", T.IntegerType()), rows.schema["slice"], T.StructField("bound", T.DoubleType()), T.StructField("docs", T.IntegerType()), T.StructField("entries", T.ArrayType(entry))])
+    pack = packer(mean, slice_of(docs)[1])
+    again = repeated(documents)
+    if again is None:
+        return rows.mapInArrow(pack, out)
+    same = rows["id"].eqNullSafe(again["_again"])
+    met = rows.join(again, same, "left_semi").select("id", "len", F.posexplode("terms").alias("pos", "term"))
+    met = met.groupBy("term", "id").agg(F.min("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("pos"))
+    return rows.join(again, same, "left_anti").mapInArrow(pack, out).unionByName(singles(met, mean, docs))
+
+
+def repeated(rows: DataFrame) -> DataFrame | None:
+    """_again: ids that several rows have; None, if none has."""
+    again = written(rows.groupBy(F.col("id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"))
+    return None if again.isEmpty() else again
+
+
+def merged(blocks: DataFrame, mean: float, places: int) -> DataFrame:
+    """One block of each term, tier and slice, of blocks with so many places in all.
+
+    One exchange, into partitions of about PLACES places: a task's rows don't grow with the documents, and a term's entries of a slice are few, however common it is.
+    """
+    dealt = blocks.repartition(max(1, -(-places // PLACES)), "term", "slice")
+    dealt = dealt.groupBy("term", "tier", "slice").agg(F.max("bound").alias("bound"), F.sum("docs").cast("int").alias("docs"), F.flatten(F.collect_list("entries")).alias("entries"))
+    return dealt.select("term", "tier", "slice", F.lit(mean).alias("mean"), "bound", "docs", "entries").sortWithinPartitions("term", "tier", "slice")
 
 
 class Postings:
@@ -85,26 +165,21 @@ class Postings:
         """A segment of docs. was: id, len, terms of the documents that gone takes away."""
         known = self.tables._versions()
         s = max((v for v, _, _ in known), default=0) + 1
-        tokens = written(docs.select("id", terms(F.concat_ws(" ", *self.columns)).alias("terms")).withColumn("len", F.size("terms")))
-        mean, n = tokens.agg(F.coalesce(F.avg("len"), F.lit(0.0)), F.count("*")).first()
-        slices = max(1, -(-n // SLICE))
-        places = tokens.select("id", "len", F.posexplode("terms").alias("pos", "term"))
-        # A document's places of a term meet in one row, a term's documents of a tier and slice in another: neither grows with the corpus.
-        own = places.groupBy("term", "id").agg(F.min("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("pos"))
-        blocks = blocks_of(own, mean, slices)
-        documents = tokens.select("id", F.col("len").cast("long").alias("len"), F.array_distinct("terms").alias("terms"))
-        change = documents.withColumn("d", F.lit(1))
-        change = change if was is None else change.unionByName(was.select("id", "len", "terms", F.lit(-1).alias("d")))
-        # The empty term stands for documents; a term counts once for an id, however many rows have it.
-        by_term = change.select("id", "d", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.sum("d").alias("docs"))
-        counts = by_term.where("docs <> 0").select("term", "docs", F.lit(0).cast("long").alias("lens"))
-        counts = counts.unionByName(change.agg(F.lit("").alias("term"), F.coalesce(F.sum("d"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.col("d") * F.col("len")), F.lit(0)).alias("lens")))
-        new = {
-            f"postings_{s}": blocks.repartitionByRange("part", "term", "tier", "slice").sortWithinPartitions("part", "term", "tier"),
-            f"documents_{s}": documents.repartitionByRange("id").sortWithinPartitions("id"),
-            f"counts_{s}": counts.repartitionByRange("term").sortWithinPartitions("term"),
-            f"gone_{s}": gone.select("id").distinct(),
-        }
+        tokens = docs.select("id", terms(F.concat_ws(" ", *self.columns)).alias("terms")).select("id", F.size("terms").cast("long").alias("len"), "terms")
+        documents = self.tables.put(f"documents_{s}", tokens.sortWithinPartitions("id"))
+        n, places = documents.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        mean = places / n if n else 0.0
+        postings = self.tables.put(f"postings_{s}", merged(packed(documents, mean, n), mean, places))
+        # A term counts once for an id, however many rows have it.
+        by_term, lens = postings.select("term", F.col("docs").cast("long").alias("d")), [(n, places)]
+        if was is not None:
+            lens.append(tuple(-x for x in was.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()))
+            old = was.select("id", F.explode(F.array_distinct("terms")).alias("term"))
+            by_term = by_term.unionByName((old if repeated(was) is None else old.distinct()).select("term", F.lit(-1).cast("long").alias("d")))
+        counts = by_term.groupBy("term").agg(F.sum("d").alias("docs")).where("docs <> 0").select("term", "docs", F.lit(0).cast("long").alias("lens"))
+        # The empty term stands for documents.
+        counts = counts.unionByName(self.spark.createDataFrame([("", *map(sum, zip(*lens)))], counts.schema))
+        new = {f"postings_{s}": postings, f"documents_{s}": documents, f"counts_{s}": counts.sortWithinPartitions("term"), f"gone_{s}": gone.select("id").distinct()}
         if whole:
             new[f"whole_{s}"] = self.spark.range(1)
         return self.tables.commit(**new)
@@ -124,16 +199,13 @@ class Postings:
     def compact(self) -> int:
         """A new version of one segment, made of the blocks of all: no text is read."""
         s = max(v for v, _, _ in self.tables._versions()) + 1
-        docs = written(self._live(self._read("documents")).select("id", "len", "terms"))
-        mean, n = docs.agg(F.coalesce(F.avg("len"), F.lit(0.0)), F.count("*")).first()
-        slices = max(1, -(-n // SLICE))
-        own = self._entries(self._read("postings"))
-        blocks = blocks_of(own, mean, slices)
+        documents = self.tables.put(f"documents_{s}", self._live(self._read("documents")).select("id", "len", "terms").sortWithinPartitions("id"))
+        n, places = documents.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        mean = places / n if n else 0.0
         counts = self._read("counts").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("lens").alias("lens")).where("docs <> 0 or term = ''")
         new = {
-            f"postings_{s}": blocks.repartitionByRange("part", "term", "tier", "slice").sortWithinPartitions("part", "term", "tier"),
-            f"documents_{s}": docs.repartitionByRange("id").sortWithinPartitions("id"), f"counts_{s}": counts.repartitionByRange("term").sortWithinPartitions("term"),
-            f"gone_{s}": docs.select("id").limit(0), f"whole_{s}": self.spark.range(1),
+            f"postings_{s}": merged(singles(self._entries(self._read("postings")), mean, n), mean, places), f"documents_{s}": documents,
+            f"counts_{s}": counts.sortWithinPartitions("term"), f"gone_{s}": documents.select("id").limit(0), f"whole_{s}": self.spark.range(1),
         }
         return self.tables.commit(**new)
 
@@ -224,5 +296,5 @@ class Postings:
         rows = self._live(rows, version)
         if within is not None:
             rows = rows.join(within.select("id").distinct(), "id", "left_semi")
-        rows = rows.groupBy("query_id", "id").agg(F.sum(F.col("weight") * impact(F.col("tf"), F.col("len"), F.lit(mean))).alias("score"), F.count("*").alias("found"), F.first("terms").alias("terms"))
+        rows = rows.groupBy("query_id", "id").agg(F.sum(F.col("weight") * impact(F.col("tf"), F.col("len"), mean)).alias("score"), F.count("*").alias("found"), F.first("terms").alias("terms"))
         return rows.where("found = terms").select("query_id", "id", "score")

@@ -68,6 +68,7 @@ class Snapshots:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._put: list[tuple[DataFrame, str]] = []
 
     def _versions(self) -> list[tuple[int, str, str]]:
         try:
@@ -78,14 +79,26 @@ class Snapshots:
             return []
         return [(r["version"], r["name"], r["path"]) for r in rows]
 
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written to a folder that nothing points to yet. The next commit that gets what this returns points there, and doesn't write it again."""
+        path = f"{self.root}/{name}/{uuid.uuid4()}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._put.append((out, path))
+        return out
+
     def commit(self, by: tuple[str, ...] = (), **tables: DataFrame) -> int:
         """Writes tables, in folders by the columns in by, and points to them with those of the version before."""
         known = self._versions()
         version = max((v for v, _, _ in known), default=0) + 1
         current = {n: p for v, n, p in sorted(known) if v == version - 1}
         for name, df in tables.items():
-            current[name] = f"{self.root}/{name}/{version}-{uuid.uuid4()}"
-            (df.write.partitionBy(*by) if by else df.write).parquet(current[name])
+            path = next((p for d, p in self._put if d is df), None)
+            if path is None:
+                path = f"{self.root}/{name}/{version}-{uuid.uuid4()}"
+                (df.write.partitionBy(*by) if by else df.write).parquet(path)
+            current[name] = path
+        self._put = []
         text = "".join(json.dumps({"version": version, "name": n, "path": p}) + "\n" for n, p in sorted(current.items()))
         create_file(self.spark, f"{self.root}/_commits/{version}/pointer.json", text)
         return version
