@@ -16,7 +16,7 @@ from tessera.plans.search_queries import NEAREST, TERMS, VECTOR_QUERIES, bm25_vi
 from tessera.plans.store_queries import PROMPTS, RECALL, drained
 from tessera.plans.whole_queries import injections
 from tessera.sources.postings import Postings
-from tessera.sources.tables import Snapshots, shared_folder
+from tessera.sources.tables import Snapshots, shared_folder, written
 from tessera.streaming import jobs
 
 CASES: dict[str, tuple] = {}
@@ -45,7 +45,7 @@ def kept_postings(spark, sf):
     kept.build(live.withColumn("content", F.when(F.col("id") % 10 == 3, F.lit("an older text")).otherwise(F.col("content"))))
     kept.update(live.where("id % 10 = 3 and id % 11 <> 5"), live.where("id % 11 = 5").select("id"))
     queries = query_table(spark)
-    return search.bm25(None, queries, found=kept.places(search.query_terms(queries))).select("query_id", "id", F.round("score", 6).alias("score"))
+    return search.bm25(None, queries, found=written(kept.places(search.query_terms(queries)))).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @case(search_queries.CASES["bm25_top"][1])

@@ -2,12 +2,12 @@
 
 Each build or update writes one segment and touches no other:
 - postings: term, tier, slice, mean, bound, docs, entries (id, len, pos: places), a row for each block, sorted by term in each file. A term's documents are dealt to tiers by their
-  impact (what a document's frequency and length make of BM25, at the mean length of that time), and to slices by id, so that a block of a common term stays small. bound is the block's
+  impact (what a document's frequency and length make of BM25, at the mean length of that time), and to slices of about SLICE documents, so that a block of a common term stays small. bound is the block's
   greatest impact; at another mean length m it is at most bound * max(1, m / mean), as the length's part of the denominator shrinks by that much at most.
 - documents: id, len, terms (in order), sorted by id in each file.
 - counts: term, docs: documents with a term that came (above 0) or went (below); the empty term counts documents, and lens adds their lengths.
 - gone: ids that the segment replaces or deletes in all older ones.
-Documents are written first, and the rest is made of them: a task packs blocks where its documents lie, and blocks are exchanged once, by term and slice.
+Documents are written first, and the rest is made of them: a task packs blocks where its documents lie, and packed rows of many blocks are exchanged once, by term and slice.
 So an update reads, of what is kept, the rows of changed documents only, and writes the blocks of their new texts. compact() makes one segment of all. Segments appear and go by one commit
 (sources.tables.Snapshots).
 
@@ -21,9 +21,12 @@ change nothing; an update without rows is an empty segment; an empty table is an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +41,12 @@ TIERS = 16
 SLICE = 65_536
 #: Places of terms for each partition of blocks.
 PLACES = 1_000_000
+#: Places that a task packs together.
+PACK = 4_000_000
+#: Batches in which packed rows leave Python, so that the JVM holds a part of them at a time.
+PIECES = 8
+#: What sets the slices of a term apart in the deal of buckets: a prime.
+SPACED = 1_000_003
 #: Documents of the rarest term that are scored first, for each that is wanted.
 LEAD = 4
 #: Ids up to which a change's set is broadcast.
@@ -51,71 +60,170 @@ def impact(tf, length, mean: float):
     return tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * length / (mean or 1.0)))
 
 
-def packer(mean: float, slices: int):
-    """A mapInArrow function from documents (id, len, slice, terms) to blocks, as far as a batch has their entries. Batches are bounded by Arrow's bytes of a batch."""
+def together(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
+    """Batches as tables that have about most values in the lists of a column (rows, if it has no lists), or one batch."""
+    held, n = [], 0
+    for batch in batches:
+        lists = batch.column(column)
+        own = len(lists.flatten()) if pa.types.is_list(lists.type) else len(lists)
+        if held and n + own > most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+        held.append(batch)
+        n += own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def flat(table: pa.Table, column: str) -> pa.Array:
+    """What the lists of a column hold, in one array."""
+    lists = table.column(column)
+    return pa.concat_arrays([c.flatten() for c in lists.chunks]) if lists.num_chunks else pa.array([], lists.type.value_type)
+
+
+def heads_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def lists_of(heads: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[heads, len(values)].astype("int32")), values)
+
+
+def tier_of(own: np.ndarray) -> np.ndarray:
+    return np.minimum(TIERS - 1, np.floor(own / (search.K1 + 1) * TIERS)).astype("int64")
+
+
+def dealt(words: pa.Array, code: np.ndarray, ids: pa.Array, lens: np.ndarray, places: pa.ListArray, part: np.ndarray, mean: float, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of entries (a term's code in words, id, len, places, slice), a row for each bucket: its blocks' terms, tiers, slices and docs, and their entries one after the other."""
+    tf = np.diff(places.offsets.to_numpy())
+    tier = tier_of(impact(tf, lens, mean))
+    hashed = np.fromiter((crc32(w) for w in words.cast(pa.binary()).to_pylist()), "int64", len(words))
+    bucket = (hashed[code] + part * SPACED) % buckets
+    order = np.lexsort((part, tier, code, bucket))
+    code, tier, part, bucket = code[order], tier[order], part[order], bucket[order]
+    heads = heads_of(bucket, code, tier, part)
+    rows, docs = heads_of(bucket[heads]), np.diff(np.r_[heads, len(code)])
+    first = heads[rows]
+    moved = places.take(pa.array(order))
+    at = moved.offsets.to_numpy()[first]
+    ints = lambda x: pa.array(x.astype("int32"))
+    columns = [
+        ints(bucket[first]), lists_of(rows, words.take(pa.array(code[heads]))), lists_of(rows, ints(tier[heads])), lists_of(rows, ints(part[heads])), lists_of(rows, ints(docs)),
+        lists_of(first, ids.take(pa.array(order))), lists_of(first, ints(lens[order])), lists_of(first, ints(tf[order])), lists_of(at, moved.values),
+    ]
+    packed = pa.RecordBatch.from_arrays(columns, ["bucket", "term", "tier", "slice", "docs", "id", "len", "tf", "pos"])
+    step = max(1, -(-len(packed) // PIECES))
+    yield from (packed.slice(i, step) for i in range(0, len(packed), step))
+
+
+def packer(mean: float, slices: int, buckets: int):
+    """A mapInArrow function from documents (id, len, terms) to packed blocks, as far as PACK places have their entries.
+
+    A task's documents go to a slice until it has SLICE of them, and then to the next: documents that are packed together are of one slice mostly, so rows don't grow with the slices.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lens, dealt, lists = batch.columns
-            flat, first = lists.flatten(), lists.offsets.to_numpy()
-            if not len(flat):
+        seen, here = 0, TaskContext.get().partitionId()
+        for table in together(batches, "terms", PACK):
+            part = (here + (seen + np.arange(len(table))) // SLICE) % slices
+            seen += len(table)
+            words = flat(table, "terms")
+            if not len(words):
                 continue
-            row = np.repeat(np.arange(len(lists)), np.diff(first))
-            coded = flat.dictionary_encode()
+            n = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table["terms"].chunks])
+            row = np.repeat(np.arange(len(n)), n)
+            coded = words.dictionary_encode()
             # Places by term, then row; the sort is stable, so places of both stay in order.
-            key = coded.indices.to_numpy().astype("int64") * len(lists) + row
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            pos = (np.arange(len(flat)) - (first - first[0])[row])[order].astype("int32")
-            tf, code, row = np.diff(np.r_[starts, len(flat)]), key[starts] // len(lists), row[order][starts]
-            own = impact(tf, lens.to_numpy()[row], mean)
-            tier = np.minimum(TIERS - 1, np.floor(own / (search.K1 + 1) * TIERS)).astype("int64")
-            # Entries by term, tier and slice.
-            key = (code * TIERS + tier) * slices + dealt.to_numpy()[row]
+            key = coded.indices.to_numpy().astype("int64") * len(n) + row
             order = np.argsort(key, kind="stable")
             key = key[order]
-            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            docs = np.diff(np.r_[heads, len(key)]).astype("int32")
-            at = pa.array(row[order])
-            places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(flat)].astype("int32")), pa.array(pos)).take(pa.array(order))
-            entries = pa.StructArray.from_arrays([ids.take(at), lens.take(at), places], ["id", "len", "pos"])
-            columns = [
-                coded.dictionary.take(pa.array(code[order][heads])), pa.array(tier[order][heads].astype("int32")), dealt.take(pa.array(row[order][heads])),
-                pa.array(np.maximum.reduceat(own[order], heads)), pa.array(docs), pa.ListArray.from_arrays(pa.array(np.r_[heads, len(key)].astype("int32")), entries),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "tier", "slice", "bound", "docs", "entries"])
+            starts = heads_of(key)
+            pos = (np.arange(len(row)) - (np.cumsum(n) - n)[row])[order].astype("int32")
+            code, row = key[starts] // len(n), row[order][starts]
+            ids = table["id"].combine_chunks().take(pa.array(row))
+            yield from dealt(coded.dictionary, code, ids, table["len"].to_numpy()[row], lists_of(starts, pa.array(pos)), part[row], mean, buckets)
 
     return pack
 
 
-def slice_of(docs: int) -> tuple[Column, int]:
-    """The slice of an id, and how many there are, for so many documents."""
-    slices = max(1, -(-docs // SLICE))
-    return F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"), slices
+def packer_of_entries(mean: float, slices: int, buckets: int):
+    """The same of entries (term, id, len, pos, slice)."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in together(batches, "pos", PACK):
+            coded = table["term"].combine_chunks().dictionary_encode()
+            places = table["pos"].combine_chunks()
+            n = np.diff(places.offsets.to_numpy())
+            places = lists_of(np.cumsum(n) - n, places.flatten())
+            yield from dealt(coded.dictionary, coded.indices.to_numpy().astype("int64"), table["id"].combine_chunks(), table["len"].to_numpy(), places, table["slice"].to_numpy().astype("int64"), mean, buckets)
 
-def singles(own: DataFrame, mean: float, docs: int) -> DataFrame:
-    """Blocks of one entry each of entries (term, id, len, pos)."""
-    own = own.withColumn("bound", impact(F.size("pos"), F.col("len"), mean))
-    tier = F.least(F.lit(TIERS - 1), F.floor(F.col("bound") / (search.K1 + 1) * TIERS)).cast("int")
-    return own.select("term", tier.alias("tier"), slice_of(docs)[0].alias("slice"), "bound", F.lit(1).alias("docs"), F.array(F.struct("id", "len", "pos")).alias("entries"))
+    return pack
 
 
-def packed(documents: DataFrame, mean: float, docs: int) -> DataFrame:
-    """Blocks of documents (id, len, terms), each task's own. Only rows that repeat an id are brought together before: one entry a term, under the shortest length."""
-    ship(documents.sparkSession)
-    rows = documents.select("id", F.col("len").cast("int").alias("len"), slice_of(docs)[0].alias("slice"), "terms")
-    entry = T.StructType([rows.schema["id"], rows.schema["len"], T.StructField("pos", T.ArrayType(T.IntegerType()))])
-    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("tier", T.IntegerType()), rows.schema["slice"], T.StructField("bound", T.DoubleType()), T.StructField("docs", T.IntegerType()), T.StructField("entries", T.ArrayType(entry))])
-    pack = packer(mean, slice_of(docs)[1])
-    again = repeated(documents)
-    if again is None:
-        return rows.mapInArrow(pack, out)
-    same = rows["id"].eqNullSafe(again["_again"])
-    met = rows.join(again, same, "left_semi").select("id", "len", F.posexplode("terms").alias("pos", "term"))
-    met = met.groupBy("term", "id").agg(F.min("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("pos"))
-    return rows.join(again, same, "left_anti").mapInArrow(pack, out).unionByName(singles(met, mean, docs))
+def merger(mean: float):
+    """A mapInArrow function from packed blocks to one block of each term, tier and slice, sorted. Of blocks with one key, all must be in one task."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(map(len, held)):
+            return
+        table = pa.Table.from_batches(held)
+        number = lambda c: flat(table, c).to_numpy()
+        coded = flat(table, "term").dictionary_encode()
+        rank = np.empty(len(coded.dictionary), "int64")
+        rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+        code, tier, part, docs, tf, lens = coded.indices.to_numpy(), number("tier"), number("slice"), number("docs"), number("tf"), number("len")
+        order = np.lexsort((part, tier, rank[code]))
+        place = np.empty(len(order), "int64")
+        place[order] = np.arange(len(order))
+        moved = pa.array(np.argsort(np.repeat(place, docs), kind="stable"))
+        code, tier, part, docs = code[order], tier[order], part[order], docs[order]
+        blocks = heads_of(code, tier, part)
+        heads = (np.cumsum(docs) - docs)[blocks]
+        places = lists_of(np.cumsum(tf) - tf, flat(table, "pos"))
+        entries = pa.StructArray.from_arrays([a.take(moved) for a in (flat(table, "id"), flat(table, "len"), places)], ["id", "len", "pos"])
+        columns = [
+            coded.dictionary.take(pa.array(code[blocks])), pa.array(tier[blocks]), pa.array(part[blocks]), pa.array(np.full(len(blocks), mean)),
+            pa.array(np.maximum.reduceat(impact(tf, lens, mean)[moved.to_numpy()], heads)), pa.array(np.add.reduceat(docs, blocks).astype("int32")), lists_of(heads, entries),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "tier", "slice", "mean", "bound", "docs", "entries"])
+
+    return merge
+
+
+def kept_blocks(mean: float, n: int, places: int, id_type: T.DataType, documents: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
+    """One block of each term, tier and slice, of documents (id, len, terms) or of entries (term, id, len, pos), whichever are given, with so many documents and places in all.
+
+    Each task packs the blocks of its own rows, and packed rows are exchanged once, by bucket: a bucket has about PLACES places, so a task's rows don't grow with the documents, and a term's
+    entries of a slice are few, however common it is. Only documents that repeat an id are brought together before: one entry a term, under the shortest length.
+    """
+    slices, buckets = max(1, -(-n // SLICE)), max(1, -(-places // PLACES))
+    ints, whole, word = T.ArrayType(T.IntegerType()), T.IntegerType(), T.StringType()
+    fields = lambda **of: T.StructType([T.StructField(k, v) for k, v in of.items()])
+    out = fields(bucket=whole, term=T.ArrayType(word), tier=ints, slice=ints, docs=ints, id=T.ArrayType(id_type), len=ints, tf=ints, pos=ints)
+    packed = None
+    if documents is not None:
+        ship(documents.sparkSession)
+        rows = documents.select("id", F.col("len").cast("int").alias("len"), "terms")
+        again = repeated(documents)
+        if again is not None:
+            same = rows["id"].eqNullSafe(again["_again"])
+            met = rows.join(again, same, "left_semi").select("id", "len", F.posexplode("terms").alias("pos", "term"))
+            entries = met.groupBy("term", "id").agg(F.min("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("pos"))
+            rows = rows.join(again, same, "left_anti")
+        packed = rows.mapInArrow(packer(mean, slices, buckets), out)
+    if entries is not None:
+        ship(entries.sparkSession)
+        rows = entries.select("term", "id", F.col("len").cast("int").alias("len"), "pos", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
+        rows = rows.mapInArrow(packer_of_entries(mean, slices, buckets), out)
+        packed = rows if packed is None else packed.unionByName(rows)
+    entry = fields(id=id_type, len=whole, pos=ints)
+    blocks = fields(term=word, tier=whole, slice=whole, mean=T.DoubleType(), bound=T.DoubleType(), docs=whole, entries=T.ArrayType(entry))
+    return packed.repartitionById(buckets, "bucket").mapInArrow(merger(mean), blocks)
 
 
 def repeated(rows: DataFrame) -> DataFrame | None:
@@ -124,16 +232,6 @@ def repeated(rows: DataFrame) -> DataFrame | None:
     return None if again.isEmpty() else again
 
 
-def merged(blocks: DataFrame, mean: float, places: int) -> DataFrame:
-    """One block of each term, tier and slice, of blocks with so many places in all.
-
-    One exchange, into partitions of about PLACES places: a task's rows don't grow with the documents, and a term's entries of a slice are few, however common it is.
-    """
-    dealt = blocks.repartition(max(1, -(-places // PLACES)), "term", "slice")
-    dealt = dealt.groupBy("term", "tier", "slice").agg(F.max("bound").alias("bound"), F.sum("docs").cast("int").alias("docs"), F.flatten(F.collect_list("entries")).alias("entries"))
-    return dealt.select("term", "tier", "slice", F.lit(mean).alias("mean"), "bound", "docs", "entries").sortWithinPartitions("term", "tier", "slice")
-
-
 class Postings:
     def __init__(self, spark: SparkSession, root: str, columns: tuple[str, ...] = ("content", "subject", "category")):
         self.spark, self.tables, self.columns = spark, Snapshots(spark, root), columns
@@ -169,7 +267,7 @@ class Postings:
         documents = self.tables.put(f"documents_{s}", tokens.sortWithinPartitions("id"))
         n, places = documents.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         mean = places / n if n else 0.0
-        postings = self.tables.put(f"postings_{s}", merged(packed(documents, mean, n), mean, places))
+        postings = self.tables.put(f"postings_{s}", kept_blocks(mean, n, places, documents.schema["id"].dataType, documents))
         # A term counts once for an id, however many rows have it.
         by_term, lens = postings.select("term", F.col("docs").cast("long").alias("d")), [(n, places)]
         if was is not None:
@@ -204,7 +302,7 @@ class Postings:
         mean = places / n if n else 0.0
         counts = self._read("counts").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("lens").alias("lens")).where("docs <> 0 or term = ''")
         new = {
-            f"postings_{s}": merged(singles(self._entries(self._read("postings")), mean, n), mean, places), f"documents_{s}": documents,
+            f"postings_{s}": kept_blocks(mean, n, places, documents.schema["id"].dataType, entries=self._entries(self._read("postings"))), f"documents_{s}": documents,
             f"counts_{s}": counts.sortWithinPartitions("term"), f"gone_{s}": documents.select("id").limit(0), f"whole_{s}": self.spark.range(1),
         }
         return self.tables.commit(**new)
