@@ -390,7 +390,9 @@ class Postings:
         chosen = lead.join(upper.select("query_id", *key, "weight", "terms"), ["query_id", *key])
         others = upper.join(lead.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti").join(lead.select("query_id").distinct(), "query_id", "left_semi").select("query_id", *key, "weight", "terms")
         both = chosen.select("query_id", *key, "weight", "terms").unionByName(others)
-        rows = blocks.join(both, key).select("segment", "query_id", "weight", "terms", F.explode("entries").alias("e")).select("segment", "query_id", "weight", "terms", F.col("e.id").alias("id"), F.col("e.len").alias("len"), F.size("e.pos").alias("tf"))
+        # Where the terms stand isn't needed, nor moved. Blocks have entries: explode() would test that, on all rows of the scan and before terms are.
+        blocks = blocks.select(*key, F.transform("entries", lambda e: F.struct(e["id"].alias("id"), e["len"].alias("len"), F.size(e["pos"]).alias("tf"))).alias("entries"))
+        rows = blocks.join(both, key).select("segment", "query_id", "weight", "terms", F.explode_outer("entries").alias("e")).select("segment", "query_id", "weight", "terms", "e.*")
         rows = self._live(rows, version)
         if within is not None:
             rows = rows.join(within.select("id").distinct(), "id", "left_semi")

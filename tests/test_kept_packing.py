@@ -37,3 +37,19 @@ def test_an_entry_of_a_rare_term_is_few_bytes(spark, tmp_path):
     before = sum(s.shuffleWriteBytes() for s in stages(spark))
     Postings(spark, str(tmp_path)).build(docs)
     assert sum(s.shuffleWriteBytes() for s in stages(spark)) - before < 100_000 * 22
+
+
+def test_a_search_moves_no_places(spark, tmp_path):
+    """Scores need how often a term stands in a document, not where."""
+    docs = spark.range(300).select("id", F.expr("repeat('common other ', 1000)").alias("content"), F.lit("").alias("subject"), F.lit("").alias("category"))
+    kept, limits = Postings(spark, str(tmp_path)), ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    kept.build(docs)
+    before = sum(s.shuffleWriteBytes() for s in stages(spark))
+    for name in limits:
+        spark.conf.set(name, "-1")
+    try:
+        assert kept.bm25(spark.createDataFrame([(1, "common")], "query_id long, text string"), 5).count() == 5
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    assert sum(s.shuffleWriteBytes() for s in stages(spark)) - before < 300 * 1000
